@@ -55,3 +55,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def parallelism(spark: SparkSession) -> int:
     """How many pieces an ordered computation is cut into."""
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def materialize(df, name: str):
+    """Write a table used several times to the shared folder and read it back; survives the loss of executors."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
