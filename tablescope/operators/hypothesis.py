@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import constants as K
 from ..functions.columns import col, doubles, numeric_columns
@@ -31,8 +31,9 @@ def _ranked(df: DataFrame, group: str, value: str) -> DataFrame:
     return ranked_values(rows, value, split_points(rows, [value])[value], group)
 
 
-# Summed over the groups of a value this is ties^3 - ties; in double, because the cube leaves the bigint range.
-_TIE_TERM = F.col("n").cast("double") * (F.col("ties").cast("double") * F.col("ties") - 1.0)
+def _tie_term() -> Column:
+    """Summed over the groups of a value this is ties^3 - ties; in double, because the cube leaves the bigint range."""
+    return F.col("n").cast("double") * (F.col("ties").cast("double") * F.col("ties") - 1.0)
 
 
 def mann_whitney(df: DataFrame, group: str, value: str, first=None, second=None) -> DataFrame:
@@ -50,7 +51,7 @@ def mann_whitney(df: DataFrame, group: str, value: str, first=None, second=None)
     sums = _ranked(both, group, value).agg(
         F.coalesce(F.sum(F.when(one, F.col("n"))), F.lit(0)).alias("n1"),
         F.coalesce(F.sum(F.when(~one, F.col("n"))), F.lit(0)).alias("n2"),
-        F.sum(F.when(one, n * F.col("rank"))).alias("r1"), F.sum(_TIE_TERM).alias("t"),
+        F.sum(F.when(one, n * F.col("rank"))).alias("r1"), F.sum(_tie_term()).alias("t"),
     )
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     total = n1 + n2
@@ -66,7 +67,7 @@ def kruskal_wallis(df: DataFrame, group: str, value: str) -> DataFrame:
     """(groups, n, h, df, p): tie-corrected rank test over any number of groups."""
     n = F.col("n").cast("double")
     per_group = _ranked(df, group, value).groupBy(col(group)).agg(
-        F.sum("n").alias("n"), F.sum(n * F.col("rank")).alias("r"), F.sum(_TIE_TERM).alias("t")
+        F.sum("n").alias("n"), F.sum(n * F.col("rank")).alias("r"), F.sum(_tie_term()).alias("t")
     )
     sums = per_group.agg(
         F.count("*").alias("groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"),

@@ -28,10 +28,21 @@ def column_types(df: DataFrame) -> DataFrame:
     return small_frame(df.sparkSession, rows, "position int, column string, type string")
 
 
+def column_info(df: DataFrame) -> DataFrame:
+    """(position, column, type, n): the types with the number of non-missing values."""
+    return column_types(df).join(_present(df), "column").select("position", "column", "type", "n")
+
+
 def column_classes(df: DataFrame) -> DataFrame:
-    """(column, class); reads no data."""
+    """(column, class, n): numeric, categorical, datetime or other, with the number of non-missing values."""
     rows = [(f.name, class_of(f.dataType)) for f in df.schema.fields]
-    return small_frame(df.sparkSession, rows, "column string, class string")
+    return small_frame(df.sparkSession, rows, "column string, class string").join(_present(df), "column")
+
+
+def _present(df: DataFrame) -> DataFrame:
+    clean = merge_nan(df)
+    wide = clean.agg(*[F.count(col(c)).alias(f"_{i}") for i, c in enumerate(df.columns)])
+    return rows_from(wide, [(F.lit(c), F.col(f"_{i}")) for i, c in enumerate(df.columns)], ["column", "n"])
 
 
 def select_class(df: DataFrame, kind: str = NUMERIC) -> DataFrame:

@@ -21,9 +21,7 @@ from .logs import RUN_STEPS
 Step = tuple[str, Callable[[DataFrame], DataFrame]]
 
 SECTIONS = (
-    "Dataset Overview", "Column-by-Column Summary", "Key Statistical Findings", "Data Quality Issues",
-    "Relationships & Correlations", "Anomalies Detected", "Feature Engineering Recommendations",
-    "Actionable Recommendations", "Suggested Next Steps",
+    "overview", "columns", "statistics", "quality", "relations", "anomalies", "features", "recommendations", "next steps",
 )
 
 
@@ -142,7 +140,7 @@ def insights(df: DataFrame) -> DataFrame:
     # one section at a time: its rows depend on the number of columns only
     listed = rows.groupBy("number", "section").agg(F.array_sort(F.collect_list(F.struct("key", "text"))).alias("t"))
     return listed.select("number", "section", F.posexplode("t").alias("i", "x")).select(
-        "section", (F.col("number") * 1000 + F.col("i")).alias("position"), "x.text")
+        "section", (F.col("number") * 1_000_000 + F.col("i")).alias("position"), "x.text")
 
 
 def default_steps(df: DataFrame) -> list[Step]:
