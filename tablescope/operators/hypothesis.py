@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import constants as K
 from ..functions.columns import col, doubles, numeric_columns
-from ..functions.normality import z_kurt, z_skew
+from ..functions.normality import with_normality
 from ..functions.pvalues import chi2_pvalue, z_pvalue
 from ..plans.moments import moments
 from ..plans.ordered import split_points
@@ -18,12 +18,9 @@ from .relations import corr_pairs, spearman_matrix, with_significance
 
 def normality_test(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """(column, n, z_skew, z_kurt, k2, p, normal)"""
-    n = F.col("n")
-    base = moments(df, cols).select(
-        "column", "n", z_skew(n, F.col("g1")).alias("z_skew"), z_kurt(n, F.col("g2")).alias("z_kurt")
-    )
-    k2 = F.col("z_skew") * F.col("z_skew") + F.col("z_kurt") * F.col("z_kurt")
-    return base.withColumn("k2", k2).withColumn("p", F.exp(-F.col("k2") / 2)).withColumn("normal", F.col("p") > K.NORMAL_P)
+    tested = with_normality(moments(df, cols).select("column", "n", "g1", "g2"))
+    return tested.select("column", "n", "z_skew", "z_kurt", "k2", F.exp(-F.col("k2") / 2).alias("p")).withColumn(
+        "normal", F.col("p") > K.NORMAL_P)
 
 
 def _ranked(df: DataFrame, group: str, value: str) -> DataFrame:

@@ -37,8 +37,8 @@ def read_run_log(spark: SparkSession, path: str, schema: str = EVENT_LOG) -> Dat
 
 
 def malformed_lines(log: DataFrame) -> DataFrame:
-    """(lines, malformed)"""
-    return log.agg(F.count("*").alias("lines"), F.count("_corrupt_record").alias("malformed"))
+    """(lines, events, malformed)"""
+    return log.agg(F.count("*").alias("lines"), F.count("event").alias("events"), F.count("_corrupt_record").alias("malformed"))
 
 
 def log_token_totals(log: DataFrame) -> DataFrame:

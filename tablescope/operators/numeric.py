@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import constants as K
 from ..functions.columns import col, doubles, numeric_columns, rows_from, small_frame
-from ..functions.normality import k_squared
+from ..functions.normality import with_normality
 from ..plans.moments import adjusted_kurtosis, adjusted_skew, moments
 from ..plans.quantiles import column_quantiles
 
@@ -69,9 +69,8 @@ def shape_flags(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     n, skew, kurt = F.col("n"), F.col("skew"), F.col("kurt")
     skewed = F.coalesce(F.abs(skew) > K.SKEW_CUT, F.lit(False))
     heavy = F.coalesce(kurt > K.HEAVY_TAIL_KURTOSIS, F.lit(False))
-    base = moments(df, cols).select(
-        "column", "n", adjusted_skew(n, F.col("g1")).alias("skew"), adjusted_kurtosis(n, F.col("g2")).alias("kurt"),
-        k_squared(n, F.col("g1"), F.col("g2")).alias("k2"),
+    base = with_normality(moments(df, cols).select("column", "n", "g1", "g2")).select(
+        "column", "n", adjusted_skew(n, F.col("g1")).alias("skew"), adjusted_kurtosis(n, F.col("g2")).alias("kurt"), "k2"
     )
     normal = F.coalesce(F.exp(-F.col("k2") / 2) > K.NORMAL_P, F.lit(False))
     return base.select(

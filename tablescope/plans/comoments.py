@@ -76,4 +76,5 @@ def correlation(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(i, j, n, r) for i <= j; r is null where a column is constant over the complete rows."""
     c = co_moments(df, cols)
     r = F.try_divide(F.col("cxy"), F.sqrt("cxx") * F.sqrt("cyy"))
-    return c.select("i", "j", "n", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)).alias("r"))
+    inside = F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+    return c.select("i", "j", "n", inside.alias("r"))

@@ -16,6 +16,8 @@ from ..functions.columns import col, doubles, small_frame
 from .ordered import cut_along, scan
 
 ACCURACY = 10_000
+# Up to SMALL * accuracy rows the margin of the sketch is below a few ranks; such a group is taken whole (it is small).
+SMALL = 2
 
 
 def _edges(q: float, accuracy: int) -> tuple[float, float]:
@@ -90,6 +92,8 @@ def column_quantiles(
         spans = []
         for j, q in enumerate(inner):
             low_q, high_q = _edges(q, accuracy)
+            if n <= SMALL * accuracy:
+                low_q, high_q = 0, 1
             spans.append((lo if low_q == 0 else found[2 * j], hi if high_q == 1 else found[2 * j + 1]))
         brackets[c] = _merge(spans)
         wanted[c] = {r for q in inner for r in _ranks(q, n)[:2] if 0 < r < n - 1}
@@ -138,8 +142,9 @@ def group_quantiles(
     lows, highs = [], []
     for j, q in enumerate(probs):
         low_q, high_q = _edges(q, accuracy)
-        lows.append((F.col("_lo") if low_q == 0 else F.col("_p")[2 * j]).alias(f"_l{j}"))
-        highs.append((F.col("_hi") if high_q == 1 else F.col("_p")[2 * j + 1]).alias(f"_h{j}"))
+        small = F.col("_n") <= SMALL * accuracy
+        lows.append(F.when(small | F.lit(low_q == 0), F.col("_lo")).otherwise(F.col("_p")[2 * j]).alias(f"_l{j}"))
+        highs.append(F.when(small | F.lit(high_q == 1), F.col("_hi")).otherwise(F.col("_p")[2 * j + 1]).alias(f"_h{j}"))
     sketch = sketch.select(*[col(k) for k in keys], "_n", *lows, *highs)
     joined = rows.join(sketch, keys)
     v = col(value)

@@ -6,7 +6,7 @@ import importlib
 
 from .common import Entry
 
-MODULES = ("profile",)
+MODULES = ("profile", "analysis", "records")
 
 
 def all_entries() -> dict[str, Entry]:

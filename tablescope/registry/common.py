@@ -19,15 +19,15 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded so that two engines with different summation orders agree; also turns -0.0 into 0.0."""
+    """Doubles rounded so that two engines with different summation orders agree; the offset settles exact halves and -0.0."""
     return df.select(*[
-        (F.round(F.col(f"`{f.name}`"), digits) + F.lit(0.0)).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f"`{f.name}`")
+        F.round(F.col(f"`{f.name}`") + F.lit(1e-9), digits).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f"`{f.name}`")
         for f in df.schema.fields
     ])
 
 
 def r(expression: str, digits: int = 6) -> str:
-    return f"(round({expression}, {digits}) + 0.0)"
+    return f"round(({expression}) + 1e-9::DOUBLE, {digits})"
 
 
 def union_all(parts: Iterable[str]) -> str:

@@ -47,7 +47,7 @@ def constants(spark: SparkSession, sf: str) -> DataFrame:
 
 def sizes(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select(
-        "doc_id", "n_chars", F.length("text").alias("text_chars"), F.length("lang").alias("lang_chars"))
+        "doc_id", "n_chars", F.length("text").cast("bigint").alias("text_chars"), F.length("lang").cast("bigint").alias("lang_chars"))
 
 
 def calls(spark: SparkSession, sf: str) -> DataFrame:
