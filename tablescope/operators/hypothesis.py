@@ -43,7 +43,7 @@ def mann_whitney(df: DataFrame, group: str, value: str, first=None, second=None)
             raise ValueError(f"{group} does not have two groups; name them or use kruskal_wallis")
         first, second = sorted(r[0] for r in names)
     both = df.where(col(group).isin(first, second))
-    one = col(group) == F.lit(first)
+    one = F.col("_group") == F.lit(first)
     n = F.col("n").cast("double")
     sums = _ranked(both, group, value).agg(
         F.coalesce(F.sum(F.when(one, F.col("n"))), F.lit(0)).alias("n1"),
@@ -63,7 +63,7 @@ def mann_whitney(df: DataFrame, group: str, value: str, first=None, second=None)
 def kruskal_wallis(df: DataFrame, group: str, value: str) -> DataFrame:
     """(groups, n, h, df, p): tie-corrected rank test over any number of groups."""
     n = F.col("n").cast("double")
-    per_group = _ranked(df, group, value).groupBy(col(group)).agg(
+    per_group = _ranked(df, group, value).groupBy("_group").agg(
         F.sum("n").alias("n"), F.sum(n * F.col("rank")).alias("r"), F.sum(_tie_term()).alias("t")
     )
     sums = per_group.agg(

@@ -23,8 +23,8 @@ def missing_heatmap(df: DataFrame, key: str, bins: int = 20) -> DataFrame:
     cols = [c for c in profiled(df) if c != key]
     lo, hi = (0.0, 0.0) if lo is None else (lo, hi)
     clean = merge_nan(df.select(*[col(c) for c in (key, *cols)]))
-    cut = clean.where(col(key).isNotNull()).withColumn("bin", bin_of(col(key).cast("double"), lo, hi, bins))
-    wide = cut.groupBy("bin").agg(F.count("*").alias("rows"), *[F.count_if(col(c).isNull()).alias(f"_{i}") for i, c in enumerate(cols)])
+    cut = clean.where(col(key).isNotNull()).withColumn("_bin", bin_of(col(key).cast("double"), lo, hi, bins))
+    wide = cut.groupBy(F.col("_bin").alias("bin")).agg(F.count("*").alias("rows"), *[F.count_if(col(c).isNull()).alias(f"_{i}") for i, c in enumerate(cols)])
     long = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_{i}").alias("nulls")) for i, c in enumerate(cols)])
     return wide.select("bin", "rows", F.inline(long)).select(
         "bin", "column", "rows", "nulls", (F.col("nulls") / F.col("rows")).alias("null_share")

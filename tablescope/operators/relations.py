@@ -68,7 +68,7 @@ def spearman_matrix(df: DataFrame, cols: Sequence[str] | None = None, pairs: Seq
     rows = base.select(*shown)
     ranked = rows
     for i, (a, _) in enumerate(views):
-        table = ranked_values(rows.select(f"v{i}"), f"v{i}", splits[a]).select(f"v{i}", F.col("rank").alias(f"r{i}"))
+        table = ranked_values(rows.select(f"v{i}"), f"v{i}", splits[a]).select(F.col("_value").alias(f"v{i}"), F.col("rank").alias(f"r{i}"))
         ranked = ranked.join(table, f"v{i}", "left").drop(f"v{i}")
     names = [f"r{i}" for i in range(len(views))]
     result = correlation(ranked.select(*names), names)

@@ -108,7 +108,7 @@ def insights(df: DataFrame) -> DataFrame:
 
     def add(number: int, rows: DataFrame, order: Column, *words) -> None:
         text = F.concat(*[w if not isinstance(w, str) else F.lit(w) for w in words])
-        parts.append(rows.select(F.lit(number).alias("number"), F.lit(SECTIONS[number - 1]).alias("section"), order.cast("string").alias("key"), text.alias("text")))
+        parts.append(rows.select(F.lit(number).alias("number"), order.cast("string").alias("key"), text.alias("text")))
 
     column, numbers = F.col("column"), numeric_columns(df)
     add(1, overview.dataset_shape(df), F.lit("0"), F.col("rows").cast("string"), " rows, ", F.col("columns").cast("string"), " columns")
@@ -138,9 +138,12 @@ def insights(df: DataFrame) -> DataFrame:
         "apply ", F.col("feature"), " to ", F.col("n").cast("string"), " columns")
     rows = reduce(DataFrame.unionByName, parts)
     # one section at a time: its rows depend on the number of columns only
-    listed = rows.groupBy("number", "section").agg(F.array_sort(F.collect_list(F.struct("key", "text"))).alias("t"))
-    return listed.select("number", "section", F.posexplode("t").alias("i", "x")).select(
-        "section", (F.col("number") * 1_000_000 + F.col("i")).alias("position"), "x.text")
+    listed = rows.groupBy("number").agg(F.array_sort(F.collect_list(F.struct("key", "text"))).alias("t"))
+    sections = small_frame(df.sparkSession, list(enumerate(SECTIONS, 1)), "number int, section string")
+    nothing = F.array(F.struct(F.lit("").alias("key"), F.lit("nothing found").alias("text")))
+    return sections.join(listed, "number", "left").select(
+        "number", "section", F.posexplode(F.coalesce("t", nothing)).alias("i", "x")
+    ).select("section", (F.col("number") * 1_000_000 + F.col("i")).alias("position"), "x.text")
 
 
 def default_steps(df: DataFrame) -> list[Step]:

@@ -134,21 +134,21 @@ def rolling_mean(
     v, c = F.coalesce(col(value), F.lit(0.0)), col(value).isNotNull().cast("bigint")
     t = F.col("_t")
     start = t - F.pmod(t, F.lit(span))
-    none = F.lit(0).cast("bigint")
-    change = lambda slot, at, s, n, own: F.struct(
-        slot.alias("slot"), at.alias("t"), s.alias("s"), n.alias("c"), own.alias("own"))
+
+    def change(slot: Column, at: Column, total: Column, count: Column, own: int) -> Column:
+        return F.struct(
+            slot.alias("_slot"), at.alias("_t"), total.alias("_s"), count.alias("_c"), F.lit(own).cast("bigint").alias("_own"))
+
     changes = rows.select(*[col(k) for k in by], F.inline(F.array(
-        change(start, t, v, c, F.lit(1).cast("bigint")),
-        change(start + span, t + span, -v, -c, none),
-        change(start + span, start + span - 1, v, c, none),
+        change(start, t, v, c, 1), change(start + span, t + span, -v, -c, 0), change(start + span, start + span - 1, v, c, 0),
     )))
-    cut = with_buckets(changes, split_points(rows.withColumnRenamed("_t", "t"), ["t"]))
-    net = cut.groupBy(*[col(k) for k in by], "slot", "_b_t", "t").agg(
-        F.sum("s").alias("s"), F.sum("c").alias("c"), F.sum("own").alias("own")
+    cut = with_buckets(changes, split_points(rows, ["_t"]))
+    net = cut.groupBy(*[col(k) for k in by], "_slot", "_b__t", "_t").agg(
+        F.sum("_s").alias("_s"), F.sum("_c").alias("_c"), F.sum("_own").alias("_own")
     )
-    run = scan(net, ["_b_t"], ["t"], {"_sum": "s", "_cnt": "c"}, keys=[*by, "slot"], few_keys=False)
-    means = run.where("own > 0").select(
-        *[col(k) for k in by], F.col("t").alias("_t"), F.when(F.col("_cnt") > 0, F.col("_sum") / F.col("_cnt")).alias("rolling_mean")
+    run = scan(net, ["_b__t"], ["_t"], {"_sum": "_s", "_cnt": "_c"}, keys=[*by, "_slot"], few_keys=False)
+    means = run.where("_own > 0").select(
+        *[col(k) for k in by], "_t", F.when(F.col("_cnt") > 0, F.col("_sum") / F.col("_cnt")).alias("rolling_mean")
     )
     return rows.join(means, [*by, "_t"]).select(*[col(k) for k in (*keep, *by)], col(ts), col(value), "rolling_mean")
 

@@ -56,7 +56,7 @@ def co_moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
                 "cxy": cxy[upper], "cxx": cxx[upper], "cyy": cxx.T[upper],
             })
 
-    parts = doubles(df, cols).mapInPandas(fold, SCHEMA).where("n > 0")
+    parts = doubles(df, cols).toDF(*[f"x{i}" for i in range(k)]).mapInPandas(fold, SCHEMA).where("n > 0")
     pair = Window.partitionBy("i", "j")  # one row per task
     centred = parts.select(
         "*",

@@ -11,18 +11,15 @@ from .ordered import scan, with_buckets
 
 
 def ranked_values(rows: DataFrame, value: str, splits: Sequence[float], group: str | None = None) -> DataFrame:
-    """(value[, group], n, ties, rank): average rank of each distinct value among all non-missing rows.
+    """(_value[, _group], n, ties, rank): average rank of each distinct value among all non-missing rows.
 
     With ``group`` there is one row per value and group; the rank is over all groups and ``ties`` counts the value in all."""
-    rows = rows.where(col(value).isNotNull())
-    if group:
-        rows = rows.where(col(group).isNotNull())
-    cut = with_buckets(rows.select(col(value), *([col(group)] if group else [])), {value: list(splits)})
-    bucket = f"_b_{value}"
-    keys = [col(value)] + ([col(group)] if group else [])
-    counts = cut.groupBy(bucket, *keys).agg(F.count("*").alias("n"))
-    run = scan(counts, [bucket], [value], {"_upto": "n"}, peers=True)
-    ties = F.sum("n").over(Window.partitionBy(bucket, value)) if group else F.col("n")
+    keys = ["_value"] + (["_group"] if group else [])
+    rows = rows.select(col(value).alias("_value"), *([col(group).alias("_group")] if group else [])).dropna(subset=keys)
+    bucket = "_b__value"
+    counts = with_buckets(rows, {"_value": list(splits)}).groupBy(bucket, *keys).agg(F.count("*").alias("n"))
+    run = scan(counts, [bucket], ["_value"], {"_upto": "n"}, peers=True)
+    ties = F.sum("n").over(Window.partitionBy(bucket, "_value")) if group else F.col("n")
     return run.withColumn("ties", ties).select(
         *keys, "n", "ties", (F.col("_upto") - (F.col("ties") - 1) / F.lit(2.0)).alias("rank")
     )

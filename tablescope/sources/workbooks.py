@@ -111,6 +111,8 @@ def workbook_table(parsed: DataFrame, schema: T.StructType | None = None) -> Dat
         names = [f.name for f in schema.fields]
     else:
         names = [r[0] for r in parsed.select(F.explode(F.map_keys("cells"))).distinct().orderBy("col").collect()]
+    if not names:
+        raise ValueError("no sheet has a header row")
     raw = normalize_missing(parsed.select(*[F.col("cells")[n].alias(n) for n in names]))
     return apply_schema(raw, schema) if schema else infer_types(raw)
 
