@@ -1 +1,8 @@
 """Exploratory analysis of tables of any size, expressed as Spark DataFrame plans."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# The few functions that run in Python workers travel with the task, so the package need not be installed on the executors.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 NUMERIC, CATEGORICAL, DATETIME, OTHER = "numeric", "categorical", "datetime", "other"
@@ -67,9 +68,12 @@ def rows_from(df: DataFrame, entries: Sequence[Sequence[Column]], names: Sequenc
     return df.select(F.inline(F.array(*structs)))
 
 
-def small_frame(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
-    """A driver-made table whose size depends on the schema of the input only (columns, quantiles)."""
-    return spark.createDataFrame(list(rows), schema)
+def small_frame(spark: SparkSession, rows: Sequence[tuple], schema: str | T.StructType) -> DataFrame:
+    """A driver-made table whose size depends on the schema of the input only (columns, quantiles).
+
+    Built through Arrow, which plans as a local table; a list of rows would become an RDD scan with a task per core."""
+    kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    return spark.createDataFrame(pd.DataFrame(list(rows), columns=kind.names, dtype=object), kind)
 
 
 def with_all_columns(result: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -10,6 +10,7 @@ from .. import constants as K
 from ..functions.columns import col, doubles, merge_nan, numeric_columns, rows_from, small_frame
 from ..plans.moments import moments
 from ..plans.quantiles import column_quantiles
+from ..plans.shared import is_shared, on_driver, remember
 from .numeric import fences
 
 
@@ -20,7 +21,13 @@ def iqr_bounds(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, flo
 
 def iqr_outlier_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """(column, lo, hi, n_iqr)"""
-    cols = numeric_columns(df, cols)
+    cols, known = numeric_columns(df, cols), numeric_columns(df)
+    if is_shared(df) and set(cols) <= set(known):
+        return remember(df, "fences", lambda: on_driver(_iqr_outlier_counts(df, known))).where(F.col("column").isin(cols))
+    return _iqr_outlier_counts(df, cols)
+
+
+def _iqr_outlier_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     bounds = iqr_bounds(df, cols)
     if not bounds:
         return small_frame(df.sparkSession, [], "column string, lo double, hi double, n_iqr bigint")

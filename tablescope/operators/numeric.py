@@ -11,6 +11,7 @@ from ..functions.columns import col, doubles, numeric_columns, rows_from, small_
 from ..functions.normality import with_normality
 from ..plans.moments import adjusted_kurtosis, adjusted_skew, moments
 from ..plans.quantiles import column_quantiles
+from ..plans.shared import is_shared
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -87,7 +88,8 @@ def value_range_check(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def ranges(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float | None, float | None]]:
     """{column: (min, max)} on the driver, two numbers per column."""
-    return {r["column"]: (r["min"], r["max"]) for r in value_range_check(df, cols).collect()}
+    found = moments(df, cols) if is_shared(df) else value_range_check(df, cols)
+    return {r["column"]: (r["min"], r["max"]) for r in found.select("column", "min", "max").collect()}
 
 
 def bin_of(value: Column, lo: float, hi: float, k: int) -> Column:

@@ -15,10 +15,17 @@ from ..functions.columns import (
 from ..plans.frequency import distinct_summary
 from ..plans.moments import moments
 from ..plans.quantiles import column_quantiles
+from ..plans.shared import is_shared, on_driver, remember
 
 
 def dataset_shape(df: DataFrame) -> DataFrame:
     """(rows, columns)"""
+    if is_shared(df):
+        return remember(df, "shape", lambda: on_driver(_shape(df)))
+    return _shape(df)
+
+
+def _shape(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("rows"), F.lit(len(df.columns)).cast("bigint").alias("columns"))
 
 
@@ -72,6 +79,12 @@ def minimal_schema(df: DataFrame, order_by: Sequence[str], n: int = K.SCHEMA_ROW
 def null_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """(column, nulls, null_share); NaN counts as missing."""
     cols = list(cols or df.columns)
+    if is_shared(df):
+        return remember(df, "nulls", lambda: on_driver(_null_counts(df, df.columns))).where(F.col("column").isin(cols))
+    return _null_counts(df, cols)
+
+
+def _null_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     clean = merge_nan(df.select(*[col(c) for c in cols]))
     wide = clean.agg(F.count("*").alias("_rows"), *[F.count_if(col(c).isNull()).alias(f"_{i}") for i, c in enumerate(cols)])
     entries = [
@@ -105,6 +118,12 @@ def duplicate_row_count(df: DataFrame, exact: bool = False) -> DataFrame:
 
     By default a 128-bit fingerprint per row is shuffled instead of the row (24 bytes each, whatever the width; two of
     10^12 different rows share one with a chance near 10^-15).  ``exact=True`` groups by the columns themselves."""
+    if is_shared(df) and not exact:
+        return remember(df, "duplicates", lambda: on_driver(_duplicate_row_count(df, False)))
+    return _duplicate_row_count(df, exact)
+
+
+def _duplicate_row_count(df: DataFrame, exact: bool) -> DataFrame:
     clean = merge_nan(df)
     keys = [col(c) for c in clean.columns] if exact else _fingerprint(clean)
     groups = clean.groupBy(*keys).agg(F.count("*").alias("_n"))

@@ -64,17 +64,19 @@ def sample_rows(df: DataFrame, key: Sequence[str], n: int, seed: int = 42) -> Da
 
 def suggested_answers(df: DataFrame, order_by: Sequence[str] = ()) -> dict[str, DataFrame]:
     """Fixed result tables for the six questions a new user asks."""
+    from ..plans.shared import shared_results
     from .anomalies import outlier_ranking
     from .features import feature_advice
     from .missing import missing_ranking
     from .relations import corr_pairs
     from .report import key_findings, quality_issues
 
-    return {
-        "key_findings": key_findings(df, top=3),
-        "missing_data": missing_ranking(df),
-        "correlations": corr_pairs(df).orderBy(F.desc(F.abs("r")), "col_a", "col_b"),
-        "outliers": outlier_ranking(df),
-        "next_steps": feature_advice(df),
-        "quality_issues": quality_issues(df),
-    }
+    with shared_results(df):
+        return {
+            "key_findings": key_findings(df, top=3),
+            "missing_data": missing_ranking(df),
+            "correlations": corr_pairs(df).orderBy(F.desc(F.abs("r")), "col_a", "col_b"),
+            "outliers": outlier_ranking(df),
+            "next_steps": feature_advice(df),
+            "quality_issues": quality_issues(df),
+        }

@@ -15,6 +15,7 @@ from .. import constants as K
 from ..functions.columns import CATEGORICAL, DATETIME, NUMERIC, columns_of, numeric_columns, profiled, small_frame
 from ..plans.frequency import distinct_summary
 from ..plans.moments import adjusted_kurtosis, adjusted_skew, moments
+from ..plans.shared import shared_results
 from . import anomalies, categorical, features, hypothesis, missing, numeric, overview, relations, timeseries
 from .logs import RUN_STEPS
 
@@ -27,6 +28,11 @@ SECTIONS = (
 
 def quality_issues(df: DataFrame) -> DataFrame:
     """(column, issue, n, share): missing values, outliers, constant columns and (column '*') duplicate rows."""
+    with shared_results(df):
+        return _quality_issues(df)
+
+
+def _quality_issues(df: DataFrame) -> DataFrame:
     rows = overview.dataset_shape(df).first()["rows"]
     total = F.lit(float(max(rows, 1)))
     parts = [
@@ -46,6 +52,11 @@ def quality_issues(df: DataFrame) -> DataFrame:
 def key_findings(df: DataFrame, top: int = 10, group_pairs: Sequence[tuple[str, str]] = ()) -> DataFrame:
     """(rank, kind, subject, value, severity): the strongest correlations, skews, outlier shares, gaps in the data, time trends and
     (for the given category and numeric pairs) group differences."""
+    with shared_results(df):
+        return _key_findings(df, top, group_pairs)
+
+
+def _key_findings(df: DataFrame, top: int = 10, group_pairs: Sequence[tuple[str, str]] = ()) -> DataFrame:
     named = lambda part, kind, subject, value, severity: part.select(
         F.lit(kind).alias("kind"), subject.alias("subject"), value.cast("double").alias("value"), severity.cast("double").alias("severity"))
     parts = [named(
@@ -76,6 +87,11 @@ def key_findings(df: DataFrame, top: int = 10, group_pairs: Sequence[tuple[str,
 
 def column_summary(df: DataFrame) -> DataFrame:
     """(column, type, nulls, null_share, uniques, lo, hi, skew, notes): one row per column; lo and hi are texts."""
+    with shared_results(df):
+        return _column_summary(df)
+
+
+def _column_summary(df: DataFrame) -> DataFrame:
     cols = profiled(df)
     base = overview.column_types(df).select("column", "type").join(overview.null_counts(df, cols), "column").join(
         distinct_summary(df, cols).select("column", "uniques", "n", "freq"), "column")
@@ -103,6 +119,11 @@ def column_summary(df: DataFrame) -> DataFrame:
 
 def insights(df: DataFrame) -> DataFrame:
     """(section, position, text): the report as rows, every text built from computed numbers."""
+    with shared_results(df):
+        return _insights(df)
+
+
+def _insights(df: DataFrame) -> DataFrame:
     shown = lambda c, digits=4: F.coalesce(F.round(F.col(c), digits).cast("string"), F.lit("n/a"))
     parts: list[DataFrame] = []
 
@@ -190,26 +211,32 @@ def run_profile(
 
     A step that fails for a passing reason is tried again; one with an invalid plan or argument is not."""
     spark, profile, records = df.sparkSession, Profile(uuid.uuid4().hex), []
-    for number, (name, make) in enumerate([*(steps if steps is not None else default_steps(df)), *extra], 1):
-        start, error, text, tried = time.time(), None, "", 0
-        while tried < attempts:
-            tried += 1
-            try:
-                path = f"{out}/{name}"
-                make(df).write.mode("overwrite").parquet(path)
-                profile.results[name] = spark.read.parquet(path)
-                text, error = profile.results[name].limit(shown_rows).toPandas().to_string(), None
-                break
-            except (AnalysisException, ParseException, ValueError, TypeError, KeyError) as e:
-                error = f"{type(e).__name__}: {e}"
-                break
-            except Exception as e:
-                error = f"{type(e).__name__}: {e}"
-        records.append((profile.run_id, number, name, text, 0, error, tried, round(time.time() - start, 3)))
+    todo = [*(steps if steps is not None else default_steps(df)), *extra]
+    with shared_results(df):
+        for number, (name, make) in enumerate(todo, 1):
+            records.append((profile.run_id, number, name, *_run_step(df, name, make, f"{out}/{name}", attempts, shown_rows, profile)))
     profile.steps = small_frame(spark, records, RUN_STEPS)
     return profile
 
 
+def _run_step(df: DataFrame, name: str, make: Callable, path: str, attempts: int, shown_rows: int, profile: Profile) -> tuple:
+    """(text_output, charts, error, attempts, seconds) of one step."""
+    start, error, text, tried = time.time(), None, "", 0
+    while tried < attempts:
+        tried += 1
+        try:
+            make(df).write.mode("overwrite").parquet(path)
+            profile.results[name] = df.sparkSession.read.parquet(path)
+            text, error = profile.results[name].limit(shown_rows).toPandas().to_string(), None
+            break
+        except (AnalysisException, ParseException, ValueError, TypeError, KeyError) as e:
+            error = f"{type(e).__name__}: {e}"
+            break
+        except Exception as e:
+            error = f"{type(e).__name__}: {e}"
+    return text, 0, error, tried, round(time.time() - start, 3)
+
+
 def write_report(profile: Profile, report: DataFrame, path: str) -> str:
     """Write the steps, the report rows and one Markdown text; returns the text.
 

@@ -12,7 +12,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.columns import doubles
+from ..functions.columns import doubles, numeric_columns, small_frame
+from .shared import is_shared, remember
 
 SCHEMA = "i int, j int, n double, mx double, my double, cxy double, cxx double, cyy double"
 
@@ -74,6 +75,16 @@ def co_moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def correlation(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(i, j, n, r) for i <= j; r is null where a column is constant over the complete rows."""
+    known = numeric_columns(df)
+    if is_shared(df) and set(cols) <= set(known):
+        stored = remember(df, "correlation", lambda: _correlation(df, known).collect())
+        at = {known.index(c): i for i, c in enumerate(cols)}
+        rows = [(*sorted((at[r["i"]], at[r["j"]])), r["n"], r["r"]) for r in stored if r["i"] in at and r["j"] in at]
+        return small_frame(df.sparkSession, rows, "i int, j int, n bigint, r double")
+    return _correlation(df, cols)
+
+
+def _correlation(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     c = co_moments(df, cols)
     r = F.try_divide(F.col("cxy"), F.sqrt("cxx") * F.sqrt("cyy"))
     inside = F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))

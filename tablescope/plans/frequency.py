@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.columns import col, merge_nan, profiled, with_all_columns
+from .shared import is_shared, on_driver, remember
 
 KEY = ("l", "d", "s")
 
@@ -64,7 +65,13 @@ def distinct_summary(df: DataFrame, cols: Sequence[str] | None = None) -> DataFr
     """(column, n, uniques, top, freq): per column the rows, distinct values, most frequent value and its count.
 
     Of equally frequent values the smallest wins.  Both aggregates combine before they shuffle."""
-    cols = list(cols or profiled(df))
+    cols, known = list(cols or profiled(df)), profiled(df)
+    if is_shared(df) and set(cols) <= set(known):
+        return remember(df, "distinct", lambda: on_driver(_distinct_summary(df, known))).where(F.col("column").isin(cols))
+    return _distinct_summary(df, cols)
+
+
+def _distinct_summary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     best = F.min(F.struct((-F.col("n")).alias("m"), *[F.col(k) for k in KEY]))
     core = (
         frequencies(df, cols)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import long_doubles, numeric_columns, with_all_columns
+from .shared import is_shared, on_driver, remember
 
 COUNTS = ("rows", "n", "nulls", "nonpositive", "zeros", "negatives")
 
@@ -16,6 +17,13 @@ def moments(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 
     g1 and g2 are the population skewness and excess kurtosis; see ``adjusted_skew`` and ``adjusted_kurtosis``."""
     cols = numeric_columns(df, cols)
+    known = numeric_columns(df)
+    if is_shared(df) and set(cols) <= set(known):
+        return remember(df, "moments", lambda: on_driver(_moments(df, known))).where(F.col("column").isin(cols))
+    return _moments(df, cols)
+
+
+def _moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     v = F.col("value")
     core = long_doubles(df, cols).groupBy("column").agg(
         F.count("*").alias("rows"),

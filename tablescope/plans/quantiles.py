@@ -12,8 +12,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.columns import col, doubles, small_frame
+from ..constants import QUANTILES
+from ..functions.columns import col, doubles, numeric_columns, small_frame
 from .ordered import cut_along, scan
+from .shared import is_shared, remember
 
 ACCURACY = 10_000
 # Up to SMALL * accuracy rows the margin of the sketch is below a few ranks; such a group is taken whole (it is small).
@@ -73,6 +75,14 @@ def column_quantiles(
     cols, probs = list(cols), [float(q) for q in probs]
     if not cols:
         return {}
+    if is_shared(df) and accuracy == ACCURACY and set(probs) <= set(QUANTILES) and set(cols) <= set(numeric_columns(df)):
+        all_cols = numeric_columns(df)
+        stored = remember(df, "quantiles", lambda: _column_quantiles(df, all_cols, list(QUANTILES), accuracy))
+        return {c: {q: stored[c][q] for q in probs} for c in cols}
+    return _column_quantiles(df, cols, probs, accuracy)
+
+
+def _column_quantiles(df: DataFrame, cols: list[str], probs: list[float], accuracy: int) -> dict[str, dict[float, float | None]]:
     df = doubles(df, cols)
     inner = sorted({q for q in probs if 0 < q < 1})
     asked = [e for q in inner for e in _edges(q, accuracy)]
