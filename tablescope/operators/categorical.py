@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import constants as K
 from ..functions.columns import CATEGORICAL, columns_of
-from ..plans.frequency import distinct_summary, frequencies, value_text
+from ..plans.frequency import distinct_summary, frequencies, most_frequent, value_text
 from .overview import dataset_shape, null_counts
 
 
@@ -64,7 +64,7 @@ def cardinality_class(df: DataFrame, cols: Sequence[str] | None = None, low: int
 
 def top_value(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """(column, value, n): the most frequent value."""
-    return distinct_summary(df, _named(df, cols)).select("column", F.col("top").alias("value"), F.col("freq").alias("n"))
+    return most_frequent(df, _named(df, cols)).select("column", F.col("top").alias("value"), F.col("freq").alias("n"))
 
 
 def category_missing(df: DataFrame) -> DataFrame:

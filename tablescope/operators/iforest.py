@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import constants as K
 from ..functions.columns import col, doubles, numeric_columns
+from ..plans.quantiles import sketched_quantiles
+from ..plans.sampling import lowest_by_hash
+from ..session import materialize
 
 TREES, SAMPLE = 100, 256
 EULER = 0.5772156649
@@ -44,16 +47,23 @@ def grow(x: np.ndarray, seed: int) -> pd.DataFrame:
     return pd.DataFrame(nodes, columns=["feature", "cut", "child", "depth"])
 
 
-def path_lengths(x: np.ndarray, tree: tuple[np.ndarray, ...]) -> np.ndarray:
+def path_lengths(x: np.ndarray, tree: tuple[np.ndarray, ...], levels: int) -> np.ndarray:
+    """Path length of every row.  A leaf leads to itself, so all rows take the same number of steps without a mask."""
     feature, cut, child, depth = tree
-    at = np.zeros(len(x), dtype=np.int64)
-    inner = feature[at] >= 0
-    while inner.any():
-        rows = np.flatnonzero(inner)
-        node = at[rows]
-        at[rows] = child[node] + (x[rows, feature[node]] > cut[node])
-        inner[rows] = feature[at[rows]] >= 0
-    return depth[at]
+    flat, start = x.ravel(), np.arange(len(x)) * x.shape[1]
+    at = np.zeros(len(x), dtype=np.intp)
+    for _ in range(levels):
+        at = child.take(at) + (flat.take(start + feature.take(at)) > cut.take(at))
+    return depth.take(at)
+
+
+def as_arrays(nodes: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    """A node table with leaves that lead to themselves."""
+    leaf = (nodes["feature"] < 0).to_numpy()
+    return (
+        np.where(leaf, 0, nodes["feature"]).astype(np.intp), np.where(leaf, np.inf, nodes["cut"]),
+        np.where(leaf, np.arange(len(nodes)), nodes["child"]).astype(np.intp), nodes["depth"].to_numpy(dtype=float),
+    )
 
 
 def isolation_forest(
@@ -63,16 +73,15 @@ def isolation_forest(
     """(key…, score, is_outlier) for the complete rows; the highest ``contamination`` share of the scores is flagged.
 
     The sample is the trees x sample rows with the lowest hash of the key, so it does not depend on the partitioning;
-    the key should identify rows.  The forest has at most trees x 2 x sample nodes, which bounds what is collected and
-    shipped.  The cut is a quantile sketch of the scores with a rank error of 10^-5."""
+    the key should identify rows.  The forest has at most trees x 4 x sample nodes, which bounds what is collected and shipped.
+    Scores are written once to the shared folder, because the cut (a quantile sketch) and the result both need them."""
     key = list(key)
     cols = [c for c in numeric_columns(df, cols) if c not in key]
     names = [f"f{i}" for i in range(len(cols))]
     rows = doubles(df, cols, key).dropna(subset=cols).select(
         *[col(k) for k in key], *[col(c).alias(n) for c, n in zip(cols, names)]
     )
-    order = F.xxhash64(F.lit(seed), *[col(k) for k in key])
-    drawn = rows.orderBy(order).limit(trees * sample).withColumn(
+    drawn = lowest_by_hash(rows, key, trees * sample, seed).withColumn(
         "tree", F.pmod(F.xxhash64(F.lit(seed + 1), *[col(k) for k in key]), F.lit(trees)).cast("int")
     )
 
@@ -87,23 +96,24 @@ def isolation_forest(
     table = drawn.groupBy("tree").applyInPandas(grow_one, schema).toPandas()
     forest, sizes = [], []
     for _, part in table.sort_values(["tree", "node"]).groupby("tree"):
-        forest.append(tuple(part[c].to_numpy() for c in ("feature", "cut", "child", "depth")))
+        forest.append(as_arrays(part))
         sizes.append(int(part["size"].iloc[0]))
     if not forest:
         return rows.select(*[col(k) for k in key], F.lit(0.0).alias("score"), F.lit(False).alias("is_outlier"))
     norm = max(mean_path(sum(sizes) / len(sizes)), 1e-9)
+    levels = math.ceil(math.log2(max(*sizes, 2)))
     shipped = df.sparkSession.sparkContext.broadcast(forest)
 
     def score(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for series in parts:
-            x = np.column_stack([s.to_numpy(dtype=float) for s in series])
-            depth = sum(path_lengths(x, t) for t in shipped.value) / len(shipped.value)
+            x = np.ascontiguousarray(np.column_stack([s.to_numpy(dtype=float) for s in series]))
+            depth = sum(path_lengths(x, t, levels) for t in shipped.value) / len(shipped.value)
             yield pd.Series(np.exp2(-depth / norm))
 
     udf = F.pandas_udf(score_hints(score), "double")
-    scored = rows.select(*[col(k) for k in key], udf(*[F.col(n) for n in names]).alias("score"))
-    cut = scored.agg(F.percentile_approx("score", 1 - contamination, 100_000)).first()[0]
-    return scored.withColumn("is_outlier", F.col("score") > F.lit(cut))
+    scored = materialize(rows.select(*[col(k) for k in key], udf(*[F.col(n) for n in names]).alias("score")), "forest-scores")
+    cut = sketched_quantiles(scored, ["score"], [1 - contamination])["score"]
+    return scored.withColumn("is_outlier", F.col("score") > F.lit(cut[0] if cut else 0.0))
 
 
 def score_hints(function):

@@ -10,7 +10,7 @@ from .. import constants as K
 from ..functions.columns import col, doubles, numeric_columns, rows_from, small_frame
 from ..functions.normality import with_normality
 from ..plans.moments import adjusted_kurtosis, adjusted_skew, moments
-from ..plans.quantiles import column_quantiles
+from ..plans.quantiles import column_quantiles, sketched_quantiles
 from ..plans.shared import is_shared
 
 QUARTILES = (0.25, 0.5, 0.75)
@@ -51,13 +51,9 @@ def quantiles(
         found = column_quantiles(df, cols, probs)
         rows = [(c, float(q), found[c][float(q)], True) for c in cols for q in probs]
         return small_frame(df.sparkSession, rows, "column string, q double, value double, exact boolean")
-    wide = doubles(df, cols).agg(
-        *[F.percentile_approx(col(c), [float(q) for q in probs], 10_000).alias(f"_{i}") for i, c in enumerate(cols)]
-    )
-    entries = [
-        (F.lit(c), F.lit(float(q)), F.col(f"_{i}")[j], F.lit(False)) for i, c in enumerate(cols) for j, q in enumerate(probs)
-    ]
-    return rows_from(wide, entries, ["column", "q", "value", "exact"])
+    found = sketched_quantiles(df, cols, probs)
+    rows = [(c, float(q), found[c][j] if found[c] else None, False) for c in cols for j, q in enumerate(probs)]
+    return small_frame(df.sparkSession, rows, "column string, q double, value double, exact boolean")
 
 
 def nonpositive_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from ..functions.columns import (
     CATEGORICAL, NUMERIC, class_of, col, columns_of, merge_nan, numeric_columns, profiled, rows_from, small_frame,
     with_all_columns,
 )
-from ..plans.frequency import distinct_summary
+from ..plans.frequency import distinct_summary, most_frequent
 from ..plans.moments import moments
 from ..plans.quantiles import column_quantiles
 from ..plans.shared import is_shared, on_driver, remember
@@ -141,12 +141,11 @@ def describe_all(df: DataFrame) -> DataFrame:
 
     top and freq are given for categorical columns, the moments for numeric ones."""
     numbers = numeric_columns(df)
-    base = distinct_summary(df)
-    text = columns_of(df, CATEGORICAL)
-    shown = F.col("column").isin(text) if text else F.lit(False)
-    base = base.select(
-        "column", "n", "uniques", F.when(shown, F.col("top")).alias("top"), F.when(shown, F.col("freq")).alias("freq")
-    )
+    base, text = distinct_summary(df).select("column", "n", "uniques"), columns_of(df, CATEGORICAL)
+    if text:
+        base = base.join(most_frequent(df, text), "column", "left")
+    else:
+        base = base.withColumn("top", F.lit(None).cast("string")).withColumn("freq", F.lit(None).cast("bigint"))
     if not numbers:
         empty = [F.lit(None).cast("double").alias(c) for c in ("mean", "sd", "min", "p25", "p50", "p75", "max")]
         return base.select("*", *empty)

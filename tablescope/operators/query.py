@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import constants as K
 from ..functions.columns import col
+from ..plans.sampling import lowest_by_hash
 
 READ_ONLY = re.compile(r"^\s*(select|with)\b", re.IGNORECASE)
 TEXT_ROWS = 100
@@ -59,7 +60,7 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
 
 def sample_rows(df: DataFrame, key: Sequence[str], n: int, seed: int = 42) -> DataFrame:
     """n rows, the same ones however the data is partitioned."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *[col(k) for k in key]), *[col(k) for k in key]).limit(n)
+    return lowest_by_hash(df, key, n, seed)
 
 
 def suggested_answers(df: DataFrame, order_by: Sequence[str] = ()) -> dict[str, DataFrame]:

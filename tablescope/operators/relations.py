@@ -13,6 +13,7 @@ from ..plans.comoments import correlation
 from ..plans.ordered import split_points
 from ..plans.quantiles import group_quantiles
 from ..plans.ranks import ranked_values
+from ..plans.sampling import lowest_by_hash
 from .numeric import bin_of, ranges
 from .overview import null_counts
 
@@ -131,8 +132,7 @@ def cross_group(df: DataFrame, first: str, second: str, value: str) -> DataFrame
 def scatter_sample(df: DataFrame, a: str, b: str, key: str, n: int = 1000, seed: int = 42) -> DataFrame:
     """(key, a, b): n points, the same ones however the data is partitioned."""
     rows = doubles(df, [a, b], [key]).where(col(a).isNotNull() & col(b).isNotNull())
-    order = F.xxhash64(F.lit(seed), col(key))
-    return rows.orderBy(order, col(key)).limit(n)
+    return lowest_by_hash(rows, [key], n, seed)
 
 
 def scatter_bins(df: DataFrame, a: str, b: str, bins: int = 20) -> DataFrame:

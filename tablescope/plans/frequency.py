@@ -62,9 +62,9 @@ def value_text(df: DataFrame, cols: Sequence[str]) -> Column:
 
 
 def distinct_summary(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """(column, n, uniques, top, freq): per column the rows, distinct values, most frequent value and its count.
+    """(column, n, uniques, freq): per column the rows, the distinct values and the count of the most frequent one.
 
-    Of equally frequent values the smallest wins.  Both aggregates combine before they shuffle."""
+    Both aggregates are hash aggregates that combine before they shuffle."""
     cols, known = list(cols or profiled(df)), profiled(df)
     if is_shared(df) and set(cols) <= set(known):
         return remember(df, "distinct", lambda: on_driver(_distinct_summary(df, known))).where(F.col("column").isin(cols))
@@ -72,14 +72,17 @@ def distinct_summary(df: DataFrame, cols: Sequence[str] | None = None) -> DataFr
 
 
 def _distinct_summary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    best = F.min(F.struct((-F.col("n")).alias("m"), *[F.col(k) for k in KEY]))
-    core = (
-        frequencies(df, cols)
-        .groupBy("column")
-        .agg(F.sum("n").alias("n"), F.count("*").alias("uniques"), best.alias("best"))
-        .select("column", "n", "uniques", "best.*")
+    core = frequencies(df, cols).groupBy("column").agg(
+        F.sum("n").alias("n"), F.count("*").alias("uniques"), F.max("n").alias("freq")
     )
-    core = core.select("column", "n", "uniques", value_text(df, cols).alias("top"), (-F.col("m")).alias("freq"))
     return with_all_columns(core, cols).select(
-        "column", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("uniques", F.lit(0)).alias("uniques"), "top", "freq"
+        "column", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("uniques", F.lit(0)).alias("uniques"), "freq"
     )
+
+
+def most_frequent(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(column, top, freq): the most frequent value of each column, the smallest of equally frequent ones."""
+    best = F.min(F.struct((-F.col("n")).alias("m"), *[F.col(k) for k in KEY]))
+    core = frequencies(df, cols).groupBy("column").agg(best.alias("best")).select("column", "best.*")
+    core = core.select("column", value_text(df, cols).alias("top"), (-F.col("m")).alias("freq"))
+    return with_all_columns(core, cols)

@@ -16,17 +16,15 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import col
 from ..session import parallelism
+from .sketch import K_CUTS, sketch
 
 
 def split_points(df: DataFrame, cols: Sequence[str], parts: int | None = None) -> dict[str, list[float]]:
     """Strictly increasing split points per column; one narrow scan, at most ``parts`` numbers per column reach the driver."""
     parts = parts or parallelism(df.sparkSession)
     probs = [i / parts for i in range(1, parts)]
-    accuracy = max(1000, 20 * parts)
-    row = df.agg(
-        *[F.percentile_approx(col(c).cast("double"), probs, accuracy).alias(f"p{i}") for i, c in enumerate(cols)]
-    ).first()
-    return {c: sorted(set(row[f"p{i}"] or [])) for i, c in enumerate(cols)}
+    row = sketch(df.select(*[col(c).cast("double").alias(c) for c in cols]), {c: probs for c in cols}, max(K_CUTS, min(8 * parts, 65_535)))
+    return {c: sorted(set(row[f"q{i}"] or [])) for i, c in enumerate(cols)}
 
 
 def with_buckets(df: DataFrame, splits: dict[str, list[float]], isolate: bool = False) -> DataFrame:

@@ -1,9 +1,8 @@
 """Exact linear-interpolation quantiles whose shuffle is a small fraction of the data.
 
 Pass 1 asks a quantile sketch for a value safely below and one safely above each wanted rank.  Pass 2 counts the rows
-between the brackets and the single values inside them.  Only the values inside the brackets (a few ten-thousandths
-of the rows) keep their identity in the shuffle, so no task ever holds the value-to-count map of a whole column.
-"""
+between the brackets and the single values inside them.  Only the values inside the brackets (about a thousandth
+of the rows each) keep their identity in the shuffle, so no task ever holds the value-to-count map of a whole column."""
 
 from __future__ import annotations
 
@@ -16,14 +15,11 @@ from ..constants import QUANTILES
 from ..functions.columns import col, doubles, numeric_columns, small_frame
 from .ordered import cut_along, scan
 from .shared import is_shared, remember
+from .sketch import K_RANKS, rank_error, sketch
 
-ACCURACY = 10_000
-# Up to SMALL * accuracy rows the margin of the sketch is below a few ranks; such a group is taken whole (it is small).
-SMALL = 2
-
-
-def _edges(q: float, accuracy: int) -> tuple[float, float]:
-    return max(0.0, q - 2 / accuracy), min(1.0, q + 2 / accuracy)
+# A bracket is cut further when it holds more rows than one task should sort.
+TASK_ROWS = 5_000_000
+Cuts = list[tuple[float, bool]]
 
 
 def _ranks(q: float, n: int) -> tuple[int, int, float]:
@@ -32,105 +28,117 @@ def _ranks(q: float, n: int) -> tuple[int, int, float]:
     return low, min(low + 1, n - 1), h - low
 
 
-def _merge(brackets: list[tuple[float, float]]) -> list[tuple[float, float]]:
-    merged: list[tuple[float, float]] = []
-    for lo, hi in sorted(brackets):
-        if merged and lo <= merged[-1][1]:
-            merged[-1] = (merged[-1][0], max(hi, merged[-1][1]))
-        else:
-            merged.append((lo, hi))
-    return merged
+def _asked(q: float, k: int) -> tuple[float, float]:
+    """Sketch ranks for one quantile: a bracket of twice the rank error on each side."""
+    margin = 2 * rank_error(k)
+    return max(0.0, q - margin), min(1.0, q + margin)
 
 
-def _pick(df: DataFrame, brackets: dict[str, list[tuple[float, float]]], wanted: dict[str, set[int]]) -> dict:
-    """{(column, rank): value} for the wanted zero-based ranks that lie inside the brackets."""
-    entries = []
-    for c, spans in brackets.items():
+def _cuts(spans: list[list[float]]) -> Cuts:
+    """(upper end, keep values) of consecutive pieces, from brackets given as increasing cut points; the last piece is open."""
+    merged: list[list[float]] = []
+    for span in sorted(spans):
+        if merged and span[0] <= merged[-1][-1]:
+            merged[-1] = sorted({*merged[-1], *span})
+        else:
+            merged.append(sorted(set(span)))
+    cuts: Cuts = []
+    for span in merged:
+        cuts.append((math.nextafter(span[0], -math.inf), False))
+        cuts += [(x, True) for x in (span[1:] or span)]
+    return cuts
+
+
+def _pick(df: DataFrame, cuts: dict[str, Cuts], wanted: dict[str, set[int]]) -> dict:
+    """{(column number, rank): value} for the wanted zero-based ranks that lie in the kept pieces."""
+    names, entries = list(cuts), []
+    for i, c in enumerate(names):
         v = col(c)
-        segment = F.lit(2 * len(spans))
-        for i in reversed(range(len(spans))):
-            lo, hi = spans[i]
-            segment = F.when(v < lo, 2 * i).when(v <= hi, 2 * i + 1).otherwise(segment)
-        entries += [F.lit(c), F.when(v.isNotNull(), segment), v]
-    long = df.select(F.stack(F.lit(len(brackets)), *entries).alias("column", "segment", "value")).where("segment is not null")
-    counted = long.groupBy("column", "segment", F.when(F.col("segment") % 2 == 1, F.col("value")).alias("value")).agg(
-        F.count("*").alias("n")
-    )
-    # segments are the buckets here: at most two per bracket and column
-    ranked = scan(counted.withColumnRenamed("value", "v"), ["segment"], ["v"], {"upto": "n"}, keys=["column"])
-    targets = small_frame(
-        df.sparkSession, [(c, r) for c, ranks in wanted.items() for r in ranks], "column string, wanted bigint"
-    )
-    hits = ranked.where("v is not null").join(
-        F.broadcast(targets),
-        (ranked["column"] == targets["column"]) & (F.col("wanted") < F.col("upto")) & (F.col("wanted") >= F.col("upto") - F.col("n")),
-    )
-    return {(r["column"], r["wanted"]): r["v"] for r in hits.select(targets["column"], "wanted", "v").collect()}
-
-
-def column_quantiles(
-    df: DataFrame, cols: Sequence[str], probs: Sequence[float], accuracy: int = ACCURACY
-) -> dict[str, dict[float, float | None]]:
+        piece = F.lit(2 * len(cuts[c]))
+        for j in reversed(range(len(cuts[c]))):
+            upper, keep = cuts[c][j]
+            piece = F.when(v <= F.lit(upper), 2 * j + int(keep)).otherwise(piece)
+        entries += [F.lit(i), F.when(v.isNotNull(), piece), v]
+    long = df.select(F.stack(F.lit(len(names)), *entries).alias("c", "piece", "v")).where("piece is not null")
+    counted = long.groupBy("c", "piece", F.when(F.col("piece") % 2 == 1, F.col("v")).alias("v")).agg(F.count("*").alias("n"))
+    ranked = scan(counted, ["piece"], ["v"], {"upto": "n"}, keys=["c"]).where("v is not null")
+    targets = small_frame(df.sparkSession, [(names.index(c), r) for c, ranks in wanted.items() for r in ranks], "c int, wanted bigint")
+    here = (F.col("wanted") < F.col("upto")) & (F.col("wanted") >= F.col("upto") - F.col("n"))
+    hits = ranked.join(F.broadcast(targets), "c").where(here).select("c", "wanted", "v").collect()
+    return {(names[r["c"]], r["wanted"]): r["v"] for r in hits}
+
+
+def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], k: int = K_RANKS) -> dict[str, dict[float, float | None]]:
     """{column: {q: value}}, exact; columns x quantiles numbers reach the driver and nothing else."""
     cols, probs = list(cols), [float(q) for q in probs]
     if not cols:
         return {}
-    if is_shared(df) and accuracy == ACCURACY and set(probs) <= set(QUANTILES) and set(cols) <= set(numeric_columns(df)):
+    if is_shared(df) and k == K_RANKS and set(probs) <= set(QUANTILES) and set(cols) <= set(numeric_columns(df)):
         all_cols = numeric_columns(df)
-        stored = remember(df, "quantiles", lambda: _column_quantiles(df, all_cols, list(QUANTILES), accuracy))
+        stored = remember(df, "quantiles", lambda: _column_quantiles(df, all_cols, list(QUANTILES), k))
         return {c: {q: stored[c][q] for q in probs} for c in cols}
-    return _column_quantiles(df, cols, probs, accuracy)
+    return _column_quantiles(df, cols, probs, k)
 
 
-def _column_quantiles(df: DataFrame, cols: list[str], probs: list[float], accuracy: int) -> dict[str, dict[float, float | None]]:
+def _column_quantiles(df: DataFrame, cols: list[str], probs: list[float], k: int) -> dict[str, dict[float, float | None]]:
     df = doubles(df, cols)
     inner = sorted({q for q in probs if 0 < q < 1})
-    asked = [e for q in inner for e in _edges(q, accuracy)]
-    parts = []
-    for i, c in enumerate(cols):
-        parts += [F.count(col(c)).alias(f"n{i}"), F.min(col(c)).alias(f"lo{i}"), F.max(col(c)).alias(f"hi{i}")]
-        if asked:
-            parts.append(F.percentile_approx(col(c), asked, accuracy).alias(f"p{i}"))
-    stats = df.agg(*parts).first()
+    asked = [r for q in inner for r in _asked(q, k)]
+    stats = sketch(df, {c: asked or [0.5] for c in cols}, k)
+    sizes = {c: (stats[f"n{i}"], stats[f"lo{i}"], stats[f"hi{i}"]) for i, c in enumerate(cols)}
 
-    brackets, wanted = {}, {}
+    cuts, wanted = {}, {}
     for i, c in enumerate(cols):
-        n, lo, hi = stats[f"n{i}"], stats[f"lo{i}"], stats[f"hi{i}"]
+        n, lo, hi = sizes[c]
         if not n or not inner or lo == hi:
             continue
-        found = stats[f"p{i}"]
+        ranks = {r for q in inner for r in _ranks(q, n)[:2] if 0 < r < n - 1}
+        if not ranks:
+            continue
+        pieces = min(16, math.ceil(n * 4 * rank_error(k) / TASK_ROWS))
         spans = []
         for j, q in enumerate(inner):
-            low_q, high_q = _edges(q, accuracy)
-            if n <= SMALL * accuracy:
-                low_q, high_q = 0, 1
-            spans.append((lo if low_q == 0 else found[2 * j], hi if high_q == 1 else found[2 * j + 1]))
-        brackets[c] = _merge(spans)
-        wanted[c] = {r for q in inner for r in _ranks(q, n)[:2] if 0 < r < n - 1}
+            low_q, high_q = _asked(q, k)
+            # below k rows the margin is less than a few ranks, and such a column is small: keep all of it
+            low = lo if low_q == 0 or n <= k else stats[f"q{i}"][2 * j]
+            high = hi if high_q == 1 or n <= k else stats[f"q{i}"][2 * j + 1]
+            spans.append([low + (high - low) * t / pieces for t in range(pieces)] + [high])
+        cuts[c], wanted[c] = _cuts(spans), ranks
     values = {}
-    if brackets:
-        values = _pick(df, brackets, wanted)
+    if cuts:
+        values = _pick(df, cuts, wanted)
         missed = {c: {r for r in ranks if (c, r) not in values} for c, ranks in wanted.items()}
         missed = {c: ranks for c, ranks in missed.items() if ranks}
-        if missed:  # a sketch that broke its error bound: take whole columns as brackets
-            full = {c: [(stats[f"lo{cols.index(c)}"], stats[f"hi{cols.index(c)}"])] for c in missed}
-            values.update(_pick(df, full, missed))
+        if missed:  # a sketch outside its error bound: keep the whole columns
+            values.update(_pick(df, {c: _cuts([[sizes[c][1], sizes[c][2]]]) for c in missed}, missed))
 
-    result: dict[str, dict[float, float | None]] = {}
-    for i, c in enumerate(cols):
-        n, lo, hi = stats[f"n{i}"], stats[f"lo{i}"], stats[f"hi{i}"]
-        result[c] = {}
-        for q in probs:
-            if not n:
-                result[c][q] = None
-                continue
-            a, b, part = _ranks(q, n)
-
-            def at(rank: int) -> float:
-                return lo if rank == 0 or lo == hi else hi if rank == n - 1 else values[(c, rank)]
-
-            result[c][q] = at(a) + (at(b) - at(a)) * part if part else at(a)
-    return result
+    def value(c: str, q: float) -> float | None:
+        n, lo, hi = sizes[c]
+        if not n:
+            return None
+
+        def at(rank: int) -> float:
+            return lo if rank == 0 or lo == hi else hi if rank == n - 1 else values[(c, rank)]
+
+        a, b, part = _ranks(q, n)
+        return at(a) + (at(b) - at(a)) * part if part else at(a)
+
+    return {c: {q: value(c, q) for q in probs} for c in cols}
+
+
+def sketched_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], k: int = K_RANKS) -> dict[str, list[float] | None]:
+    """{column: values} from the sketch alone."""
+    row = sketch(doubles(df, list(cols)), {c: probs for c in cols}, k)
+    return {c: row[f"q{i}"] for i, c in enumerate(cols)}
+
+
+ACCURACY = 10_000
+# Up to SMALL * ACCURACY rows the margin of the grouped sketch is below a few ranks; such a group is taken whole (it is small).
+SMALL = 2
+
+
+def _edges(q: float, accuracy: int) -> tuple[float, float]:
+    return max(0.0, q - 2 / accuracy), min(1.0, q + 2 / accuracy)
 
 
 def group_quantiles(

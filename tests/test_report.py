@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tablescope.functions import text as X
 from tablescope.operators import logs as G, overview as O, report as R
-from tablescope.operators.iforest import grow, isolation_forest, mean_path, path_lengths
+from tablescope.operators.iforest import as_arrays, grow, isolation_forest, mean_path, path_lengths
 from tablescope.session import scratch_path
 
 
@@ -67,7 +67,7 @@ def test_isolation_forest_flags_far_points(spark):
 def test_tree_paths():
     x = np.array([[0.0], [1.0], [2.0], [50.0]])
     t = grow(x, 1)
-    depth = path_lengths(x, tuple(t[c].to_numpy() for c in ("feature", "cut", "child", "depth")))
+    depth = path_lengths(x, as_arrays(t), 2)
     assert depth.min() >= 1 and len(t) % 2 == 1 and mean_path(256) == pytest.approx(10.24, abs=.01)
     assert grow(np.zeros((5, 2)), 1).shape[0] == 1
 

@@ -60,13 +60,14 @@ def test_skew_and_kurtosis_match_pandas(spark, read):
     assert by(U.skewness(constant))["x"]["skew"] is None
 
 
-@pytest.mark.parametrize("accuracy", [50, 10_000])
-def test_quantiles_are_exact_for_any_sketch(spark, accuracy):
+@pytest.mark.parametrize("k, accuracy, task_rows", [(16, 50, 10), (500, 500, 100), (32_768, 10_000, 5_000_000)])
+def test_quantiles_are_exact_for_any_sketch(spark, monkeypatch, k, accuracy, task_rows):
+    monkeypatch.setattr("tablescope.plans.quantiles.TASK_ROWS", task_rows)
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.lognormal(size=4000), np.zeros(2000), rng.integers(0, 9, 1000)])
     df = spark.createDataFrame(pd.DataFrame({"x": x, "g": rng.integers(0, 3, len(x))})).repartition(7)
     probs = [0, .001, .01, .25, .5, .75, .99, .999, 1]
-    got = column_quantiles(df, ["x"], probs, accuracy)["x"]
+    got = column_quantiles(df, ["x"], probs, k)["x"]
     assert [got[q] for q in probs] == pytest.approx(list(np.quantile(x, probs)))
     frame = df.toPandas()
     for row in group_quantiles(df, ["g"], "x", [.1, .5, .9], accuracy).collect():
@@ -233,3 +234,11 @@ def test_odd_column_names(spark):
     assert {r["n"] for r in L.corr_matrix(df).collect()} == {2, 3}
     assert R.column_summary(df).count() == 3
     assert E.bin_quantile(df, "a.b").count() == 3
+
+
+def test_samples_are_the_lowest_hashes_whatever_the_partitioning(spark):
+    df = spark.range(30_000).select("id", (F.col("id") % 7).alias("x"))
+    want = sorted(r[0] for r in df.orderBy(F.xxhash64(F.lit(42), "id")).limit(20).collect())
+    assert sorted(r["id"] for r in Q.sample_rows(df.repartition(9), ["id"], 20).collect()) == want
+    same_key = df.withColumn("k", F.lit(1))
+    assert Q.sample_rows(same_key, ["k"], 20).count() == 20
