@@ -114,6 +114,17 @@ def _z_columns(d):
                               ["l_quantity", "l_extendedprice", "l_discount"], 1.7)
 
 
+PART_NUMBERS, PART_TEXT = ("p_partkey", "p_size", "p_retailprice"), ("p_name", "p_brand", "p_type")
+FEATURE_SQL = " UNION ALL ".join([
+    *[f"""SELECT '{c}' AS "column", CASE WHEN skewness({c}) > 1 AND min({c}) > 0 THEN 'log' WHEN skewness({c}) > 1 THEN 'sqrt' ELSE 'reflect' END AS feature,
+      CASE WHEN skewness({c}) > 1 THEN 'skewed right' ELSE 'skewed left' END AS reason FROM part HAVING skewness({c}) > 1 AND min({c}) >= 0 OR skewness({c}) < -1"""
+      for c in PART_NUMBERS],
+    *[f"SELECT '{c}', 'binning', 'continuous, ' || count(DISTINCT {c}) || ' distinct values' FROM part HAVING count(DISTINCT {c}) > 20" for c in PART_NUMBERS],
+    f"SELECT col_a, 'ratio and difference with ' || col_b, 'correlation ' || round(r, 4) FROM ({_corr('part', PART_NUMBERS, False)}) WHERE abs(r) > 0.7",
+    *[f"""SELECT '{c}', CASE WHEN count(DISTINCT {c}) < 10 THEN 'one_hot' ELSE 'target_or_frequency' END, count(DISTINCT {c}) || ' distinct values' FROM part"""
+      for c in PART_TEXT],
+])
+
 QUERIES: dict[str, Entry] = {
     # time
     "date_range": (on("orders", M.date_range), """SELECT 'o_orderdate' AS "column", min(o_orderdate) AS min, max(o_orderdate) AS max,
@@ -190,6 +201,9 @@ QUERIES: dict[str, Entry] = {
       (SELECT quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM events) WHERE value < a - 1.5 * (b - a) OR value > b + 1.5 * (b - a)"""),
     "zscore_outlier_counts": (on("events", A.zscore_outlier_counts), _zcounts("events", ("event_id", "user_id", "value"))),
     "zscore_row_flags": (on("lineitem", _z_columns), _zrows(("l_quantity", "l_extendedprice", "l_discount"), 1.7)),
+    "isolation_forest_share": (lambda s, d: isolation_forest(table(s, d, "events"), ["event_id"]).agg(
+        F.count("*").alias("rows"), (F.abs(F.avg(F.col("is_outlier").cast("int")) - 0.05) < 0.005).alias("share_ok"),
+        F.min(F.col("score").between(0, 1)).alias("scores_ok")), "SELECT count(*) AS rows, true AS share_ok, true AS scores_ok FROM events"),
     "isolation_forest": (on("lineitem", lambda d: isolation_forest(d, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])), None),
     "rule_violations": (on("lineitem", lambda d: A.rule_violations(d, RULES)), union_all(
         f"SELECT '{n}' AS rule, count(*) AS n FROM lineitem WHERE {p}" for n, p in RULES.items())),
@@ -227,5 +241,5 @@ QUERIES: dict[str, Entry] = {
       FROM orders, (SELECT quantile_cont(o_totalprice, [0.25, 0.5, 0.75]) AS q FROM orders)"""),
     "interaction_features": (lambda s, d: rounded(E.interaction_features(FR.sizes(s, d))), f"""SELECT doc_id, n_chars, text_chars, lang_chars,
       {r('n_chars::DOUBLE / nullif(text_chars, 0)')} AS n_chars_per_text_chars, (n_chars - text_chars)::DOUBLE AS n_chars_minus_text_chars FROM {FR.SIZES_SQL}"""),
-    "feature_advice": (on("part", E.feature_advice), None),
+    "feature_advice": (on("part", E.feature_advice), FEATURE_SQL),
 }

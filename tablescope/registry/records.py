@@ -10,8 +10,8 @@ from ..session import scratch_path
 from ..sources import clean as N, files as P, tables as S, workbooks as B
 from ..streaming.log_counts import stream_log_counts
 from . import frames as FR
+from .analysis import _corr, _fences, _kruskal
 from .common import Entry, on, r, rounded, table, union_all
-from .analysis import _fences, _zcounts
 from .profile import LABELLED, LINE, _nulls
 
 ORDERS = "SELECT o_orderkey, o_custkey, o_orderstatus, round(o_totalprice, 2) AS o_totalprice, o_orderdate, o_orderpriority FROM orders"
@@ -50,8 +50,6 @@ def _dirty(spark, sf: str) -> DataFrame:
 
 
 STATUS = "CASE WHEN o_orderstatus IN ('F', 'O') THEN NULL ELSE o_orderstatus END AS status"
-DIRTY_TOTAL = "CASE WHEN o_orderstatus = 'O' THEN 'n.n.' ELSE CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) END AS total"
-DIRTY_DAY = "CASE WHEN o_orderstatus = 'P' THEN strftime(o_orderdate, '%m/%d/%Y') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS day"
 DIRTY_STATUS = "CASE o_orderstatus WHEN 'F' THEN 'NA' WHEN 'O' THEN '' ELSE o_orderstatus END AS status"
 
 
@@ -198,6 +196,15 @@ SUMMARY_SQL = union_all(
     CASE WHEN count(DISTINCT {c}) <= 1 THEN 'constant' WHEN count(DISTINCT {c}) = 2 THEN 'binary' WHEN count(DISTINCT {c}) = count(*) THEN 'unique per row' ELSE '' END AS notes
     FROM lineitem""" for c, t in LINE)
 
+EVENT_NUMBERS = ("event_id", "user_id", "value")
+FINDINGS_SQL = f"""SELECT CAST(row_number() OVER (ORDER BY severity DESC, kind, subject) AS INTEGER) AS rank, kind, subject, {r('value')} AS value, {r('severity')} AS severity FROM (
+  {union_all(f"SELECT 'skew' AS kind, '{c}' AS subject, skewness({c}) AS value, least(1.0, abs(skewness({c})) / 10) AS severity FROM events HAVING abs(skewness({c})) > 1" for c in EVENT_NUMBERS)}
+  UNION ALL SELECT 'outliers', "column", n_iqr::DOUBLE, n_iqr / (SELECT count(*) FROM events) FROM ({_fences('events', EVENT_NUMBERS)}) WHERE n_iqr > 0
+  UNION ALL SELECT 'correlation', col_a || ' / ' || col_b, r, abs(r) FROM ({_corr('events', EVENT_NUMBERS, False)}) WHERE abs(r) > 0.7
+  UNION ALL {union_all(f"SELECT 'time_trend', '{c} / ts', regr_slope({c}, x), regr_r2({c}, x) FROM (SELECT *, epoch_us(ts) / 86400000000 AS x FROM events) HAVING regr_r2({c}, x) > 0.5" for c in EVENT_NUMBERS)}
+  UNION ALL SELECT 'group_difference', 'value / event_type', h, 1 - exp(-h / 2) * (1 + h / 2) FROM ({_kruskal('events', 'event_type', 'value')}) WHERE exp(-h / 2) * (1 + h / 2) < 0.05
+  ) QUALIFY row_number() OVER (ORDER BY severity DESC, kind, subject) <= 5"""
+
 QUERIES: dict[str, Entry] = {
     # sources
     "load_csv": (lambda s, d: rounded(S.load_csv(s, _written(s, d, "orders", "csv")), 2), ORDERS),
@@ -243,7 +250,7 @@ QUERIES: dict[str, Entry] = {
     "run_profile": (_profile, None),
     "write_report": (_report, None),
     "quality_issues": (lambda s, d: rounded(R.quality_issues(FR.labelled(s, d))), f"SELECT \"column\", issue, n, {r('n / (SELECT count(*) FROM documents)')} AS share FROM ({ISSUES_SQL})"),
-    "key_findings": (on("events", lambda d: R.key_findings(d, 5, [("event_type", "value")])), None),
+    "key_findings": (on("events", lambda d: R.key_findings(d, 5, [("event_type", "value")])), FINDINGS_SQL),
     "column_summary": (on("lineitem", R.column_summary), SUMMARY_SQL),
     "insights": (on("lineitem", R.insights), None),
     # logs
