@@ -69,7 +69,7 @@ def _gaps(df: DataFrame, ts: str) -> DataFrame:
     rows = df.select(seconds(ts).alias("t")).where("t is not null")
     cut = with_buckets(rows, split_points(rows, ["t"]))
     times = cut.groupBy("_b_t", "t").agg(F.count("*").alias("copies"))
-    ordered = scan(times, ["_b_t"], ["t"], {}, previous="prev")
+    ordered = scan(times, ["_b_t"], ["t"], {}, previous="prev", raw=cut)
     return materialize(ordered.select("t", "prev", (F.col("t") - F.col("prev")).alias("gap"), "copies"), "gaps")
 
 
@@ -146,7 +146,7 @@ def rolling_mean(
     net = cut.groupBy(*[col(k) for k in by], "_slot", "_b__t", "_t").agg(
         F.sum("_s").alias("_s"), F.sum("_c").alias("_c"), F.sum("_own").alias("_own")
     )
-    run = scan(net, ["_b__t"], ["_t"], {"_sum": "_s", "_cnt": "_c"}, keys=[*by, "_slot"], few_keys=False)
+    run = scan(net, ["_b__t"], ["_t"], {"_sum": "_s", "_cnt": "_c"}, keys=[*by, "_slot"], few_keys=False, raw=cut)
     means = run.where("_own > 0").select(
         *[col(k) for k in by], "_t", F.when(F.col("_cnt") > 0, F.col("_sum") / F.col("_cnt")).alias("rolling_mean")
     )

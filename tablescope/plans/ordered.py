@@ -50,7 +50,8 @@ def with_buckets(df: DataFrame, splits: dict[str, list[float]], isolate: bool =
         if isolate:
             low = F.get(F.array(F.lit(float("-inf")), *map(F.lit, cut[c])), number)
             number = 2 * number + F.when(F.col(f"_x{i}") == low, 0).otherwise(1)
-        out.append(number.alias(f"_b_{c}"))
+        # never null, so that no join infers a filter that would evaluate the bucket again
+        out.append(F.coalesce(number, F.lit(0)).alias(f"_b_{c}"))
     return df.select("*", *out).drop(*[f"_x{i}" for i in range(len(cols))], *[f"_r{i}" for i in range(len(cols))])
 
 
@@ -74,15 +75,23 @@ def scan(
     few_keys: bool = True,
     peers: bool = False,
     previous: str | None = None,
+    raw: DataFrame | None = None,
 ) -> DataFrame:
     """Running sums along the order, per key.
 
     ``sums`` maps result names to columns.  ``peers`` includes all rows that tie in ``order``.  ``previous`` names a result
     column with the preceding value of ``order[0]``.  ``few_keys`` states that the number of keys is bounded by the schema, so
-    that the table of bucket totals (keys x buckets rows) may be broadcast; otherwise the join strategy is left to the optimizer."""
+    that the table of bucket totals (keys x buckets rows) may be broadcast; otherwise the join strategy is left to the optimizer.
+
+    ``raw`` is the input before it was aggregated to ``df``, with the same bucket columns.  The totals then come from a narrow scan of it
+    with a tiny shuffle.  Without it they come from ``df``, which is right when they need the same columns as the rows, because
+    the shuffle below is then planned once and reused."""
     keys, buckets = list(keys), list(buckets)
     by = keys + buckets
-    totals = df.groupBy(*by).agg(
+    # the join drops missing keys anyway; said here, it is the same filter in both branches and their shuffle stays reusable
+    for k in by:
+        df = df.where(col(k).isNotNull())
+    totals = (raw if raw is not None else df).groupBy(*by).agg(
         *[F.sum(col(c)).alias(f"_t_{name}") for name, c in sums.items()], F.max(col(order[0])).alias("_last")
     )
     before = Window.partitionBy(*keys).orderBy(*buckets).rowsBetween(Window.unboundedPreceding, -1)

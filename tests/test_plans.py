@@ -93,3 +93,12 @@ def test_no_python_on_the_row_path(read):
         assert "Python" not in plan(df) and "InPandas" not in plan(df)
 
 
+
+
+def test_bucket_totals_do_not_repeat_the_large_shuffle(spark, read):
+    events, lineitem = read("events"), read("lineitem")
+    rolling = plan(M.rolling_mean(events, "ts", "value", ["event_id"]))
+    assert len(re.findall(r"Exchange hashpartitioning\(_slot#\d+L, _b__t#\d+, _t#\d+L", rolling)) == 1
+    df = T.kruskal_wallis(lineitem, "l_returnflag", "l_quantity").drop("p")
+    df.collect()
+    assert "ReusedExchange" in plan(df)
