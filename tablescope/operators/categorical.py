@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -12,6 +13,10 @@ from ..plans.frequency import distinct_summary, frequencies, most_frequent, valu
 from .overview import dataset_shape, null_counts
 
 
+# Spark pushes a rank filter into the tasks up to this rank (default of spark.sql.optimizer.windowGroupLimitThreshold).
+GROUP_LIMIT = 1000
+
+
 def _counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return frequencies(df, cols).select("column", value_text(df, cols).alias("value"), "n")
 
@@ -26,7 +31,11 @@ def value_counts(df: DataFrame, cols: Sequence[str] | None = None, top: int = K.
     The rank filter is applied inside every task first (window group limit), so the task that ranks a column
     sees at most ``top`` rows per upstream task."""
     order = Window.partitionBy("column").orderBy(F.desc("n"), "value")
-    return _counts(df, _named(df, cols)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    counts, names = _counts(df, _named(df, cols)), _named(df, cols)
+    if top > GROUP_LIMIT and names:  # beyond what Spark limits inside the tasks: one sorted head per column
+        heads = [counts.where(F.col("column") == c).orderBy(F.desc("n"), "value").limit(top) for c in names]
+        counts = reduce(DataFrame.unionByName, heads)
+    return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
 def value_shares(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

@@ -1,8 +1,9 @@
 """Exact value frequencies of many columns in one shuffle.
 
 Each cell becomes ``(column, l, d, s)``: integers, booleans, dates and timestamps in the long slot, floats in the double
-slot, everything else as text.  Typed slots avoid formatting numbers as text and are exact, unlike a hash key.  The
-first aggregate combines on the map side, so a value that fills a third of the table travels once per task.
+slot, everything else as text.  Typed slots avoid formatting numbers as text.  The first aggregate combines on the map side, so a
+value that fills a third of the table travels once per task.  Where only the number of distinct values and the top count are
+wanted, a text travels as a 128-bit fingerprint in two long slots ``l`` and ``m``, so long texts are never shuffled.
 """
 
 from __future__ import annotations
@@ -15,11 +16,13 @@ from ..functions.columns import col, merge_nan, profiled, with_all_columns
 from .shared import is_shared, on_driver, remember
 
 KEY = ("l", "d", "s")
+SHORT_KEY = ("l", "d", "m")
 
 
-def _slots(field: T.StructField) -> list[Column]:
+def _slots(field: T.StructField, hashed: bool) -> list[Column]:
     c, kind = col(field.name), field.dataType
-    empty = {"l": F.lit(None).cast("bigint"), "d": F.lit(None).cast("double"), "s": F.lit(None).cast("string")}
+    last = "bigint" if hashed else "string"
+    empty = {"l": F.lit(None).cast("bigint"), "d": F.lit(None).cast("double"), "s": F.lit(None).cast(last)}
     if isinstance(kind, (T.IntegralType, T.BooleanType)):
         empty["l"] = c.cast("bigint")
     elif isinstance(kind, T.DateType):
@@ -28,17 +31,20 @@ def _slots(field: T.StructField) -> list[Column]:
         empty["l"] = F.unix_micros(c.cast("timestamp"))
     elif isinstance(kind, (T.FloatType, T.DoubleType)):
         empty["d"] = c.cast("double")
+    elif hashed:
+        text = c.cast("string")  # the hash of a null is not null
+        empty["l"], empty["s"] = F.when(text.isNotNull(), F.xxhash64(text)), F.when(text.isNotNull(), F.xxhash64(F.lit(7919), text))
     else:
         empty["s"] = c.cast("string")
     return [F.lit(field.name), *empty.values()]
 
 
-def cells(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(column, l, d, s) for every non-missing cell."""
-    clean = merge_nan(df.select(*[col(c) for c in cols]))
-    slots = [x for f in clean.schema.fields for x in _slots(f)]
-    return clean.select(F.stack(F.lit(len(cols)), *slots).alias("column", *KEY)).where(
-        "l is not null or d is not null or s is not null"
+def cells(df: DataFrame, cols: Sequence[str], hashed: bool = False) -> DataFrame:
+    """(column, l, d, s) or, hashed, (column, l, d, m) for every non-missing cell."""
+    clean, key = merge_nan(df.select(*[col(c) for c in cols])), SHORT_KEY if hashed else KEY
+    slots = [x for f in clean.schema.fields for x in _slots(f, hashed)]
+    return clean.select(F.stack(F.lit(len(cols)), *slots).alias("column", *key)).where(
+        f"l is not null or d is not null or {key[2]} is not null"
     )
 
 
@@ -72,7 +78,8 @@ def distinct_summary(df: DataFrame, cols: Sequence[str] | None = None) -> DataFr
 
 
 def _distinct_summary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    core = frequencies(df, cols).groupBy("column").agg(
+    counts = cells(df, cols, hashed=True).groupBy("column", *SHORT_KEY).agg(F.count("*").alias("n"))
+    core = counts.groupBy("column").agg(
         F.sum("n").alias("n"), F.count("*").alias("uniques"), F.max("n").alias("freq")
     )
     return with_all_columns(core, cols).select(

@@ -102,3 +102,9 @@ def test_bucket_totals_do_not_repeat_the_large_shuffle(spark, read):
     df = T.kruskal_wallis(lineitem, "l_returnflag", "l_quantity").drop("p")
     df.collect()
     assert "ReusedExchange" in plan(df)
+
+
+def test_texts_are_not_shuffled_to_count_them(read):
+    df = C.cardinality(read("documents"))
+    assert all("s#" not in x for x in lines(df, "Exchange hashpartitioning(column"))
+    assert "SortAggregate" not in plan(df)

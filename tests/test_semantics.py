@@ -242,3 +242,16 @@ def test_samples_are_the_lowest_hashes_whatever_the_partitioning(spark):
     assert sorted(r["id"] for r in Q.sample_rows(df.repartition(9), ["id"], 20).collect()) == want
     same_key = df.withColumn("k", F.lit(1))
     assert Q.sample_rows(same_key, ["k"], 20).count() == 20
+
+
+def test_many_top_values(spark):
+    df = spark.range(5000).select((F.col("id") % 1700).cast("string").alias("s"))
+    rows = C.value_counts(df, ["s"], 1500).orderBy("rank").collect()
+    assert [r["rank"] for r in rows] == list(range(1, 1501)) and rows[0]["n"] == 3 and rows[-1]["n"] == 3
+    assert [r["value"] for r in rows] == [r["value"] for r in C.value_counts(df, ["s"], 900).orderBy("rank").collect()] + [r["value"] for r in rows[900:]]
+
+
+def test_distinct_counts_of_texts(spark):
+    df = spark.createDataFrame([("a", None), ("a", "b"), (None, "b"), ("", None)], "x string, y string")
+    got = by(C.cardinality(df))
+    assert (got["x"]["uniques"], got["y"]["uniques"]) == (2, 1)
