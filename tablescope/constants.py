@@ -23,6 +23,13 @@ CHAT_OUTPUT_CHARS = 800
 CHAT_ERROR_CHARS = 300
 STEP_ATTEMPTS = 3
 
+# Fixed texts of step contexts, findings and capped outputs.
+STEP_OPEN, STEP_CLOSE = "\n--- Step ", " ---\n"
+OUTPUT_LABEL, ERROR_LABEL = "Output:\n", "Error: "
+CHART_MARK = "[Visualisation generated]\n"
+NO_OUTPUT = "completed successfully."
+CUT_OPEN, CUT_CLOSE = "\n... [truncated, ", " chars total]"
+
 # Thresholds of our own; every operator that uses one takes it as a parameter.
 NEAR_CONSTANT_SHARE = 0.99
 LOW_CARDINALITY = 20

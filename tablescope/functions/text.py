@@ -89,7 +89,7 @@ def truncate_text(text: Column, n: int = K.QUERY_TEXT_CHARS, note: bool = True)
     """At most n characters; a cut text says how long it was."""
     cut = F.substring(text, 1, n)
     if note:
-        cut = F.concat(cut, F.lit("\n... [truncated, "), F.length(text).cast("string"), F.lit(" chars total]"))
+        cut = F.concat(cut, F.lit(K.CUT_OPEN), F.length(text).cast("string"), F.lit(K.CUT_CLOSE))
     return F.when(F.length(text) > n, cut).otherwise(text)
 
 

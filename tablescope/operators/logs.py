@@ -135,23 +135,29 @@ def step_findings(steps: DataFrame, key: Sequence[str] = ("run_id", "step_number
     """(key…, finding) of the successful steps: the step and the start of its output on one line."""
     out = X.stripped(F.coalesce("text_output", F.lit("")))
     short = F.replace(F.substring(out, 1, chars), F.lit("\n"), F.lit(" "))
-    finding = F.concat(F.col("step"), F.lit(": "), F.when(out == "", "completed successfully.").otherwise(short))
+    finding = F.concat(F.col("step"), F.lit(": "), F.when(out == "", K.NO_OUTPUT).otherwise(short))
     return steps.where("error is null").select(*[col(k) for k in key], finding.alias("finding"))
 
 
 def context_pack(
-    steps: DataFrame, output_chars: int = K.REPORT_OUTPUT_CHARS, error_chars: int = K.REPORT_ERROR_CHARS, part_steps: int = 500
+    steps: DataFrame, output_chars: int = K.REPORT_OUTPUT_CHARS, error_chars: int = K.REPORT_ERROR_CHARS, part_steps: int = 500,
+    chat: bool = False,
 ) -> DataFrame:
     """(run_id, part, steps, text): the step results of a run as one text in step order, outputs and errors cut.
 
+    The chat layout has no output label and mentions charts only for a step without output and error.
+
     Every ``part_steps`` steps start a new part, so a run of any length is packed by many tasks and no cell grows without
     bound; concatenating the parts gives the whole context."""
     out, err = F.coalesce("text_output", F.lit("")), F.coalesce("error", F.lit(""))
+    empty = X.stripped(out) == ""
+    charted = (empty & (err == "")) if chat else F.coalesce("charts", F.lit(0)) > 0
+    label = F.lit("" if chat else K.OUTPUT_LABEL)
     piece = F.concat(
-        F.lit("\n--- Step "), F.col("step_number").cast("string"), F.lit(": "), F.col("step"), F.lit(" ---\n"),
-        F.when(X.stripped(out) != "", F.concat(F.lit("Output:\n"), F.substring(out, 1, output_chars), F.lit("\n"))).otherwise(""),
-        F.when(err != "", F.concat(F.lit("Error: "), F.substring(err, 1, error_chars), F.lit("\n"))).otherwise(""),
-        F.when(F.coalesce("charts", F.lit(0)) > 0, "[Visualisation generated]\n").otherwise(""),
+        F.lit(K.STEP_OPEN), F.col("step_number").cast("string"), F.lit(": "), F.col("step"), F.lit(K.STEP_CLOSE),
+        F.when(~empty, F.concat(label, F.substring(out, 1, output_chars), F.lit("\n"))).otherwise(""),
+        F.when(err != "", F.concat(F.lit(K.ERROR_LABEL), F.substring(err, 1, error_chars), F.lit("\n"))).otherwise(""),
+        F.when(charted, K.CHART_MARK).otherwise(""),
     )
     rows = steps.select("run_id", "step_number", piece.alias("_text"), F.lit(1).cast("bigint").alias("_one"))
     cut = with_buckets(rows, split_points(rows, ["step_number"]))

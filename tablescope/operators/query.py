@@ -29,7 +29,7 @@ def query_text(df: DataFrame, sql: str, chars: int = K.QUERY_TEXT_CHARS) -> str:
         out = query_table(df, sql).limit(TEXT_ROWS).toPandas().to_string()
     except Exception as e:  # the caller reads the message like any other answer
         return f"ERROR: {e}"
-    return out if len(out) <= chars else out[:chars] + f"\n... [truncated, {len(out)} chars total]"
+    return out if len(out) <= chars else out[:chars] + K.CUT_OPEN + str(len(out)) + K.CUT_CLOSE
 
 
 def filter_rows(df: DataFrame, predicate: str | Column) -> DataFrame:

@@ -112,7 +112,7 @@ def _replies(spark, sf: str) -> DataFrame:
     arguments = F.to_json(F.struct(F.col("text").alias("expression"), F.col("role").alias("reason")))
     call = F.struct(
         F.lit("function_call").alias("type"), F.lit(None).cast("array<struct<text:string>>").alias("content"),
-        F.concat("conv_id", F.lit("-"), "turn").alias("call_id"), F.lit("query_dataframe").alias("name"), arguments.alias("arguments"))
+        F.concat("conv_id", F.lit("-"), "turn").alias("call_id"), F.lit("query_table").alias("name"), arguments.alias("arguments"))
     blocks = F.when(F.col("role") == "assistant", F.array(message)).when(F.col("role") == "user", F.array(call, message)).otherwise(
         F.filter(F.array(message), lambda b: F.lit(False)))
     return table(spark, sf, "conversations").select("conv_id", "turn", F.to_json(F.struct(blocks.alias("output"))).alias("reply"))
@@ -131,6 +131,10 @@ PACK = """chr(10) || '--- Step ' || step_number || ': ' || step || ' ---' || chr
   || CASE WHEN trim(text_output, ' ' || chr(10)) <> '' THEN 'Output:' || chr(10) || left(text_output, {o}) || chr(10) ELSE '' END
   || CASE WHEN error IS NOT NULL THEN 'Error: ' || left(error, {e}) || chr(10) ELSE '' END
   || CASE WHEN charts > 0 THEN '[Visualisation generated]' || chr(10) ELSE '' END"""
+CHAT_PACK = """chr(10) || '--- Step ' || step_number || ': ' || step || ' ---' || chr(10)
+  || CASE WHEN trim(text_output, ' ' || chr(10)) <> '' THEN left(text_output, 8) || chr(10) ELSE '' END
+  || CASE WHEN error IS NOT NULL THEN 'Error: ' || left(error, 10) || chr(10) ELSE '' END
+  || CASE WHEN error IS NULL AND trim(text_output, ' ' || chr(10)) = '' THEN '[Visualisation generated]' || chr(10) ELSE '' END"""
 CALL_SUMS = "count(*) AS calls, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens"
 
 
@@ -157,7 +161,7 @@ def _delta(label: str, calls: str, i: str, o: str) -> str:
 def _query_records(spark, sf: str) -> DataFrame:
     result = F.when(F.col("role") == "system", F.concat(F.lit("ERROR: "), "text")).otherwise(F.col("text"))
     return table(spark, sf, "conversations").select(
-        F.col("turn").cast("int").alias("round"), F.substring("text", 1, 40).alias("expression"), F.col("role").alias("reason"), result.alias("result"))
+        F.col("turn").cast("int").alias("round"), F.col("text").alias("expression"), F.col("role").alias("reason"), result.alias("result"))
 
 
 def _suggested(spark, sf: str) -> DataFrame:
@@ -260,8 +264,8 @@ QUERIES: dict[str, Entry] = {
       ELSE replace(left(trim(text_output, ' ' || chr(10)), 300), chr(10), ' ') END AS finding FROM {FR.STEPS_SQL} WHERE error IS NULL"""),
     "context_pack": (lambda s, d: G.context_pack(FR.steps(s, d), part_steps=20), f"""SELECT run_id, (i - 1) // 20 AS part, count(*) AS steps, string_agg(t, '' ORDER BY step_number) AS text FROM
       (SELECT run_id, step_number, row_number() OVER (PARTITION BY run_id ORDER BY step_number) AS i, {PACK.format(o=1500, e=300)} AS t FROM {FR.STEPS_SQL}) GROUP BY ALL"""),
-    "context_pack_chat": (lambda s, d: G.context_pack(FR.steps(s, d), 8, 10), f"""SELECT run_id, CAST(0 AS BIGINT) AS part, count(*) AS steps, string_agg(t, '' ORDER BY step_number) AS text FROM
-      (SELECT run_id, step_number, {PACK.format(o=8, e=10)} AS t FROM {FR.STEPS_SQL}) GROUP BY ALL"""),
+    "context_pack_chat": (lambda s, d: G.context_pack(FR.steps(s, d), 8, 10, chat=True), f"""SELECT run_id, CAST(0 AS BIGINT) AS part, count(*) AS steps, string_agg(t, '' ORDER BY step_number) AS text FROM
+      (SELECT run_id, step_number, {CHAT_PACK} AS t FROM {FR.STEPS_SQL}) GROUP BY ALL"""),
     "log_token_totals": (lambda s, d: G.log_token_totals(FR.calls(s, d)), f"""SELECT agent, {CALL_SUMS}, CAST(sum(input_tokens + output_tokens) AS BIGINT) AS total_tokens FROM {FR.CALLS_SQL}
       WHERE event = 'llm_call' GROUP BY ROLLUP (agent)"""),
     "log_running_totals": (lambda s, d: G.log_running_totals(FR.calls(s, d)).withColumn("ts", F.col("ts").cast("timestamp_ntz")), f"""SELECT run_id, ts, agent, row_number() OVER w AS call,
@@ -291,7 +295,7 @@ QUERIES: dict[str, Entry] = {
                              "SELECT conv_id, turn, CASE WHEN role IN ('user', 'assistant') THEN text ELSE '' END AS text FROM conversations"),
     "extract_tool_calls": (lambda s, d: X.extract_tool_calls(_replies(s, d), ["conv_id", "turn"], "reply").select(
         "conv_id", "turn", "call_id", "name", F.col("arguments")["expression"].alias("expression"), F.col("arguments")["reason"].alias("reason")),
-        "SELECT conv_id, turn, conv_id || '-' || turn AS call_id, 'query_dataframe' AS name, text AS expression, role AS reason FROM conversations WHERE role = 'user'"),
+        "SELECT conv_id, turn, conv_id || '-' || turn AS call_id, 'query_table' AS name, text AS expression, role AS reason FROM conversations WHERE role = 'user'"),
     "clean_markdown": (on("documents", lambda d: d.select("doc_id", X.clean_markdown(F.col("text")).alias("text"))), f"SELECT doc_id, {clean('text')} AS text FROM documents"),
     "split_report_lines": (on("documents", lambda d: X.split_report_lines(d, ["doc_id"], "text")), f"""SELECT doc_id, CAST(i - 1 AS INTEGER) AS line,
       CASE WHEN t = '' THEN 'empty' WHEN t LIKE '## %' THEN 'h2' WHEN t LIKE '# %' THEN 'h1' WHEN t LIKE '- %' OR t LIKE '* %' THEN 'bullet' ELSE 'body' END AS kind,
