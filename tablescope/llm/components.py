@@ -12,23 +12,24 @@ def _state(edges: DataFrame) -> tuple:
     return row["n"], row["x"]
 
 
-def connected_components(links: DataFrame) -> DataFrame:
+def connected_components(links: DataFrame, rows: int | None = None) -> DataFrame:
     """``(node, root)`` for every node with a link to another; root is the smallest node of its component.
 
-    ``links`` has two columns of longs.  Links from a node to itself and repeated links change nothing; no links give no rows.  Each
+    ``links`` has two columns of longs.  Links from a node to itself and repeated links change nothing; no links give no rows.  ``rows``
+    is the most links there can be, if known.  Each
     step joins tables read from the shared folder, so that Spark can split a node with a large share of the links; the number of steps grows with the logarithm of the longest chain."""
     a, b = links.columns
     pairs = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct()
-    edges = stored(pairs, "links")
+    edges = stored(pairs, "links", rows)
     state = _state(edges)
     while state[0]:
-        lows = stored(edges.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m")), "lows")
+        lows = stored(edges.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m")), "lows", state[0])
         large = edges.join(lows, "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
-        large = stored(large, "large")
-        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        large = stored(large, "large", state[0])
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least", state[0])
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.union(least.select("u", F.col("m").alias("v"))).distinct()
-        after = stored(small, "small")
+        after = stored(small, "small", 2 * state[0])
         remove(edges, lows, large, least)
         edges, before, state = after, state, _state(after)
         if state == before:

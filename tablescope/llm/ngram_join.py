@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .components import connected_components
-from .scratch import remove, stored
+from .scratch import remove, stored, total_rows
 from .texts import column_bytes, mix, shingle_set, text_words
 
 CELLS = 1 << 21
@@ -109,7 +109,7 @@ def _sketch(slices: DataFrame) -> np.ndarray:
         if tasks == 0:
             break
     width = CELLS // SLICES
-    for row in slices.toLocalIterator():
+    for row in slices.collect():
         at = row["slice"] * width + np.frombuffer(row["cells"], np.uint16).astype(np.int64)
         sketch[at] = np.minimum(np.frombuffer(row["counts"], np.uint32), 65535)
     return sketch
@@ -145,7 +145,7 @@ def _wanted_bits(docs: DataFrame) -> np.ndarray:
     parts = docs.select(F.bitmap_bucket_number(place).alias("b"), F.bitmap_bit_position(place).alias("p"))
     parts = parts.groupBy("b").agg(F.bitmap_construct_agg("p").alias("bits"))
     bits = np.zeros(FILTER_BITS >> 3, np.uint8)
-    for row in parts.toLocalIterator():
+    for row in parts.collect():
         at = (row["b"] - 1) * len(row["bits"])
         bits[at:at + len(row["bits"])] = np.frombuffer(row["bits"], np.uint8)
     return bits
@@ -189,12 +189,14 @@ class _Classes:
         rows = self.texts.mapInArrow(_prefixes(n, threshold, sketch), _ddl(_PREFIXES))
         classes = rows.groupBy("f1", "f2").agg(F.min("doc").alias("doc"), *[F.first(c).alias(c) for c in ("n", "first", "families", "typical")])
         self.classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()), "gram-classes")
+        self.rows = total_rows(self.classes)
 
-    def links(self, pairs: DataFrame) -> DataFrame:
+    def links(self, pairs: DataFrame, rows: int | None = None) -> DataFrame:
         """The pairs (a, b) whose exact similarity reaches the threshold."""
-        pairs = stored(pairs, "gram-pairs")
+        pairs = stored(pairs, "gram-pairs", rows)
+        n_pairs = total_rows(pairs)
         used = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
-        used = stored(self.classes.select("cid", "doc", "f1", "f2").join(used, "cid"), "gram-used")
+        used = stored(self.classes.select("cid", "doc", "f1", "f2").join(used, "cid"), "gram-used", 2 * n_pairs)
         wanted = self.spark.sparkContext.broadcast(_wanted_bits(used))
         sets = self.texts.select("doc", "text", F.pmod(F.xxhash64("doc"), F.lit(FILTER_BITS)).alias("place"))
         sets = sets.mapInArrow(_members(self.n, wanted), _ddl(_MEMBERS)).join(used.select("cid", "f1", "f2"), ["f1", "f2"])
@@ -203,7 +205,7 @@ class _Classes:
         both = both.join(sets.select(F.col("cid").alias("b"), F.col("grams").alias("y")), "b")
         found = both.select("a", "b", "x", "y").mapInArrow(_overlaps, "a long, b long, common long, size long")
         top, bottom = self.threshold
-        links = stored(found.where(F.col("common") * bottom >= F.col("size") * top).select("a", "b"), "gram-links")
+        links = stored(found.where(F.col("common") * bottom >= F.col("size") * top).select("a", "b"), "gram-links", n_pairs)
         remove(pairs, used, sets)
         return links
 
@@ -214,23 +216,21 @@ class _Classes:
     def partition(self) -> DataFrame:
         """Links of each class to the most typical class of the groups it belongs to."""
         rows = self.classes.select("cid", "typical", self._band().alias("band"), F.posexplode("families").alias("family", "low"))
-        rows = stored(rows, "gram-families")
         lead = rows.groupBy("family", "low", "band").agg(F.max(F.struct("typical", "cid")).alias("lead"), F.count(F.lit(1)).alias("n"))
-        lead = stored(lead.where("n > 1").select("family", "low", "band", F.col("lead.cid").alias("b")), "gram-leads")
+        lead = stored(lead.where("n > 1").select("family", "low", "band", F.col("lead.cid").alias("b")), "gram-leads", 2 * self.rows)
         pairs = rows.join(lead, ["family", "low", "band"]).where("cid != b").select(F.col("cid").alias("a"), "b").distinct()
-        return self.links(pairs)
+        return self.links(pairs, 2 * self.rows)
 
     def matrix_pairs(self, components: DataFrame) -> DataFrame:
         """Pairs of a query class and a member of a group that the bound opens."""
         top, bottom = self.threshold
-        known = stored(components, "gram-components")
-        sizes = known.groupBy("root").agg((F.count(F.lit(1)) + 1).alias("members"))
-        rooted = known.join(sizes, "root").union(sizes.select("root", F.col("root").alias("node"), "members"))
-        rooted = stored(rooted.select(F.col("node").alias("cid"), "root", "members"), "gram-roots")
+        sizes = stored(components.groupBy("root").agg((F.count(F.lit(1)) + 1).alias("members")), "gram-sizes", self.rows)
+        rooted = components.join(sizes, "root").union(sizes.select("root", F.col("root").alias("node"), "members"))
+        rooted = rooted.select(F.col("node").alias("cid"), "root", "members")
         rows = self.classes.select("cid", "n", "first").join(rooted, "cid", "left")
         rows = rows.select("cid", "n", "first", F.coalesce("root", "cid").alias("comp"), F.coalesce("members", F.lit(1)).alias("members"))
         pieces = F.ceil(F.col("members") / GROUP)
-        rows = stored(rows.withColumn("part", F.pmod(F.xxhash64("cid"), pieces).cast("long")), "gram-rows")
+        rows = stored(rows.withColumn("part", F.pmod(F.xxhash64("cid"), pieces).cast("long")), "gram-rows", self.rows)
         grams = rows.select("cid", "n", "comp", "members", "part", F.posexplode("first").alias("place", "gram"))
         met = grams.groupBy("gram").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
         grams = stored(grams.join(stored(met.select("gram"), "gram-met"), "gram"), "gram-grams")
@@ -254,9 +254,9 @@ class _Classes:
     def labelled(self, components: DataFrame) -> DataFrame:
         """(f1, f2, component_id): the smallest document id of the component of each class."""
         rows = self.classes.select("cid", "doc", "f1", "f2").join(components, F.col("cid") == F.col("node"), "left")
-        rows = stored(rows.select("doc", "f1", "f2", F.coalesce("root", "cid").alias("root")), "gram-labels")
-        least = stored(rows.groupBy("root").agg(F.min("doc").alias("component_id")), "gram-least")
-        return stored(rows.join(least, "root").select("f1", "f2", "component_id"), "gram-result")
+        rows = rows.select("doc", "f1", "f2", F.coalesce("root", "cid").alias("root"))
+        least = stored(rows.groupBy("root").agg(F.min("doc").alias("component_id")), "gram-least", self.rows)
+        return stored(rows.join(least, "root").select("f1", "f2", "component_id"), "gram-result", self.rows)
 
 
 def ngram_components(docs: DataFrame, n: int = 3, threshold: tuple[int, int] = (9, 10), text: str = "text", key: str = "doc_id") -> DataFrame:

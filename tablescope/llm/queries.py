@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
-from . import line_dedup, mixing, ngram_join, packing, quality, secret_scan
+from . import licences, line_dedup, mixing, ngram_join, packing, quality, secret_scan, token_files, vector_dedup, warc
+from .scratch import stored
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -17,6 +18,11 @@ def ngram_groups(spark: SparkSession, sf: str) -> DataFrame:
     return ngram_join.ngram_components(table(spark, sf, "documents"), 3, (9, 10))
 
 
+def pq_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """op2: vectors of one label with a cosine of 0.93 or more."""
+    return vector_dedup.keep_one_of_each(table(spark, sf, "embeddings"))
+
+
 def line_runs(spark: SparkSession, sf: str) -> DataFrame:
     """op3: documents without the lines that three or more of them share."""
     rows = line_dedup.dedup_lines(table(spark, sf, "documents"))
@@ -32,10 +38,42 @@ def source_mix(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def licence_templates(spark: SparkSession, sf: str) -> DataFrame:
+    """op5: licence notices in documents; one row for each document and licence."""
+    found = licences.find_licences(table(spark, sf, "documents"))
+    dice = F.round(2 * F.col("common") / (F.col("n_run") + F.col("n_template")), 6)
+    return found.select("doc_id", "licence", "common", "n_run", "n_template", dice.alias("dice"))
+
+
+def warc_fixity(spark: SparkSession, sf: str) -> DataFrame:
+    """op6: pages in two WARC replicas, the second damaged by a rule on page_id; every record's size and whether the replicas agree."""
+    path = scratch_path(spark, "llm-warc")
+    flipped = F.concat(F.lit("?"), F.expr("substring(body, 2)"))
+    blanked = F.repeat(F.lit("0"), F.octet_length("body"))
+    damaged = F.when(F.col("body") == "", F.col("body")).when(F.col("key") % 97 == 5, flipped).when(F.col("key") % 89 == 7, blanked)
+    warc.write_replicas(table(spark, sf, "pages"), path, {"one": F.col("body"), "two": damaged.otherwise(F.col("body"))})
+    one, two = (stored(warc.record_table(spark, f"{path}/replica={n}"), "warc-records") for n in ("one", "two"))
+    wrong = stored(warc.audit(one, two), "warc-wrong")
+    joined = one.join(wrong, ["volume", "start"], "left")
+    return joined.select(
+        F.expr("try_cast(regexp_extract(record_id, '([0-9-]+)$', 1) AS long)").alias("page_id"), F.col("length").alias("n_bytes"),
+        F.coalesce("state", F.lit("intact")).alias("state"), "digest",
+    )
+
+
 def _of_kinds(kinds: list[str]) -> Column:
     return F.filter("spans", lambda s: s["kind"].isin(kinds))
 
 
+def id_files(spark: SparkSession, sf: str) -> DataFrame:
+    """op7: token ids of every document in compressed, checked blocks, read back."""
+    import public_tokenizers
+
+    path = scratch_path(spark, "llm-ids")
+    token_files.write_ids(table(spark, sf, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.read_index(spark, path)
+
+
 def blob_secrets(spark: SparkSession, sf: str) -> DataFrame:
     """op8: secrets of every document, each content scanned once."""
     ledger = secret_scan.BlobLedger(spark, scratch_path(spark, "llm-ledger"))
@@ -78,6 +116,44 @@ reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l
 SELECT sets.doc_id, len(s) AS n_shingles, least(sets.doc_id, coalesce(min(b), sets.doc_id)) AS component_id
 FROM sets LEFT JOIN reach ON reach.a = sets.doc_id GROUP BY sets.doc_id, s"""
 
+PQ_NEIGHBOURS_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings WHERE label IS NOT NULL
+    AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+    AND list_cosine_similarity(a.x, b.x) >= 0.93),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(b) AS b FROM reach GROUP BY a), degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(b, vec_id)) AS component_id, vec_id <= coalesce(b, vec_id) AS kept
+FROM embeddings LEFT JOIN least ON least.a = vec_id LEFT JOIN degree ON degree.a = vec_id"""
+
+_TEMPLATE_ROWS = ", ".join("('{}', '{}')".format(n, " ".join(t.split()).replace("'", "''")) for n, t in licences.TEMPLATES.items())
+_PLAIN = f"regexp_replace(translate({{}}, {_UPPER}, {_LOWER}), '[\\x00-\\x09\\x0B-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]', ' ', 'g')"
+_TWO = "list_distinct(list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1]))"
+LICENCE_TEMPLATES_SQL = f"""
+WITH t AS (SELECT licence, {_TWO.format("w")} AS g FROM (SELECT licence, list_filter(string_split({_PLAIN.format("body")}, ' '), lambda x: x <> '') AS w
+    FROM (VALUES {_TEMPLATE_ROWS}) v(licence, body))),
+d AS (SELECT doc_id, string_split({_PLAIN.format("coalesce(text, '')")}, chr(10)) AS lines FROM documents),
+whole AS (SELECT doc_id, lines, {_TWO.format("w")} AS g FROM (SELECT doc_id, lines, list_filter(string_split(array_to_string(lines, ' '), ' '), lambda x: x <> '') AS w FROM d)),
+able AS (SELECT doc_id, lines, licence, t.g FROM whole JOIN t ON len(list_intersect(whole.g, t.g)) * 6 >= 4 * len(t.g)),
+starts AS (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM able), runs AS (SELECT *, unnest(range(i, len(lines) + 1)) AS j FROM starts),
+words AS (SELECT *, list_filter(string_split(array_to_string(list_slice(lines, i, j), ' '), ' '), lambda x: x <> '') AS w FROM runs),
+two AS (SELECT doc_id, licence, i, j, g, {_TWO.format("w")} AS r FROM words),
+scored AS (SELECT doc_id, licence, i, j, len(list_intersect(r, g)) AS common, len(r) AS n_run, len(g) AS n_template FROM two),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, licence ORDER BY 2.0 * common / (n_run + n_template) DESC, n_run) AS k
+    FROM scored WHERE 10 * common >= 4 * (n_run + n_template))
+SELECT doc_id, licence, common, n_run, n_template, round(2 * common / (n_run + n_template), 6) AS dice FROM best WHERE k = 1"""
+
+_RECORD = (
+    "'WARC/1.0' || E'\\r\\n' || 'WARC-Type: resource' || E'\\r\\n' || 'WARC-Record-ID: <urn:page:' || page_id || '>' || E'\\r\\n' || "
+    "'WARC-Date: 1970-01-01T00:00:00Z' || E'\\r\\n' || coalesce('WARC-Target-URI: ' || url || E'\\r\\n', '') || "
+    "'Content-Type: text/html; charset=utf-8' || E'\\r\\n' || 'Content-Length: ' || strlen(coalesce(html, '')) || E'\\r\\n\\r\\n' || "
+    "coalesce(html, '') || E'\\r\\n\\r\\n'"
+)
+WARC_FIXITY_SQL = f"""
+SELECT page_id, strlen(record) AS n_bytes, sha256(record) AS digest,
+       CASE WHEN coalesce(html, '') <> '' AND (page_id % 97 = 5 OR page_id % 89 = 7) THEN 'changed' ELSE 'intact' END AS state
+FROM (SELECT *, {_RECORD} AS record FROM pages)"""
+
 LINE_RUNS_SQL = rf"""
 WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 numbered AS (SELECT doc_id, generate_subscripts(lines, 1) AS place, unnest(lines) AS line FROM split),
@@ -128,8 +204,12 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_wo
 
 QUERIES = {
     "op1_ngram_groups": (ngram_groups, NGRAM_GROUPS_SQL),
+    "op2_pq_neighbours": (pq_neighbours, PQ_NEIGHBOURS_SQL),
     "op3_line_runs": (line_runs, LINE_RUNS_SQL),
     "op4_source_mix": (source_mix, None),
+    "op5_licence_templates": (licence_templates, LICENCE_TEMPLATES_SQL),
+    "op6_warc_fixity": (warc_fixity, WARC_FIXITY_SQL),
+    "op7_id_files": (id_files, None),
     "op8_blob_secrets": (blob_secrets, BLOB_SECRETS_SQL),
     "op9_length_buckets": (length_buckets, None),
     "op10_rule_ledger": (rule_ledger, RULE_LEDGER_SQL),

@@ -7,9 +7,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..session import scratch_path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The table, written once and read back: it survives lost executors and later plans start from its files."""
+ROWS_PER_FILE = 100_000
+
+
+def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """The table, written once and read back: it survives lost executors and later plans start from its files.
+
+    ``rows`` is the most rows it can have, where that is known: a small table is then not cut into one file per shuffle partition."""
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, rows // ROWS_PER_FILE + 1))
     path = scratch_path(spark, "llm-" + name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
