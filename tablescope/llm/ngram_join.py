@@ -235,16 +235,19 @@ class _Classes:
         met = grams.groupBy("gram").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
         grams = stored(grams.join(stored(met.select("gram"), "gram-met"), "gram"), "gram-grams")
         matrix = grams.groupBy("gram", F.col("comp").alias("g"), "part", F.col("members").alias("gm")).agg(
-            F.min("n").alias("small"), F.max("n").alias("large"), F.max("place").alias("gplace"))
+            F.min("n").alias("small"), F.max("n").alias("large"), F.min("place").alias("gfirst"), F.max("place").alias("gplace"))
         matrix = stored(matrix, "gram-matrix")
         after = F.struct("members", "comp") < F.struct("gm", "g")  # each pair of components once, the smaller one asks
         fits = (F.col("n") * top <= F.col("large") * bottom) & (F.col("small") * top <= F.col("n") * bottom)
-        hits = grams.join(matrix.withColumnRenamed("part", "gpart"), "gram").where(after & fits)
+        # A pair of sizes n and m must share this many, so the first one it shares is at most at n (or m) less this place.
+        need = lambda m: F.ceil((F.col("n") + F.col(m)) * top / (top + bottom))
+        early = (F.col("place") <= F.col("n") - need("small")) & (F.col("gfirst") <= F.col("large") - need("large"))
+        hits = grams.join(matrix.withColumnRenamed("part", "gpart"), "gram").where(after & fits & early)
         bound = hits.groupBy("cid", "n", "g", "gpart", "gm").agg(
             F.count(F.lit(1)).alias("c"), F.min("place").alias("begin"), F.max("place").alias("end"), F.max("gplace").alias("gend"), F.max("large").alias("large"))
         least = F.ceil(F.col("n") * top / bottom)
         # A group of one: nothing is shared behind the last n-gram found.  A larger group: members may have found different ones.
-        one = F.col("c") + F.least(F.col("n") - 1 - F.col("end"), F.col("large") - 1 - F.col("gend")) >= F.ceil((F.col("n") + F.col("large")) * top / (top + bottom))
+        one = F.col("c") + F.least(F.col("n") - 1 - F.col("end"), F.col("large") - 1 - F.col("gend")) >= need("large")
         many = F.col("c") + F.col("n") - 1 - F.col("begin") >= least
         opened = stored(bound.where(F.when(F.col("gm") == 1, one).otherwise(many)).select("cid", "n", "g", "gpart"), "gram-opened")
         members = rows.select(F.col("cid").alias("b"), F.col("n").alias("m"), F.col("comp").alias("g"), F.col("part").alias("gpart"))
