@@ -100,7 +100,7 @@ def encode(ids: np.ndarray) -> bytes:
     alphabet, dense = np.unique(ids, return_inverse=True)
     symbols = zlib.compress(np.diff(alphabet, prepend=np.uint32(0)).astype("<u4").tobytes(), 6)
     if not len(ids):
-        return struct.pack(HEAD, MAGIC, 0, 0, zlib.crc32(b""), 0, len(symbols), 0, 0) + symbols
+        return _sealed(struct.pack(HEAD, MAGIC, 0, 0, zlib.crc32(b""), 0, len(symbols), 0, 0) + symbols)
     lanes, last = _shape(len(ids))
     flat = np.zeros(lanes * STEPS, np.int64)
     flat[:len(ids)] = dense
@@ -125,7 +125,11 @@ def encode(ids: np.ndarray) -> bytes:
     words = out[np.arange(out.shape[1])[None] < place[:, None]].astype("<u2").tobytes()
     sizes = zlib.compress(place.astype("<u4").tobytes(), 6)
     head = struct.pack(HEAD, MAGIC, len(ids), STEPS, zlib.crc32(ids.tobytes()), len(alphabet), len(symbols), len(sizes), len(words))
-    return head + symbols + sizes + words
+    return _sealed(head + symbols + sizes + words)
+
+
+def _sealed(block: bytes) -> bytes:
+    return block + struct.pack("<I", zlib.crc32(block))
 
 
 def _emit(out: np.ndarray, place: np.ndarray, at: np.ndarray, low: np.ndarray) -> None:
@@ -151,6 +155,9 @@ def _shift(low: np.ndarray, width: np.ndarray, active: int, move) -> None:
 
 def decode(block: bytes) -> np.ndarray:
     """The ids of a block; raises ValueError if the block is damaged."""
+    if len(block) < struct.calcsize(HEAD) + 4 or _sealed(block[:-4]) != block:
+        raise ValueError("damaged block of ids")
+    block = block[:-4]
     magic, n, steps, crc, symbols, n_symbols, n_sizes, n_words = struct.unpack_from(HEAD, block)
     if magic != MAGIC or len(block) != struct.calcsize(HEAD) + n_symbols + n_sizes + n_words or (n and steps != STEPS):
         raise ValueError("not a block of ids")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .scratch import stored
 from .texts import let
@@ -46,7 +46,8 @@ RULES = (
     Rule("web_token", 1, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
     Rule("host_token", 1, "gh[opsu]_[A-Za-z0-9]{36,}"),
 )
-LEDGER = T.StructType.fromDDL("blob binary, rules array<string>, spans array<struct<start:long,place:int,stop:long,kind:string>>")
+SPANS = "array<struct<start:bigint,place:int,stop:bigint,kind:string>>"
+LEDGER = f"blob binary, rules array<string>, spans {SPANS}"
 BLOCK = 64
 
 
@@ -85,7 +86,7 @@ def _spans(text: Column, rule: Rule, place: int) -> Column:
 
     good = F.filter(let(parts, placed), lambda s: s["value"] >= rule.least)
     spans = F.transform(good, lambda s: F.struct(s["start"].alias("start"), s["place"].alias("place"), s["stop"].alias("stop"), s["kind"].alias("kind")))
-    return F.when(text.rlike(rule.pattern), spans).otherwise(F.array().cast(LEDGER["spans"].dataType))
+    return F.when(text.rlike(rule.pattern), spans).otherwise(F.array().cast(SPANS))
 
 
 def content_address(text: Column) -> Column:
@@ -113,7 +114,7 @@ class BlobLedger:
         todo = blobs.join(known, "blob", "left").withColumn("todo", F.array_except(wanted, F.coalesce("known", F.array().cast("array<string>"))))
         todo = todo.where(F.size("todo") > 0)
         found = F.concat(*[
-            F.when(F.array_contains("todo", r.key), _spans(F.col("text"), r, i)).otherwise(F.array().cast(LEDGER["spans"].dataType))
+            F.when(F.array_contains("todo", r.key), _spans(F.col("text"), r, i)).otherwise(F.array().cast(SPANS))
             for i, r in enumerate(rules)
         ])
         todo.select("blob", F.col("todo").alias("rules"), found.alias("spans")).write.mode("append").parquet(self.path)
@@ -132,7 +133,7 @@ def find_secrets(docs: DataFrame, ledger: BlobLedger, rules: Sequence[Rule] = RU
     ledger.scan(docs, rules, text)
     paths = docs.select(F.col(key).alias(key), content_address(F.col(text)).alias("blob"))
     joined = paths.join(ledger.findings(), "blob", "left")
-    return joined.select(key, "blob", F.coalesce("spans", F.array().cast(LEDGER["spans"].dataType)).alias("spans"))
+    return joined.select(key, "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 
 def span_list(spans: Column) -> Column:
