@@ -28,7 +28,8 @@ def plan_steps(text: Column, fallback: Sequence[str]) -> Column:
     """The JSON array of strings in a model reply (the part between the first two fences, if it is fenced)."""
     t = stripped(text)
     inside = F.when(t.startswith("```"), F.regexp_replace(F.get(F.split(t, "```"), F.lit(1)), "^json", "")).otherwise(t)
-    return F.coalesce(F.from_json(inside, "array<string>"), F.array(*[F.lit(s) for s in fallback]))
+    whole = F.when(stripped(inside).rlike(r"(?s)^\[.*\]$"), F.from_json(inside, "array<string>", {"allowSingleQuotes": "false"}))
+    return F.coalesce(whole, F.array(*[F.lit(s) for s in fallback]))
 
 
 def parse_plan_json(df: DataFrame, key: str, text: str, fallback: Sequence[str]) -> DataFrame:

@@ -80,10 +80,11 @@ def kruskal_wallis(df: DataFrame, group: str, value: str) -> DataFrame:
 
 def group_comparison(df: DataFrame, group: str, value: str) -> DataFrame:
     """(test, groups, n, statistic, p): rank test of two groups, or of three and more."""
-    found = df.where(col(group).isNotNull() & col(value).isNotNull()).select(col(group)).distinct().limit(3).count()
+    valid = col(value).isNotNull() & ~F.isnan(col(value).cast("double"))  # NaN is a missing value
+    found = df.where(col(group).isNotNull() & valid).select(col(group)).distinct().limit(3).count()
     if found == 2:
         n = F.col("n1") + F.col("n2")
-        return mann_whitney(df.where(col(value).isNotNull()), group, value).select(
+        return mann_whitney(df.where(valid), group, value).select(
             F.lit("mann_whitney").alias("test"), F.lit(2).cast("bigint").alias("groups"), n.alias("n"), F.col("u1").alias("statistic"), "p"
         )
     return kruskal_wallis(df, group, value).select(

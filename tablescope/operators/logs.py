@@ -52,16 +52,19 @@ def log_token_totals(log: DataFrame) -> DataFrame:
 def log_running_totals(log: DataFrame, tie: str = "call_number") -> DataFrame:
     """(run_id, ts, agent, call, cumulative_input, cumulative_output) after each call of a run, in time order.
 
-    Runs are cut along time (and ``tie`` among equal times), so a run with a large part of the log is spread out."""
-    calls = log.where("event = 'llm_call' and ts is not null and run_id is not null").select(
-        "run_id", "ts", "agent", col(tie), F.unix_micros(F.col("ts").cast("timestamp")).alias("_t"),
+    Calls without ``run_id``, or of a log without that column, are one run of their own.  Runs are cut along time (and ``tie`` among equal
+    times), so a run with a large part of the log is spread out."""
+    run_id = F.col("run_id").cast("string") if "run_id" in log.columns else F.lit(None).cast("string")
+    calls = log.where("event = 'llm_call' and ts is not null").select(
+        F.coalesce(F.concat(F.lit("="), run_id), F.lit("")).alias("run_id"), "ts", "agent", col(tie), F.unix_micros(F.col("ts").cast("timestamp")).alias("_t"),
         F.coalesce("input_tokens", F.lit(0)).alias("_i"), F.coalesce("output_tokens", F.lit(0)).alias("_o"),
         F.lit(1).cast("bigint").alias("_one"),
     )
     cut, buckets = cut_along(calls, "_t", tie)
     sums = {"call": "_one", "cumulative_input": "_i", "cumulative_output": "_o"}
     return scan(cut, buckets, ["_t", tie], sums, keys=["run_id"], few_keys=False).select(
-        "run_id", "ts", "agent", "call", "cumulative_input", "cumulative_output"
+        F.when(F.col("run_id") != "", F.substring("run_id", 2, 2**31 - 1)).alias("run_id"), "ts", "agent", "call", "cumulative_input",
+        "cumulative_output",
     )
 
 

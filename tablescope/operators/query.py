@@ -13,20 +13,31 @@ from ..plans.sampling import lowest_by_hash
 
 READ_ONLY = re.compile(r"^\s*(select|with)\b", re.IGNORECASE)
 TEXT_ROWS = 100
+# A statement that parses to one of these nodes, or calls one of these functions, does more than read the table.
+REFUSED = re.compile(r"InsertInto|Overwrite|Command\b|CreateTable|'(?:reflect|java_method)\(|UnresolvedRelation \[[^\],]+, (?!\[\])[^\]]*\]")
 
 
 def query_table(df: DataFrame, sql: str) -> DataFrame:
     """Run one SELECT (or WITH … SELECT) that sees the table as ``df``."""
     if not READ_ONLY.match(sql):
         raise ValueError("only SELECT or WITH statements are accepted")
+    plan = df.sparkSession._jsparkSession.sessionState().sqlParser().parsePlan(sql).toString()
+    if REFUSED.search(plan):
+        raise ValueError("only queries of the table itself are accepted")
     df.createOrReplaceTempView("df")
     return df.sparkSession.sql(sql)
 
 
-def query_text(df: DataFrame, sql: str, chars: int = K.QUERY_TEXT_CHARS) -> str:
-    """The first rows of the result as capped text; an error comes back as text."""
+def query_text(df: DataFrame, sql: str, chars: int = K.QUERY_TEXT_CHARS, rows: int = TEXT_ROWS) -> str:
+    """The result as text of at most ``chars`` characters of its first ``rows`` rows; rows left out are counted in a last line.
+
+    An error comes back as text."""
     try:
-        out = query_table(df, sql).limit(TEXT_ROWS).toPandas().to_string()
+        result = query_table(df, sql)
+        shown = result.limit(rows + 1).toPandas()
+        out = shown.iloc[:rows].to_string()
+        if len(shown) > rows:
+            out += f"\n[{rows} of {result.count()} rows shown]"
     except Exception as e:  # the caller reads the message like any other answer
         return f"ERROR: {e}"
     return out if len(out) <= chars else out[:chars] + K.CUT_OPEN + str(len(out)) + K.CUT_CLOSE

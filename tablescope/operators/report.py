@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.errors import AnalysisException, ParseException
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .. import constants as K
 from ..functions.columns import CATEGORICAL, DATETIME, NUMERIC, columns_of, numeric_columns, profiled, small_frame
@@ -219,6 +219,14 @@ def run_profile(
     return profile
 
 
+def _shown(result: DataFrame, rows: int) -> str:
+    """The first rows in the order of the columns, as text; rows left out are counted in a last line."""
+    order = [F.col(f"`{f.name}`") for f in result.schema.fields if not isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType, T.VariantType))]
+    first = (result.orderBy(*order) if order else result).limit(rows + 1).toPandas()
+    text = first.iloc[:rows].to_string()
+    return f"{text}\n[{rows} of {result.count()} rows shown]" if len(first) > rows else text
+
+
 def _run_step(df: DataFrame, name: str, make: Callable, path: str, attempts: int, shown_rows: int, profile: Profile) -> tuple:
     """(text_output, charts, error, attempts, seconds) of one step."""
     start, error, text, tried = time.time(), None, "", 0
@@ -227,7 +235,7 @@ def _run_step(df: DataFrame, name: str, make: Callable, path: str, attempts: int
         try:
             make(df).write.mode("overwrite").parquet(path)
             profile.results[name] = df.sparkSession.read.parquet(path)
-            text, error = profile.results[name].limit(shown_rows).toPandas().to_string(), None
+            text, error = _shown(profile.results[name], shown_rows), None
             break
         except (AnalysisException, ParseException, ValueError, TypeError, KeyError) as e:
             error = f"{type(e).__name__}: {e}"
