@@ -72,8 +72,9 @@ def clean_markdown(text: Column) -> Column:
 
 def split_report_lines(df: DataFrame, key: Sequence[str], text: str) -> DataFrame:
     """(key…, line, kind, text): report lines as empty, h2, h1, bullet or body."""
-    lines = df.select(*[col(k) for k in key], F.posexplode(F.split(col(text), "\n")).alias("line", "raw"))
-    raw = stripped(F.col("raw"))
+    # stripped inside the array, so that the branches below do not each repeat it
+    lines = df.select(*[col(k) for k in key], F.posexplode(F.transform(F.split(col(text), "\n"), stripped)).alias("line", "raw"))
+    raw = F.col("raw")
     bullet = raw.startswith("- ") | raw.startswith("* ")
     kind = (
         F.when(raw == "", "empty").when(raw.startswith("## "), "h2").when(raw.startswith("# "), "h1")
@@ -81,7 +82,7 @@ def split_report_lines(df: DataFrame, key: Sequence[str], text: str) -> DataFram
     )
     shown = (
         F.when(raw.startswith("## "), F.substr(raw, F.lit(4))).when(raw.startswith("# "), F.substr(raw, F.lit(3)))
-        .when(bullet, F.concat(F.lit("• "), clean_markdown(F.substr(raw, F.lit(3))))).otherwise(clean_markdown(raw))
+        .otherwise(clean_markdown(F.when(bullet, F.concat(F.lit("• "), F.substr(raw, F.lit(3)))).otherwise(raw)))
     )
     return lines.select(*[col(k) for k in key], "line", kind.alias("kind"), shown.alias("text"))
 

@@ -66,12 +66,14 @@ def kruskal_wallis(df: DataFrame, group: str, value: str) -> DataFrame:
     per_group = _ranked(df, group, value).groupBy("_group").agg(
         F.sum("n").alias("n"), F.sum(n * F.col("rank")).alias("r"), F.sum(_tie_term()).alias("t")
     )
-    sums = per_group.agg(
+    # mean ranks less their expectation: the difference of two large sums would lose the statistic of large tables
+    expected = (per_group.agg(F.sum("n").cast("double")).scalar() + 1) / 2
+    sums = per_group.withColumn("off", F.col("r") / F.col("n") - expected).agg(
         F.count("*").alias("groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
-        F.sum(F.col("r") * F.col("r") / F.col("n")).alias("q"), F.sum("t").alias("t"),
+        F.sum(F.col("n") * F.col("off") * F.col("off")).alias("q"), F.sum("t").alias("t"),
     )
     total = F.col("n").cast("double")
-    raw = F.try_divide(F.lit(12.0), total * (total + 1)) * F.col("q") - 3 * (total + 1)
+    raw = F.try_divide(F.lit(12.0), total * (total + 1)) * F.col("q")
     h = F.try_divide(raw, 1 - F.try_divide(F.col("t"), total * total * total - total))
     return sums.select("groups", "n", F.when(F.col("groups") > 1, h).alias("h"), (F.col("groups") - 1).alias("df")).withColumn(
         "p", chi2_pvalue(F.col("h"), F.col("df").cast("double"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import constants as K
 from ..functions.columns import col, doubles, numeric_columns
-from ..plans.quantiles import sketched_quantiles
+from ..plans.quantiles import column_quantiles
 from ..plans.sampling import lowest_by_hash
 from ..session import materialize
 
@@ -74,7 +74,7 @@ def isolation_forest(
 
     The sample is the trees x sample rows with the lowest hash of the key, so it does not depend on the partitioning;
     the key should identify rows.  The forest has at most trees x 4 x sample nodes, which bounds what is collected and shipped.
-    Scores are written once to the shared folder, because the cut (a quantile sketch) and the result both need them."""
+    Scores are written once to the shared folder, because the cut (an exact quantile) and the result both need them."""
     key = list(key)
     cols = [c for c in numeric_columns(df, cols) if c not in key]
     names = [f"f{i}" for i in range(len(cols))]
@@ -112,8 +112,8 @@ def isolation_forest(
 
     udf = F.pandas_udf(score_hints(score), "double")
     scored = materialize(rows.select(*[col(k) for k in key], udf(*[F.col(n) for n in names]).alias("score")), "forest-scores")
-    cut = sketched_quantiles(scored, ["score"], [1 - contamination])["score"]
-    return scored.withColumn("is_outlier", F.col("score") > F.lit(cut[0] if cut else 0.0))
+    cut = column_quantiles(scored, ["score"], [1 - contamination])["score"][1 - contamination]
+    return scored.withColumn("is_outlier", F.col("score") > F.lit(0.0 if cut is None else cut))
 
 
 def score_hints(function):

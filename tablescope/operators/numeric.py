@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import constants as K
-from ..functions.columns import col, doubles, numeric_columns, rows_from, small_frame
+from ..functions.columns import col, doubles, merge_nan, numeric_columns, profiled, rows_from, small_frame
 from ..functions.normality import with_normality
 from ..plans.moments import adjusted_kurtosis, adjusted_skew, moments
 from ..plans.quantiles import column_quantiles, sketched_quantiles
@@ -82,6 +82,16 @@ def value_range_check(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return rows_from(wide, [(F.lit(c), F.col(f"a{i}"), F.col(f"b{i}")) for i, c in enumerate(cols)], ["column", "min", "max"])
 
 
+def value_ranges(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """(column, min, max) of numbers, texts and dates, compared in their own type and shown as text; nothing is rounded.
+
+    NaN counts as missing; a column without values has null ends."""
+    cols = list(cols if cols is not None else profiled(df))
+    at = {f"{t}{i}": f(col(c)).cast("string").alias(f"{t}{i}") for i, c in enumerate(cols) for t, f in (("a", F.min), ("b", F.max))}
+    wide = merge_nan(df.select(*[col(c) for c in cols])).agg(*at.values())
+    return rows_from(wide, [(F.lit(c), F.col(f"a{i}"), F.col(f"b{i}")) for i, c in enumerate(cols)], ["column", "min", "max"])
+
+
 def ranges(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float | None, float | None]]:
     """{column: (min, max)} on the driver, two numbers per column."""
     found = moments(df, cols) if is_shared(df) else value_range_check(df, cols)

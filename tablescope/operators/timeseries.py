@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
 import numpy as np
@@ -123,9 +124,9 @@ def rolling_mean(
 ) -> DataFrame:
     """(keep…, by…, ts, value, rolling_mean): trailing mean over (t - days, t], nulls skipped, ties included.
 
-    Each value enters at its time and leaves ``days`` later, so the window total is a running sum of changes.  Sums restart
-    in every slice of one window length (a carry row brings the previous slice's total), which bounds rounding error, and the
-    running sums are built per bucket of time, so neither a hot key nor a crowded month is confined to one task."""
+    Time is cut into slices of one window length.  A window is the start of its own slice, summed forwards, and the end of the slice
+    before, summed backwards.  Nothing is ever subtracted, so a huge or infinite value leaves no trace once it is out of the window.
+    Both sums are built per bucket of time, so neither a hot key nor a crowded month is confined to one task."""
     span = int(days * DAY)
     by, keep = list(by), [k for k in keep if k not in by]
     rows = doubles(df, [value], [*by, *keep, ts]).withColumn("_t", seconds(ts)).where("_t is not null")
@@ -135,20 +136,29 @@ def rolling_mean(
     t = F.col("_t")
     start = t - F.pmod(t, F.lit(span))
 
-    def change(slot: Column, at: Column, total: Column, count: Column, own: int) -> Column:
-        return F.struct(
-            slot.alias("_slot"), at.alias("_t"), total.alias("_s"), count.alias("_c"), F.lit(own).cast("bigint").alias("_own"))
+    zero, none = F.lit(0.0), F.lit(0).cast("bigint")
 
-    changes = rows.select(*[col(k) for k in by], F.inline(F.array(
-        change(start, t, v, c, 1), change(start + span, t + span, -v, -c, 0), change(start + span, start + span - 1, v, c, 0),
+    def part(slot: Column, at: Column, *values: Column) -> Column:
+        names = ("_s", "_c", "_p", "_q", "_own")
+        return F.struct(slot.alias("_slot"), at.alias("_t"), *[x.alias(n) for x, n in zip(values, names)])
+
+    # in the next slice a value belongs to the windows that end before it is a window length old
+    parts = rows.select(*[col(k) for k in by], F.inline(F.array(
+        part(start, t, v, c, zero, none, none + 1), part(start + span, t + (span - 1), zero, none, v, c, none),
     )))
-    cut = with_buckets(changes, split_points(rows, ["_t"]))
-    net = cut.groupBy(*[col(k) for k in by], "_slot", "_b__t", "_t").agg(
-        F.sum("_s").alias("_s"), F.sum("_c").alias("_c"), F.sum("_own").alias("_own")
-    )
-    run = scan(net, ["_b__t"], ["_t"], {"_sum": "_s", "_cnt": "_c"}, keys=[*by, "_slot"], few_keys=False, raw=cut)
-    means = run.where("_own > 0").select(
-        *[col(k) for k in by], "_t", F.when(F.col("_cnt") > 0, F.col("_sum") / F.col("_cnt")).alias("rolling_mean")
+    points = split_points(rows, ["_t"])["_t"]
+    cut = with_buckets(parts, {"_t": points})
+    net = cut.groupBy(*[col(k) for k in by], "_slot", "_b__t", "_t").agg(*[F.sum(n).alias(n) for n in ("_s", "_c", "_p", "_q", "_own")])
+
+    def backwards(df: DataFrame) -> DataFrame:
+        return with_buckets(df.withColumn("_back", -F.col("_t")), {"_back": sorted(-p for p in points)})
+
+    slots = [*by, "_slot"]
+    ahead = scan(net, ["_b__t"], ["_t"], {"_sum": "_s", "_cnt": "_c"}, keys=slots, few_keys=False, raw=cut)
+    both = scan(backwards(ahead), ["_b__back"], ["_back"], {"_sum2": "_p", "_cnt2": "_q"}, keys=slots, few_keys=False, raw=backwards(parts))
+    n = F.col("_cnt") + F.col("_cnt2")
+    means = both.where("_own > 0").select(
+        *[col(k) for k in by], "_t", F.when(n > 0, (F.col("_sum") + F.col("_sum2")) / n).alias("rolling_mean")
     )
     return rows.join(means, [*by, "_t"]).select(*[col(k) for k in (*keep, *by)], col(ts), col(value), "rolling_mean")
 
@@ -200,12 +210,13 @@ def autocorrelation(df: DataFrame, value: str, order_by: str, tie: str, max_lag:
 
     Rows get a dense index from bucketed running counts; blocks of consecutive indexes, each with the first ``max_lag`` rows
     of the next block, yield partial lag sums.  Identical rows travel as one row with a count and are spread over the
-    blocks they cover, so neither equal times nor copies pile up in a task.  ``order_by`` is a date, timestamp or number."""
+    blocks they cover, so neither equal times nor copies pile up in a task.  ``order_by`` is a date, timestamp or number.  A tie key
+    that is missing or no number comes before all others; rows that still tie are ordered by value."""
     block = max(block, max_lag + 1)
     numeric = order_by in numeric_columns(df)
     at = col(order_by).cast("double") if numeric else seconds(order_by)
-    rows = doubles(df.select(at.alias("_t"), col(tie).cast("double").alias("_k"), col(value).alias("_v")), ["_v"], ["_t", "_k"])
-    rows = rows.where("_v is not null and _t is not null and _k is not null")
+    rows = doubles(df.select(at.alias("_t"), col(tie).try_cast("double").alias("_k"), col(value).alias("_v")), ["_v"], ["_t", "_k"])
+    rows = rows.where("_v is not null and _t is not null").fillna(-sys.float_info.max, ["_k"])
     head = rows.agg(F.count("*").alias("n"), F.avg("_v").alias("m")).first()
     n, mean = head["n"], head["m"] or 0.0
     cut, buckets = cut_along(rows, "_t", "_k")

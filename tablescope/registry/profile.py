@@ -160,6 +160,9 @@ QUERIES: dict[str, Entry] = {
                       _boxplot("value", "events") + " UNION ALL " + _boxplot("user_id", "events")),
     "value_range_check": (on("orders", lambda d: U.value_range_check(d, ["o_totalprice", "o_custkey"])), _moments(
         "orders", ("o_totalprice", "o_custkey"), "round(min({c}), 6) AS min, round(max({c}), 6) AS max")),
+    "value_ranges": (on("orders", lambda d: U.value_ranges(d, ["o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus", "o_orderpriority"])), union_all(
+        f"SELECT '{c}' AS \"column\", CAST(min({c}) AS VARCHAR) AS min, CAST(max({c}) AS VARCHAR) AS max FROM orders"
+        for c in ("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus", "o_orderpriority"))),
     "value_counts": (on("part", C.value_counts), _top_counts("part", PART_TEXT)),
     "value_counts_numbers": (on("lineitem", lambda d: C.value_counts(d, ["l_partkey", "l_linenumber"], 10)),
                              'SELECT "column", value, n, rank FROM (' + union_all(

@@ -299,7 +299,7 @@ QUERIES: dict[str, Entry] = {
     "clean_markdown": (on("documents", lambda d: d.select("doc_id", X.clean_markdown(F.col("text")).alias("text"))), f"SELECT doc_id, {clean('text')} AS text FROM documents"),
     "split_report_lines": (on("documents", lambda d: X.split_report_lines(d, ["doc_id"], "text")), f"""SELECT doc_id, CAST(i - 1 AS INTEGER) AS line,
       CASE WHEN t = '' THEN 'empty' WHEN t LIKE '## %' THEN 'h2' WHEN t LIKE '# %' THEN 'h1' WHEN t LIKE '- %' OR t LIKE '* %' THEN 'bullet' ELSE 'body' END AS kind,
-      CASE WHEN t LIKE '## %' THEN substr(t, 4) WHEN t LIKE '# %' THEN substr(t, 3) WHEN t LIKE '- %' OR t LIKE '* %' THEN '• ' || {clean('substr(t, 3)')} ELSE {clean('t')} END AS text
+      CASE WHEN t LIKE '## %' THEN substr(t, 4) WHEN t LIKE '# %' THEN substr(t, 3) WHEN t LIKE '- %' OR t LIKE '* %' THEN {clean("('• ' || substr(t, 3))")} ELSE {clean('t')} END AS text
       FROM (SELECT doc_id, i, {strip('a[i]')} AS t FROM (SELECT doc_id, a, unnest(range(1, len(a) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents)))"""),
     "truncate_text": (on("documents", lambda d: d.select("doc_id", X.truncate_text(F.col("text")).alias("text"), X.tail_text(F.col("text")).alias("tail"), X.first_lines(F.col("text"), 2).alias("head"))),
                       f"""SELECT doc_id, CASE WHEN length(text) > 2000 THEN left(text, 2000) || chr(10) || '... [truncated, ' || length(text) || ' chars total]' ELSE text END AS text,

@@ -10,21 +10,22 @@ SINGLE_FILE = r"plot_(\d+)\.png$"
 
 
 def dedup_files(files: DataFrame, numbered: str = STEP_FILE, single: str = SINGLE_FILE) -> DataFrame:
-    """(step, sub, path, sha256, content_base64): per step the first file of each content in sub-index order.
+    """(step, sub, path, sha256, content_base64): per folder and step the first file of each content in sub-index order.
 
-    ``files`` has path and content.  A single file counts only for a step without numbered ones.  Only the digest
-    and the name are aggregated (a minimum, combined on the map side); the content is joined back for the files kept."""
+    ``files`` has path and content; the files of different folders are never compared.  A single file counts only for a step without
+    numbered ones.  Only the digest and the name are aggregated (a minimum, combined on the map side); the content is joined back for
+    the files kept and encoded behind the join."""
     path, sub = F.col("path"), F.regexp_extract("path", numbered, 2)
     many, one = F.regexp_extract(path, numbered, 1), F.regexp_extract(path, single, 1)
     named = files.select(
-        "path", F.sha2("content", 256).alias("sha256"),
+        "path", F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("folder"), F.sha2("content", 256).alias("sha256"),
         F.when(many != "", many).when(one != "", one).try_cast("bigint").alias("step"), (many != "").alias("is_numbered"),
         F.when(sub.rlike(r"(^|_)\d+$"), F.regexp_extract(sub, r"(\d+)$", 1).try_cast("bigint")).otherwise(F.lit(0).cast("bigint")).alias("sub"),
     ).where("step is not null")
     first = F.min(F.struct("sub", "path"))
-    kept = named.groupBy("step", "is_numbered", "sha256").agg(first.alias("f")).select("step", "is_numbered", "sha256", "f.*")
-    several = named.where("is_numbered").select("step").distinct()
-    chosen = kept.where("is_numbered").unionByName(kept.where("not is_numbered").join(several, "step", "left_anti"))
-    return chosen.join(files.select("path", F.base64("content").alias("content_base64")), "path").select(
-        "step", "sub", "path", "sha256", "content_base64"
+    kept = named.groupBy("folder", "step", "is_numbered", "sha256").agg(first.alias("f")).select("folder", "step", "is_numbered", "sha256", "f.*")
+    several = named.where("is_numbered").select("folder", "step").distinct()
+    chosen = kept.where("is_numbered").unionByName(kept.where("not is_numbered").join(several, ["folder", "step"], "left_anti"))
+    return chosen.join(files.select("path", "content"), "path").select(
+        "step", "sub", "path", "sha256", F.base64("content").alias("content_base64")
     )

@@ -8,10 +8,9 @@ from ..operators.logs import EVENT_LOG
 from ..session import scratch_path
 
 
-def windowed_calls(log: DataFrame, width: str, delay: str) -> DataFrame:
-    """(start, agent, calls, input_tokens, output_tokens) per tumbling window; state older than ``delay`` is dropped."""
-    calls = log.where("event = 'llm_call'").withWatermark("ts", delay)
-    sums = calls.groupBy(F.window("ts", width), "agent").agg(
+def windowed_calls(log: DataFrame, width: str) -> DataFrame:
+    """(start, agent, calls, input_tokens, output_tokens) per tumbling window of a table of events."""
+    sums = log.where("event = 'llm_call'").groupBy(F.window("ts", width), "agent").agg(
         F.count("*").alias("calls"), F.sum(F.coalesce("input_tokens", F.lit(0))).alias("input_tokens"),
         F.sum(F.coalesce("output_tokens", F.lit(0))).alias("output_tokens"),
     )
@@ -19,33 +18,31 @@ def windowed_calls(log: DataFrame, width: str, delay: str) -> DataFrame:
 
 
 def stream_log_counts(
-    spark: SparkSession, path: str, width: str = "1 hour", delay: str = "1 day", out: str | None = None,
-    files_per_batch: int = 1_000, timeout: int = 600,
+    spark: SparkSession, path: str, width: str = "1 hour", out: str | None = None, files_per_batch: int = 1_000, timeout: int | None = None,
 ) -> DataFrame:
-    """Process what is in a JSON-lines log directory and return the windowed totals.
+    """Process what is in a JSON-lines log directory and return the windowed totals, the same as of one batch over all files.
 
-    Updated windows are written per micro-batch below ``out``; a batch that is replayed overwrites its own folder, so the result is
-    exact after a failure.  The latest batch of a window holds its total.  Calling again with the same ``out`` goes on from there."""
+    The totals are sums, so each micro-batch writes its own below ``out`` and reading adds them up: no state is held and no record is
+    too late, however old.  A batch that is replayed overwrites its own folder, so the result is exact after a failure.  Calling again
+    with the same ``out`` and ``width`` goes on from there.  ``timeout`` in seconds ends a call that may not take longer."""
     out = out or scratch_path(spark, "log-counts")
     log = spark.readStream.schema(EVENT_LOG).option("maxFilesPerTrigger", files_per_batch).json(path)
 
     def save(batch: DataFrame, number: int) -> None:
-        batch.withColumn("_batch", F.lit(number).cast("bigint")).write.mode("overwrite").parquet(f"{out}/batches/b={number}")
+        windowed_calls(batch, width).write.mode("overwrite").parquet(f"{out}/batches/b={number}")
 
     query = (
-        windowed_calls(log, width, delay).writeStream.outputMode("update").foreachBatch(save)
-        .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+        log.writeStream.foreachBatch(save).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
     )
     try:
-        if not query.awaitTermination(timeout):
+        if query.awaitTermination(timeout) is False:
             raise TimeoutError("the stream did not finish in time; call again to continue")
     finally:
         query.stop()
-    return latest_counts(spark, out)
+    return total_counts(spark, out)
 
 
-def latest_counts(spark: SparkSession, out: str) -> DataFrame:
+def total_counts(spark: SparkSession, out: str) -> DataFrame:
     """(start, agent, calls, input_tokens, output_tokens) from the batches written so far."""
-    rows = spark.read.parquet(f"{out}/batches").drop("b")
-    last = F.max_by(F.struct("calls", "input_tokens", "output_tokens"), "_batch").alias("v")
-    return rows.groupBy("start", "agent").agg(last).select("start", "agent", "v.*")
+    sums = ("calls", "input_tokens", "output_tokens")
+    return spark.read.parquet(f"{out}/batches").groupBy("start", "agent").agg(*[F.sum(c).alias(c) for c in sums])

@@ -1,13 +1,19 @@
 """Cases that earlier versions got wrong."""
 
+import datetime as dt
+
 import pytest
 
 from pyspark.sql import functions as F
 
-from tablescope.functions.text import plan_steps
-from tablescope.operators.hypothesis import group_comparison
+from tablescope.functions.text import plan_steps, split_report_lines
+from tablescope.operators.hypothesis import group_comparison, kruskal_wallis
+from tablescope.operators.iforest import isolation_forest
 from tablescope.operators.logs import log_running_totals
+from tablescope.operators.numeric import value_ranges
 from tablescope.operators.query import query_table, query_text
+from tablescope.operators.timeseries import autocorrelation, rolling_mean
+from tablescope.sources.files import dedup_files
 
 
 def test_query_text_counts_what_it_leaves_out(spark):
@@ -46,3 +52,53 @@ def test_running_totals_without_run_id(spark, named):
 def test_plan_must_be_whole_json(spark):
     rows = spark.createDataFrame([("['a','b']",), ('["a"] and more',), ('["a", "b"]',)], "t string")
     assert [r[0] for r in rows.select(plan_steps(F.col("t"), ["f"])).collect()] == [["f"], ["f"], ["a", "b"]]
+
+
+def test_bullets_are_cleaned_with_their_mark(spark):
+    rows = spark.createDataFrame([(1, "-   x\n- **\n- *a* b\n  # h\n**bold**")], "k int, t string")
+    got = [(r["kind"], r["text"]) for r in split_report_lines(rows, ["k"], "t").orderBy("line").collect()]
+    assert got == [("bullet", "•   x"), ("bullet", "•"), ("bullet", "• a b"), ("h1", "h"), ("body", "bold")]
+
+
+def test_files_of_two_folders_are_not_compared(spark):
+    names = ["runA/plot_1_1.png", "runB/plot_1_1.png", "runB/plot_1_2.png", "runA/plot_2.png", "runB/plot_2_1.png"]
+    files = spark.createDataFrame([(n, bytearray(b"same")) for n in names], "path string, content binary")
+    assert sorted(r["path"] for r in dedup_files(files).collect()) == sorted([names[0], names[1], names[3], names[4]])
+
+
+def test_forest_flags_an_exact_share_whatever_the_partitions(spark):
+    df = spark.range(2_000).select("id", F.randn(1).alias("a"), F.randn(2).alias("b")).union(spark.range(5_000, 5_005).selectExpr("id", "50D", "-50D"))
+    df = spark.createDataFrame(df.toPandas())
+    flags = [{r["id"] for r in isolation_forest(d, ["id"], trees=20).where("is_outlier").collect()} for d in (df, df.repartition(13))]
+    assert flags[0] == flags[1] and len(flags[0]) in (100, 101) and flags[0] >= set(range(5_000, 5_005))
+
+
+def test_rolling_mean_forgets_huge_and_infinite_values(spark):
+    day = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
+    rows = [(day(0), 1e9), (day(3), float("inf"))] + [(day(n), 1e-6 * n) for n in range(5, 80)]
+    got = {r["t"]: r["rolling_mean"] for r in rolling_mean(spark.createDataFrame(rows, "t timestamp_ntz, x double"), "t", "x", days=10).collect()}
+    for t, _ in rows:
+        window = [x for u, x in rows if t - dt.timedelta(days=10) < u <= t]
+        assert got[t] == pytest.approx(sum(window) / len(window), rel=1e-12)
+
+
+def test_rows_without_a_tie_key_are_kept(spark):
+    rows = [(dt.datetime(2024, 1, 1, i // 2), None if i % 2 else str(i), float(i % 3)) for i in range(8)]
+    got = autocorrelation(spark.createDataFrame(rows, "t timestamp_ntz, k string, x double"), "x", "t", "k", 2).collect()
+    assert {r["n"] for r in got} == {8} and got[0]["r"] == pytest.approx(1.0)
+
+
+def test_kruskal_matches_the_definition(spark):
+    rows = [("abc"[i % 3], float((i * 7) % 11)) for i in range(60)]
+    ordered = sorted(x for _, x in rows)
+    rank = {x: ordered.index(x) + (ordered.count(x) + 1) / 2 for x in set(ordered)}
+    total = sum(20 * (sum(rank[x] for h, x in rows if h == g) / 20 - 30.5) ** 2 for g in "abc") * 12 / (60 * 61)
+    ties = sum(ordered.count(x) ** 3 - ordered.count(x) for x in set(ordered))
+    got = kruskal_wallis(spark.createDataFrame(rows, "g string, x double"), "g", "x").first()
+    assert got["h"] == pytest.approx(total / (1 - ties / (60**3 - 60)), rel=1e-12)
+
+
+def test_ranges_keep_big_integers_and_dates(spark):
+    rows = spark.createDataFrame([(2**53 + 1, dt.date(2024, 1, 2), float("nan")), (5, None, 2.5)], "a bigint, d date, x double")
+    got = {r["column"]: (r["min"], r["max"]) for r in value_ranges(rows).collect()}
+    assert got == {"a": ("5", str(2**53 + 1)), "d": ("2024-01-02", "2024-01-02"), "x": ("2.5", "2.5")}

@@ -128,13 +128,22 @@ def test_stream_equals_batch_and_resumes(spark, folder):
     G.write_run_log(log_rows(spark, 5, 60), path)
     put(folder + "/log", "broken.json", "{oops\n")
     second = stream_log_counts(spark, path, out=out, files_per_batch=1)
-    batch = windowed_calls(G.read_run_log(spark, path), "1 hour", "1 day")
+    batch = windowed_calls(G.read_run_log(spark, path), "1 hour")
     assert sorted(second.collect()) == sorted(batch.collect())
     assert first.agg(F.sum("calls")).first()[0] < second.agg(F.sum("calls")).first()[0] if first.count() else True
     overall = G.log_token_totals(G.read_run_log(spark, path)).where("agent is null").first()
     assert overall["calls"] == second.agg(F.sum("calls")).first()[0]
 
 
+def test_stream_counts_records_that_come_days_late(spark, folder):
+    path, shift = folder + "/log", F.expr("make_dt_interval(day)")
+    for day in (10, 11, 12, 1):
+        G.write_run_log(log_rows(spark, 3, 15).withColumn("day", F.lit(day)).withColumn("ts", F.col("ts") + shift).drop("day"), path)
+    stream = stream_log_counts(spark, path, out=scratch_path(spark, "late"), files_per_batch=1)
+    batch = windowed_calls(G.read_run_log(spark, path), "1 hour")
+    assert sorted(stream.collect()) == sorted(batch.collect()) and len({r["start"].date() for r in batch.collect()}) == 4
+
+
 def test_malformed_lines_are_counted(spark, folder):
     os.mkdir(folder + "/l")
     put(folder + "/l", "a.json", '{"ts": "2024-01-01T00:00:00", "event": "x"}\n{bad\n{"event": "y"}\n')
