@@ -106,7 +106,8 @@ def isolation_forest(
 
     def score(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for series in parts:
-            x = np.ascontiguousarray(np.column_stack([s.to_numpy(dtype=float) for s in series]))
+            columns = series if isinstance(series, tuple) else (series,)  # one column comes without a tuple
+            x = np.ascontiguousarray(np.column_stack([s.to_numpy(dtype=float) for s in columns]))
             depth = sum(path_lengths(x, t, levels) for t in shipped.value) / len(shipped.value)
             yield pd.Series(np.exp2(-depth / norm))
 

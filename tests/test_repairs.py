@@ -102,3 +102,9 @@ def test_ranges_keep_big_integers_and_dates(spark):
     rows = spark.createDataFrame([(2**53 + 1, dt.date(2024, 1, 2), float("nan")), (5, None, 2.5)], "a bigint, d date, x double")
     got = {r["column"]: (r["min"], r["max"]) for r in value_ranges(rows).collect()}
     assert got == {"a": ("5", str(2**53 + 1)), "d": ("2024-01-02", "2024-01-02"), "x": ("2.5", "2.5")}
+
+
+def test_forest_of_one_column(spark):
+    rows = [(i, float(i % 10)) for i in range(2_000)] + [(9_999, 1e6)]
+    got = isolation_forest(spark.createDataFrame(rows, "id int, x double"), ["id"], ["x"], trees=20).where("is_outlier").collect()
+    assert 9_999 in {r["id"] for r in got}
