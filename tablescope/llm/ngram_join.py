@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import AtomicType
 
 from .components import connected_components
 from .scratch import remove, stored, total_rows
@@ -32,7 +33,7 @@ GROUP = 64
 FILTER_BITS = 1 << 23
 FAMILIES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
-_SETS = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("slice", pa.int32()), ("task", pa.int32()), ("cells", pa.binary()), ("counts", pa.binary())])
+_SETS = pa.schema([("doc", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("slice", pa.int32()), ("task", pa.int32()), ("cells", pa.binary()), ("counts", pa.binary())])
 _PREFIXES = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("first", pa.list_(pa.int64())), ("families", pa.list_(pa.int64())), ("typical", pa.float64())])
 _MEMBERS = pa.schema([("f1", pa.int64()), ("f2", pa.int64()), ("grams", pa.binary())])
 
@@ -63,23 +64,26 @@ def _columns(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _sets(n: int):
-    """A row for each document with size and fingerprint of its set, and for each task the slices of its part of the sketch."""
+    """A row for each document with the hashes of its text, size and fingerprint of its set, and for each task the slices of its part of
+    the sketch."""
 
     def run(batches):
         from pyspark import TaskContext
 
         counts = np.zeros(CELLS, np.uint8)
-        for docs, sets in _set_batches(batches, n):
-            for grams in sets:
-                cell = _cell(grams)
-                counts[cell] += counts[cell] < 255
-            yield _columns(_SETS, [(d, len(g), *_fingerprint(g), None, None, None, None) for d, g in zip(docs, sets)])
+        for batch in batches:
+            hashes = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
+            for docs, sets in _set_batches([batch], n):
+                for grams in sets:
+                    cell = _cell(grams)
+                    counts[cell] += counts[cell] < 255
+                yield _columns(_SETS, [(d, *t, len(g), *_fingerprint(g), None, None, None, None) for d, t, g in zip(docs, hashes, sets)])
         task, width = TaskContext.get().partitionId(), CELLS // SLICES
         for i in range(SLICES):
             part = counts[i * width:(i + 1) * width]
             used = np.flatnonzero(part)
             if len(used):
-                yield _columns(_SETS, [(None, None, None, None, i, task, used.astype(np.uint16).tobytes(), part[used].tobytes())])
+                yield _columns(_SETS, [(None, None, None, None, None, None, i, task, used.astype(np.uint16).tobytes(), part[used].tobytes())])
 
     return run
 
@@ -115,6 +119,11 @@ def _sketch(slices: DataFrame) -> np.ndarray:
     return sketch
 
 
+def _text_hashes(text: Column) -> list[Column]:
+    """128 bits of a text, byte for byte."""
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
+
+
 def _least_overlap(n, threshold):
     """The n-grams of a set of n that any set similar enough must share."""
     top, bottom = threshold
@@ -183,8 +192,8 @@ class _Classes:
     def __init__(self, docs: DataFrame, n: int, threshold: tuple[int, int], text: str, key: str):
         self.spark, self.n, self.threshold = docs.sparkSession, n, threshold
         self.texts = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-        both = stored(self.texts.mapInArrow(_sets(n), _ddl(_SETS)), "gram-sets")
-        self.docs = both.where("slice is null").select("doc", "n", "f1", "f2")
+        both = stored(self.texts.select("doc", "text", *_text_hashes(F.col("text"))).mapInArrow(_sets(n), _ddl(_SETS)), "gram-sets")
+        self.docs = both.where("slice is null").select("doc", "t1", "t2", "n", "f1", "f2")
         sketch = self.spark.sparkContext.broadcast(_sketch(both.where("slice is not null").select("slice", "task", "cells", "counts")))
         rows = self.texts.mapInArrow(_prefixes(n, threshold, sketch), _ddl(_PREFIXES))
         classes = rows.groupBy("f1", "f2").agg(F.min("doc").alias("doc"), *[F.first(c).alias(c) for c in ("n", "first", "families", "typical")])
@@ -255,11 +264,17 @@ class _Classes:
         return pairs.select(F.col("cid").alias("a"), "b")
 
     def labelled(self, components: DataFrame) -> DataFrame:
-        """(f1, f2, component_id): the smallest document id of the component of each class."""
+        """(f1, f2, root, component_id) of each class: its component and the smallest document id in it."""
         rows = self.classes.select("cid", "doc", "f1", "f2").join(components, F.col("cid") == F.col("node"), "left")
         rows = rows.select("doc", "f1", "f2", F.coalesce("root", "cid").alias("root"))
         least = stored(rows.groupBy("root").agg(F.min("doc").alias("component_id")), "gram-least", self.rows)
-        return stored(rows.join(least, "root").select("f1", "f2", "component_id"), "gram-result", self.rows)
+        return stored(rows.join(least, "root").select("f1", "f2", "root", "component_id"), "gram-result", self.rows)
+
+    def linked(self) -> DataFrame:
+        """The components of all classes, as ``labelled`` gives them."""
+        near = self.partition()
+        far = self.links(self.matrix_pairs(connected_components(near)))
+        return self.labelled(connected_components(near.union(far)))
 
 
 def ngram_components(docs: DataFrame, n: int = 3, threshold: tuple[int, int] = (9, 10), text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -271,23 +286,26 @@ def ngram_components(docs: DataFrame, n: int = 3, threshold: tuple[int, int] = (
     Repeated rows stay and are linked like any equal texts; a null key counts behind all others, so a component has a null id only if all
     its keys are null.  An empty table gives an empty result; further columns are ignored."""
     classes = _Classes(docs, n, threshold, text, key)
-    near = classes.partition()
-    far = classes.links(classes.matrix_pairs(connected_components(near)))
-    labels = classes.labelled(connected_components(near.union(far)))
-    return classes.docs.join(labels, ["f1", "f2"], "left").select(
+    return classes.docs.join(classes.linked(), ["f1", "f2"], "left").select(
         F.col("doc").alias(key), F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc")).alias("component_id"),
     )
 
 
 def keep_one_of_each(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (4, 5), text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of ``docs``, all columns, with the smallest key of each component; one row if several share it.
-
-    Rows without n-grams are linked with nothing and all stay.  Of a component whose keys are all null one row stays."""
-    found = ngram_components(docs, n, threshold, text, key)
-    kept = found.where("n_shingles > 0").select(F.col("component_id").alias("k")).distinct()
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
-    blank = ~F.coalesce(F.col("t"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    first = rows.where(~blank).withColumn("twin", F.row_number().over(Window.partitionBy("k").orderBy("t"))).where("twin = 1")
-    chosen = first.join(kept.hint("shuffle_hash"), first["k"].eqNullSafe(kept["k"]), "left_semi").select("row.*")
-    return chosen.union(rows.where(blank).select("row.*"))
+    """One row of ``docs``, all columns, of each component: the smallest key, null last, and of equal keys the text with the smallest hash.
+
+    Keys need not name one text: components are told apart by their texts, so unrelated texts of one key, or without any, all stay.  Of
+    copies with the same key and text one stays.  Rows without n-grams are linked with nothing and all stay."""
+    classes = _Classes(docs, n, threshold, text, key)
+    rows = classes.docs.where("n > 0").join(classes.linked(), ["f1", "f2"])
+    kept = rows.groupBy("root").agg(F.min(F.struct(F.col("doc").isNull().alias("nameless"), "doc", "t1", "t2")).alias("best"))
+    kept = stored(kept.select(F.col("best.doc").alias("k"), F.col("best.t1").alias("t1"), F.col("best.t2").alias("t2")), "gram-kept", classes.rows)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    whole = docs.select(row, F.col(key).cast("long").alias("doc"), F.col(text).alias("text"), *_text_hashes(F.col(text)))
+    blank = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    same = whole["doc"].eqNullSafe(kept["k"]) & (whole["t1"] == kept["t1"]) & (whole["t2"] == kept["t2"])
+    chosen = whole.where(~blank).join(kept.hint("shuffle_hash"), same, "left_semi")
+    others = [F.col(f"row.`{f.name}`") for f in docs.schema if f.name not in (text, key) and isinstance(f.dataType, AtomicType) and f.dataType.typeName() != "variant"]
+    copy = F.row_number().over(Window.partitionBy("doc", "t1", "t2").orderBy(F.xxhash64(F.lit(0), *others)))
+    return chosen.withColumn("copy", copy).where("copy = 1").select("row.*").union(whole.where(blank).select("row.*"))

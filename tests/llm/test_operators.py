@@ -86,6 +86,15 @@ def test_ngram_edge_cases(spark, docs, none):
     assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 0, 1, 2, 3, 4, 6, 7, 8, 9, 11]
 
 
+def test_one_of_each_component_stays_whatever_its_keys(spark):
+    one, two, three, four = (" ".join(f"{name}{i}" for i in range(20)) for name in ("red", "green", "blue", "grey"))
+    rows = [(None, one), (None, two), (None, two), (7, three), (7, four), (3, one + " x"), (8, one + " y"), (8, "lone words of nobody else"), (8, one + " y")]
+    for order in (rows, rows[::-1]):
+        kept = ngram_join.keep_one_of_each(docs_frame(spark, order), 3, (4, 5)).collect()
+        assert sorted(((r["doc_id"], r["text"]) for r in kept), key=str) == sorted(
+            [(3, one + " x"), (None, two), (7, three), (7, four), (8, "lone words of nobody else")], key=str)
+
+
 @pytest.mark.parametrize("n, threshold", [(5, (4, 5)), (2, (1, 2))])
 def test_ngram_near_copies(spark, n, threshold):
     rng = np.random.default_rng(n)
