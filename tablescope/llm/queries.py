@@ -66,11 +66,11 @@ def _of_kinds(kinds: list[str]) -> Column:
 
 
 def id_files(spark: SparkSession, sf: str) -> DataFrame:
-    """op7: token ids of every document in compressed, checked blocks, read back."""
+    """op7: token ids of every document, as the tokenizer's plain ``encode`` gives them, in compressed, checked blocks, read back."""
     import public_tokenizers
 
     path = scratch_path(spark, "llm-ids")
-    token_files.write_ids(table(spark, sf, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    token_files.write_ids(table(spark, sf, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), special=True)
     return token_files.read_index(spark, path)
 
 

@@ -30,13 +30,14 @@ _SPACED = re.compile(r"\s\s")
 class WordEncoder:
     """Token ids of texts.  A byte-level tokenizer splits texts in front of a single blank between two words whatever follows, so words
     with the blank before them are encoded once and remembered; a text with two white-space characters in a row is encoded whole.  The
-    memory is bounded: after CACHED words it starts anew."""
+    memory is bounded: after CACHED words it starts anew.  With ``special`` a special token written out in a text is that token, as it is
+    for ``Tokenizer.encode``; else it is text like any other."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
         self.known: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -54,14 +55,14 @@ class WordEncoder:
         return [b"".join([known[w] if w in known else fresh[w] for w in words]) for words in parts]
 
 
-def _written(path: str, end: int, block_ids: int):
+def _written(path: str, end: int, block_ids: int, special: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, part = WordEncoder(path), TaskContext.get().partitionId()
+        encoder, part = WordEncoder(path, special), TaskContext.get().partitionId()
         closing = np.array([end], dtype="<u4").tobytes()
         keys, counts, held, size, block, start = [], [], [], 0, 0, 0
 
@@ -93,15 +94,18 @@ def _written(path: str, end: int, block_ids: int):
     return run
 
 
-def write_ids(docs: DataFrame, path: str, tokenizer: str, end: int = END, block_ids: int = BLOCK, text: str = "text", key: str = "doc_id") -> None:
+def write_ids(
+    docs: DataFrame, path: str, tokenizer: str, end: int = END, block_ids: int = BLOCK, text: str = "text", key: str = "doc_id", special: bool = False
+) -> None:
     """Write the ids of every text and ``end`` after each to ``path``, in ascending key order, null keys last.
 
     Null is an empty text; repeated keys stay, in an order that depends on their texts; an empty table writes no block.  Further columns
-    are ignored.  ``tokenizer`` is the path of a tokenizer file that every machine has."""
+    are ignored.  ``tokenizer`` is the path of a tokenizer file that every machine has.  ``special`` gives the ids of the library's plain
+    ``encode`` where a text holds a special token's own name; without it the name is encoded as text."""
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     order = [F.col("key").asc_nulls_last(), F.xxhash64("text")]
     ranged = rows.repartitionByRange(parallelism(docs.sparkSession), *order).sortWithinPartitions(*order)
-    ranged.mapInArrow(_written(tokenizer, end, block_ids), _BLOCKS_DDL).write.parquet(path)
+    ranged.mapInArrow(_written(tokenizer, end, block_ids, special), _BLOCKS_DDL).write.parquet(path)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -252,6 +252,24 @@ def test_token_files(spark, docs, none):
     assert token_files.read_index(spark, path).count() == 0
 
 
+def test_special_tokens_are_plain_encode(spark, tmp_path):
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    rng, bits = np.random.default_rng(7), ["a", " ", "bc", "<|endoftext|>", "<|end", "oftext|>", "\n", "  ", "'ll", "7", ".", "é", "\t"]
+    texts = ["a b <|endoftext|> c", "<|endoftext|>", "x<|endoftext|> ", " <|endoftext|> <|endoftext|>y", "<|endoftext|>\n z"]
+    texts += ["".join(rng.choice(bits, rng.integers(1, 12))) for _ in range(300)]
+    rows, at, expected = list(enumerate(texts)), 0, []
+    for key, text in rows:
+        ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 2], dtype="<u4")
+        expected.append((key, at, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    docs_frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    found = QUERIES["op7_id_files"][0](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, found)) == expected
+
+
 def test_secrets_are_scanned_once(spark, docs, none):
     rows = [(1, 'é password = "abcdefgh1" token:short'), (2, "AKIA" + "A" * 12 + " " + "0" * 31 + " " + "a" * 32), (3, None), (4, 'é password = "abcdefgh1" token:short'),
             (5, "token=secret: abcdefgh12"), (None, "api-key apikey: '12345678'"), (6, " ".join(f"secret={i:08d}" for i in range(200)))]
