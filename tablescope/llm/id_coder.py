@@ -2,7 +2,10 @@
 
 A block's ids are cut into lanes of STEPS ids that are coded side by side, so every step of the model works on all lanes at once.  The
 lanes of a block share one adaptive model: counts of all ids so far (order 0), the id last seen after the one before (order 1) and after
-the two before (order 2).  The three are mixed by how often predictions of that confidence have held in the block."""
+the two before (order 2).  The three are mixed by how often predictions of that confidence have held in the block.
+
+More than MOST ids are a sealed series of blocks.  The counts of a block must stay below the least mass that order 0 can get, 2^26, or an
+id not seen so far would have no share of it; the limit also bounds the memory of a block."""
 
 from __future__ import annotations
 
@@ -12,10 +15,13 @@ import zlib
 import numpy as np
 
 MAGIC = b"IDB1"
+SERIES = b"IDS1"
+SERIES_HEAD = "<4sQI"
 HEAD = "<4sQIIIIII"
 STEPS = 256
 TOTAL = 32  # bits of the mixed distribution
 INCREMENT = 32
+MOST = 3 << 19  # MOST * (INCREMENT + 1) < 2^26
 SLOTS_BITS = 18
 LEVELS = 8
 _U = np.uint64
@@ -95,8 +101,16 @@ def _shape(n: int) -> tuple[int, int]:
 
 
 def encode(ids: np.ndarray) -> bytes:
-    """A block of unsigned 32-bit ids, up to a few million; the same ids give the same bytes."""
+    """Any number of unsigned 32-bit ids as one block, or as a series of blocks; the same ids give the same bytes."""
     ids = np.ascontiguousarray(ids, dtype="<u4")
+    if len(ids) <= MOST:
+        return _block(ids)
+    blocks = [_block(part) for part in np.array_split(ids, -(-len(ids) // MOST))]
+    sizes = np.array([len(b) for b in blocks], dtype="<u8").tobytes()
+    return _sealed(b"".join([struct.pack(SERIES_HEAD, SERIES, len(ids), len(blocks)), sizes, *blocks]))
+
+
+def _block(ids: np.ndarray) -> bytes:
     alphabet, dense = np.unique(ids, return_inverse=True)
     symbols = zlib.compress(np.diff(alphabet, prepend=np.uint32(0)).astype("<u4").tobytes(), 6)
     if not len(ids):
@@ -154,10 +168,24 @@ def _shift(low: np.ndarray, width: np.ndarray, active: int, move) -> None:
 
 
 def decode(block: bytes) -> np.ndarray:
-    """The ids of a block; raises ValueError if the block is damaged."""
-    if len(block) < struct.calcsize(HEAD) + 4 or _sealed(block[:-4]) != block:
+    """The ids of a block or a series of blocks; raises ValueError if it is damaged."""
+    if len(block) < struct.calcsize(SERIES_HEAD) + 4 or _sealed(block[:-4]) != block:
+        raise ValueError("damaged block of ids")
+    if block[:4] != SERIES:
+        return _decoded_block(block[:-4])
+    _, n, parts = struct.unpack_from(SERIES_HEAD, block)
+    at = struct.calcsize(SERIES_HEAD)
+    ends = at + 8 * parts + np.cumsum(np.frombuffer(block, "<u8", parts, at), dtype=np.int64)
+    begins = [at + 8 * parts, *ends[:-1].tolist()]
+    result = np.concatenate([decode(block[a:b]) for a, b in zip(begins, ends.tolist())])
+    if len(result) != n:
+        raise ValueError("damaged block of ids")
+    return result
+
+
+def _decoded_block(block: bytes) -> np.ndarray:
+    if len(block) < struct.calcsize(HEAD):
         raise ValueError("damaged block of ids")
-    block = block[:-4]
     magic, n, steps, crc, symbols, n_symbols, n_sizes, n_words = struct.unpack_from(HEAD, block)
     if magic != MAGIC or len(block) != struct.calcsize(HEAD) + n_symbols + n_sizes + n_words or (n and steps != STEPS):
         raise ValueError("not a block of ids")

@@ -1,7 +1,8 @@
 """Texts as files of token ids in ascending key order, written and read by Spark.
 
 A file is a Parquet part whose rows are blocks of about BLOCK ids (see ``id_coder``), each with the keys and id counts of its texts; a text
-is never split between blocks.  Parts hold ranges of the key order.  The tokenizer's file is a parameter and is read where it is."""
+is never split between rows, but a row of many ids is a series of blocks that are reset one by one.  Parts hold ranges of the key order.
+The tokenizer's file is a parameter and is read where it is."""
 
 from __future__ import annotations
 

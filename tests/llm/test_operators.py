@@ -227,6 +227,18 @@ def test_blocks_of_ids(n, top):
             id_coder.decode(bytes(hurt))
 
 
+def test_a_long_repetitive_text_and_new_ids():
+    ids = np.zeros(4_000_000, np.uint32)
+    ids[-9:] = np.arange(1, 10)
+    coded = id_coder.encode(ids)
+    assert (id_coder.decode(coded) == ids).all() and coded == id_coder.encode(ids)
+    for at in (0, 5, 14, 20, 40, 60, len(coded) // 2, len(coded) - 1):
+        hurt = bytearray(coded)
+        hurt[at] ^= 16
+        with pytest.raises(ValueError):
+            id_coder.decode(bytes(hurt))
+
+
 def test_token_files(spark, docs, none):
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
