@@ -49,12 +49,15 @@ def warc_fixity(spark: SparkSession, sf: str) -> DataFrame:
     """op6: pages in two WARC replicas, the second damaged by a rule on page_id; every record's size and whether the replicas agree."""
     path = scratch_path(spark, "llm-warc")
     flipped = F.concat(F.lit("?"), F.expr("substring(body, 2)"))
+    shorter, longer = F.expr("left(body, length(body) - 1)"), F.concat("body", F.lit("?"))
     blanked = F.repeat(F.lit("0"), F.octet_length("body"))
-    damaged = F.when(F.col("body") == "", F.col("body")).when(F.col("key") % 97 == 5, flipped).when(F.col("key") % 89 == 7, blanked)
+    hurt = F.when(F.col("key") % 3 == 0, flipped).when(F.col("key") % 3 == 1, shorter).otherwise(longer)
+    damaged = F.when(F.col("body") == "", F.col("body")).when(F.col("key") % 97 == 5, hurt).when(F.col("key") % 89 == 7, blanked)
     warc.write_replicas(table(spark, sf, "pages"), path, {"one": F.col("body"), "two": damaged.otherwise(F.col("body"))})
     one, two = (stored(warc.record_table(spark, f"{path}/replica={n}"), "warc-records") for n in ("one", "two"))
     wrong = stored(warc.audit(one, two), "warc-wrong")
-    joined = one.join(wrong, ["volume", "start"], "left")
+    extra = wrong.where("state = 'extra'").select("volume", F.col("start_two").alias("start"), "state")
+    joined = one.join(wrong.drop("start_two"), ["volume", "start"], "left").unionByName(two.join(extra, ["volume", "start"]))
     return joined.select(
         F.expr("try_cast(regexp_extract(record_id, '([0-9-]+)$', 1) AS long)").alias("page_id"), F.col("length").alias("n_bytes"),
         F.coalesce("state", F.lit("intact")).alias("state"), "digest",

@@ -2,7 +2,8 @@
 
 A replica is a folder of gzipped WARC files, written by Spark in one task per file; files hold ranges of the page order.  An audit hashes
 every record, then the ordered records of each 64 KiB offset range, then sixteen ranges at a time up to one root for each file.  Only
-roots are compared for all files; below a root that differs the children are compared, and so on down to the records."""
+roots are compared for all files; below a root that differs the children are compared, and so on down to the records.  Records of ranges
+that differ are paired by id and digest, as a record that is lost, added or of another length moves all behind it."""
 
 from __future__ import annotations
 
@@ -12,7 +13,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..session import parallelism
 from .scratch import stored
@@ -21,6 +22,8 @@ END = "\r\n\r\n"
 RANGE_BITS = 16
 FAN_BITS = 4
 LEVELS = 6
+CHUNK = 1 << 16
+GZIP = b"\x1f\x8b\x08"
 _START = re.compile(rb"WARC/1\.\d\r\n")
 _LENGTH = re.compile(rb"\r\nContent-Length: *(\d+)\r\n", re.I)
 _ID = re.compile(rb"\r\nWARC-Record-ID: *<([^>\r\n]*)>", re.I)
@@ -68,11 +71,31 @@ def split_records(data: bytes) -> Iterator[tuple[int, int, str | None]]:
         at = end
 
 
+def inflated(data: bytes) -> bytearray:
+    """The content of all gzip members of a file.  Of a damaged member all that can be read is kept, and reading goes on at the next."""
+    out, view, at = bytearray(), memoryview(data), 0
+    while 0 <= at < len(data):
+        member, begin = zlib.decompressobj(31), at
+        try:
+            while not member.eof and at < len(data):
+                before = member.copy()
+                out += member.decompress(view[at:at + CHUNK])
+                at = min(at + CHUNK, len(data)) - len(member.unused_data)
+        except zlib.error:
+            try:
+                for i in range(at, min(at + CHUNK, len(data))):
+                    out += before.decompress(view[i:i + 1])
+            except zlib.error:
+                pass
+            at = data.find(GZIP, begin + 1)
+    return out
+
+
 def _hash_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
             data = content.as_py()
-            data = zlib.decompressobj(47).decompress(data) if data[:2] == b"\x1f\x8b" else data
+            data = inflated(data) if data[:2] == b"\x1f\x8b" else data
             rows = [(path.rsplit("/", 1)[-1], s, n, name, hashlib.sha256(data[s:s + n]).hexdigest()) for s, n, name in split_records(data)]
             for begin in range(0, len(rows), 10_000):
                 columns = zip(*rows[begin:begin + 10_000])
@@ -108,11 +131,48 @@ def _differing(one: DataFrame, two: DataFrame, *keys: str) -> DataFrame:
     return both.where(~F.col("d1").eqNullSafe(F.col("d2")))
 
 
+def _aligned(one: DataFrame, two: DataFrame) -> DataFrame:
+    """(volume, start, start_two, state) of the records of two tables, paired wherever they lie.
+
+    Equal records of one id are ``intact``, in order; then records of one id are ``changed``; then, between the pairs found so far, a record
+    whose id cannot be read is ``changed`` with the one in the same place of the other side.  What is left is ``missing`` or ``extra``."""
+    sides = [t.select("volume", "record_id", "digest", *(F.col("start").alias(n) if n == m else F.lit(None).cast("long").alias(n) for n in ("s1", "s2")))
+             for t, m in ((one, "s1"), (two, "s2"))]
+
+    def paired(rows: DataFrame, *keys: str) -> DataFrame:
+        number = F.row_number().over(Window.partitionBy(*keys, F.col("s1").isNull()).orderBy(F.coalesce("s1", "s2")))
+        rows = rows.withColumn("number", number).groupBy(*keys, "number")
+        return rows.agg(*[F.max(c).alias(c) for c in ("s1", "s2", "record_id", "digest", "same") if c not in keys])
+
+    both = F.col("s1").isNotNull() & F.col("s2").isNotNull()
+    found = paired(sides[0].union(sides[1]).withColumn("same", F.lit(None).cast("boolean")), "volume", "record_id", "digest").withColumn("same", both)
+    found = stored(found.select("volume", "record_id", "digest", "s1", "s2", "same"), "warc-equal")
+    named = paired(found.where(~F.col("same") & F.col("record_id").isNotNull()), "volume", "record_id").select(*found.columns)
+    found = stored(found.where(F.col("same") | F.col("record_id").isNull()).union(named), "warc-named")
+    unread = found.where(~both & F.col("record_id").isNull()).select("volume").distinct()
+    near = found.join(unread, "volume", "left_semi")
+    loose = []
+    for place in ("s1", "s2"):
+        gap = F.count(F.when(both, 1)).over(Window.partitionBy("volume").orderBy(place).rowsBetween(Window.unboundedPreceding, 0))
+        rows = near.where(F.col(place).isNotNull()).withColumn("gap", gap).where(~both)
+        number = F.row_number().over(Window.partitionBy("volume", "gap").orderBy(place))
+        loose.append(rows.select("volume", "gap", number.alias("number"), F.col(place), F.col("record_id").alias(place + "_id")))
+    met = loose[0].join(loose[1], ["volume", "gap", "number"]).where("s1_id IS NULL OR s2_id IS NULL").select("volume", "s1", "s2")
+    met = stored(met, "warc-met")
+    alone = found.where(~both)
+    for place in ("s1", "s2"):
+        alone = alone.join(met.select("volume", F.col(place).alias("met")), [alone["volume"] == met["volume"], F.col(place) == F.col("met")], "left_anti")
+    state = F.when(F.col("same"), "intact").when(F.col("s2").isNull(), "missing").when(F.col("s1").isNull(), "extra").otherwise("changed")
+    every = found.where(both).union(alone).select("volume", "s1", "s2", state.alias("state")).union(met.withColumn("state", F.lit("changed")))
+    return every.select("volume", F.col("s1").alias("start"), F.col("s2").alias("start_two"), "state")
+
+
 def audit(one: DataFrame, two: DataFrame) -> DataFrame:
-    """(volume, start, state) of every record that differs between two record tables: ``changed``, ``missing`` or ``extra`` in the second.
+    """(volume, start, start_two, state) of every record that differs between two record tables: ``changed``, ``missing`` or ``extra`` in the
+    second.  ``start`` is its place in the first, null if extra; ``start_two`` its place in the second, null if missing.
 
     Trees are built for both; each level is compared only below nodes that differ.  Equal tables, two empty ones too, give no rows; a
-    volume that only one side has differs as a whole."""
+    volume that only one side has differs as a whole.  A record that only lies elsewhere in its volume does not differ."""
     trees = [merkle_tree(t) for t in (one, two)]
     wrong = _differing(*[t.where(F.col("level") == LEVELS - 1) for t in trees], "volume", "node").select("volume", "node")
     for level in reversed(range(LEVELS - 1)):
@@ -122,5 +182,4 @@ def audit(one: DataFrame, two: DataFrame) -> DataFrame:
         wrong = _differing(*below, "volume", "node").select("volume", "node")
     wrong = stored(wrong, "merkle-wrong")
     below = [t.withColumn("node", F.shiftright("start", RANGE_BITS)).join(wrong, ["volume", "node"], "left_semi") for t in (one, two)]
-    state = F.when(F.col("d2").isNull(), "missing").when(F.col("d1").isNull(), "extra").otherwise("changed")
-    return _differing(*below, "volume", "start").select("volume", "start", state.alias("state"))
+    return _aligned(*below).where("state <> 'intact'")

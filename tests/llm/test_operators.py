@@ -1,5 +1,6 @@
 """The operators for training data: SQL, brute force, and the cases their docstrings define."""
 
+import gzip
 import itertools
 import sys
 import zlib
@@ -206,6 +207,29 @@ def test_warc_audit(spark):
     assert warc.audit(a.where("false"), a.where("false")).count() == 0
 
 
+def test_warc_members_and_moved_records(spark, tmp_path):
+    record = lambda i, body: f"WARC/1.0\r\nWARC-Record-ID: <r{i}>\r\nContent-Length: {len(body)}\r\n\r\n{body}\r\n\r\n".encode()
+    rng = np.random.default_rng(1)
+    records = {i: record(i, "".join(rng.choice(list("abcdef"), 4000))) for i in range(60)}
+    second = {**records, 12: record(12, "short"), 30: records[30][:-900], 45: records[45] + record("new", "an extra one"), 50: record(50, "x" * 9000)}
+    del second[5]
+    packed = {i: gzip.compress(r) for i, r in second.items()}
+    torn = bytearray(packed[55])
+    torn[len(torn) // 2] ^= 255
+    packed[55] = bytes(torn)
+    for name, parts in (("one", [gzip.compress(r) for r in records.values()]), ("whole", [gzip.compress(b"".join(records.values()))]), ("two", packed.values())):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "v.warc.gz").write_bytes(b"".join(parts))
+    one, whole, two = (warc.record_table(spark, str(tmp_path / n)) for n in ("one", "whole", "two"))
+    assert one.count() == 60 and warc.audit(one, whole).count() == 0
+    wrong = warc.audit(one, two).where("start IS NOT NULL").join(one, ["volume", "start"]).collect()
+    assert sorted((r["record_id"], r["state"]) for r in wrong) == [("r12", "changed"), ("r30", "changed"), ("r5", "missing"), ("r50", "changed"), ("r55", "changed")]
+    extra = warc.audit(one, two).where("start IS NULL").collect()
+    assert [(r["state"], r["start_two"]) for r in extra] == [("extra", sum(len(second[i]) for i in second if i < 45) + len(records[45]))]
+    back = warc.audit(two, one).groupBy("state").count().collect()
+    assert {r["state"]: r["count"] for r in back} == {"changed": 4, "extra": 1, "missing": 1}
+
+
 def test_damaged_warc_header():
     one = b"WARC/1.0\r\nWARC-Record-ID: <a>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     two = one.replace(b"<a>", b"<b>")
