@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .clean import apply_schema, infer_types, normalize_missing
+from .tables import _unique
 
 CHUNK = 5_000
 Row = list[str | None]
@@ -70,6 +71,7 @@ def ods_rows(content: bytes) -> Iterator[Row]:
             if _tag(element) != "table-row":
                 continue
             row: Row = []
+            empty = 0  # empty cells count only if another cell follows
             for cell in element:
                 if _tag(cell) not in ("table-cell", "covered-table-cell"):
                     continue
@@ -78,24 +80,33 @@ def ods_rows(content: bytes) -> Iterator[Row]:
                     lines = ["".join(p.itertext()) for p in cell if _tag(p) == "p"]
                     text = "\n".join(lines) if lines else None
                 times = int(_attr(cell, "number-columns-repeated") or 1)
-                row += [text] * (times if text is not None or times < 1_000 else 0)
-            while row and row[-1] is None:
-                row.pop()
+                if text is None:
+                    empty += times
+                else:
+                    row += [None] * empty + [text] * times
+                    empty = 0
             for _ in range(int(_attr(element, "number-rows-repeated") or 1) if row else 0):
                 yield list(row)
             element.clear()
 
 
 def parse_workbooks(files: DataFrame, reader: Callable[[bytes], Iterator[Row]]) -> DataFrame:
-    """(path, row, cells): one row per sheet row below the header, cells as a map from header name to text."""
+    """(path, row, cells): one row per sheet row below the header, cells as a map from header name to text.
+
+    Repeated header names are numbered (a, a.1); cells beyond the header are named by their position, like those below a blank one."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"]):
                 rows = reader(content)
-                header = [h or f"Unnamed: {i}" for i, h in enumerate(next(rows, []))]
+                first = next(rows, [])
+                header = _unique(first)
                 buffer: list[tuple] = []
                 for number, row in enumerate(rows):
+                    while len(row) > len(first) and row[-1] is None:
+                        row.pop()
+                    if len(row) > len(header):
+                        header = _unique([*first, *[None] * (len(row) - len(first))])
                     buffer.append((path, number, dict(zip(header, row + [None] * (len(header) - len(row))))))
                     if len(buffer) == CHUNK:
                         yield pd.DataFrame(buffer, columns=["path", "row", "cells"])

@@ -157,3 +157,24 @@ def test_delta_totals_accept_both_spellings_and_stay_positive(spark):
         spark.createDataFrame(rows, "k string, phase string, calls bigint, input bigint, output_tokens bigint"), "k").collect()}
     assert got[("s", "delta")] == (2, 30, 7, 37) and got[("s", "chat")] == (3, 50, 7, 57) and got[("s", "total")] == (6, 150, 7, 157)
     assert got[("t", "delta")] == (0, 0, 0, 0) and got[("t", "total")] == (4, 50, 9, 59)
+
+
+def test_workbooks_keep_every_cell(spark):
+    import io
+    import zipfile
+
+    def packed(name, xml):
+        buffer = io.BytesIO()
+        with zipfile.ZipFile(buffer, "w") as z:
+            z.writestr(name, xml)
+        return buffer.getvalue()
+
+    cell = lambda text: f"<t:table-cell><x:p>{text}</x:p></t:table-cell>"
+    empty = '<t:table-cell t:number-columns-repeated="1000"/>'
+    ods = packed("content.xml", '<d xmlns:t="t" xmlns:x="x"><t:table><t:table-row>' + cell("h") + empty + cell("i") + empty + "</t:table-row></t:table></d>")
+    assert list(B.ods_rows(ods)) == [["h", *[None] * 1000, "i"]]
+    line = lambda *texts: "<row>" + "".join(f'<c t="inlineStr"><is><t>{t}</t></is></c>' if t else "<c/>" for t in texts) + "</row>"
+    sheet = line("a", "a") + line("1", "2", "3") + line("4", "5", "", "")
+    xlsx = packed("xl/worksheets/sheet1.xml", f"<worksheet><sheetData>{sheet}</sheetData></worksheet>")
+    rows = B.parse_workbooks(spark.createDataFrame([("x", xlsx)], "path string, content binary"), B.xlsx_rows).orderBy("row").collect()
+    assert [{k: v for k, v in r["cells"].items() if v is not None} for r in rows] == [{"a": "1", "a.1": "2", "Unnamed: 2": "3"}, {"a": "4", "a.1": "5"}]
