@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
-from . import licences, line_dedup, mixing, ngram_join, packing, quality, secret_scan, token_files, vector_dedup, warc
+from . import importance, licences, line_dedup, mixing, ngram_join, packing, quality, secret_scan, token_files, vector_dedup, warc
 from .scratch import stored
 
 
@@ -103,6 +103,12 @@ def rule_ledger(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def target_sample(spark: SparkSession, sf: str) -> DataFrame:
+    """op11: the tenth of the documents with twenty words or more that is drawn towards the benchmark's texts."""
+    rows = importance.importance_sample(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return rows.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 _UPPER, _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
 _SPACE = "(' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -205,6 +211,30 @@ bits AS (SELECT *, (CASE WHEN n_words < 20 THEN 1 ELSE 0 END) | (CASE WHEN 100 *
 SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, b::BIGINT AS failed_bits,
        (b & 3) <> 0 AS base_failed, (b & 63) = 0 AS kept FROM bits"""
 
+_HEX = "(strpos('0123456789abcdef', substr({0}, {1}, 1)) - 1)"
+_GRAMS = (
+    "SELECT {0} unnest(regexp_extract_all(translate(coalesce(text, ''), {1}, {2}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS w FROM {3}")
+TARGET_SAMPLE_SQL = f"""
+WITH RECURSIVE step AS (SELECT i AS byte, i::BIGINT AS c, 0 AS k FROM range(256) r(i)
+    UNION ALL SELECT byte, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM step WHERE k < 8),
+crc AS (SELECT list(c ORDER BY byte) AS t FROM step WHERE k = 8),
+d AS ({_GRAMS.format("doc_id,", _UPPER, _LOWER, "documents")}), b AS ({_GRAMS.format("", _UPPER, _LOWER, "benchmark")}),
+names AS (SELECT w, lower(hex(w)) AS h FROM (SELECT w FROM d UNION SELECT w FROM b)),
+buckets AS (SELECT w, xor(list_reduce(list_transform(range(0, len(h) // 2 + 1), lambda i: CASE WHEN i = 0 THEN 4294967295
+    ELSE {_HEX.format("h", "2 * i - 1")} * 16 + {_HEX.format("h", "2 * i")} END), lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1])), 4294967295) % 10000 AS k
+    FROM names, crc),
+s AS (SELECT k, count(*) AS n FROM d JOIN buckets USING (w) GROUP BY k), t AS (SELECT k, count(*) AS n FROM b JOIN buckets USING (w) GROUP BY k),
+sizes AS (SELECT (SELECT count(*) FROM d) + 10000.0::DOUBLE AS n_s, (SELECT count(*) FROM b) + 10000.0::DOUBLE AS n_t),
+gains AS (SELECT s.k, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * n_s / ((s.n + 1) * n_t)))::BIGINT AS gain FROM sizes, s LEFT JOIN t ON s.k = t.k),
+sums AS (SELECT doc_id, count(*) AS n_features, sum(gain)::BIGINT AS weight FROM d JOIN buckets USING (w) JOIN gains USING (k) GROUP BY doc_id),
+named AS (SELECT doc_id, sha256('2024:' || doc_id) AS h FROM documents),
+noise AS (SELECT doc_id, floor(-1000 * ln(-ln((list_reduce(list_transform(range(1, 9), lambda i: {_HEX.format("h", "i")}), lambda a, x: a * 16 + x)
+    + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS g FROM named),
+scored AS (SELECT documents.doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + g AS score
+    FROM documents JOIN noise USING (doc_id) LEFT JOIN sums USING (doc_id)),
+placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () * 10 // 100 AS drawn FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= drawn THEN place END AS rank FROM scored LEFT JOIN placed USING (doc_id)"""
+
 QUERIES = {
     "op1_ngram_groups": (ngram_groups, NGRAM_GROUPS_SQL),
     "op2_pq_neighbours": (pq_neighbours, PQ_NEIGHBOURS_SQL),
@@ -216,4 +246,5 @@ QUERIES = {
     "op8_blob_secrets": (blob_secrets, BLOB_SECRETS_SQL),
     "op9_length_buckets": (length_buckets, None),
     "op10_rule_ledger": (rule_ledger, RULE_LEDGER_SQL),
+    "op11_target_sample": (target_sample, TARGET_SAMPLE_SQL),
 }
