@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
-from . import importance, licences, line_dedup, mixing, ngram_join, packing, quality, secret_scan, token_files, vector_dedup, warc
+from . import alignment, importance, licences, line_dedup, mixing, ngram_join, packing, quality, secret_scan, token_files, vector_dedup, warc
 from .scratch import stored
 
 
@@ -109,6 +109,14 @@ def target_sample(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def tokenizer_links(spark: SparkSession, sf: str) -> DataFrame:
+    """op13: groups and links between the tokens of two public tokenizers, in every document."""
+    import public_tokenizers
+
+    a, b = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.align_tokenizers(table(spark, sf, "documents"), a, b)
+
+
 _UPPER, _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
 _SPACE = "(' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -247,4 +255,5 @@ QUERIES = {
     "op9_length_buckets": (length_buckets, None),
     "op10_rule_ledger": (rule_ledger, RULE_LEDGER_SQL),
     "op11_target_sample": (target_sample, TARGET_SAMPLE_SQL),
+    "op13_tokenizer_links": (tokenizer_links, None),
 }
