@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
-from . import alignment, importance, licences, line_dedup, mixing, ngram_join, packing, quality, secret_scan, token_files, vector_dedup, warc
+from . import alignment, importance, licences, line_dedup, mixing, ngram_join, packing, quality, secret_scan, suffix_dedup, token_files, vector_dedup, warc
 from .scratch import stored
 
 
@@ -109,6 +109,12 @@ def target_sample(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def suffix_arrays(spark: SparkSession, sf: str) -> DataFrame:
+    """op12: documents without the passages of 200 bytes that occur more than once."""
+    rows = suffix_dedup.remove_repeats(table(spark, sf, "documents"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def tokenizer_links(spark: SparkSession, sf: str) -> DataFrame:
     """op13: groups and links between the tokens of two public tokenizers, in every document."""
     import public_tokenizers
@@ -255,5 +261,6 @@ QUERIES = {
     "op9_length_buckets": (length_buckets, None),
     "op10_rule_ledger": (rule_ledger, RULE_LEDGER_SQL),
     "op11_target_sample": (target_sample, TARGET_SAMPLE_SQL),
+    "op12_suffix_arrays": (suffix_arrays, None),
     "op13_tokenizer_links": (tokenizer_links, None),
 }
