@@ -22,6 +22,20 @@ def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """As ``stored``, and the shuffle files behind the table are deleted once it is written, as no later plan reads them."""
+    conf = df.sparkSession.conf
+    before = conf.get(_TIDY)
+    conf.set(_TIDY, "true")
+    try:
+        return stored(df, name)
+    finally:
+        conf.set(_TIDY, before)
+
+
 def remove(*tables: DataFrame) -> None:
     """Delete stored tables that no later plan reads."""
     for table in tables:

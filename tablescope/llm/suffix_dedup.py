@@ -14,12 +14,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .scratch import remove, stored
+from .scratch import remove, settled
 from .suffixes import PAD, RangeHashes, anchored_runs, common_prefixes, suffix_array
 
 NO_ID = -(1 << 63)
 WIDTH = 200
-ANCHOR = 100
+ANCHOR = 50
 CROWD = 512
 BUFFER = 1 << 20
 _PIECE = 1 << 22
@@ -155,11 +155,13 @@ def _merged(table: pa.Table) -> pa.RecordBatch:
 
 def repeated_runs(runs: DataFrame, docs: DataFrame, width: int, crowd: int) -> tuple[DataFrame, DataFrame]:
     """The occurrences of runs whose anchor is not alone, and (g, f, first, after): which windows of a run are repeated."""
-    kinds = stored(runs.groupBy("g", "f").agg(F.count(F.lit(1)).alias("times"), F.min(F.xxhash64("doc", "h")).alias("teller")), "run-kinds")
-    anchors = kinds.groupBy("g").agg(F.sum("times").alias("all"), F.count(F.lit(1)).alias("kinds")).where(F.col("all") >= 2)
-    places = stored(runs.join(kinds.join(anchors.drop("all"), "g"), ["g", "f"]), "run-places")
-    told = places.where(F.col("teller") == F.xxhash64("doc", "h")).groupBy("doc", "h").agg(
-        F.collect_set(F.struct("start", "n", "g", "f", "times", "kinds")).alias("runs"))
+    often = settled(runs.groupBy("g").agg(F.count(F.lit(1)).alias("times")).where("times >= 2").select("g"), "run-anchors")
+    places = settled(runs.join(often.hint("shuffle_hash"), "g", "left_semi"), "run-places")
+    remove(runs, often)
+    kinds = settled(places.groupBy("g", "f").agg(F.count(F.lit(1)).alias("times"), F.min(F.xxhash64("doc", "h")).alias("teller")), "run-kinds")
+    known = kinds.join(kinds.groupBy("g").agg(F.count(F.lit(1)).alias("kinds")), "g")
+    tellers = places.withColumn("teller", F.xxhash64("doc", "h")).join(known, ["g", "f", "teller"])
+    told = tellers.groupBy("doc", "h").agg(F.collect_set(F.struct("start", "n", "g", "f", "times", "kinds")).alias("runs"))
     pieces = F.transform("runs", lambda r: F.struct(
         r["g"].alias("g"), r["f"].alias("f"), r["times"].alias("n"), r["kinds"].alias("kinds"),
         F.substring(F.col("body"), (r["start"] + 1).cast("int"), (r["n"] + width - 1).cast("int")).alias("body")))
@@ -177,7 +179,7 @@ def repeated_runs(runs: DataFrame, docs: DataFrame, width: int, crowd: int) -> t
             yield _merged(table)
 
     found = dealt.repartition("g", "salt").sortWithinPartitions("g", "salt", "f").mapInArrow(sharded, _FOUND)
-    found = stored(found, "run-windows")
+    found = settled(found, "run-windows")
     handed = found.where("run is not null").repartition("d1", "d2").sortWithinPartitions("d1", "d2").mapInArrow(merged, _FOUND)
     spans = found.where("run is null").unionByName(handed).select("g", "f", "first", "after")
     remove(kinds)
@@ -219,7 +221,7 @@ def remove_repeats(
     text; texts shorter than ``width`` stay.  Repeated rows are different places, so both lose what they share; keys may be null or repeat.  An
     empty table gives no rows; other columns are ignored whatever their names.  ``anchor`` (below ``width``) and ``crowd`` have no effect on the result."""
     keyed = _keyed(docs, text, key)
-    runs = stored(_runs(keyed, width, anchor), "runs")
+    runs = settled(_runs(keyed, width, anchor), "runs")
     places, spans = repeated_runs(runs, keyed, width, crowd)
     covered = places.join(spans, ["g", "f"]).select(
         "doc", "h", F.struct((F.col("start") + F.col("first")).alias("start"), (F.col("start") + F.col("after") + width - 1).alias("end")).alias("span"))

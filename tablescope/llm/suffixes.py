@@ -81,7 +81,7 @@ def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     Bytes beyond the end compare as PAD, then the earlier end is the larger."""
     n = len(data)
     keys = _eight(data, ">u8").astype(np.uint64)
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys = keys[order]
     rank = np.empty(n, np.int64)
     at, length = np.arange(n), 8
@@ -98,7 +98,7 @@ def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         beyond = after >= n  # of two such suffixes in a group the later one is the shorter
         follow = np.where(beyond, n + n - place, rank[np.minimum(after, n - 1)]).astype(np.uint64)
         keys = (rank[place].astype(np.uint64) << np.uint64(32)) | follow
-        turn = np.argsort(keys, kind="stable")
+        turn = np.argsort(keys)
         order[at], keys = place[turn], keys[turn]
         length *= 2
 
