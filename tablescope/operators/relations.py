@@ -10,9 +10,8 @@ from .. import constants as K
 from ..functions.columns import col, doubles, numeric_columns, small_frame
 from ..functions.pvalues import t_pvalue
 from ..plans.comoments import correlation
-from ..plans.ordered import split_points
 from ..plans.quantiles import group_quantiles
-from ..plans.ranks import ranked_values
+from ..plans.ranks import rank_columns
 from ..plans.sampling import lowest_by_hash
 from .numeric import bin_of, ranges
 from .overview import null_counts
@@ -55,7 +54,7 @@ def spearman_matrix(df: DataFrame, cols: Sequence[str] | None = None, pairs: Seq
     """(col_a, col_b, n, r), each pair once: rank correlation over pairwise-complete rows.
 
     A column is ranked once, and once more for every partner that has missing values (only the partner's complete rows
-    count then).  Rank tables are per distinct value; the optimizer broadcasts those it measures as small."""
+    count then).  All of them are ranked together, so the number of shuffles does not depend on the number of columns."""
     cols = numeric_columns(df, cols)
     pairs = list(pairs) if pairs is not None else [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
     if not pairs:
@@ -63,16 +62,8 @@ def spearman_matrix(df: DataFrame, cols: Sequence[str] | None = None, pairs: Seq
     cols = [c for c in cols if any(c in p for p in pairs)]
     holes = {r["column"] for r in null_counts(df, cols).where("nulls > 0").collect()}
     views = sorted({(a, b if b in holes else "") for p in pairs for a, b in (p, p[::-1])})
-    base = doubles(df, cols)
-    splits = split_points(base, cols)
-    shown = [F.when(col(b).isNotNull(), col(a)).alias(f"v{i}") if b else col(a).alias(f"v{i}") for i, (a, b) in enumerate(views)]
-    rows = base.select(*shown)
-    ranked = rows
-    for i, (a, _) in enumerate(views):
-        table = ranked_values(rows.select(f"v{i}"), f"v{i}", splits[a]).select(F.col("_value").alias(f"v{i}"), F.col("rank").alias(f"r{i}"))
-        ranked = ranked.join(table, f"v{i}", "left").drop(f"v{i}")
     names = [f"r{i}" for i in range(len(views))]
-    result = correlation(ranked.select(*names), names)
+    result = correlation(rank_columns(df, [(a, b or None) for a, b in views]), names)
     at = {v: i for i, v in enumerate(views)}
     wanted = []
     for a, b in pairs:

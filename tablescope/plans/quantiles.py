@@ -2,23 +2,28 @@
 
 Pass 1 asks a quantile sketch for a value safely below and one safely above each wanted rank.  Pass 2 counts the rows
 between the brackets and the single values inside them.  Only the values inside the brackets (about a thousandth
-of the rows each) keep their identity in the shuffle, so no task ever holds the value-to-count map of a whole column."""
+of the rows each) keep their identity in the shuffle, so no task ever holds the value-to-count map of a whole column.  A
+bracket that still has more distinct values than one task should sort is cut again at its own quantiles, and only the pieces
+that hold a wanted rank are kept, until every piece is small (``select_ranks``)."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..constants import QUANTILES
 from ..functions.columns import col, doubles, numeric_columns, small_frame
+from ..session import materialize
 from .ordered import cut_along, scan
 from .shared import is_shared, remember
 from .sketch import K_RANKS, rank_error, sketch
 
-# A bracket is cut further when it holds more rows than one task should sort.
-TASK_ROWS = 5_000_000
+# A piece with more distinct values is cut at FANOUT - 1 points before its values are put in order.
+PIECE_ROWS = 1_000_000
+FANOUT = 64
+ACCURACY = 10_000
 Cuts = list[tuple[float, bool]]
 
 
@@ -49,6 +54,40 @@ def _cuts(spans: list[list[float]]) -> Cuts:
     return cuts
 
 
+def select_ranks(counted: DataFrame, keys: Sequence[str], ranks: DataFrame) -> DataFrame:
+    """(keys…, rank, value) of the wanted zero-based ranks.
+
+    ``counted`` has the keys, ``_p`` (the pieces of a key in order), ``_v`` (the distinct values of a piece, null where only their
+    number is known) and ``_c`` (how often); ``ranks`` has the keys and an array of ranks.  Ranks in pieces without values have no row.
+
+    A piece with more than PIECE_ROWS values is cut into FANOUT at its own approximate quantiles.  The cuts only balance the work, as the
+    new pieces are counted; pieces without a wanted rank are dropped.  Values are distinct, so the pieces shrink in every round."""
+    keys, by = list(keys), [*keys, "_p"]
+    before = Window.partitionBy(*[col(k) for k in keys]).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    here = F.filter("ranks", lambda r: (r >= F.col("_o")) & (r < F.col("_o") + F.col("_s")))
+    counted = materialize(counted, "ranked-values")
+    sizes = counted.groupBy(*by).agg(F.sum("_c").alias("_s"), F.count("_v").alias("_k"))
+    placed = sizes.withColumn("_o", F.coalesce(F.sum("_s").over(before), F.lit(0))).join(ranks, keys)
+    held = placed.withColumn("ranks", here).where((F.size("ranks") > 0) & (F.col("_k") > 0))
+    rows = counted.where("_v is not null")
+    while (held.agg(F.max("_k")).first()[0] or 0) > PIECE_ROWS:
+        inside = rows.join(held.drop("ranks", "_s"), by)
+        points = [i / FANOUT for i in range(1, FANOUT)]
+        cuts = inside.where(F.col("_k") > PIECE_ROWS).groupBy(*by).agg(F.percentile_approx("_v", points, F.lit(ACCURACY)).alias("cuts"))
+        number = F.when(F.col("cuts").isNotNull(), F.size(F.filter("cuts", lambda x: x < F.col("_v")))).otherwise(0)
+        cut = inside.join(cuts, by, "left").select(*[col(k) for k in keys], (F.col("_p") * FANOUT + number).cast("long").alias("_p"), "_v", "_c", "_o")
+        rows = materialize(cut, "ranked-pieces")
+        inner = Window.partitionBy(*[col(k) for k in keys], F.floor(F.col("_p") / FANOUT)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+        sizes = rows.groupBy(*by).agg(F.sum("_c").alias("_s"), F.count("_v").alias("_k"), F.min("_o").alias("_o"))
+        placed = sizes.withColumn("_o", F.col("_o") + F.coalesce(F.sum("_s").over(inner), F.lit(0))).join(ranks, keys)
+        held = materialize(placed.withColumn("ranks", here).where(F.size("ranks") > 0), "ranked-places")
+        rows = rows.drop("_o")
+    upto = F.col("_o") + F.sum("_c").over(Window.partitionBy(*[col(k) for k in by]).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    ordered = rows.join(held.drop("_s", "_k"), by).withColumn("_upto", upto)
+    hits = F.filter("ranks", lambda r: (r < F.col("_upto")) & (r >= F.col("_upto") - F.col("_c")))
+    return ordered.select(*[col(k) for k in keys], F.explode(hits).alias("rank"), F.col("_v").alias("value"))
+
+
 def _pick(df: DataFrame, cuts: dict[str, Cuts], wanted: dict[str, set[int]]) -> dict:
     """{(column number, rank): value} for the wanted zero-based ranks that lie in the kept pieces."""
     names, entries = list(cuts), []
@@ -61,11 +100,10 @@ def _pick(df: DataFrame, cuts: dict[str, Cuts], wanted: dict[str, set[int]]) ->
         entries += [F.lit(i), F.when(v.isNotNull(), piece), v]
     long = df.select(F.stack(F.lit(len(names)), *entries).alias("c", "piece", "v")).where("piece is not null")
     counted = long.groupBy("c", "piece", F.when(F.col("piece") % 2 == 1, F.col("v")).alias("v")).agg(F.count("*").alias("n"))
-    ranked = scan(counted, ["piece"], ["v"], {"upto": "n"}, keys=["c"]).where("v is not null")
-    targets = small_frame(df.sparkSession, [(names.index(c), r) for c, ranks in wanted.items() for r in ranks], "c int, wanted bigint")
-    here = (F.col("wanted") < F.col("upto")) & (F.col("wanted") >= F.col("upto") - F.col("n"))
-    hits = ranked.join(F.broadcast(targets), "c").where(here).select("c", "wanted", "v").collect()
-    return {(names[r["c"]], r["wanted"]): r["v"] for r in hits}
+    ranks = small_frame(df.sparkSession, [(names.index(c), sorted(r)) for c, r in wanted.items()], "c int, ranks array<bigint>")
+    found = select_ranks(counted.select("c", F.col("piece").cast("long").alias("_p"), F.col("v").alias("_v"), F.col("n").alias("_c")), ["c"], ranks)
+    hits = found.collect()
+    return {(names[r["c"]], r["rank"]): r["value"] for r in hits}
 
 
 def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], k: int = K_RANKS) -> dict[str, dict[float, float | None]]:
@@ -95,14 +133,13 @@ def _column_quantiles(df: DataFrame, cols: list[str], probs: list[float], k: int
         ranks = {r for q in inner for r in _ranks(q, n)[:2] if 0 < r < n - 1}
         if not ranks:
             continue
-        pieces = min(16, math.ceil(n * 4 * rank_error(k) / TASK_ROWS))
         spans = []
         for j, q in enumerate(inner):
             low_q, high_q = _asked(q, k)
             # below k rows the margin is less than a few ranks, and such a column is small: keep all of it
             low = lo if low_q == 0 or n <= k else stats[f"q{i}"][2 * j]
             high = hi if high_q == 1 or n <= k else stats[f"q{i}"][2 * j + 1]
-            spans.append([low + (high - low) * t / pieces for t in range(pieces)] + [high])
+            spans.append([low, high])
         cuts[c], wanted[c] = _cuts(spans), ranks
     values = {}
     if cuts:
@@ -132,7 +169,6 @@ def sketched_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float
     return {c: row[f"q{i}"] for i, c in enumerate(cols)}
 
 
-ACCURACY = 10_000
 # Up to SMALL * ACCURACY rows the margin of the grouped sketch is below a few ranks; such a group is taken whole (it is small).
 SMALL = 2
 
@@ -163,10 +199,10 @@ def group_quantiles(
         small = F.col("_n") <= SMALL * accuracy
         lows.append(F.when(small | F.lit(low_q == 0), F.col("_lo")).otherwise(F.col("_p")[2 * j]).alias(f"_l{j}"))
         highs.append(F.when(small | F.lit(high_q == 1), F.col("_hi")).otherwise(F.col("_p")[2 * j + 1]).alias(f"_h{j}"))
-    sketch = sketch.select(*[col(k) for k in keys], "_n", *lows, *highs)
+    sketch = materialize(sketch.select(*[col(k) for k in keys], "_n", *lows, *highs), "group-brackets")
     joined = rows.join(sketch, keys)
     v = col(value)
-    # brackets are sorted by q, so the number of brackets wholly below v orders the rows outside them
+    # brackets are sorted by q, so the number of brackets wholly below v orders the rows outside them; those before a bracket come first
     passed = sum((F.when(v > F.col(f"_h{j}"), 1).otherwise(0) for j in range(m)), F.lit(0))
     low = F.coalesce(*[F.when(v <= F.col(f"_h{j}"), F.col(f"_l{j}")) for j in range(m)])
     counted = (
@@ -174,13 +210,13 @@ def group_quantiles(
         .groupBy(*[col(k) for k in keys], "_n", "_b", "_v")
         .agg(F.count("*").alias("_c"))
     )
-    picks = scan(counted, ["_b"], ["_v"], {"_upto": "_c"}, keys=keys, few_keys=False).where("_v is not null")
-    out = []
-    for j, q in enumerate(probs):
-        h = F.lit(float(q)) * (F.col("_n") - 1)
-        for tag, rank in (("a", F.floor(h)), ("b", F.least(F.floor(h) + 1, F.col("_n") - 1))):
-            hit = (rank < F.col("_upto")) & (rank >= F.col("_upto") - F.col("_c"))
-            out.append(F.max(F.when(hit, F.col("_v"))).alias(f"{tag}{j}"))
+    h = [F.lit(float(q)) * (F.col("_n") - 1) for q in probs]
+    wanted = [(F.floor(x), F.least(F.floor(x) + 1, F.col("_n") - 1)) for x in h]
+    ranks = sketch.select(*[col(k) for k in keys], F.array_distinct(F.array(*[r for pair in wanted for r in pair])).alias("ranks"))
+    piece = (2 * F.col("_b") + F.col("_v").isNotNull().cast("int")).cast("long")
+    picks = select_ranks(counted.select(*[col(k) for k in keys], piece.alias("_p"), "_v", "_c"), keys, ranks)
+    picks = picks.join(sketch.select(*[col(k) for k in keys], "_n"), keys)
+    out = [F.max(F.when(F.col("rank") == r, F.col("value"))).alias(f"{tag}{j}") for j, pair in enumerate(wanted) for tag, r in zip("ab", pair)]
     found = picks.groupBy(*[col(k) for k in keys], "_n").agg(*out)
 
     def value_at(j: int, q: float):

@@ -98,22 +98,16 @@ def _zcounts(frame: str, cols) -> str:
         for c in cols)
 
 
-def _zrows(cols, cut: float) -> str:
+def _zrows(frame: str, cols, cut: float = 3) -> str:
     centres = ", ".join(f"avg({c}) AS m{i}, stddev_pop({c}) AS s{i}" for i, c in enumerate(cols))
     worst = "greatest(" + ", ".join(f"abs(({c} - m{i}) / s{i})" for i, c in enumerate(cols)) + ")"
-    return f"""SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, {r('max_z')} AS max_z FROM (SELECT *, {worst} AS max_z FROM lineitem,
-      (SELECT {centres} FROM lineitem)) WHERE max_z > {cut}"""
+    return f"SELECT {frame}.*, {r(worst)} AS max_z FROM {frame}, (SELECT {centres} FROM {frame}) WHERE {worst} > {cut}"
 
 
 RULES = {"tax_above_discount": "l_tax > l_discount", "free_item": "l_discount >= 0.1 AND l_quantity > 45", "no_price": "l_extendedprice <= 0"}
 SPAN = "least({k} - 1, CAST(floor(({c} - lo) / ((hi - lo) / {k})) AS INTEGER))"
 
 
-def _z_columns(d):
-    return A.zscore_row_flags(d.select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount"),
-                              ["l_quantity", "l_extendedprice", "l_discount"], 1.7)
-
-
 PART_NUMBERS, PART_TEXT = ("p_partkey", "p_size", "p_retailprice"), ("p_name", "p_brand", "p_type")
 FEATURE_SQL = " UNION ALL ".join([
     *[f"""SELECT '{c}' AS "column", CASE WHEN skewness({c}) > 1 AND min({c}) > 0 THEN 'log' WHEN skewness({c}) > 1 THEN 'sqrt' ELSE 'reflect' END AS feature,
@@ -163,15 +157,13 @@ QUERIES: dict[str, Entry] = {
     "corr_constant_column": (lambda s, d: rounded(L.corr_matrix(FR.constants(s, d), ["l_quantity", "const_col", "l_tax"])), _corr(FR.CONST_SQL, ("l_quantity", "const_col", "l_tax"))),
     "strong_pairs": (lambda s, d: rounded(L.strong_pairs(FR.sizes(s, d))),
                      f"SELECT * FROM ({_corr(FR.SIZES_SQL, ('doc_id', 'n_chars', 'text_chars', 'lang_chars'), False)}) WHERE abs(r) > 0.7"),
-    "spearman_matrix": (on("lineitem", lambda d: L.spearman_matrix(d, ["l_quantity", "l_extendedprice", "l_discount"])),
-                        _spearman("lineitem", ("l_quantity", "l_extendedprice", "l_discount"))),
+    "spearman_matrix": (on("lineitem", L.spearman_matrix), _spearman("lineitem", LINE_NUMBERS)),
     "spearman_missing": (lambda s, d: rounded(L.spearman_matrix(FR.labelled(s, d), ["n_chars", "quality", "doc_id"])),
                          _spearman(FR.LABELLED_SQL, ("n_chars", "quality", "doc_id"))),
-    "corr_significance": (on("lineitem", lambda d: L.corr_significance(d, ["l_quantity", "l_discount", "l_extendedprice"]).select(
-        "col_a", "col_b", "n", "r", F.round(F.col("t") + 1e-9, 4).alias("t"))), _significance(_pairs("lineitem", ("l_quantity", "l_discount", "l_extendedprice")))),
-    "corr_wide": (on("lineitem", lambda d: L.corr_wide(d, ["l_quantity", "l_discount", "l_tax"])), union_all(
-        f"""SELECT '{a}' AS "column", {', '.join(f"{r(f'corr({a}, {b})')} AS {b}" for b in ('l_quantity', 'l_discount', 'l_tax'))} FROM lineitem"""
-        for a in ("l_quantity", "l_discount", "l_tax"))),
+    "corr_significance": (on("lineitem", lambda d: L.corr_significance(d).select(
+        "col_a", "col_b", "n", "r", F.round(F.col("t") + 1e-9, 4).alias("t"))), _significance(_pairs("lineitem", LINE_NUMBERS))),
+    "corr_wide": (on("lineitem", L.corr_wide), union_all(
+        f"""SELECT '{a}' AS "column", {', '.join(f"{r(f'corr({a}, {b})')} AS {b}" for b in LINE_NUMBERS)} FROM lineitem""" for a in LINE_NUMBERS)),
     "group_describe": (on("lineitem", lambda d: L.group_describe(d, "l_returnflag", "l_extendedprice"), 4), f"""SELECT l_returnflag AS "group",
       {GROUP_STATS.replace('{v}', 'l_extendedprice')}, {r('min(l_extendedprice)')} AS min, {r('quantile_cont(l_extendedprice, 0.25)')} AS p25,
       {r('quantile_cont(l_extendedprice, 0.5)')} AS median, {r('quantile_cont(l_extendedprice, 0.75)')} AS p75, {r('max(l_extendedprice)')} AS max
@@ -193,14 +185,14 @@ QUERIES: dict[str, Entry] = {
                        f"SELECT groups, n, {r('h')} AS h, groups - 1 AS df, {r('exp(-h / 2)')} AS p FROM ({_kruskal('lineitem', 'l_returnflag', 'l_quantity')})"),
     "group_comparison": (on("orders", lambda d: T.group_comparison(d, "o_orderstatus", "o_totalprice")),
                          f"SELECT 'kruskal_wallis' AS test, groups, n, {r('h')} AS statistic, {r('exp(-h / 2)')} AS p FROM ({_kruskal('orders', 'o_orderstatus', 'o_totalprice')})"),
-    "correlation_choice": (on("lineitem", lambda d: T.correlation_choice(d, ["l_quantity", "l_discount"]).select(
-        "col_a", "col_b", "method", "n", "r")), f"SELECT col_a, col_b, 'spearman' AS method, n, r FROM ({_spearman('lineitem', ('l_quantity', 'l_discount'))})"),
+    "correlation_choice": (on("lineitem", lambda d: T.correlation_choice(d).select(
+        "col_a", "col_b", "method", "n", "r")), f"SELECT col_a, col_b, 'spearman' AS method, n, r FROM ({_spearman('lineitem', LINE_NUMBERS)})"),
     # outliers
     "iqr_outlier_counts": (on("events", A.iqr_outlier_counts), _fences("events", ("event_id", "user_id", "value"))),
-    "iqr_outlier_rows": (on("events", lambda d: A.iqr_outlier_rows(d.drop("props"), "value"), 2), """SELECT event_id, ts, user_id, event_type, round(value, 2) AS value FROM events,
+    "iqr_outlier_rows": (on("events", lambda d: A.iqr_outlier_rows(d, "value"), 2), """SELECT event_id, ts, user_id, event_type, round(value, 2) AS value, props FROM events,
       (SELECT quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM events) WHERE value < a - 1.5 * (b - a) OR value > b + 1.5 * (b - a)"""),
     "zscore_outlier_counts": (on("events", A.zscore_outlier_counts), _zcounts("events", ("event_id", "user_id", "value"))),
-    "zscore_row_flags": (on("lineitem", _z_columns), _zrows(("l_quantity", "l_extendedprice", "l_discount"), 1.7)),
+    "zscore_row_flags": (on("events", A.zscore_row_flags), _zrows("events", ("event_id", "user_id", "value"))),
     "isolation_forest_share": (lambda s, d: isolation_forest(table(s, d, "events"), ["event_id"]).agg(
         F.count("*").alias("rows"), (F.abs(F.avg(F.col("is_outlier").cast("int")) - 0.05) < 0.005).alias("share_ok"),
         F.min(F.col("score").between(0, 1)).alias("scores_ok")), "SELECT count(*) AS rows, true AS share_ok, true AS scores_ok FROM events"),

@@ -3,7 +3,7 @@
 import re
 
 import pytest
-
+from pyspark.sql import functions as F
 
 from conftest import SF
 from tablescope.operators import categorical as C, hypothesis as T, logs as G, numeric as U, overview as O, query as Q, relations as L, timeseries as M
@@ -53,6 +53,14 @@ def test_sorted_heads_do_not_sort_everything(read):
     assert "TakeOrderedAndProject" in plan(Q.sample_rows(read("orders"), ["o_orderkey"], 5))
 
 
+def test_ranks_are_moved_as_often_for_any_number_of_columns(read):
+    numbers = ["l_quantity", "l_tax", "l_extendedprice", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_discount"]
+    whole = read("lineitem")
+    holes = whole.select(*[F.when(F.col("l_orderkey") % (i + 2) > 0, F.col(c)).alias(c) for i, c in enumerate(numbers)])
+    shuffles = {len(lines(L.spearman_matrix(df, cols), "Exchange")) for df in (whole, holes) for cols in (numbers[:3], numbers)}
+    assert len(shuffles) == 1
+
+
 def windows_over_one_partition(df):
     """Windows without a partition whose input is not the table of bucket totals."""
     text = plan(df).splitlines()

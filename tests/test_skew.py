@@ -6,8 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablescope.operators import categorical as C, hypothesis as T, logs as G, numeric as U, overview as O, relations as L, timeseries as M
+from tablescope.plans import quantiles
 from tablescope.plans.ordered import cut_along
 from tablescope.plans.quantiles import group_quantiles
+from tablescope.plans.ranks import rank_columns
+from tablescope.session import materialize
 
 N = 3000
 
@@ -46,11 +49,55 @@ def test_hot_value_ranks(df, pdf):
     assert h == pytest.approx(raw / (1 - (t ** 3 - t).sum() / (N ** 3 - N)))
 
 
+def test_ranks_of_all_columns_at_once(spark, pdf):
+    rng = np.random.default_rng(3)
+    frame = pdf[["v", "w"]].assign(few=rng.integers(0, 4, N), hole=np.where(rng.random(N) < 0.4, np.nan, rng.normal(size=N).round(1)))
+    views = [("v", None), ("w", "hole"), ("few", "hole"), ("hole", None), ("few", None)]
+    got = rank_columns(spark.createDataFrame(frame).repartition(3), views).toPandas()
+    want = pd.DataFrame({f"r{i}": (frame[a].where(frame[b].notna()) if b else frame[a]).rank() for i, (a, b) in enumerate(views)})
+    by = lambda t: sorted(map(tuple, t.fillna(-1).to_numpy()))
+    assert by(got) == by(want)
+    assert rank_columns(spark.createDataFrame(frame).where("w > 1e9"), views).count() == 0
+
+
 def test_hot_group_quantiles(df, pdf):
     for r in group_quantiles(df, ["g"], "w", [.25, .5]).collect():
         assert [r["q0"], r["q1"]] == pytest.approx(list(np.quantile(pdf.w[pdf.g == r["g"]], [.25, .5])))
 
 
+def test_pieces_of_a_hot_group_stay_small(spark, monkeypatch):
+    """One group of a third of the rows, whose values crowd at one end of every bracket, and one of a single value."""
+    rng = np.random.default_rng(5)
+    n = 60_000
+    g = np.where(np.arange(n) < n // 3, "hot", rng.choice(list("abc"), n))
+    pdf = pd.DataFrame({"g": np.where(np.arange(n) % 50 == 1, "one", g), "v": np.exp(rng.normal(size=n) * 9)})
+    pdf.loc[pdf.g == "one", "v"] = 4.0
+    frame = spark.createDataFrame(pdf).repartition(5)
+    sizes, found = [], materialize
+
+    def watched(df, name):
+        table = found(df, name)
+        if name == "ranked-pieces":
+            sizes.append(table.groupBy("g", "_p").count().agg(F.max("count")).first()[0])
+        return table
+
+    monkeypatch.setattr(quantiles, "materialize", watched)
+    monkeypatch.setattr(quantiles, "PIECE_ROWS", 30)
+    probs = [0.0, 0.1, 0.5, 0.501, 1.0]
+    got = {r["g"]: list(r[1:]) for r in group_quantiles(frame, ["g"], "v", probs).collect()}
+    assert got.keys() == set(pdf.g)
+    for name, values in got.items():
+        assert values == pytest.approx(list(np.quantile(pdf.v[pdf.g == name], probs)), rel=1e-12)
+    assert len(sizes) > 1 and sizes[0] < n / 30 and sizes[-1] <= 30
+
+
+def test_pieces_of_columns_stay_small(spark, df, pdf, monkeypatch):
+    monkeypatch.setattr(quantiles, "PIECE_ROWS", 7)
+    found = quantiles.column_quantiles(df, ["v", "w"], [.25, .5, .9])
+    for c in ("v", "w"):
+        assert list(found[c].values()) == pytest.approx(list(np.quantile(pdf[c], [.25, .5, .9])))
+
+
 def test_hot_time(df, pdf):
     got = M.gap_stats(df, "t").first()
     want = pdf.t.sort_values().diff().dt.total_seconds().describe()
