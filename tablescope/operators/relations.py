@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import constants as K
-from ..functions.columns import col, doubles, numeric_columns, small_frame
+from ..functions.columns import CATEGORICAL, col, columns_of, doubles, numeric_columns, small_frame
 from ..functions.pvalues import t_pvalue
 from ..plans.comoments import correlation
+from ..plans.frequency import distinct_summary
 from ..plans.quantiles import group_quantiles
 from ..plans.ranks import rank_columns
 from ..plans.sampling import lowest_by_hash
@@ -86,30 +87,70 @@ def corr_significance(df: DataFrame, cols: Sequence[str] | None = None) -> DataF
     return with_significance(corr_pairs(df, cols))
 
 
-def _grouped(df: DataFrame, group: str, value: str) -> DataFrame:
-    return doubles(df, [value], [group]).where(col(group).isNotNull())
+def _moments_of(v: Column) -> dict[str, Column]:
+    return {"n": F.count(v), "mean": F.avg(v), "sd": F.stddev_samp(v), "min": F.min(v), "max": F.max(v)}
+
+
+def _group_stats(df: DataFrame, group: str, value: str, probs: Sequence[float]) -> DataFrame:
+    """(group, n, mean, sd, min, max, q0, q1, …); a category without a value has n = 0."""
+    rows = doubles(df, [value], [group]).select(col(group).alias("group"), col(value).alias("value")).where("group is not null")
+    found = group_quantiles(rows, ["group"], "value", probs, stats=_moments_of(F.col("value")))
+    bare = rows.select("group").distinct().join(found.select("group"), "group", "left_anti")
+    return found.unionByName(bare.withColumn("n", F.lit(0).cast("bigint")), allowMissingColumns=True)
 
 
 def group_describe(df: DataFrame, group: str, value: str) -> DataFrame:
     """(group, n, mean, sd, min, p25, median, p75, max) of a numeric column per category."""
-    v = col(value)
-    stats = _grouped(df, group, value).groupBy(col(group).alias("group")).agg(
-        F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.min(v).alias("min"), F.max(v).alias("max")
-    )
-    q = group_quantiles(df, [group], value, (0.25, 0.5, 0.75)).withColumnRenamed(group, "group")
-    return stats.join(q, "group", "left").select(
+    return _group_stats(df, group, value, (0.25, 0.5, 0.75)).select(
         "group", "n", "mean", "sd", "min", F.col("q0").alias("p25"), F.col("q1").alias("median"), F.col("q2").alias("p75"), "max"
     )
 
 
 def group_agg(df: DataFrame, group: str, value: str) -> DataFrame:
     """(group, n, mean, sd, median)"""
-    v = col(value)
-    stats = _grouped(df, group, value).groupBy(col(group).alias("group")).agg(
-        F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd")
-    )
-    q = group_quantiles(df, [group], value, (0.5,)).withColumnRenamed(group, "group")
-    return stats.join(q, "group", "left").select("group", "n", "mean", "sd", F.col("q0").alias("median"))
+    return _group_stats(df, group, value, (0.5,)).select("group", "n", "mean", "sd", F.col("q0").alias("median"))
+
+
+def group_columns(df: DataFrame, most: int = K.LOW_CARDINALITY) -> list[str]:
+    """The categorical columns with two to ``most`` values."""
+    found = distinct_summary(df, columns_of(df, CATEGORICAL)).where(F.col("uniques").between(2, most)).select("column").collect()
+    names = {r["column"] for r in found}
+    return [c for c in df.columns if c in names]
+
+
+def _by_category(rows: DataFrame, groups: dict[str, str], values: dict[str, str]) -> DataFrame:
+    """(category, value, column, x): one row for each cell of a category column and a number column, from {name: column of ``rows``}."""
+    cats = F.stack(F.lit(len(groups)), *[x for name, c in groups.items() for x in (F.lit(name), col(c).cast("string"))]).alias("category", "value")
+    long = rows.select(cats, *[col(c).alias(f"_x{i}") for i, c in enumerate(values.values())]).where("value is not null")
+    cells = F.stack(F.lit(len(values)), *[x for i, name in enumerate(values) for x in (F.lit(name), F.col(f"_x{i}"))]).alias("column", "x")
+    return long.select("category", "value", cells).where("x is not null")
+
+
+def all_group_stats(df: DataFrame, groups: Sequence[str] | None = None, cols: Sequence[str] | None = None) -> DataFrame:
+    """(category, value, column, n, mean, sd, min, p25, median, p75, max) of every numeric column in every category.
+
+    ``groups`` are by default the categorical columns with few values.  All pairs share the passes of one grouped quantile: one for moments
+    and brackets, one for counts between the brackets."""
+    groups, cols = list(groups if groups is not None else group_columns(df)), numeric_columns(df, cols)
+    if not groups or not cols:
+        kinds = "category string, value string, column string, n bigint, mean double, sd double, min double, p25 double, median double, p75 double, max double"
+        return small_frame(df.sparkSession, [], kinds)
+    long = _by_category(doubles(df, cols, groups), {g: g for g in groups}, {c: c for c in cols})
+    found = group_quantiles(long, ["category", "value", "column"], "x", (0.25, 0.5, 0.75), stats=_moments_of(F.col("x")))
+    return found.select(
+        "category", "value", "column", "n", "mean", "sd", "min", F.col("q0").alias("p25"), F.col("q1").alias("median"), F.col("q2").alias("p75"), "max")
+
+
+def scatter_grid(df: DataFrame, cut: float = K.STRONG_CORRELATION, bins: int = 20) -> DataFrame:
+    """(col_a, col_b, bin_a, bin_b, n): the points of every strongly correlated pair as a grid of counts, all pairs in one scan."""
+    pairs = [(r["col_a"], r["col_b"]) for r in strong_pairs(df, cut=cut).collect()]
+    if not pairs:
+        return small_frame(df.sparkSession, [], "col_a string, col_b string, bin_a int, bin_b int, n bigint")
+    cols = [c for c in numeric_columns(df) if any(c in p for p in pairs)]
+    span = ranges(df, cols)
+    place = {c: F.when(col(c).isNotNull(), bin_of(col(c), *span[c], bins)) for c in cols}
+    points = F.stack(F.lit(len(pairs)), *[x for a, b in pairs for x in (F.lit(a), F.lit(b), place[a], place[b])]).alias("col_a", "col_b", "bin_a", "bin_b")
+    return doubles(df, cols).select(points).dropna().groupBy("col_a", "col_b", "bin_a", "bin_b").agg(F.count("*").alias("n"))
 
 
 def cross_group(df: DataFrame, first: str, second: str, value: str) -> DataFrame:

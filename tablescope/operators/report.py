@@ -17,6 +17,7 @@ from ..plans.frequency import distinct_summary
 from ..plans.moments import adjusted_kurtosis, adjusted_skew, moments
 from ..plans.shared import shared_results
 from . import anomalies, categorical, features, hypothesis, missing, numeric, overview, relations, timeseries
+from .iforest import isolation_forest
 from .logs import RUN_STEPS
 
 Step = tuple[str, Callable[[DataFrame], DataFrame]]
@@ -85,6 +86,13 @@ def _key_findings(df: DataFrame, top: int = 10, group_pairs: Sequence[tuple[str,
     return ordered.select(F.posexplode("f").alias("i", "x")).select((F.col("i") + 1).alias("rank"), "x.kind", "x.subject", "x.value", "x.severity")
 
 
+def significant(name: str, digits: int = 4) -> Column:
+    """A number as text: to ``digits`` decimals, or to as many that a small one keeps that number of digits."""
+    x = F.col(name)
+    short = F.format_string(f"%.{digits - 1}e", x).cast("double").cast("string")
+    return F.when((x != 0) & (F.abs(x) < 10.0 ** (1 - digits)), short).otherwise(F.round(x, digits).cast("string"))
+
+
 def column_summary(df: DataFrame) -> DataFrame:
     """(column, type, nulls, null_share, uniques, lo, hi, skew, notes): one row per column; lo and hi are texts."""
     with shared_results(df):
@@ -99,7 +107,7 @@ def _column_summary(df: DataFrame) -> DataFrame:
     spans = []
     if numbers:
         spans.append(moments(df, numbers).select(
-            "column", F.round("min", 4).cast("string").alias("lo"), F.round("max", 4).cast("string").alias("hi"),
+            "column", significant("min").alias("lo"), significant("max").alias("hi"),
             adjusted_skew(F.col("n"), F.col("g1")).alias("skew")))
     if dates:
         spans.append(timeseries.date_range(df, dates).select(
@@ -143,10 +151,20 @@ def _insights(df: DataFrame) -> DataFrame:
         add(3, stats, column, column, ": mean ", shown("mean"), ", sd ", shown("sd"), ", skew ", shown("skew"), ", excess kurtosis ", shown("kurt"))
         add(6, anomalies.outlier_ranking(df, numbers).where("n_iqr > 0 or n_z > 0"), column, column, ": ", F.col("n_iqr").cast("string"),
             " values outside the fences, ", F.col("n_z").cast("string"), " with |z| above 3")
+        add(3, hypothesis.normality_test(df, numbers), F.concat(column, F.lit(" normality")), column, ": ",
+            F.when(F.col("normal"), "normal").otherwise("not normal"), " (p = ", shown("p"), ", n = ", F.col("n").cast("string"), ")")
+        flagged = anomalies.zscore_row_flags(df, numbers).agg(F.count("*").alias("n"))
+        add(6, flagged, F.lit("~ rows by z"), F.col("n").cast("string"), " rows with a |z| above 3 in any column")
+        add(6, forest_outliers(df).agg(F.count("*").alias("n")), F.lit("~ rows by forest"), F.col("n").cast("string"), " rows flagged by the isolation forest")
     issues = quality_issues(df)
     add(4, issues, F.concat("column", "issue"), column, ": ", F.col("issue"), " (", F.col("n").cast("string"), ")")
     if len(numbers) > 1:
         add(5, relations.strong_pairs(df, numbers), F.concat("col_a", F.lit("/"), "col_b"), F.col("col_a"), " and ", F.col("col_b"), ": r = ", shown("r"))
+        add(5, hypothesis.correlation_choice(df, numbers), F.concat("col_a", F.lit("/"), "col_b", F.lit(" test")), F.col("col_a"), " and ", F.col("col_b"), ": ",
+            F.col("method"), " r = ", shown("r"), ", p = ", shown("p"), ", n = ", F.col("n").cast("string"))
+    if numbers and columns_of(df, CATEGORICAL):
+        add(5, hypothesis.all_group_tests(df), F.concat("column", F.lit(" by "), "category"), column, " by ", F.col("category"), ": ", F.col("groups").cast("string"),
+            " groups, H = ", shown("h"), ", p = ", shown("p"))
     advice = features.feature_advice(df)
     add(7, advice, F.concat("column", "feature"), column, ": ", F.col("feature"), " (", F.col("reason"), ")")
     action = (
@@ -171,31 +189,50 @@ def default_steps(df: DataFrame) -> list[Step]:
     """The analyses of a full run that fit the column classes of the table."""
     numbers, text, dates = (columns_of(df, k) for k in (NUMERIC, CATEGORICAL, DATETIME))
     steps: list[Step] = [
-        ("column_overview", overview.column_overview), ("duplicate_row_count", overview.duplicate_row_count),
-        ("missing_ranking", missing.missing_ranking), ("constant_columns", overview.constant_columns),
+        ("dataset_shape", overview.dataset_shape), ("column_overview", overview.column_overview), ("describe_all", overview.describe_all),
+        ("duplicate_row_count", overview.duplicate_row_count), ("duplicate_rows", overview.duplicate_rows),
+        ("missing_ranking", missing.missing_ranking), ("constant_columns", overview.constant_columns), ("id_like_columns", overview.id_like_columns),
     ]
     if numbers:
         steps += [
             ("numeric_describe", numeric.numeric_describe), ("shape_flags", numeric.shape_flags), ("histogram", numeric.histogram),
             ("boxplot_stats", numeric.boxplot_stats), ("normality_test", hypothesis.normality_test),
-            ("outlier_ranking", anomalies.outlier_ranking), ("log_candidates", features.log_candidates),
+            ("missing_heatmap", lambda d: missing.missing_heatmap(d, numbers[0])),
+            ("outlier_ranking", anomalies.outlier_ranking), ("zscore_row_flags", anomalies.zscore_row_flags), ("isolation_forest", forest_outliers),
+            ("log_candidates", features.log_candidates),
         ]
     if len(numbers) > 1:
-        steps += [("corr_significance", relations.corr_significance), ("strong_pairs", relations.strong_pairs)]
+        steps += [
+            ("corr_matrix", relations.corr_matrix), ("corr_significance", relations.corr_significance),
+            ("correlation_choice", hypothesis.correlation_choice), ("strong_pairs", relations.strong_pairs), ("scatter_grid", relations.scatter_grid),
+        ]
     if text:
-        steps += [("value_counts", categorical.value_counts), ("cardinality_class", categorical.cardinality_class)]
+        steps += [
+            ("value_counts", categorical.value_counts), ("cardinality_class", categorical.cardinality_class), ("category_missing", categorical.category_missing)]
     if text and numbers:
-        steps.append(("group_agg", lambda d: relations.group_agg(d, text[0], numbers[-1])))
+        steps += [("all_group_stats", relations.all_group_stats), ("all_group_tests", hypothesis.all_group_tests)]
     for ts in dates:
         steps += [
-            (f"date_range_{ts}", lambda d, ts=ts: timeseries.date_range(d, [ts])),
-            (f"counts_by_month_{ts}", lambda d, ts=ts: timeseries.counts_by_month(d, ts)),
-            (f"gap_stats_{ts}", lambda d, ts=ts: timeseries.gap_stats(d, ts)),
-        ]
-    steps += [("feature_advice", features.feature_advice), ("quality_issues", quality_issues), ("key_findings", key_findings)]
+            (f"{name}_{ts}", lambda d, ts=ts, f=f: f(d, ts)) for name, f in (
+                ("date_range", lambda d, ts: timeseries.date_range(d, [ts])), ("counts_by_year", timeseries.counts_by_year),
+                ("counts_by_month", timeseries.counts_by_month), ("counts_by_weekday", timeseries.counts_by_weekday),
+                ("gap_stats", timeseries.gap_stats))]
+        if numbers:
+            steps += [(f"{name}_{ts}", lambda d, ts=ts, f=f: f(d, ts)) for name, f in (
+                ("trend_lines", timeseries.trend_lines), ("rolling_trend", timeseries.rolling_trend), ("time_trend", timeseries.time_trend))]
+    steps += [
+        ("encoding_advice", features.encoding_advice), ("feature_advice", features.feature_advice), ("quality_issues", quality_issues),
+        ("key_findings", key_findings)]
     return steps
 
 
+def forest_outliers(df: DataFrame) -> DataFrame:
+    """(row_hash, score): the rows that the isolation forest flags, named by a hash of all their columns."""
+    cols = numeric_columns(df)
+    rows = df.select(F.xxhash64(*[F.col(f"`{c}`") for c in profiled(df)]).alias("row_hash"), *[F.col(f"`{c}`") for c in cols if c != "row_hash"])
+    return isolation_forest(rows, ["row_hash"], [c for c in cols if c != "row_hash"]).where("is_outlier").select("row_hash", "score")
+
+
 @dataclass
 class Profile:
     run_id: str

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import constants as K
 from ..functions.columns import DATETIME, col, columns_of, doubles, long_doubles, numeric_columns, rows_from, seconds
@@ -183,6 +183,22 @@ def trend_line(df: DataFrame, ts: str, value: str, grain: str | None = None) ->
     ).orderBy("period")
 
 
+def trend_lines(df: DataFrame, ts: str, cols: Sequence[str] | None = None, grain: str | None = None) -> DataFrame:
+    """(column, period, n, total, mean) of every numeric column per period, in one scan."""
+    cols, grain = numeric_columns(df, cols), grain or pick_grain(df, ts)
+    long = long_doubles(df.withColumn("_p", truncated(ts, grain)), cols, ["_p"]).where("_p is not null and value is not null")
+    return long.groupBy("column", F.col("_p").alias("period")).agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.avg("value").alias("mean"))
+
+
+def rolling_trend(df: DataFrame, ts: str, cols: Sequence[str] | None = None, days: int = K.ROLLING_DAYS) -> DataFrame:
+    """(column, period, n, mean, rolling_mean): daily means of every numeric column and the mean of the days up to each.
+
+    The window runs over one row per column and day with records, so it grows with the calendar and not with the rows."""
+    daily = trend_lines(df, ts, cols, "day").withColumn("_d", F.datediff(F.col("period").cast("date"), F.lit("1970-01-01").cast("date")))
+    last = Window.partitionBy("column").orderBy("_d").rangeBetween(1 - days, 0)
+    return daily.select("column", "period", "n", "mean", (F.sum("total").over(last) / F.sum("n").over(last)).alias("rolling_mean"))
+
+
 def resample(df: DataFrame, ts: str, value: str, grain: str = "day") -> DataFrame:
     """(period, n, mean) with the periods that have no record."""
     line = trend_line(df, ts, value, grain)

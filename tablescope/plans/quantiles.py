@@ -9,9 +9,9 @@ that hold a wanted rank are kept, until every piece is small (``select_ranks``).
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..constants import QUANTILES
 from ..functions.columns import col, doubles, numeric_columns, small_frame
@@ -55,37 +55,37 @@ def _cuts(spans: list[list[float]]) -> Cuts:
 
 
 def select_ranks(counted: DataFrame, keys: Sequence[str], ranks: DataFrame) -> DataFrame:
-    """(keys…, rank, value) of the wanted zero-based ranks.
+    """(keys…, _rank, _value) of the wanted zero-based ranks.
 
     ``counted`` has the keys, ``_p`` (the pieces of a key in order), ``_v`` (the distinct values of a piece, null where only their
-    number is known) and ``_c`` (how often); ``ranks`` has the keys and an array of ranks.  Ranks in pieces without values have no row.
+    number is known) and ``_c`` (how often); ``ranks`` has the keys and an array ``_ranks``.  Ranks in pieces without values have no row.
 
     A piece with more than PIECE_ROWS values is cut into FANOUT at its own approximate quantiles.  The cuts only balance the work, as the
     new pieces are counted; pieces without a wanted rank are dropped.  Values are distinct, so the pieces shrink in every round."""
     keys, by = list(keys), [*keys, "_p"]
     before = Window.partitionBy(*[col(k) for k in keys]).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    here = F.filter("ranks", lambda r: (r >= F.col("_o")) & (r < F.col("_o") + F.col("_s")))
+    here = F.filter("_ranks", lambda r: (r >= F.col("_o")) & (r < F.col("_o") + F.col("_s")))
     counted = materialize(counted, "ranked-values")
     sizes = counted.groupBy(*by).agg(F.sum("_c").alias("_s"), F.count("_v").alias("_k"))
     placed = sizes.withColumn("_o", F.coalesce(F.sum("_s").over(before), F.lit(0))).join(ranks, keys)
-    held = placed.withColumn("ranks", here).where((F.size("ranks") > 0) & (F.col("_k") > 0))
+    held = placed.withColumn("_ranks", here).where((F.size("_ranks") > 0) & (F.col("_k") > 0))
     rows = counted.where("_v is not null")
     while (held.agg(F.max("_k")).first()[0] or 0) > PIECE_ROWS:
-        inside = rows.join(held.drop("ranks", "_s"), by)
+        inside = rows.join(held.drop("_ranks", "_s"), by)
         points = [i / FANOUT for i in range(1, FANOUT)]
-        cuts = inside.where(F.col("_k") > PIECE_ROWS).groupBy(*by).agg(F.percentile_approx("_v", points, F.lit(ACCURACY)).alias("cuts"))
-        number = F.when(F.col("cuts").isNotNull(), F.size(F.filter("cuts", lambda x: x < F.col("_v")))).otherwise(0)
+        cuts = inside.where(F.col("_k") > PIECE_ROWS).groupBy(*by).agg(F.percentile_approx("_v", points, F.lit(ACCURACY)).alias("_cuts"))
+        number = F.when(F.col("_cuts").isNotNull(), F.size(F.filter("_cuts", lambda x: x < F.col("_v")))).otherwise(0)
         cut = inside.join(cuts, by, "left").select(*[col(k) for k in keys], (F.col("_p") * FANOUT + number).cast("long").alias("_p"), "_v", "_c", "_o")
         rows = materialize(cut, "ranked-pieces")
         inner = Window.partitionBy(*[col(k) for k in keys], F.floor(F.col("_p") / FANOUT)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
         sizes = rows.groupBy(*by).agg(F.sum("_c").alias("_s"), F.count("_v").alias("_k"), F.min("_o").alias("_o"))
         placed = sizes.withColumn("_o", F.col("_o") + F.coalesce(F.sum("_s").over(inner), F.lit(0))).join(ranks, keys)
-        held = materialize(placed.withColumn("ranks", here).where(F.size("ranks") > 0), "ranked-places")
+        held = materialize(placed.withColumn("_ranks", here).where(F.size("_ranks") > 0), "ranked-places")
         rows = rows.drop("_o")
     upto = F.col("_o") + F.sum("_c").over(Window.partitionBy(*[col(k) for k in by]).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
     ordered = rows.join(held.drop("_s", "_k"), by).withColumn("_upto", upto)
-    hits = F.filter("ranks", lambda r: (r < F.col("_upto")) & (r >= F.col("_upto") - F.col("_c")))
-    return ordered.select(*[col(k) for k in keys], F.explode(hits).alias("rank"), F.col("_v").alias("value"))
+    hits = F.filter("_ranks", lambda r: (r < F.col("_upto")) & (r >= F.col("_upto") - F.col("_c")))
+    return ordered.select(*[col(k) for k in keys], F.explode(hits).alias("_rank"), F.col("_v").alias("_value"))
 
 
 def _pick(df: DataFrame, cuts: dict[str, Cuts], wanted: dict[str, set[int]]) -> dict:
@@ -100,10 +100,10 @@ def _pick(df: DataFrame, cuts: dict[str, Cuts], wanted: dict[str, set[int]]) ->
         entries += [F.lit(i), F.when(v.isNotNull(), piece), v]
     long = df.select(F.stack(F.lit(len(names)), *entries).alias("c", "piece", "v")).where("piece is not null")
     counted = long.groupBy("c", "piece", F.when(F.col("piece") % 2 == 1, F.col("v")).alias("v")).agg(F.count("*").alias("n"))
-    ranks = small_frame(df.sparkSession, [(names.index(c), sorted(r)) for c, r in wanted.items()], "c int, ranks array<bigint>")
+    ranks = small_frame(df.sparkSession, [(names.index(c), sorted(r)) for c, r in wanted.items()], "c int, _ranks array<bigint>")
     found = select_ranks(counted.select("c", F.col("piece").cast("long").alias("_p"), F.col("v").alias("_v"), F.col("n").alias("_c")), ["c"], ranks)
     hits = found.collect()
-    return {(names[r["c"]], r["rank"]): r["value"] for r in hits}
+    return {(names[r["c"]], r["_rank"]): r["_value"] for r in hits}
 
 
 def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], k: int = K_RANKS) -> dict[str, dict[float, float | None]]:
@@ -178,20 +178,22 @@ def _edges(q: float, accuracy: int) -> tuple[float, float]:
 
 
 def group_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], accuracy: int = ACCURACY
+    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], accuracy: int = ACCURACY, stats: Mapping[str, Column] | None = None
 ) -> DataFrame:
-    """(keys…, q1, q2, …) for any number of groups, exact, same two passes with the brackets kept as a table.
+    """(keys…, q0, q1, …) for any number of groups, exact, same two passes with the brackets kept as a table.
+
+    ``stats`` are further aggregates of the value, taken in the first pass and returned beside the quantiles.
 
     The brackets are one row per group; the optimizer broadcasts them when they are measured to be small and joins on the
     group key otherwise (with skew splitting).  Missing keys and values are left out."""
-    keys, m = list(keys), len(probs)
+    keys, m, stats = list(keys), len(probs), stats or {}
     rows = doubles(df, [value], keys).where(col(value).isNotNull())
     for k in keys:
         rows = rows.where(col(k).isNotNull())
     asked = [e for q in probs for e in _edges(q, accuracy)]
     sketch = rows.groupBy(*[col(k) for k in keys]).agg(
         F.count("*").alias("_n"), F.min(col(value)).alias("_lo"), F.max(col(value)).alias("_hi"),
-        F.percentile_approx(col(value), asked, accuracy).alias("_p"),
+        F.percentile_approx(col(value), asked, accuracy).alias("_p"), *[c.alias(name) for name, c in stats.items()],
     )
     lows, highs = [], []
     for j, q in enumerate(probs):
@@ -199,8 +201,8 @@ def group_quantiles(
         small = F.col("_n") <= SMALL * accuracy
         lows.append(F.when(small | F.lit(low_q == 0), F.col("_lo")).otherwise(F.col("_p")[2 * j]).alias(f"_l{j}"))
         highs.append(F.when(small | F.lit(high_q == 1), F.col("_hi")).otherwise(F.col("_p")[2 * j + 1]).alias(f"_h{j}"))
-    sketch = materialize(sketch.select(*[col(k) for k in keys], "_n", *lows, *highs), "group-brackets")
-    joined = rows.join(sketch, keys)
+    sketch = materialize(sketch.select(*[col(k) for k in keys], "_n", *lows, *highs, *stats), "group-brackets")
+    joined = rows.join(sketch.drop(*stats), keys)
     v = col(value)
     # brackets are sorted by q, so the number of brackets wholly below v orders the rows outside them; those before a bracket come first
     passed = sum((F.when(v > F.col(f"_h{j}"), 1).otherwise(0) for j in range(m)), F.lit(0))
@@ -212,12 +214,12 @@ def group_quantiles(
     )
     h = [F.lit(float(q)) * (F.col("_n") - 1) for q in probs]
     wanted = [(F.floor(x), F.least(F.floor(x) + 1, F.col("_n") - 1)) for x in h]
-    ranks = sketch.select(*[col(k) for k in keys], F.array_distinct(F.array(*[r for pair in wanted for r in pair])).alias("ranks"))
+    ranks = sketch.select(*[col(k) for k in keys], F.array_distinct(F.array(*[r for pair in wanted for r in pair])).alias("_ranks"))
     piece = (2 * F.col("_b") + F.col("_v").isNotNull().cast("int")).cast("long")
     picks = select_ranks(counted.select(*[col(k) for k in keys], piece.alias("_p"), "_v", "_c"), keys, ranks)
-    picks = picks.join(sketch.select(*[col(k) for k in keys], "_n"), keys)
-    out = [F.max(F.when(F.col("rank") == r, F.col("value"))).alias(f"{tag}{j}") for j, pair in enumerate(wanted) for tag, r in zip("ab", pair)]
-    found = picks.groupBy(*[col(k) for k in keys], "_n").agg(*out)
+    picks = picks.join(sketch.select(*[col(k) for k in keys], "_n", *stats), keys)
+    out = [F.max(F.when(F.col("_rank") == r, F.col("_value"))).alias(f"{tag}{j}") for j, pair in enumerate(wanted) for tag, r in zip("ab", pair)]
+    found = picks.groupBy(*[col(k) for k in keys], "_n", *stats).agg(*out)
 
     def value_at(j: int, q: float):
         h = F.lit(float(q)) * (F.col("_n") - 1)
@@ -225,7 +227,7 @@ def group_quantiles(
         missed = F.raise_error(F.lit("quantile outside its bracket; raise the accuracy")).cast("double")
         return F.when(a.isNull() | b.isNull(), missed).otherwise(a + (b - a) * (h - F.floor(h)))
 
-    return found.select(*[col(k) for k in keys], *[value_at(j, q).alias(f"q{j}") for j, q in enumerate(probs)])
+    return found.select(*[col(k) for k in keys], *stats, *[value_at(j, q).alias(f"q{j}") for j, q in enumerate(probs)])
 
 
 def weighted_quantiles(counts: DataFrame, value: str, weight: str, probs: Sequence[float]) -> dict[float, float | None]:

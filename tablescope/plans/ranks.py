@@ -7,7 +7,7 @@ from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.columns import col, doubles
+from ..functions.columns import col, merge_nan
 from ..session import parallelism
 from .ordered import scan, split_points, with_buckets
 
@@ -31,26 +31,28 @@ def ranked_values(rows: DataFrame, value: str, splits: Sequence[float], group: s
     )
 
 
-def _shown(view: View) -> Column:
-    """The column of a view where its partner, if it has one, is not missing."""
-    a, b = view
-    return F.when(col(b).isNotNull(), col(a)) if b is not None else col(a)
-
-
-def rank_columns(df: DataFrame, views: Sequence[View]) -> DataFrame:
+def rank_columns(df: DataFrame, views: Sequence[View], keep: Sequence[str] = ()) -> DataFrame:
     """One row per row of ``df`` with columns r0, r1, …: the average rank of each view's value among all its non-missing values.
 
-    A view is a column, or a column on the rows where a second one is not missing.  Whatever the number of views, rows are moved twice:
-    the values between two split points meet in their bucket, where counts give their ranks, and all ranks of a row meet again.  A value that
-    equals a split point is ranked from the table of bucket counts alone, so frequent values are not moved at all."""
-    views = list(views)
-    cols = sorted({c for view in views for c in view if c is not None})
-    base = doubles(df, cols)
-    splits = split_points(base, sorted({a for a, _ in views}), max(PIECES, 2 * parallelism(df.sparkSession)))
+    A view is a numeric column, or one on the rows where a second column of any type is not missing.  Whatever the number of views, rows
+    are moved twice: the values between two split points meet in their bucket, where counts give their ranks, and all ranks of a row meet
+    again.  A value that equals a split point is ranked from the table of bucket counts alone, so frequent values are not moved at
+    all.  ``keep`` names columns to carry along, as text, in k0, k1, …"""
+    views, keep = list(views), list(keep)
+    cols, partners = sorted({a for a, _ in views}), sorted({b for _, b in views if b is not None})
+    clean = merge_nan(df.select(*[col(c) for c in dict.fromkeys([*cols, *partners, *keep])]))
+    base = clean.select(
+        *[col(c).cast("double").alias(c) for c in cols], *[col(b).isNotNull().alias(f"_h_{b}") for b in partners],
+        *[col(c).cast("string").alias(f"_k{i}") for i, c in enumerate(keep)])
+    splits = split_points(base, cols, max(PIECES, 2 * parallelism(df.sparkSession)))
     cut = with_buckets(base, splits, isolate=True)
 
+    def shown(view: View) -> Column:
+        a, b = view
+        return F.when(col(f"_h_{b}"), col(a)) if b is not None else col(a)
+
     def bucket(i: int) -> Column:
-        return F.when(_shown(views[i]).isNotNull(), col(f"_b_{views[i][0]}"))
+        return F.when(shown(views[i]).isNotNull(), col(f"_b_{views[i][0]}"))
 
     long = cut.select(F.stack(F.lit(len(views)), *[x for i in range(len(views)) for x in (F.lit(i), bucket(i))]).alias("view", "bucket"))
     sizes: list[dict[int, int]] = [{} for _ in views]
@@ -64,16 +66,18 @@ def rank_columns(df: DataFrame, views: Sequence[View]) -> DataFrame:
         single = [repr(starts[b] + (n + 1) / 2) + "D" if b % 2 == 0 else "null" for b, n in enumerate(counts)]
         known.append(F.get(F.expr(f"array({', '.join(single)})"), bucket(i)))
         start = F.get(F.expr(f"array({', '.join(f'{x}L' for x in starts)})"), bucket(i))
-        piece = F.struct(F.lit(i).alias("view"), bucket(i).alias("bucket"), _shown(view).alias("value"), start.alias("start"))
+        piece = F.struct(F.lit(i).alias("view"), bucket(i).alias("bucket"), shown(view).alias("value"), start.alias("start"))
         moved.append(F.when(bucket(i) % 2 == 1, piece))
     home = F.struct(F.lit(-1).alias("view"), F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("double").alias("value"), F.lit(None).cast("long").alias("start"))
     numbered = cut.withColumn("_row", F.monotonically_increasing_id())
-    ranks = "struct<" + ", ".join(f"r{i}: double" for i in range(len(views))) + ">"
-    rows = numbered.select("_row", F.struct(*known).cast(ranks).alias("known"), F.explode(F.array(home, *moved)).alias("p")).where("p is not null")
+    fields = [f"r{i}: double" for i in range(len(views))] + [f"k{i}: string" for i in range(len(keep))]
+    carried = F.struct(*known, *[F.col(f"_k{i}") for i in range(len(keep))]).cast(f"struct<{', '.join(fields)}>")
+    rows = numbered.select("_row", carried.alias("known"), F.explode(F.array(home, *moved)).alias("p")).where("p is not null")
     rows = rows.select(
         "_row", F.col("p.view").alias("view"), F.coalesce("p.bucket", F.pmod("_row", F.lit(PIECES)).cast("int")).alias("bucket"),
         F.col("p.value").alias("value"), F.col("p.start").alias("start"), F.when(F.col("p.view") < 0, F.col("known")).alias("known"))
     inside = Window.partitionBy("view", "bucket").orderBy("value")
     ranked = rows.withColumn("rank", F.col("start") + (F.rank().over(inside) + F.count("*").over(inside)) / F.lit(2.0))
-    shown = [F.max(F.coalesce(f"known.r{i}", F.when(F.col("view") == i, F.col("rank")))).alias(f"r{i}") for i in range(len(views))]
-    return ranked.groupBy("_row").agg(*shown).drop("_row")
+    out = [F.max(F.coalesce(f"known.r{i}", F.when(F.col("view") == i, F.col("rank")))).alias(f"r{i}") for i in range(len(views))]
+    out += [F.first(f"known.k{i}", ignorenulls=True).alias(f"k{i}") for i in range(len(keep))]
+    return ranked.groupBy("_row").agg(*out).drop("_row")

@@ -12,6 +12,7 @@ from .profile import _k2
 
 ORDER_NUMBERS = ("o_orderkey", "o_custkey", "o_totalprice")
 DAY = 86_400_000_000
+LINE_GROUPS = ("l_returnflag", "l_linestatus")
 
 
 def _per(expression: str, name: str, frame: str) -> str:
@@ -139,6 +140,11 @@ QUERIES: dict[str, Entry] = {
                      f"SELECT CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS period, count(*) AS n, {r('avg(o_totalprice)', 4)} AS mean FROM orders GROUP BY 1"),
     "trend_line": (on("events", lambda d: M.trend_line(d, "ts", "value"), 4), f"""SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS period, count(*) AS n,
       {r('sum(value)', 4)} AS total, {r('avg(value)', 4)} AS mean FROM events GROUP BY 1"""),
+    "trend_lines": (on("orders", lambda d: M.trend_lines(d, "o_orderdate", grain="month"), 4), union_all(f"""SELECT '{c}' AS "column", CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS period,
+      count({c}) AS n, {r(f'sum({c})::DOUBLE', 4)} AS total, {r(f'avg({c})', 4)} AS mean FROM orders GROUP BY 2""" for c in ORDER_NUMBERS)),
+    "rolling_trend": (on("orders", lambda d: M.rolling_trend(d, "o_orderdate"), 4), union_all(f"""SELECT '{c}' AS "column", p AS period, n, {r('t / n', 4)} AS mean,
+      {r('sum(t) OVER w / sum(n) OVER w', 4)} AS rolling_mean FROM (SELECT CAST(date_trunc('day', o_orderdate) AS TIMESTAMP) AS p, count({c}) AS n, sum({c})::DOUBLE AS t FROM orders GROUP BY 1)
+      WINDOW w AS (ORDER BY p RANGE BETWEEN INTERVAL 29 DAYS PRECEDING AND CURRENT ROW)""" for c in ORDER_NUMBERS)),
     "resample": (on("orders", lambda d: M.resample(d, "o_orderdate", "o_totalprice", "day"), 4), f"""SELECT p AS period, count(o_orderkey) AS n, {r('avg(o_totalprice)', 4)} AS mean
       FROM (SELECT unnest(generate_series(min(o_orderdate), max(o_orderdate), INTERVAL 1 DAY)) AS p FROM orders) LEFT JOIN orders ON o_orderdate = p GROUP BY p"""),
     "time_trend": (on("orders", lambda d: M.time_trend(d, "o_orderdate", list(ORDER_NUMBERS)), 4), union_all(
@@ -170,6 +176,17 @@ QUERIES: dict[str, Entry] = {
       FROM lineitem GROUP BY 1""".replace(", 6)", ", 4)")),
     "group_agg": (on("lineitem", lambda d: L.group_agg(d, "l_suppkey", "l_quantity")), f"""SELECT l_suppkey AS "group", {GROUP_STATS.replace('{v}', 'l_quantity')},
       {r('quantile_cont(l_quantity, 0.5)')} AS median FROM lineitem GROUP BY 1"""),
+    "all_group_stats": (on("lineitem", L.all_group_stats, 4), union_all(f"""SELECT '{g}' AS category, {g} AS value, '{c}' AS "column", {GROUP_STATS.replace('{v}', c)},
+      min({c})::DOUBLE AS min, {r(f'quantile_cont({c}::DOUBLE, 0.25)', 4)} AS p25, {r(f'quantile_cont({c}::DOUBLE, 0.5)', 4)} AS median, {r(f'quantile_cont({c}::DOUBLE, 0.75)', 4)} AS p75,
+      max({c})::DOUBLE AS max FROM lineitem GROUP BY {g}""".replace(", 6)", ", 4)").replace(f"min({c})::DOUBLE", r(f"min({c})::DOUBLE", 4)).replace(f"max({c})::DOUBLE", r(f"max({c})::DOUBLE", 4))
+      for g in LINE_GROUPS for c in LINE_NUMBERS)),
+    "all_group_stats_missing": (lambda s, d: rounded(L.all_group_stats(FR.labelled(s, d), ["lang", "source"], ["quality", "n_chars"]).select("category", "value", "column", "n", "mean", "median")),
+      union_all(f"""SELECT '{g}' AS category, {g} AS value, '{c}' AS "column", count({c}) AS n, {r(f'avg({c})')} AS mean, {r(f'quantile_cont({c}::DOUBLE, 0.5)')} AS median
+      FROM {FR.LABELLED_SQL} WHERE {g} IS NOT NULL AND {c} IS NOT NULL GROUP BY {g}""" for g in ("lang", "source") for c in ("quality", "n_chars"))),
+    "scatter_grid": (lambda s, d: L.scatter_grid(FR.sizes(s, d), bins=10), union_all(f"""SELECT '{a}' AS col_a, '{b}' AS col_b, {SPAN.format(k=10, c=a)} AS bin_a,
+      {SPAN.replace('lo', 'lo2').replace('hi', 'hi2').format(k=10, c=b).replace('flo2or', 'floor')} AS bin_b, count(*) AS n FROM {FR.SIZES_SQL},
+      (SELECT min({a}) AS lo, max({a}) AS hi, min({b}) AS lo2, max({b}) AS hi2 FROM {FR.SIZES_SQL}) WHERE (SELECT abs(corr({a}, {b})) FROM {FR.SIZES_SQL}) > 0.7 GROUP BY ALL"""
+      for a, b in (("doc_id", "n_chars"), ("doc_id", "text_chars"), ("n_chars", "text_chars")))),
     "cross_group": (on("lineitem", lambda d: L.cross_group(d, "l_returnflag", "l_linestatus", "l_quantity")), f"""SELECT l_returnflag, l_linestatus, count(l_quantity) AS n,
       {r('sum(l_quantity)')} AS total, {r('avg(l_quantity)')} AS mean FROM lineitem GROUP BY ALL"""),
     "scatter_sample": (on("part", lambda d: L.scatter_sample(d, "p_size", "p_retailprice", "p_partkey", 200)), None),
@@ -183,6 +200,10 @@ QUERIES: dict[str, Entry] = {
                      _mann_whitney("lineitem", "l_linestatus", "l_quantity", "F")),
     "kruskal_wallis": (on("lineitem", lambda d: T.kruskal_wallis(d, "l_returnflag", "l_quantity")),
                        f"SELECT groups, n, {r('h')} AS h, groups - 1 AS df, {r('exp(-h / 2)')} AS p FROM ({_kruskal('lineitem', 'l_returnflag', 'l_quantity')})"),
+    "all_group_tests": (on("lineitem", lambda d: T.all_group_tests(d).drop("p")), union_all(f"""SELECT '{g}' AS category, '{c}' AS "column", groups, n, {r('h')} AS h, groups - 1 AS df
+      FROM ({_kruskal('lineitem', g, c)})""" for g in LINE_GROUPS for c in LINE_NUMBERS)),
+    "all_group_tests_missing": (lambda s, d: rounded(T.all_group_tests(FR.holes(s, d), ["event_type"], ["value", "seen"]).drop("p")), union_all(
+      f"""SELECT 'event_type' AS category, '{c}' AS "column", groups, n, {r('h')} AS h, groups - 1 AS df FROM ({_kruskal(FR.HOLES_SQL, 'event_type', c)})""" for c in ("value", "seen"))),
     "group_comparison": (on("orders", lambda d: T.group_comparison(d, "o_orderstatus", "o_totalprice")),
                          f"SELECT 'kruskal_wallis' AS test, groups, n, {r('h')} AS statistic, {r('exp(-h / 2)')} AS p FROM ({_kruskal('orders', 'o_orderstatus', 'o_totalprice')})"),
     "correlation_choice": (on("lineitem", lambda d: T.correlation_choice(d).select(

@@ -181,11 +181,14 @@ QUERIES: dict[str, Entry] = {
     "category_missing": (lambda s, d: rounded(C.category_missing(FR.labelled(s, d).withColumn("grade", FR.F.col("quality").cast("string")))),
                          _nulls(f"(SELECT text, lang, source, CAST(quality AS VARCHAR) AS grade FROM {FR.LABELLED_SQL})", ("text", "lang", "source", "grade"))),
     "missing_ranking": (lambda s, d: rounded(W.missing_ranking(FR.labelled(s, d))), _nulls(FR.LABELLED_SQL, [c for c, _ in LABELLED])),
-    "missing_heatmap": (lambda s, d: rounded(W.missing_heatmap(FR.labelled(s, d).drop("text"), "doc_id", 10)), union_all(
+    "missing_heatmap": (lambda s, d: rounded(W.missing_heatmap(FR.labelled(s, d), "doc_id", 10)), union_all(
         f"""SELECT CAST(b AS INTEGER) AS bin, '{c}' AS "column", count(*) AS rows, count(*) - count({c}) AS nulls,
         {r(f'(count(*) - count({c})) / count(*)')} AS null_share FROM (SELECT *, least(9, CAST(floor((doc_id - lo) / ((hi - lo) / 10)) AS BIGINT)) AS b
         FROM {FR.LABELLED_SQL}, (SELECT min(doc_id) AS lo, max(doc_id) AS hi FROM documents)) GROUP BY b"""
-        for c in ("lang", "source", "n_chars", "quality", "toxic"))),
+        for c in ("text", "lang", "source", "n_chars", "quality", "toxic"))),
+    "missing_heatmap_no_key": (lambda s, d: rounded(W.missing_heatmap(FR.labelled(s, d).select("quality", "toxic", "text"), "quality", 2)), union_all(
+        f"""SELECT CAST(CASE WHEN quality >= 0.5 THEN 1 WHEN quality < 0.5 THEN 0 END AS INTEGER) AS bin, '{c}' AS "column", count(*) AS rows, count(*) - count({c}) AS nulls,
+        {r(f'(count(*) - count({c})) / count(*)')} AS null_share FROM {FR.LABELLED_SQL} GROUP BY 1""" for c in ("toxic", "text"))),
     "high_missing_columns": (lambda s, d: rounded(W.high_missing_columns(FR.labelled(s, d))),
                              f"SELECT * FROM ({_nulls(FR.LABELLED_SQL, [c for c, _ in LABELLED])}) WHERE null_share > 0.2"),
 }

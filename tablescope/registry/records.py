@@ -177,6 +177,16 @@ def _profile(spark, sf: str) -> DataFrame:
     return R.run_profile(table(spark, sf, "orders"), scratch_path(spark, "profile")).steps.drop("run_id", "seconds", "text_output")
 
 
+ORDER_STEPS = (
+    "dataset_shape", "column_overview", "describe_all", "duplicate_row_count", "duplicate_rows", "missing_ranking", "constant_columns", "id_like_columns",
+    "numeric_describe", "shape_flags", "histogram", "boxplot_stats", "normality_test", "missing_heatmap", "outlier_ranking", "zscore_row_flags", "isolation_forest",
+    "log_candidates", "corr_matrix", "corr_significance", "correlation_choice", "strong_pairs", "scatter_grid", "value_counts", "cardinality_class",
+    "category_missing", "all_group_stats", "all_group_tests", *[f"{name}_o_orderdate" for name in (
+        "date_range", "counts_by_year", "counts_by_month", "counts_by_weekday", "gap_stats", "trend_lines", "rolling_trend", "time_trend")],
+    "encoding_advice", "feature_advice", "quality_issues", "key_findings",
+)
+
+
 def _report(spark, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders")
     steps = [s for s in R.default_steps(orders) if s[0] in ("column_overview", "numeric_describe", "value_counts")]
@@ -251,7 +261,8 @@ QUERIES: dict[str, Entry] = {
     "suggested_answers": (_suggested, None),
     "sample_rows": (on("orders", lambda d: Q.sample_rows(d, ["o_orderkey"], 100)), None),
     # report
-    "run_profile": (_profile, None),
+    "run_profile": (_profile, "SELECT CAST(i AS INTEGER) AS step_number, step, CAST(0 AS INTEGER) AS charts, CAST(NULL AS VARCHAR) AS error, CAST(1 AS INTEGER) AS attempts FROM (VALUES "
+                    + ", ".join(f"({i}, '{name}')" for i, name in enumerate(ORDER_STEPS, 1)) + ") v(i, step)"),
     "write_report": (_report, None),
     "quality_issues": (lambda s, d: rounded(R.quality_issues(FR.labelled(s, d))), f"SELECT \"column\", issue, n, {r('n / (SELECT count(*) FROM documents)')} AS share FROM ({ISSUES_SQL})"),
     "key_findings": (on("events", lambda d: R.key_findings(d, 5, [("event_type", "value")])), FINDINGS_SQL),

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablescope.functions import text as X
-from tablescope.operators import logs as G, overview as O, report as R
+from tablescope.operators import hypothesis as T, logs as G, overview as O, relations as L, report as R
 from tablescope.operators.iforest import as_arrays, grow, isolation_forest, mean_path, path_lengths
 from tablescope.session import scratch_path
 
@@ -40,6 +40,38 @@ def test_full_run_has_no_failed_step_and_covers_every_column(spark, read):
     assert all(f"## {s}" in text for s in R.SECTIONS) and all(c in text for c in orders.columns)
 
 
+def test_report_names_tests_anomalies_and_small_ranges(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=400)
+    x[0] = 40.0
+    pdf = pd.DataFrame({"x": x, "tiny": rng.uniform(1e-6, 9e-6, 400), "g": rng.choice(["a", "b", "c"], 400), "h": None})
+    pdf.loc[pdf.g == "a", "x"] += 2
+    df = spark.createDataFrame(pdf, "x double, tiny double, g string, h string")
+    rows = [(r["section"], r["text"]) for r in R.insights(df).collect()]
+    stats, links, odd = ([t for s, t in rows if s == name] for name in ("statistics", "relations", "anomalies"))
+    assert any(t.startswith("x: not normal (p = ") for t in stats)
+    assert any(t.startswith("x by g: 3 groups, H = ") and t.endswith("p = 0.0") for t in links) and any("and x: " in t or "x and tiny: " in t for t in links)
+    assert "1 rows with a |z| above 3 in any column" in odd and any(t.endswith("flagged by the isolation forest") and not t.startswith("0 ") for t in odd)
+    lo = R.column_summary(df).where("column = 'tiny'").first()["lo"]
+    assert float(lo) == pytest.approx(pdf.tiny.min(), rel=1e-3)
+
+
+def test_all_pairs_agree_with_single_pairs(spark, read):
+    events = read("events").withColumn("half", F.col("event_id") % 2 == 0).withColumn("value", F.when(F.col("event_id") % 5 > 0, F.col("value")))
+    assert L.group_columns(events) == ["event_type", "half"]
+    tests = {(r["category"], r["column"]): r for r in T.all_group_tests(events).collect()}
+    stats = L.all_group_stats(events).collect()
+    assert len(tests) == 6
+    for category in ("event_type", "half"):
+        one = T.kruskal_wallis(events, category, "value").first()
+        got = tests[category, "value"]
+        assert [got[c] for c in ("groups", "n", "df")] == [one[c] for c in ("groups", "n", "df")]
+        assert (got["h"], got["p"]) == (pytest.approx(one["h"]), pytest.approx(one["p"]))
+        want = {str(r["group"]).lower(): tuple(r)[1:] for r in L.group_describe(events, category, "value").collect()}
+        found = {r["value"]: (r["n"], r["mean"], r["sd"], r["min"], r["p25"], r["median"], r["p75"], r["max"]) for r in stats if (r["category"], r["column"]) == (category, "value")}
+        assert found.keys() == want.keys() and all(found[k] == pytest.approx(want[k]) for k in want)
+
+
 def test_findings_are_ranked(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=500)
