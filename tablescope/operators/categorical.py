@@ -3,20 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .. import constants as K
-from ..functions.columns import CATEGORICAL, columns_of
-from ..plans.frequency import distinct_summary, frequencies, most_frequent, value_text
+from ..functions.columns import CATEGORICAL, columns_of, small_frame
+from ..plans.frequency import distinct_summary, frequencies, most_frequent, top_values, value_text
 from .overview import dataset_shape, null_counts
 
 
-# Spark pushes a rank filter into the tasks up to this rank (default of spark.sql.optimizer.windowGroupLimitThreshold).
-GROUP_LIMIT = 1000
-
-
 def _counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return frequencies(df, cols).select("column", value_text(df, cols).alias("value"), "n")
 
@@ -28,14 +23,11 @@ def _named(df: DataFrame, cols: Sequence[str] | None) -> list[str]:
 def value_counts(df: DataFrame, cols: Sequence[str] | None = None, top: int = K.TOP_CATEGORIES) -> DataFrame:
     """(column, value, n, rank): the most frequent values, ties in value order.
 
-    The rank filter is applied inside every task first (window group limit), so the task that ranks a column
-    sees at most ``top`` rows per upstream task."""
-    order = Window.partitionBy("column").orderBy(F.desc("n"), "value")
-    counts, names = _counts(df, _named(df, cols)), _named(df, cols)
-    if top > GROUP_LIMIT and names:  # beyond what Spark limits inside the tasks: one sorted head per column
-        heads = [counts.where(F.col("column") == c).orderBy(F.desc("n"), "value").limit(top) for c in names]
-        counts = reduce(DataFrame.unionByName, heads)
-    return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    Long texts are never shuffled: they are counted by fingerprint and only the winners are looked up (``top_values``)."""
+    names = _named(df, cols)
+    if not names:
+        return small_frame(df.sparkSession, [], "column string, value string, n bigint, rank int")
+    return top_values(df, names, top)
 
 
 def value_shares(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

@@ -9,13 +9,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import constants as K
 from ..functions.columns import (
-    CATEGORICAL, NUMERIC, class_of, col, columns_of, merge_nan, numeric_columns, profiled, rows_from, small_frame,
+    CATEGORICAL, DATETIME, NUMERIC, class_of, col, columns_of, merge_nan, numeric_columns, profiled, rows_from, small_frame,
     with_all_columns,
 )
 from ..plans.frequency import distinct_summary, most_frequent
 from ..plans.moments import moments
 from ..plans.quantiles import column_quantiles
 from ..plans.shared import is_shared, on_driver, remember
+from ..session import materialize
 
 
 def dataset_shape(df: DataFrame) -> DataFrame:
@@ -130,22 +131,49 @@ def _duplicate_row_count(df: DataFrame, exact: bool) -> DataFrame:
     return groups.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicates"))
 
 
+#: Bits of the filter for repeated rows: this many for each of them, but no more in all (eight megabytes).
+FILTER_BITS, MOST_BITS = 16, 1 << 26
+
+
 def duplicate_rows(df: DataFrame) -> DataFrame:
-    """The rows that occur more than once, with their multiplicity n."""
+    """The rows that occur more than once, with their multiplicity n.
+
+    Fingerprints are counted first, and those that repeat set bits in a filter.  Only rows whose fingerprint is in the filter are
+    shuffled and counted by their columns, so the result is exact however full the filter is."""
     clean = merge_nan(df)
-    return clean.groupBy(*[col(c) for c in clean.columns]).agg(F.count("*").alias("n")).where("n > 1")
+    names, (h1, h2) = [col(c) for c in clean.columns], _fingerprint(clean)
+    repeated = clean.select(h1, h2).groupBy("_h1", "_h2").agg(F.count("*").alias("_n")).where("_n > 1")
+    repeated = materialize(repeated.select("_h1"), "repeated-rows")
+    found = repeated.agg(F.count("*")).first()[0]
+    words = min(1 << max(6, (FILTER_BITS * found).bit_length()), MOST_BITS) // 64
+    at, bit = F.shiftrightunsigned("_h1", 6).bitwiseAND(F.lit(words - 1)), F.col("_h1").bitwiseAND(F.lit(63)).cast("int")
+    one = F.expr("shiftleft(1L, cast(_h1 & 63 as int))")
+    bits = F.broadcast(repeated.groupBy(at.alias("_w")).agg(F.bit_or(one).alias("_bits")))
+    rows = clean.select(F.struct(*names).alias("_row"), h1).join(bits, at == F.col("_w")).where(F.bit_get("_bits", bit) == 1).select("_row.*")
+    return rows.groupBy(*[col(c) for c in rows.columns]).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def _first_and_last(df: DataFrame) -> DataFrame:
+    """(column, first, last) of the date and time columns; one row each."""
+    dates = columns_of(df, DATETIME)
+    if not dates:
+        return small_frame(df.sparkSession, [], "column string, first timestamp_ntz, last timestamp_ntz")
+    spans = [(F.min(col(c).cast("timestamp_ntz")), F.max(col(c).cast("timestamp_ntz"))) for c in dates]
+    wide = df.agg(*[x.alias(f"_{i}_{j}") for i, span in enumerate(spans) for j, x in enumerate(span)])
+    return rows_from(wide, [(F.lit(c), F.col(f"_{i}_0"), F.col(f"_{i}_1")) for i, c in enumerate(dates)], ["column", "first", "last"])
 
 
 def describe_all(df: DataFrame) -> DataFrame:
-    """(column, n, uniques, top, freq, mean, sd, min, p25, p50, p75, max) for every profiled column.
+    """(column, n, uniques, top, freq, first, last, mean, sd, min, p25, p50, p75, max) for every profiled column.
 
-    top and freq are given for categorical columns, the moments for numeric ones."""
-    numbers = numeric_columns(df)
-    base, text = distinct_summary(df).select("column", "n", "uniques"), columns_of(df, CATEGORICAL)
-    if text:
-        base = base.join(most_frequent(df, text), "column", "left")
+    top and freq are given for categorical, date and time columns, first and last for the latter, the moments for numeric ones."""
+    numbers, named = numeric_columns(df), columns_of(df, CATEGORICAL, DATETIME)
+    base = distinct_summary(df).select("column", "n", "uniques")
+    if named:
+        base = base.join(most_frequent(df, named), "column", "left")
     else:
         base = base.withColumn("top", F.lit(None).cast("string")).withColumn("freq", F.lit(None).cast("bigint"))
+    base = base.join(_first_and_last(df), "column", "left")
     if not numbers:
         empty = [F.lit(None).cast("double").alias(c) for c in ("mean", "sd", "min", "p25", "p50", "p75", "max")]
         return base.select("*", *empty)
@@ -154,7 +182,7 @@ def describe_all(df: DataFrame) -> DataFrame:
     quart_rows = small_frame(df.sparkSession, rows, "column string, p25 double, p50 double, p75 double")
     stats = moments(df, numbers).select("column", "mean", "sd", "min", "max").join(quart_rows, "column")
     return base.join(stats, "column", "left").select(
-        "column", "n", "uniques", "top", "freq", "mean", "sd", "min", "p25", "p50", "p75", "max"
+        "column", "n", "uniques", "top", "freq", "first", "last", "mean", "sd", "min", "p25", "p50", "p75", "max"
     )
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import constants as K
 from ..functions.columns import DATETIME, col, columns_of, doubles, long_doubles, numeric_columns, rows_from, seconds
+from ..plans.fourier import lag_sums
 from ..plans.ordered import cut_along, scan, split_points, with_buckets
 from ..plans.quantiles import weighted_quantiles
 from ..session import materialize
@@ -221,14 +222,16 @@ def time_trend(df: DataFrame, ts: str, cols: Sequence[str] | None = None) -> Dat
     return sums.select("column", "n", F.try_divide("sxy", "sxx").alias("slope_per_day"), r.alias("r"), (r * r).alias("r2"))
 
 
-def autocorrelation(df: DataFrame, value: str, order_by: str, tie: str, max_lag: int = 24, block: int = 65_536) -> DataFrame:
-    """(lag, n, r, band95, band99) for lags 0…max_lag of the non-missing values in (order_by, tie) order.
+def autocorrelation(
+    df: DataFrame, value: str, order_by: str, tie: str, max_lag: int | None = None, block: int = 65_536
+) -> DataFrame:
+    """(lag, n, r, band95, band99) of the non-missing values in (order_by, tie) order, for every lag or for lags 0…max_lag.
 
-    Rows get a dense index from bucketed running counts; blocks of consecutive indexes, each with the first ``max_lag`` rows
+    Rows get a dense index from bucketed running counts.  All lags come from a Fourier transform in three shuffles (``lag_sums``).
+    For a few lags, blocks of consecutive indexes, each with the first ``max_lag`` rows
     of the next block, yield partial lag sums.  Identical rows travel as one row with a count and are spread over the
-    blocks they cover, so neither equal times nor copies pile up in a task.  ``order_by`` is a date, timestamp or number.  A tie key
+    groups they cover, so neither equal times nor copies pile up in a task.  ``order_by`` is a date, timestamp or number.  A tie key
     that is missing or no number comes before all others; rows that still tie are ordered by value."""
-    block = max(block, max_lag + 1)
     numeric = order_by in numeric_columns(df)
     at = col(order_by).cast("double") if numeric else seconds(order_by)
     rows = doubles(df.select(at.alias("_t"), col(tie).try_cast("double").alias("_k"), col(value).alias("_v")), ["_v"], ["_t", "_k"])
@@ -240,12 +243,25 @@ def autocorrelation(df: DataFrame, value: str, order_by: str, tie: str, max_lag:
     placed = scan(copies, buckets, ["_t", "_k", "_v"], {"_end": "_c"}).select(
         (F.col("_end") - F.col("_c")).alias("a"), F.col("_end").alias("b"), (F.col("_v") - F.lit(mean)).alias("x")
     )
-    size, lags = block, max_lag
-    # index i belongs to block i // size, and also to the block before when it lies within max_lag of the border
+    if max_lag is None:
+        sums = lag_sums(placed, n)
+    else:
+        sums = _block_sums(placed, max_lag, max(block, max_lag + 1)).groupBy("lag").agg(F.sum("s").alias("s"))
+    total = placed.agg(F.sum((F.col("b") - F.col("a")) * F.col("x") * F.col("x")).alias("z"))
+    root = float(n) ** 0.5 if n else 1.0
+    return sums.select(
+        F.col("lag").cast("int").alias("lag") if max_lag is not None else "lag", F.lit(n).cast("bigint").alias("n"),
+        F.try_divide(F.col("s"), total.scalar()).alias("r"),
+        F.lit(1.959963984540054 / root).alias("band95"), F.lit(2.5758293035489004 / root).alias("band99"),
+    ).where(F.col("lag") < max(n, 1)).orderBy("lag")
+
+
+def _block_sums(placed: DataFrame, lags: int, size: int) -> DataFrame:
+    """(lag, s) of every block: an index i belongs to block i // size, and also to the block before when it lies within ``lags`` of the border."""
     first = F.expr(f"greatest(bigint(0), a div {size} - IF(a % {size} < {lags}, 1, 0))")
     pieces = placed.select(F.explode(F.sequence(first, F.expr(f"(b - 1) div {size}"))).alias("block"), "a", "b", "x")
 
-    def lag_sums(pdf: pd.DataFrame) -> pd.DataFrame:
+    def sums_of(pdf: pd.DataFrame) -> pd.DataFrame:
         lo = int(pdf["block"].iloc[0]) * size
         series = np.zeros(size + lags)
         start = np.clip(pdf["a"].to_numpy() - lo, 0, size + lags)
@@ -257,12 +273,4 @@ def autocorrelation(df: DataFrame, value: str, order_by: str, tie: str, max_lag:
         sums = [float(series[:own] @ series[h:own + h]) for h in range(lags + 1)]
         return pd.DataFrame({"lag": range(lags + 1), "s": sums})
 
-    parts = pieces.groupBy("block").applyInPandas(lag_sums, "lag int, s double")
-    zero = F.sum(F.when(F.col("lag") == 0, F.col("s")))
-    sums = parts.groupBy("lag").agg(F.sum("s").alias("s"))
-    total = parts.agg(zero.alias("z"))
-    root = float(n) ** 0.5 if n else 1.0
-    return sums.select(
-        "lag", F.lit(n).cast("bigint").alias("n"), F.try_divide(F.col("s"), total.scalar()).alias("r"),
-        F.lit(1.959963984540054 / root).alias("band95"), F.lit(2.5758293035489004 / root).alias("band99"),
-    ).where(F.col("lag") < max(n, 1)).orderBy("lag")
+    return pieces.groupBy("block").applyInPandas(sums_of, "lag int, s double")

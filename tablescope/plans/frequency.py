@@ -10,15 +10,26 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.columns import col, merge_nan, profiled, with_all_columns
+from ..session import materialize
 from .shared import is_shared, on_driver, remember
 
 KEY = ("l", "d", "s")
 SHORT_KEY = ("l", "d", "m")
 
 
+def _is_text(kind: T.DataType) -> bool:
+    return not isinstance(kind, (T.IntegralType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType, T.FloatType, T.DoubleType))
+
+
+def _fingerprint(c: Column) -> tuple[Column, Column]:
+    """Two hashes of the text of a value; null for null, whose hash is not null."""
+    text = c.cast("string")
+    return F.when(text.isNotNull(), F.xxhash64(text)), F.when(text.isNotNull(), F.xxhash64(F.lit(7919), text))
+
+
 def _slots(field: T.StructField, hashed: bool) -> list[Column]:
     c, kind = col(field.name), field.dataType
     last = "bigint" if hashed else "string"
@@ -32,8 +43,7 @@ def _slots(field: T.StructField, hashed: bool) -> list[Column]:
     elif isinstance(kind, (T.FloatType, T.DoubleType)):
         empty["d"] = c.cast("double")
     elif hashed:
-        text = c.cast("string")  # the hash of a null is not null
-        empty["l"], empty["s"] = F.when(text.isNotNull(), F.xxhash64(text)), F.when(text.isNotNull(), F.xxhash64(F.lit(7919), text))
+        empty["l"], empty["s"] = _fingerprint(c)
     else:
         empty["s"] = c.cast("string")
     return [F.lit(field.name), *empty.values()]
@@ -53,9 +63,11 @@ def frequencies(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     return cells(df, list(cols or profiled(df))).groupBy("column", *KEY).agg(F.count("*").alias("n"))
 
 
-def value_text(df: DataFrame, cols: Sequence[str]) -> Column:
-    """The text of a frequency key, in the form its column prints."""
-    text = F.coalesce(F.col("s"), F.col("d").cast("string"), F.col("l").cast("string"))
+def value_text(df: DataFrame, cols: Sequence[str], own: Column | None = None) -> Column:
+    """The text of a frequency key, in the form its column prints; ``own`` is the text of a text column."""
+    text = F.coalesce(F.col("s") if own is None else own, F.col("d").cast("string"), F.col("l").cast("string"))
+    if own is not None:  # the slots of a text hold its fingerprint
+        text = F.when(own.isNotNull(), own).otherwise(text)
     for f in df.select(*[col(c) for c in cols]).schema.fields:
         here = F.col("column") == F.lit(f.name)
         if isinstance(f.dataType, T.BooleanType):
@@ -87,9 +99,47 @@ def _distinct_summary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     )
 
 
+#: Characters of a text that travel with its fingerprint, to settle most ties without the text.
+PREFIX = 16
+SALTS = 64
+
+
+def top_values(df: DataFrame, cols: Sequence[str], top: int, natural: bool = False) -> DataFrame:
+    """(column, value, n, rank): the ``top`` most frequent values of each column, ties in the order of their text (``natural``: of the value).
+
+    Texts are counted by fingerprint and the first characters.  Only the winners, and values that tie with the last of them in count
+    and first characters, are looked up in the table again, so no exchange carries the texts of a column.  Ranks are taken in SALTS parts of a column and
+    then over what is left of them, whatever ``top`` is."""
+    cols = list(cols)
+    clean = merge_nan(df.select(*[col(c) for c in cols]))
+    texts = [f.name for f in clean.schema.fields if _is_text(f.dataType)]
+    keys = ["column", *SHORT_KEY, "p"]
+    slots = [x for f in clean.schema.fields for x in (
+        *_slots(f, True), F.substring(col(f.name).cast("string"), 1, PREFIX) if f.name in texts else F.lit(None).cast("string"))]
+    long = clean.select(F.stack(F.lit(len(cols)), *slots).alias(*keys)).where("l is not null or d is not null")
+    counts = long.groupBy(*keys).agg(F.count("*").alias("n"))
+    shown = value_text(df, cols, F.col("p"))
+    numbers = [F.when(F.col("p").isNull(), F.col(k)) for k in ("l", "d")] if natural else []
+    order = [F.desc("n"), *numbers, shown]
+    part = Window.partitionBy("column", F.pmod(F.xxhash64("l", "d", "m"), F.lit(SALTS))).orderBy(*order)
+    first = counts.withColumn("_r", F.rank().over(part)).where(F.col("_r") <= top)
+    best = first.withColumn("_r", F.rank().over(Window.partitionBy("column").orderBy(*order))).where(F.col("_r") <= top).drop("_r")
+    if texts:
+        best = materialize(best, "top-values")
+        wanted = best.where("p is not null").select("column", "l", "m")
+        parts = [x for c in texts for x in (F.lit(c), *_fingerprint(col(c)), col(c).cast("string"))]
+        cells = clean.select(F.stack(F.lit(len(texts)), *parts).alias("column", "l", "m", "s")).where("s is not null")
+        found = cells.join(wanted, ["column", "l", "m"], "left_semi").distinct()
+        best = best.join(found, ["column", "l", "m"], "left")
+    else:
+        best = best.withColumn("s", F.lit(None).cast("string"))
+    value = value_text(df, cols, F.col("s"))
+    order = [F.desc("n"), *numbers, "value"]
+    ranked = best.withColumn("value", value).withColumn("rank", F.row_number().over(Window.partitionBy("column").orderBy(*order)))
+    return ranked.where(F.col("rank") <= top).select("column", "value", "n", "rank")
+
+
 def most_frequent(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(column, top, freq): the most frequent value of each column, the smallest of equally frequent ones."""
-    best = F.min(F.struct((-F.col("n")).alias("m"), *[F.col(k) for k in KEY]))
-    core = frequencies(df, cols).groupBy("column").agg(best.alias("best")).select("column", "best.*")
-    core = core.select("column", value_text(df, cols).alias("top"), (-F.col("m")).alias("freq"))
-    return with_all_columns(core, cols)
+    best = top_values(df, cols, 1, natural=True).select("column", F.col("value").alias("top"), F.col("n").alias("freq"))
+    return with_all_columns(best, cols)

@@ -155,6 +155,11 @@ QUERIES: dict[str, Entry] = {
       c AS (SELECT sum(x * x) AS c0, count(*) AS n FROM v)
       SELECT CAST(h AS INTEGER) AS lag, any_value(n) AS n, {r('sum(a.x * b.x) / any_value(c0)')} AS r, {r('1.959963984540054 / sqrt(any_value(n))')} AS band95,
       {r('2.5758293035489004 / sqrt(any_value(n))')} AS band99 FROM (SELECT unnest(range(25)) AS h), v a JOIN v b ON b.i = a.i + h, c GROUP BY h"""),
+    "autocorrelation_all": (on("events", lambda d: M.autocorrelation(d, "value", "ts", "event_id")), f"""
+      WITH v AS (SELECT row_number() OVER (ORDER BY ts, event_id) AS i, value - avg(value) OVER () AS x FROM events),
+      c AS (SELECT sum(x * x) AS c0, count(*) AS n FROM v),
+      s AS (SELECT b.i - a.i AS lag, sum(a.x * b.x) AS s FROM v a JOIN v b ON b.i >= a.i GROUP BY 1)
+      SELECT lag, n, {r('s / c0')} + 0.0::DOUBLE AS r, {r('1.959963984540054 / sqrt(n)')} AS band95, {r('2.5758293035489004 / sqrt(n)')} AS band99 FROM s, c"""),
     # relations
     "corr_matrix": (on("lineitem", L.corr_matrix), _corr("lineitem", LINE_NUMBERS)),
     "corr_matrix_missing": (lambda s, d: rounded(L.corr_matrix(FR.holes(s, d).join(

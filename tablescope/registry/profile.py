@@ -37,17 +37,17 @@ NO_NUMBERS = ", ".join(f"CAST(NULL AS DOUBLE) AS {a}" for a in ("mean", "sd", "m
 
 
 def _describe_all() -> str:
-    parts = []
+    parts, no_times = [], "CAST(NULL AS TIMESTAMP) AS first, CAST(NULL AS TIMESTAMP) AS last"
     for c, kind in LINE:
+        best = f"(SELECT {{}} FROM lineitem WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1)"
         if KIND[kind] == "numeric":
             body = DESCRIBE.replace("{c}", f"CAST({c} AS DOUBLE)").split(" AS n, ", 1)[1]
             parts.append(f"""SELECT '{c}' AS "column", count({c}) AS n, count(DISTINCT {c}) AS uniques, CAST(NULL AS VARCHAR) AS top,
-              CAST(NULL AS BIGINT) AS freq, {body} FROM lineitem""")
-        elif KIND[kind] == "categorical":
-            best = f"(SELECT {{}} FROM lineitem WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1)"
-            parts.append(f"""SELECT '{c}', count({c}), count(DISTINCT {c}), {best.format(c)}, {best.format('count(*)')}, {NO_NUMBERS} FROM lineitem""")
+              CAST(NULL AS BIGINT) AS freq, {no_times}, {body} FROM lineitem""")
         else:
-            parts.append(f"SELECT '{c}', count({c}), count(DISTINCT {c}), CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT), {NO_NUMBERS} FROM lineitem")
+            times = no_times if KIND[kind] == "categorical" else f"CAST(min({c}) AS TIMESTAMP) AS first, CAST(max({c}) AS TIMESTAMP) AS last"
+            parts.append(f"""SELECT '{c}' AS "column", count({c}) AS n, count(DISTINCT {c}) AS uniques, CAST({best.format(c)} AS VARCHAR) AS top,
+              {best.format('count(*)')} AS freq, {times}, {NO_NUMBERS} FROM lineitem""")
     return union_all(parts)
 
 
@@ -164,6 +164,9 @@ QUERIES: dict[str, Entry] = {
         f"SELECT '{c}' AS \"column\", CAST(min({c}) AS VARCHAR) AS min, CAST(max({c}) AS VARCHAR) AS max FROM orders"
         for c in ("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus", "o_orderpriority"))),
     "value_counts": (on("part", C.value_counts), _top_counts("part", PART_TEXT)),
+    "value_counts_texts": (on("documents", lambda d: C.value_counts(d, top=25)), _top_counts("documents", ("text", "lang", "source"), 25)),
+    "value_counts_many": (on("documents", lambda d: C.value_counts(d, ["text"], top=1_500)), _top_counts("documents", ("text",), 1_500)),
+    "duplicate_rows_texts": (on("documents", lambda d: O.duplicate_rows(d.select("text", "lang"))), "SELECT text, lang, count(*) AS n FROM documents GROUP BY ALL HAVING count(*) > 1"),
     "value_counts_numbers": (on("lineitem", lambda d: C.value_counts(d, ["l_partkey", "l_linenumber"], 10)),
                              'SELECT "column", value, n, rank FROM (' + union_all(
         f"""SELECT '{c}' AS "column", value, n, CAST(row_number() OVER (ORDER BY n DESC, value) AS INTEGER) AS rank FROM

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF
 from tablescope.operators import categorical as C, hypothesis as T, logs as G, numeric as U, overview as O, query as Q, relations as L, timeseries as M
+from tablescope.plans import frequency
 from tablescope.plans.moments import moments
 from tablescope.registry import all_entries
 from tablescope.registry.frames import calls
@@ -112,6 +113,23 @@ def test_bucket_totals_do_not_repeat_the_large_shuffle(spark, read):
     assert "ReusedExchange" in plan(df)
 
 
+def test_no_exchange_carries_the_texts_of_a_column(read, monkeypatch):
+    plans, write = [], frequency.materialize
+    monkeypatch.setattr(frequency, "materialize", lambda df, name: plans.append(df) or write(df, name))
+    docs = read("documents").select("text", "source")
+    for top in (3, 5_000):
+        plans.clear()
+        C.value_counts(docs, top=top)
+        large = lines(plans[0], "Exchange hashpartitioning(column")
+        assert large and all(not re.search(r"\bs#|text#", x) for x in large)
+    assert frequency.top_values(docs, ["text"], 2).count() == 2
+
+
+def test_filter_of_repeated_rows_prunes_the_rows(read):
+    text = plan(O.duplicate_rows(read("documents").select("text", "lang")))
+    assert "bit_get" in text and "BroadcastHashJoin" in text
+
+
 def test_texts_are_not_shuffled_to_count_them(read):
     df = C.cardinality(read("documents"))
     assert all("s#" not in x for x in lines(df, "Exchange hashpartitioning(column"))

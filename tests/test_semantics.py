@@ -255,3 +255,25 @@ def test_distinct_counts_of_texts(spark):
     df = spark.createDataFrame([("a", None), ("a", "b"), (None, "b"), ("", None)], "x string, y string")
     got = by(C.cardinality(df))
     assert (got["x"]["uniques"], got["y"]["uniques"]) == (2, 1)
+
+
+def test_ties_of_texts_that_begin_alike(spark):
+    """Values that tie in count and in their first characters are ordered by the rest of them."""
+    stem = "the same first characters of all "
+    rows = [(f"{stem}{i % 40:02}",) for i in range(80)] + [("rare",), (None,), ("",), ("",), ("",)]
+    got = C.value_counts(spark.createDataFrame(rows, "t string").repartition(5), ["t"], 4).orderBy("rank").collect()
+    assert [tuple(r) for r in got] == [("t", "", 3, 1)] + [("t", f"{stem}{i:02}", 2, i + 2) for i in range(3)]
+    assert C.top_value(spark.createDataFrame(rows[:80], "t string"), ["t"]).first()["value"] == stem + "00"
+    assert C.value_counts(spark.createDataFrame([], "t string")).count() == 0
+
+
+@pytest.mark.parametrize("most", [64, 1 << 26])
+def test_repeated_rows_whatever_the_filter(spark, monkeypatch, most):
+    monkeypatch.setattr(O, "MOST_BITS", most)
+    rows = [(i % 500, float(i % 250) if i % 3 else None) for i in range(1_000)] + [(None, None)] * 2 + [(9_999, 0.0)]
+    got = {tuple(r) for r in O.duplicate_rows(spark.createDataFrame(rows, "a int, b double")).collect()}
+    counts = {}
+    for r in rows:
+        counts[r] = counts.get(r, 0) + 1
+    assert got == {(*r, n) for r, n in counts.items() if n > 1}
+    assert O.duplicate_rows(spark.createDataFrame([], "a int")).count() == 0

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablescope.operators import categorical as C, hypothesis as T, logs as G, numeric as U, overview as O, relations as L, timeseries as M
-from tablescope.plans import quantiles
+from tablescope.plans import fourier, quantiles
 from tablescope.plans.ordered import cut_along
 from tablescope.plans.quantiles import group_quantiles
 from tablescope.plans.ranks import rank_columns
@@ -166,6 +166,25 @@ def test_hot_run_in_logs(spark):
     assert whole.count("--- Step") == n // 3 and whole.index("out 0") < whole.index("out 1\n") < whole.index("out 299")
 
 
+@pytest.mark.parametrize("group", [8, 64, 1 << 20])
+def test_all_lags_with_copies(spark, df, pdf, monkeypatch, group):
+    monkeypatch.setattr(fourier, "GROUP", group)
+    copies = pdf.assign(id=np.where(pdf.g == "hot", 0, pdf.id), w=np.where(pdf.g == "hot", 2.5, pdf.w))[::5 if group == 8 else 1]
+    x = copies.sort_values(["t", "id"]).w.to_numpy()
+    x = x - x.mean()
+    got = M.autocorrelation(spark.createDataFrame(copies).repartition(3), "w", "t", "id").toPandas()
+    assert got.lag.tolist() == list(range(len(x)))
+    assert got.r.to_numpy() == pytest.approx(np.correlate(x, x, "full")[len(x) - 1:] / (x @ x), abs=1e-12)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 5])
+def test_all_lags_of_short_series(spark, n):
+    frame = spark.createDataFrame([(i, float(i * i)) for i in range(n)], "i long, v double")
+    x = np.arange(n) ** 2 - np.mean(np.arange(n) ** 2) if n else np.zeros(0)
+    got = [r["r"] for r in M.autocorrelation(frame, "v", "i", "i").collect()]
+    assert got == ([None] if n == 1 else pytest.approx(np.correlate(x, x, "full")[n - 1:] / (x @ x)) if n else [])
+
+
 @pytest.mark.parametrize("pieces", [1, 7, 40])
 def test_results_do_not_depend_on_partitioning(df, pdf, pieces):
     shuffled = df.repartition(pieces, F.rand(pieces))
