@@ -22,6 +22,17 @@ def _written(spark, sf: str, name: str, fmt: str) -> str:
     return S.write_table(table(spark, sf, name), f"{scratch_path(spark, name)}.{fmt}", fmt)
 
 
+def _layouts(spark, sf: str) -> str:
+    """orders in files of three layouts: key and customer, status and key, key and status with a cell more than the header."""
+    path, third = f"{scratch_path(spark, 'layouts')}.csv", F.col("o_orderkey") % 3
+    orders = table(spark, sf, "orders")
+    for i, cols in enumerate((("o_orderkey", "o_custkey"), ("o_orderstatus", "o_orderkey"))):
+        orders.where(third == i).select(*cols).write.mode("append").options(header="true").csv(path)
+    rest = orders.where(third == 2).select(F.concat_ws(",", "o_orderkey", "o_orderstatus", F.concat(F.lit("more "), "o_custkey")).alias("o_orderkey,o_orderstatus"))
+    rest.write.mode("append").options(header="true", quote="", escapeQuotes="false").option("sep", "\t").csv(path)
+    return path
+
+
 def _log(spark, sf: str) -> DataFrame:
     """The event log written as JSON lines, with a broken line per system turn, and read back."""
     path = scratch_path(spark, "log")
@@ -222,6 +233,11 @@ FINDINGS_SQL = f"""SELECT CAST(row_number() OVER (ORDER BY severity DESC, kind,
 QUERIES: dict[str, Entry] = {
     # sources
     "load_csv": (lambda s, d: rounded(S.load_csv(s, _written(s, d, "orders", "csv")), 2), ORDERS),
+    "load_csv_layouts": (lambda s, d: rounded(S.load_csv(s, _layouts(s, d)), 2), f"""
+      SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey END AS o_custkey, CASE WHEN o_orderkey % 3 > 0 THEN o_orderstatus END AS o_orderstatus,
+      CASE WHEN o_orderkey % 3 = 2 THEN o_orderkey || ',' || o_orderstatus || ',more ' || o_custkey END AS _rescued FROM orders"""),
+    "datetime_report": (lambda s, d: N.datetime_report(_dirty(s, d).withColumn("day", F.when(F.col("o_orderkey") % 7 == 0, "some day").otherwise(F.col("day"))), ["day"]),
+                        "SELECT 'day' AS \"column\", count(*) AS n, count(*) FILTER (o_orderkey % 7 = 0) AS lost FROM orders"),
     "load_tsv": (lambda s, d: rounded(S.load_tsv(s, _written(s, d, "part", "tsv")), 2), PART),
     "load_table": (lambda s, d: rounded(S.load_table(s, _written(s, d, "part", "csv")).unionByName(
         S.load_table(s, _written(s, d, "part", "json"))), 2), f"{PART} UNION ALL {PART}"),

@@ -36,11 +36,26 @@ def coerce_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return _replace(df, {c: to_number(col(c).cast("string")) for c in cols})
 
 
+def _losses(df: DataFrame, new: dict[str, Column], name: str) -> DataFrame:
+    """(column, n, <name>): non-missing values, and those whose new value is missing; one scan."""
+    wide = df.agg(*[x for i, (c, value) in enumerate(new.items()) for x in (
+        F.count(col(c)).alias(f"n{i}"), F.count_if(col(c).isNotNull() & value.isNull()).alias(f"b{i}"))])
+    return rows_from(wide, [(F.lit(c), F.col(f"n{i}"), F.col(f"b{i}")) for i, c in enumerate(new)], ["column", "n", name])
+
+
 def coercion_report(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(column, n, coerced): non-missing values, and those that coerce_numeric would lose."""
-    wide = df.agg(*[x for i, c in enumerate(cols) for x in (
-        F.count(col(c)).alias(f"n{i}"), F.count_if(col(c).isNotNull() & to_number(col(c).cast("string")).isNull()).alias(f"b{i}"))])
-    return rows_from(wide, [(F.lit(c), F.col(f"n{i}"), F.col(f"b{i}")) for i, c in enumerate(cols)], ["column", "n", "coerced"])
+    return _losses(df, {c: to_number(col(c).cast("string")) for c in cols}, "coerced")
+
+
+def datetime_report(df: DataFrame, cols: Sequence[str] | None = None, formats: Sequence[str] = K.DATE_FORMATS) -> DataFrame:
+    """(column, n, lost): non-missing values of string columns, and those that parse_datetimes would lose if it took the column."""
+    return _losses(df, {c: to_time(col(c), formats) for c in cols or _strings(df)}, "lost")
+
+
+def schema_report(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """(column, n, lost): non-missing values, and those that do not fit the declared schema."""
+    return _losses(df, _fitted(schema), "lost")
 
 
 def to_time(text: Column, formats: Sequence[str] = K.DATE_FORMATS) -> Column:
@@ -86,9 +101,11 @@ def infer_types(df: DataFrame) -> DataFrame:
     return _replace(df, new)
 
 
+def _fitted(schema: T.StructType) -> dict[str, Column]:
+    floats = (T.DoubleType, T.FloatType)
+    return {f.name: to_number(col(f.name)).cast(f.dataType) if isinstance(f.dataType, floats) else col(f.name).try_cast(f.dataType) for f in schema.fields}
+
+
 def apply_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Cast string columns to a declared schema; values that do not fit become null."""
-    return df.select(*[
-        (to_number(col(f.name)).cast(f.dataType) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else col(f.name).try_cast(f.dataType)).alias(f.name)
-        for f in schema.fields
-    ])
+    """Cast string columns to a declared schema; values that do not fit become null (``schema_report`` counts them)."""
+    return df.select(*[value.alias(name) for name, value in _fitted(schema).items()])

@@ -178,3 +178,33 @@ def test_workbooks_keep_every_cell(spark):
     xlsx = packed("xl/worksheets/sheet1.xml", f"<worksheet><sheetData>{sheet}</sheetData></worksheet>")
     rows = B.parse_workbooks(spark.createDataFrame([("x", xlsx)], "path string, content binary"), B.xlsx_rows).orderBy("row").collect()
     assert [{k: v for k, v in r["cells"].items() if v is not None} for r in rows] == [{"a": "1", "a.1": "2", "Unnamed: 2": "3"}, {"a": "4", "a.1": "5"}]
+
+
+def test_no_cell_of_a_csv_folder_is_lost(spark, tmp_path):
+    put(tmp_path, "one.csv", "a,b\n1,x\n2,y,EXTRA\n")
+    put(tmp_path, "two.csv", "b,a\nz,3\n")
+    put(tmp_path, "three.csv", 'c,a\n"p,q",4\n,5,\nshort\n')
+    df = S.load_csv(spark, str(tmp_path))
+    assert df.columns == ["a", "b", "c", "_rescued"] and dict(df.dtypes)["a"] == "bigint"
+    assert sorted(map(tuple, df.collect()), key=str) == sorted(
+        [(1, "x", None, None), (2, "y", None, "2,y,EXTRA"), (3, "z", None, None), (4, None, "p,q", None), (5, None, None, None), (None, None, "short", None)], key=str)
+    assert df.select("_rescued").dropna().collect() == [("2,y,EXTRA",)] and df.where("_rescued is not null").select("a").collect() == [(2,)]
+    assert df.select("a").agg(F.sum("a")).first()[0] == 15
+    declared = S.load_csv(spark, str(tmp_path), T.StructType.fromDDL("a int, c string, _rescued string"))
+    assert declared.columns == ["a", "c", "_rescued"] and declared.where("_rescued is not null").first()["a"] == 2
+    assert sorted(map(tuple, S.csv_report(spark, str(tmp_path)).collect())) == [("one.csv", 2, 1), ("three.csv", 3, 0), ("two.csv", 1, 0)]
+
+
+def test_rescued_records_of_multiline_files(spark, tmp_path):
+    put(tmp_path, "m.csv", 'a,"b\nc"\n1,"two\nlines"\n2,x,"more\nthan"\n')
+    df = S.load_csv(spark, str(tmp_path), multiline=True)
+    assert df.columns == ["a", "b\nc", "_rescued"]
+    rows = sorted(map(tuple, df.collect()))
+    assert rows[0] == (1, "two\nlines", None) and rows[1][:2] == (2, "x") and "more" in rows[1][2]
+
+
+def test_losses_are_counted(spark):
+    df = spark.createDataFrame([("1", "2024-01-01"), ("x", "01/31/2024"), (None, "soon"), ("2.5", None)], "n string, d string")
+    assert N.datetime_report(df, ["d"]).first()["lost"] == 1 and N.datetime_report(df).count() == 2
+    report = {r["column"]: tuple(r)[1:] for r in N.schema_report(df, T.StructType.fromDDL("n int, d date")).collect()}
+    assert report == {"n": (3, 1 if df.selectExpr("try_cast('2.5' as int) as x").first()["x"] is not None else 2), "d": (3, 2)}
