@@ -3,29 +3,75 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Sequence
 
+from pyspark.errors import ParseException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import constants as K
 from ..functions.columns import col
 from ..plans.sampling import lowest_by_hash
 
-READ_ONLY = re.compile(r"^\s*(select|with)\b", re.IGNORECASE)
+READ_ONLY = re.compile(r"^\s*(select|with|values|from)\b", re.IGNORECASE)
 TEXT_ROWS = 100
-# A statement that parses to one of these nodes, or calls one of these functions, does more than read the table.
-REFUSED = re.compile(r"InsertInto|Overwrite|Command\b|CreateTable|'(?:reflect|java_method)\(|UnresolvedRelation \[[^\],]+, (?!\[\])[^\]]*\]")
+# The nodes that an analysed query may have.  Views and relations stand only below the frame's own view, which is not searched.
+NODES = frozenset(
+    "Project Filter Aggregate Join LateralJoin Sort GlobalLimit LocalLimit Offset Tail Distinct Deduplicate Union Intersect Except Window WithWindowDefinition "
+    "SubqueryAlias WithCTE CTERelationDef CTERelationRef Generate Expand Sample Repartition RepartitionByExpression RebalancePartitions ResolvedHint "
+    "OneRowRelation LocalRelation Range Subquery".split())
+# Functions come from these packages; the named ones of them run code by its name, read the session's files or user code.
+PACKAGES = ("org.apache.spark.sql.catalyst.expressions.", "org.apache.spark.sql.catalyst.analysis.")
+REFUSED = frozenset("CallMethodViaReflection TryReflect ScalaUDF ScalaUDAF PythonUDF PythonUDAF PythonUDTF InputFileName InputFileBlockStart InputFileBlockLength".split())
+
+
+def _all(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def _class(node) -> str:
+    return node.getClass().getName()
+
+
+def _refuse_calls(expression) -> None:
+    name = _class(expression)
+    if not name.startswith(PACKAGES) or name.rsplit(".", 1)[1] in REFUSED:
+        raise ValueError(f"{expression.prettyName()} is not accepted in a query")
+    for child in _all(expression.children()):
+        _refuse_calls(child)
+
+
+def _refuse_reads(plan, own: str) -> None:
+    """Raise for anything in an analysed plan that is no plain query of the view ``own``."""
+    name = _class(plan).rsplit(".", 1)[1].rstrip("$")
+    if name == "View" and plan.desc().identifier().table() == own:
+        return
+    if name not in NODES:
+        raise ValueError("only queries of the table itself are accepted")
+    for expression in _all(plan.expressions()):
+        _refuse_calls(expression)
+    for inner in (*_all(plan.children()), *_all(plan.subqueries())):
+        _refuse_reads(inner, own)
 
 
 def query_table(df: DataFrame, sql: str) -> DataFrame:
-    """Run one SELECT (or WITH … SELECT) that sees the table as ``df``."""
+    """Run one query that sees the table as ``df`` and nothing else.
+
+    The name is a common table expression over a view that exists only while the statement is analysed, so no view of the session is
+    replaced.  The statement stands in brackets, where only a query can stand; its analysed plan may read that view and inline
+    values, and call the built-in functions that compute from their arguments."""
     if not READ_ONLY.match(sql):
         raise ValueError("only SELECT or WITH statements are accepted")
-    plan = df.sparkSession._jsparkSession.sessionState().sqlParser().parsePlan(sql).toString()
-    if REFUSED.search(plan):
-        raise ValueError("only queries of the table itself are accepted")
-    df.createOrReplaceTempView("df")
-    return df.sparkSession.sql(sql)
+    spark, own = df.sparkSession, "_table_" + uuid.uuid4().hex
+    df.createOrReplaceTempView(own)
+    try:
+        result = spark.sql(f"WITH df AS (SELECT * FROM {own}) (\n{sql.rstrip().rstrip(';')}\n)")
+        _refuse_reads(result._jdf.queryExecution().analyzed(), own)
+    except ParseException as e:
+        raise ValueError(f"only one SELECT or WITH statement is accepted: {e}") from e
+    finally:
+        spark.catalog.dropTempView(own)
+    return result
 
 
 def query_text(df: DataFrame, sql: str, chars: int = K.QUERY_TEXT_CHARS, rows: int = TEXT_ROWS) -> str:
