@@ -42,7 +42,8 @@ def warc_record(record_id: Column, url: Column, body: Column) -> Column:
 def write_replicas(pages: DataFrame, path: str, replicas: dict[str, Column], key: str = "page_id", url: str = "url", body: str = "html") -> None:
     """Write one set of WARC files below ``path/replica=<name>`` for each replica, files of equal name holding the same pages.
 
-    ``replicas`` gives the body each replica stores, as an expression over ``key`` and ``body``.  Null bodies are empty."""
+    ``replicas`` gives the body each replica stores, as an expression over ``key`` and ``body``.  Null bodies are empty.  Every replica has
+    its folder, so that an empty table gives replicas without a volume."""
     rows = pages.select(F.col(key).cast("long").alias("key"), F.col(url).alias("url"), F.coalesce(F.col(body), F.lit("")).alias("body"))
     order = [F.col("key").asc_nulls_last(), F.col("url").asc_nulls_last(), F.xxhash64("body"), F.monotonically_increasing_id()]
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("replica"), b.alias("stored")) for n, b in replicas.items()])).alias("copy")
@@ -51,6 +52,10 @@ def write_replicas(pages: DataFrame, path: str, replicas: dict[str, Column], key
     name = F.concat(F.lit("urn:page:"), F.coalesce(F.col("key").cast("string"), F.lit("none")))
     records = sorted_rows.select(F.col("copy.replica").alias("replica"), warc_record(name, F.col("url"), F.col("copy.stored")).alias("value"))
     records.write.partitionBy("replica").option("lineSep", END).option("compression", "gzip").text(path)
+    spark = pages.sparkSession
+    for replica in replicas:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/replica={replica}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
 
 
 def split_records(data: bytes) -> Iterator[tuple[int, int, str | None]]:

@@ -389,3 +389,15 @@ def test_pipeline(spark, read):
 
 def docs_columns(read):
     return read("documents").columns
+
+
+def test_fixity_query_on_empty_and_odd_pages(spark, tmp_path):
+    """The query itself, on a table without rows and on one with nulls, empty bodies, repeated rows and clashing columns."""
+    kinds = "page_id long, url string, html string, volume string, start long, state string, key long"
+    rows = [(5, "u", "body of five"), (5, "u", "body of five"), (7, None, ""), (None, "v", None), (96, "a\nb", "x" * 70_000), (102, "w", "é")]
+    for name, some in (("none", []), ("odd", rows)):
+        spark.createDataFrame([(*r, "v", 1, "s", 2) for r in some], kinds).write.parquet(f"{tmp_path}/{name}/pages.parquet")
+        found = QUERIES["op6_warc_fixity"][0](spark, f"{tmp_path}/{name}")
+        assert found.columns == ["page_id", "n_bytes", "state", "digest"]
+        states = sorted(((r["page_id"], r["state"]) for r in found.collect()), key=str)
+        assert states == sorted(((k, "changed" if b and k is not None and (k % 97 == 5 or k % 89 == 7) else "intact") for k, _, b in some), key=str)
