@@ -1,5 +1,6 @@
 """CSV oddities, cleaning, workbooks, files, logs and the log stream."""
 
+import base64
 import datetime as dt
 import hashlib
 import os
@@ -11,7 +12,7 @@ from tablescope.operators import logs as G
 from tablescope.registry.frames import workbooks
 from tablescope.session import scratch_path
 from tablescope.sources import clean as N, files as P, tables as S, workbooks as B
-from tablescope.streaming.log_counts import stream_log_counts, windowed_calls
+from tablescope.streaming.log_counts import compact, stream_log_counts, total_counts, windowed_calls
 
 CSV = "i,f,b,dt,na,s,m\n1,1.5,True,2024-01-01,NA,x,1\n2,,False,2024-01-02,,y,abc\n,3,True,2024-01-03,null,,3\n"
 
@@ -208,3 +209,51 @@ def test_losses_are_counted(spark):
     assert N.datetime_report(df, ["d"]).first()["lost"] == 1 and N.datetime_report(df).count() == 2
     report = {r["column"]: tuple(r)[1:] for r in N.schema_report(df, T.StructType.fromDDL("n int, d date")).collect()}
     assert report == {"n": (3, 1 if df.selectExpr("try_cast('2.5' as int) as x").first()["x"] is not None else 2), "d": (3, 2)}
+
+
+def test_tree_is_read_twice_but_its_contents_only_where_kept(spark, tmp_path):
+    files = {"a/plot_1_1.png": b"same", "a/plot_1_2.png": b"same", "a/plot_1_3.png": b"other" * 50, "a/plot_2.png": b"single", "a/plot_1.png": b"no",
+             "b c/plot_1_1.png": b"same", "b c/note.txt": b"x", "b c/odd.png": b"y"}
+    for name, content in files.items():
+        os.makedirs(tmp_path / os.path.dirname(name), exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    df = P.dedup_tree(spark, str(tmp_path))
+    got = sorted((r["step"], r["sub"], r["path"].split(str(tmp_path))[1][1:].replace("%20", " "), r["content_base64"]) for r in df.collect())
+    kept = ["a/plot_1_1.png", "a/plot_1_3.png", "a/plot_2.png", "b c/plot_1_1.png"]
+    assert [(g[2], base64.b64decode(g[3])) for g in sorted(got, key=lambda g: g[2])] == [(k, files[k]) for k in kept]
+    whole = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.png").load(str(tmp_path))
+    assert sorted(map(tuple, P.dedup_files(whole).collect())) == sorted(map(tuple, df.collect()))
+    assert sorted(f.rsplit("/", 1)[1] for f in df.inputFiles() if f.endswith(".png")) == sorted(k.rsplit("/", 1)[1] for k in kept)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "content" in x]
+    assert P.dedup_tree(spark, str(tmp_path), "*.jpg").count() == 0
+
+
+def test_stream_generations(spark, tmp_path):
+    log, out = tmp_path / "log", str(tmp_path / "out")
+    log.mkdir()
+
+    def add(first, last):
+        for i in range(first, last):
+            (log / f"f{i}.json").write_text(f'{{"ts":"2024-01-01T0{i % 10}:10:00","event":"llm_call","agent":"a{i % 2}","input_tokens":{i},"output_tokens":1}}\n')
+
+    def rows(df):
+        return sorted((str(r["start"]), r["agent"], r["calls"], r["input_tokens"], r["output_tokens"]) for r in df.collect())
+
+    def folders(name):
+        return sorted(os.listdir(f"{out}/{name}")) if os.path.isdir(f"{out}/{name}") else []
+
+    add(0, 8)
+    got = rows(stream_log_counts(spark, str(log), out=out, files_per_batch=1, every=3))
+    assert sum(r[3] for r in got) == sum(range(8)) and folders("generations") == ["upto=5"] and len(folders("batches")) == 2
+    # a batch that is already in the generation is replayed, a write of the next generation was cut short, and old folders were left
+    spark.createDataFrame([("a0", 9, 9, 9)], "agent string, calls long, input_tokens long, output_tokens long").selectExpr(
+        "timestamp_ntz'2024-01-01 00:00:00' as start", "*").write.parquet(f"{out}/batches/b=4")
+    os.makedirs(f"{out}/generations/upto=8")
+    (tmp_path / "out/generations/upto=8/part-0.parquet").write_bytes(b"broken")
+    assert rows(total_counts(spark, out)) == got
+    compact(spark, out, 5)
+    assert rows(total_counts(spark, out)) == got and folders("batches") == ["b=6", "b=7"]
+    add(8, 10)
+    again = rows(stream_log_counts(spark, str(log), out=out, files_per_batch=1, every=3))
+    assert sum(r[3] for r in again) == sum(range(10)) and folders("generations") == ["upto=8"] and folders("batches") == ["b=9"]
