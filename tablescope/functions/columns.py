@@ -57,9 +57,28 @@ def long_doubles(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()) -
     return doubles(df, cols, keep).unpivot([col(k) for k in keep], [col(c) for c in cols], "column", "value")
 
 
+def micros(c: Column) -> Column:
+    """Microseconds since 1970 of a time: of the instant for a timestamp, of the clock's reading for one without zone or a date.
+
+    A reading is put together from its parts, because a cast to an instant would move or merge the readings around a change of the
+    clock in the session's zone."""
+    n = c.cast("timestamp_ntz")
+    parts = (F.hour(n).cast("bigint") * 60 + F.minute(n)) * 60 + F.second(n)
+    below = F.pmod(F.unix_micros(c.cast("timestamp")), F.lit(1_000_000))
+    reading = (F.unix_date(n.cast("date")).cast("bigint") * 86_400 + parts) * 1_000_000 + below
+    return F.when(F.typeof(c) == "timestamp", F.unix_micros(c.cast("timestamp"))).otherwise(reading)
+
+
+def clock(since_1970: Column) -> Column:
+    """The reading without zone so many microseconds after that of 1970-01-01."""
+    epoch, second = F.lit("1970-01-01").cast("date").cast("timestamp_ntz"), F.lit(1_000_000)
+    rest = F.pmod(since_1970, F.lit(86_400_000_000)).cast("decimal(18,0)") / second
+    return epoch + F.make_dt_interval(F.floor(since_1970 / F.lit(86_400_000_000)).cast("int"), F.lit(0), F.lit(0), rest.cast("decimal(18,6)"))
+
+
 def seconds(name: str) -> Column:
     """Microseconds since 1970 of a date or timestamp column."""
-    return F.unix_micros(col(name).cast("timestamp"))
+    return micros(col(name))
 
 
 def rows_from(df: DataFrame, entries: Sequence[Sequence[Column]], names: Sequence[str]) -> DataFrame:

@@ -91,7 +91,7 @@ def datetime_features(df: DataFrame, ts: str) -> DataFrame:
     t = col(ts)
     return df.select(
         "*", F.year(t).alias(f"{ts}_year"), F.month(t).alias(f"{ts}_month"), F.weekday(t).alias(f"{ts}_day_of_week"),
-        F.hour(t.cast("timestamp")).alias(f"{ts}_hour"), (F.weekday(t) >= 5).alias(f"{ts}_is_weekend"),
+        F.hour(t.cast("timestamp_ntz")).alias(f"{ts}_hour"), (F.weekday(t) >= 5).alias(f"{ts}_is_weekend"),
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import constants as K
 from ..functions import text as X
-from ..functions.columns import col
+from ..functions.columns import col, seconds
 from ..plans.ordered import cut_along, scan, split_points, with_buckets
 
 EVENT_LOG = (
@@ -56,7 +56,7 @@ def log_running_totals(log: DataFrame, tie: str = "call_number") -> DataFrame:
     times), so a run with a large part of the log is spread out."""
     run_id = F.col("run_id").cast("string") if "run_id" in log.columns else F.lit(None).cast("string")
     calls = log.where("event = 'llm_call' and ts is not null").select(
-        F.coalesce(F.concat(F.lit("="), run_id), F.lit("")).alias("run_id"), "ts", "agent", col(tie), F.unix_micros(F.col("ts").cast("timestamp")).alias("_t"),
+        F.coalesce(F.concat(F.lit("="), run_id), F.lit("")).alias("run_id"), "ts", "agent", col(tie), seconds("ts").alias("_t"),
         F.coalesce("input_tokens", F.lit(0)).alias("_i"), F.coalesce("output_tokens", F.lit(0)).alias("_o"),
         F.lit(1).cast("bigint").alias("_one"),
     )

@@ -8,9 +8,10 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import TimestampType
 
 from .. import constants as K
-from ..functions.columns import DATETIME, col, columns_of, doubles, long_doubles, numeric_columns, rows_from, seconds
+from ..functions.columns import DATETIME, clock, col, columns_of, doubles, long_doubles, numeric_columns, rows_from, seconds
 from ..plans.fourier import lag_sums
 from ..plans.ordered import cut_along, scan, split_points, with_buckets
 from ..plans.quantiles import weighted_quantiles
@@ -22,7 +23,12 @@ GRAINS = {"hour": "INTERVAL 1 HOUR", "day": "INTERVAL 1 DAY", "week": "INTERVAL
 
 
 def truncated(ts: str, grain: str) -> Column:
-    return F.date_trunc(grain, col(ts).cast("timestamp")).cast("timestamp_ntz")
+    """The start of the period a time lies in, by the clock's reading."""
+    at = col(ts).cast("timestamp_ntz")
+    day = at.cast("date")
+    if grain == "hour":
+        return day.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.hour(at))
+    return (day if grain == "day" else F.trunc(day, grain)).cast("timestamp_ntz")
 
 
 def date_range(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -113,9 +119,10 @@ def gap_list(df: DataFrame, ts: str, factor: float = K.GAP_FACTOR) -> DataFrame:
     gaps = _gaps(df, ts)
     median = _gap_quantiles(gaps, (0.5,))[0.5]
     long = gaps.where(F.col("gap") > F.lit(factor * median)) if median is not None else gaps.where("false")
+    instant = isinstance(df.schema[ts].dataType, TimestampType)
+    shown = lambda c: F.timestamp_micros(c).cast("timestamp_ntz") if instant else clock(c)
     return long.select(
-        F.timestamp_micros("prev").cast("timestamp_ntz").alias("start"),
-        F.timestamp_micros("t").cast("timestamp_ntz").alias("end"),
+        shown(F.col("prev")).alias("start"), shown(F.col("t")).alias("end"),
         (F.col("gap") / F.lit(float(MICROS))).alias("seconds"),
     )
 

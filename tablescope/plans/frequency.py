@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..functions.columns import col, merge_nan, profiled, with_all_columns
+from ..functions.columns import clock, col, merge_nan, micros, profiled, with_all_columns
 from ..session import materialize
 from .shared import is_shared, on_driver, remember
 
@@ -39,7 +39,7 @@ def _slots(field: T.StructField, hashed: bool) -> list[Column]:
     elif isinstance(kind, T.DateType):
         empty["l"] = F.unix_date(c).cast("bigint")
     elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        empty["l"] = F.unix_micros(c.cast("timestamp"))
+        empty["l"] = micros(c)
     elif isinstance(kind, (T.FloatType, T.DoubleType)):
         empty["d"] = c.cast("double")
     elif hashed:
@@ -75,7 +75,8 @@ def value_text(df: DataFrame, cols: Sequence[str], own: Column | None = None) ->
         elif isinstance(f.dataType, T.DateType):
             text = F.when(here, F.date_from_unix_date(F.col("l").cast("int")).cast("string")).otherwise(text)
         elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
-            text = F.when(here, F.timestamp_micros(F.col("l")).cast("string")).otherwise(text)
+            time = F.timestamp_micros("l") if isinstance(f.dataType, T.TimestampType) else clock(F.col("l"))
+            text = F.when(here, time.cast("string")).otherwise(text)
     return text
 
 

@@ -277,3 +277,33 @@ def test_repeated_rows_whatever_the_filter(spark, monkeypatch, most):
         counts[r] = counts.get(r, 0) + 1
     assert got == {(*r, n) for r, n in counts.items() if n > 1}
     assert O.duplicate_rows(spark.createDataFrame([], "a int")).count() == 0
+
+
+@pytest.fixture
+def new_york(spark):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    yield spark
+    spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_times_without_zone_do_not_pass_through_the_session_zone(new_york):
+    """02:30 does not exist in New York on that day, and 01:30 is there twice in autumn."""
+    hours = ["2024-03-10 01:30:00", "2024-03-10 02:30:00", "2024-03-10 03:30:00.25", "2024-11-03 01:30:00", "1969-12-31 23:59:59.999999"]
+    df = new_york.createDataFrame([(h, i) for i, h in enumerate(hours)], "s string, i int").select(F.col("s").cast("timestamp_ntz").alias("t"), "i")
+    three = df.where("i < 3")
+    gaps = M.gap_stats(three, "t").first()
+    assert (gaps["n"], gaps["min"], gaps["max"]) == (2, 3600.0, 3600.25)
+    assert C.cardinality(df, ["t"]).first()["uniques"] == 5
+    assert {r["value"] for r in C.value_counts(df, ["t"]).collect()} == {"2024-03-10 01:30:00", "2024-03-10 02:30:00", "2024-03-10 03:30:00.25", "2024-11-03 01:30:00", "1969-12-31 23:59:59.999999"}
+    assert [r["t_hour"] for r in E.datetime_features(df, "t").orderBy("i").collect()] == [1, 2, 3, 1, 23]
+    listed = M.gap_list(df.where("i < 4"), "t", 5).first()
+    assert (listed["start"], listed["end"]) == (dt.datetime(2024, 3, 10, 3, 30, 0, 250_000), dt.datetime(2024, 11, 3, 1, 30))
+    assert [str(r["period"]) for r in M.trend_line(three, "t", "i", "hour").collect()] == [f"2024-03-10 0{h}:00:00" for h in (1, 2, 3)]
+    assert [str(r["period"]) for r in M.counts_by_week(three, "t").collect()] == ["2024-03-04 00:00:00"]
+
+
+def test_instants_keep_their_distance(new_york):
+    df = new_york.createDataFrame([(1710053400 + 3600 * i,) for i in range(3)], "s long").select(F.timestamp_seconds("s").alias("t"))
+    assert M.gap_stats(df, "t").first()["max"] == 3600.0
+    assert {r["value"] for r in C.value_counts(df, ["t"]).collect()} == {"2024-03-10 01:50:00", "2024-03-10 03:50:00", "2024-03-10 04:50:00"}
