@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -217,16 +217,43 @@ def id_like_columns(df: DataFrame, rsd: float = 0.02) -> DataFrame:
     return distinct_summary(df, likely).where(F.col("uniques") == rows).select("column", "uniques")
 
 
-def column_coverage(df: DataFrame, results: dict[str, DataFrame]) -> DataFrame:
-    """(column, analyses, n): in which result tables each column of the input appears; n = 0 marks a gap."""
-    seen = []
+def _used(plan) -> set[str]:
+    """The names of the source columns that an optimized plan computes from."""
+    wanted = {plan.output().apply(i).exprId().id() for i in range(plan.output().size())}
+    leaves, nodes = [], [plan]
+    while nodes:
+        node = nodes.pop()
+        below = [node.children().apply(i) for i in range(node.children().size())]
+        inner = node.subqueries()
+        nodes += below + [inner.apply(i) for i in range(inner.size())]
+        if below:
+            found = node.references().toSeq()
+            wanted |= {found.apply(i).exprId().id() for i in range(found.size())}
+        else:
+            leaves.append(node.output())
+    return {out.apply(i).name() for out in leaves for i in range(out.size()) if out.apply(i).exprId().id() in wanted}
+
+
+def lineage(df: DataFrame, result: DataFrame) -> list[str]:
+    """The columns of ``df`` that ``result`` was computed from, by the expression ids of the optimized plans.
+
+    A column counts when all source columns behind it are used.  What an operator computed on the driver or
+    read back from an intermediate table has left the plan; such results name their columns in their rows (``column_coverage``)."""
+    used = _used(result._jdf.queryExecution().optimizedPlan())
+    behind = {c: _used(df.select(col(c))._jdf.queryExecution().optimizedPlan()) for c in df.columns} if used else {}
+    return [c for c in df.columns if behind.get(c) and behind[c] <= used]
+
+
+def column_coverage(df: DataFrame, results: dict[str, DataFrame], sources: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """(column, analyses, n): which results cover each column of the input; n = 0 marks a gap.
+
+    A result covers the columns that its rows name, and those it was computed from where ``sources`` says so (``lineage``)."""
+    seen = [small_frame(df.sparkSession, [(c, name) for name, cols in (sources or {}).items() for c in cols], "column string, analysis string")]
     for name, result in results.items():
         for field in ("column", "col_a", "col_b"):
             if field in result.columns:
                 seen.append(result.select(F.col(field).alias("column"), F.lit(name).alias("analysis")))
-    found = reduce(DataFrame.unionByName, seen).distinct() if seen else small_frame(
-        df.sparkSession, [], "column string, analysis string"
-    )
+    found = reduce(DataFrame.unionByName, seen).distinct()
     listed = found.groupBy("column").agg(
         F.array_join(F.array_sort(F.collect_set("analysis")), ",").alias("analyses"), F.count("*").alias("n")
     )

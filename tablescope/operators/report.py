@@ -237,6 +237,7 @@ def forest_outliers(df: DataFrame) -> DataFrame:
 class Profile:
     run_id: str
     results: dict[str, DataFrame] = field(default_factory=dict)
+    sources: dict[str, list[str]] = field(default_factory=dict)
     steps: DataFrame | None = None
 
 
@@ -256,6 +257,28 @@ def run_profile(
     return profile
 
 
+#: The analyses that every column of a class needs; those of a date column carry its name.
+MANDATORY = {
+    NUMERIC: ("numeric_describe", "histogram", "boxplot_stats", "normality_test", "outlier_ranking"),
+    CATEGORICAL: ("value_counts", "cardinality_class", "encoding_advice"),
+    DATETIME: ("date_range", "counts_by_year", "counts_by_month", "counts_by_weekday", "gap_stats"),
+}
+
+
+def coverage_gaps(df: DataFrame, profile: Profile) -> DataFrame:
+    """(column, class, analysis): the mandatory analyses that no result of the run holds for a column.
+
+    The step of a date column is named after it, as its result may come from an intermediate table that has no lineage."""
+    classes = {c: k for k in MANDATORY for c in columns_of(df, k)}
+    needed = [(c, k, name, f"{name}_{c}" if k == DATETIME else name) for c, k in classes.items() for name in MANDATORY[k]]
+    wanted = small_frame(df.sparkSession, needed, "column string, class string, analysis string, step string")
+    named = {n: r for n, r in profile.results.items() if n in {x[3] for x in needed}}
+    dated = {step: [c] for c, k, _, step in needed if k == DATETIME and step in named}
+    covered = overview.column_coverage(df, named, {**{n: c for n, c in profile.sources.items() if n in named}, **dated})
+    held = covered.select("column", F.explode(F.split("analyses", ",")).alias("step"))
+    return wanted.join(held, ["column", "step"], "left_anti").select("column", "class", "analysis")
+
+
 def _shown(result: DataFrame, rows: int) -> str:
     """The first rows in the order of the columns, as text; rows left out are counted in a last line."""
     order = [F.col(f"`{f.name}`") for f in result.schema.fields if not isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType, T.VariantType))]
@@ -270,7 +293,9 @@ def _run_step(df: DataFrame, name: str, make: Callable, path: str, attempts: int
     while tried < attempts:
         tried += 1
         try:
-            make(df).write.mode("overwrite").parquet(path)
+            made = make(df)
+            profile.sources[name] = overview.lineage(df, made)
+            made.write.mode("overwrite").parquet(path)
             profile.results[name] = df.sparkSession.read.parquet(path)
             text, error = _shown(profile.results[name], shown_rows), None
             break

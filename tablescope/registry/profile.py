@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..constants import QUANTILES
 from ..operators import categorical as C, missing as W, numeric as U, overview as O
+from ..operators.timeseries import counts_by_year
 from . import frames as FR
-from .common import LINE_NUMBERS, Entry, on, r, rounded, union_all
+from .common import LINE_NUMBERS, Entry, on, r, rounded, table, union_all
 
 LINE = [("l_orderkey", "bigint"), ("l_partkey", "bigint"), ("l_suppkey", "bigint"), ("l_linenumber", "int"), ("l_quantity", "double"),
         ("l_extendedprice", "double"), ("l_discount", "double"), ("l_tax", "double"), ("l_returnflag", "string"),
@@ -102,6 +105,16 @@ def _top_counts(frame: str, cols, n: int = 15) -> str:
 PART_TEXT = ("p_name", "p_brand", "p_type")
 CLASS_CASE = "CASE WHEN u <= 1 THEN 'constant' WHEN u = 2 THEN 'binary' WHEN u = k THEN 'id_like' WHEN u <= 20 THEN 'low' ELSE 'high' END"
 
+def _lineage(spark, sf: str):
+    """The columns behind three results that do not name them in their rows."""
+    lines = table(spark, sf, "lineitem")
+    results = {
+        "prices": lines.groupBy("l_returnflag").agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("total")),
+        "rules": lines.where("l_tax > l_discount AND l_extendedprice > 0").agg(F.count("*").alias("n")), "years": counts_by_year(lines, "l_shipdate"),
+    }
+    return O.column_coverage(lines, results, {name: O.lineage(lines, result) for name, result in results.items()})
+
+
 QUERIES: dict[str, Entry] = {
     "dataset_shape": (on("lineitem", O.dataset_shape), "SELECT count(*) AS rows, CAST(11 AS BIGINT) AS columns FROM lineitem"),
     "column_types": (on("lineitem", O.column_info), union_all(
@@ -133,6 +146,9 @@ QUERIES: dict[str, Entry] = {
     "id_like_columns": (on("orders", O.id_like_columns), 'SELECT * FROM (' + union_all(
         f"""SELECT '{c}' AS "column", count(DISTINCT {c}) AS uniques FROM orders HAVING count(DISTINCT {c}) = count(*)"""
         for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")) + ")"),
+    "column_lineage": (_lineage, union_all(f"""SELECT '{c}' AS "column", '{a}' AS analyses, CAST({n} AS BIGINT) AS n FROM lineitem HAVING count(*) > 0""" for c, a, n in (
+        *[(c, "prices,rules", 2) for c in ("l_extendedprice", "l_discount")], ("l_tax", "rules", 1), ("l_returnflag", "prices", 1), ("l_shipdate", "years", 1),
+        *[(c, "", 0) for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_linestatus")]))),
     "column_coverage": (on("lineitem", lambda d: O.column_coverage(d, {
         "histogram": U.histogram(d), "value_counts": C.value_counts(d), "cardinality": C.cardinality(d)})), union_all(
         f"""SELECT '{c}' AS "column", '{a}' AS analyses, CAST({n} AS BIGINT) AS n FROM lineitem HAVING count({c}) > 0"""

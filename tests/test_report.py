@@ -35,7 +35,12 @@ def test_full_run_has_no_failed_step_and_covers_every_column(spark, read):
     orders = read("orders")
     profile = R.run_profile(orders, scratch_path(spark, "p"))
     assert profile.steps.where("error is not null").select("step", "error").collect() == []
-    assert O.column_coverage(orders, profile.results).where("n = 0").count() == 0
+    assert O.column_coverage(orders, profile.results, profile.sources).where("n = 0").count() == 0
+    assert R.coverage_gaps(orders, profile).count() == 0
+    assert profile.sources["counts_by_year_o_orderdate"] == ["o_orderdate"] and set(profile.sources["trend_lines_o_orderdate"]) >= {"o_orderdate", "o_totalprice"}
+    del profile.results["gap_stats_o_orderdate"], profile.results["histogram"]
+    gaps = {(r["column"], r["analysis"]) for r in R.coverage_gaps(orders, profile).collect()}
+    assert gaps == {("o_orderdate", "gap_stats"), *[(c, "histogram") for c in ("o_orderkey", "o_custkey", "o_totalprice")]}
     text = R.write_report(profile, R.insights(orders), scratch_path(spark, "r"))
     assert all(f"## {s}" in text for s in R.SECTIONS) and all(c in text for c in orders.columns)
 
@@ -72,6 +77,17 @@ def test_all_pairs_agree_with_single_pairs(spark, read):
         assert found.keys() == want.keys() and all(found[k] == pytest.approx(want[k]) for k in want)
 
 
+def test_lineage_follows_expressions(spark, read):
+    base = read("lineitem").select((F.col("l_quantity") * F.col("l_tax")).alias("x"), "l_tax", F.col("l_returnflag").alias("flag"), "l_discount", "l_orderkey")
+    grouped = base.groupBy("flag").agg(F.sum("x").alias("s"))
+    assert O.lineage(base, grouped) == ["x", "l_tax", "flag"]
+    assert O.lineage(base, base.where("l_discount > 0.05").select(F.count("*").alias("n"))) == ["l_discount"]
+    assert O.lineage(base, base.select("flag", F.lit(1).alias("l_orderkey"))) == ["flag"]
+    again = base.join(grouped, "flag").agg(F.max(F.col("s") - F.col("l_discount")).alias("m"))
+    assert O.lineage(base, again) == ["x", "l_tax", "flag", "l_discount"]
+    assert O.lineage(base, base.where(F.col("l_discount") > base.agg(F.avg("l_tax")).scalar()).select("flag")) == ["l_tax", "flag", "l_discount"]
+
+
 def test_findings_are_ranked(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=500)
