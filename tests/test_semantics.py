@@ -62,7 +62,7 @@ def test_skew_and_kurtosis_match_pandas(spark, read):
 
 @pytest.mark.parametrize("k, accuracy, task_rows", [(16, 50, 10), (500, 500, 100), (32_768, 10_000, 5_000_000)])
 def test_quantiles_are_exact_for_any_sketch(spark, monkeypatch, k, accuracy, task_rows):
-    monkeypatch.setattr("tablescope.plans.quantiles.TASK_ROWS", task_rows)
+    monkeypatch.setattr("tablescope.plans.quantiles.PIECE_ROWS", task_rows)
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.lognormal(size=4000), np.zeros(2000), rng.integers(0, 9, 1000)])
     df = spark.createDataFrame(pd.DataFrame({"x": x, "g": rng.integers(0, 3, len(x))})).repartition(7)
