@@ -13,6 +13,7 @@ from .common import LINE_NUMBERS, Entry, on, r, rounded, table, union_all
 LINE = [("l_orderkey", "bigint"), ("l_partkey", "bigint"), ("l_suppkey", "bigint"), ("l_linenumber", "int"), ("l_quantity", "double"),
         ("l_extendedprice", "double"), ("l_discount", "double"), ("l_tax", "double"), ("l_returnflag", "string"),
         ("l_linestatus", "string"), ("l_shipdate", "timestamp_ntz")]
+WHOLE = tuple(c for c, t in LINE if t in ("bigint", "int"))
 KIND = {"bigint": "numeric", "int": "numeric", "double": "numeric", "string": "categorical", "timestamp_ntz": "datetime"}
 LABELLED = [("doc_id", "bigint"), ("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "bigint"), ("quality", "int"), ("toxic", "int")]
 DUP = ("l_quantity", "l_discount", "l_tax", "l_returnflag")
@@ -169,11 +170,9 @@ QUERIES: dict[str, Entry] = {
     "shape_flags": (on("events", U.shape_flags), f"""SELECT "column", CAST(n AS BIGINT) AS n, {r('sk')} AS skew, {r('ku')} AS kurt, abs(sk) > 1 AS skewed,
       ku > 3 AS heavy_tailed, CASE WHEN exp(-(z1 * z1 + z2 * z2) / 2) > 0.05 AND abs(sk) <= 1 AND ku <= 3 THEN 'pearson' ELSE 'spearman' END AS correlation
       FROM ({_k2('events', ('event_id', 'user_id', 'value'))})"""),
-    "histogram": (on("lineitem", lambda d: U.histogram(d, ["l_extendedprice", "l_quantity"], 10)),
-                  _histogram("l_extendedprice", "lineitem", 10) + " UNION ALL " + _histogram("l_quantity", "lineitem", 10)),
+    "histogram": (on("lineitem", lambda d: U.histogram(d, bins=10)), " UNION ALL ".join(_histogram(c, "lineitem", 10) for c in LINE_NUMBERS)),
     "histogram_empty_bins": (on("events", lambda d: U.histogram(d, ["value"], 25)), _histogram("value", "events", 25)),
-    "boxplot_stats": (on("events", lambda d: U.boxplot_stats(d, ["value", "user_id"])),
-                      _boxplot("value", "events") + " UNION ALL " + _boxplot("user_id", "events")),
+    "boxplot_stats": (on("events", U.boxplot_stats), " UNION ALL ".join(_boxplot(c, "events") for c in ("event_id", "user_id", "value"))),
     "value_range_check": (on("orders", lambda d: U.value_range_check(d, ["o_totalprice", "o_custkey"])), _moments(
         "orders", ("o_totalprice", "o_custkey"), "round(min({c}), 6) AS min, round(max({c}), 6) AS max")),
     "value_ranges": (on("orders", lambda d: U.value_ranges(d, ["o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus", "o_orderpriority"])), union_all(
@@ -183,10 +182,10 @@ QUERIES: dict[str, Entry] = {
     "value_counts_texts": (on("documents", lambda d: C.value_counts(d, top=25)), _top_counts("documents", ("text", "lang", "source"), 25)),
     "value_counts_many": (on("documents", lambda d: C.value_counts(d, ["text"], top=1_500)), _top_counts("documents", ("text",), 1_500)),
     "duplicate_rows_texts": (on("documents", lambda d: O.duplicate_rows(d.select("text", "lang"))), "SELECT text, lang, count(*) AS n FROM documents GROUP BY ALL HAVING count(*) > 1"),
-    "value_counts_numbers": (on("lineitem", lambda d: C.value_counts(d, ["l_partkey", "l_linenumber"], 10)),
+    "value_counts_numbers": (on("lineitem", lambda d: C.value_counts(d, list(WHOLE), 10)),
                              'SELECT "column", value, n, rank FROM (' + union_all(
         f"""SELECT '{c}' AS "column", value, n, CAST(row_number() OVER (ORDER BY n DESC, value) AS INTEGER) AS rank FROM
-        (SELECT CAST({c} AS VARCHAR) AS value, count(*) AS n FROM lineitem GROUP BY {c})""" for c in ("l_partkey", "l_linenumber")) + ") WHERE rank <= 10"),
+        (SELECT CAST({c} AS VARCHAR) AS value, count(*) AS n FROM lineitem GROUP BY {c})""" for c in WHOLE) + ") WHERE rank <= 10"),
     "value_shares": (on("orders", C.value_shares), union_all(
         f"""SELECT '{c}' AS "column", {c} AS value, count(*) AS n, {r(f'count(*) / (SELECT count({c}) FROM orders)')} AS share FROM orders
         WHERE {c} IS NOT NULL GROUP BY {c}""" for c in ("o_orderstatus", "o_orderpriority"))),

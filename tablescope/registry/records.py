@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..constants import CHAT_ERROR_CHARS, CHAT_OUTPUT_CHARS
 from ..functions import text as X
 from ..operators import logs as G, query as Q, report as R
 from ..session import scratch_path
@@ -143,8 +144,8 @@ PACK = """chr(10) || '--- Step ' || step_number || ': ' || step || ' ---' || chr
   || CASE WHEN error IS NOT NULL THEN 'Error: ' || left(error, {e}) || chr(10) ELSE '' END
   || CASE WHEN charts > 0 THEN '[Visualisation generated]' || chr(10) ELSE '' END"""
 CHAT_PACK = """chr(10) || '--- Step ' || step_number || ': ' || step || ' ---' || chr(10)
-  || CASE WHEN trim(text_output, ' ' || chr(10)) <> '' THEN left(text_output, 8) || chr(10) ELSE '' END
-  || CASE WHEN error IS NOT NULL THEN 'Error: ' || left(error, 10) || chr(10) ELSE '' END
+  || CASE WHEN trim(text_output, ' ' || chr(10)) <> '' THEN left(text_output, 800) || chr(10) ELSE '' END
+  || CASE WHEN error IS NOT NULL THEN 'Error: ' || left(error, 300) || chr(10) ELSE '' END
   || CASE WHEN error IS NULL AND trim(text_output, ' ' || chr(10)) = '' THEN '[Visualisation generated]' || chr(10) ELSE '' END"""
 CALL_SUMS = "count(*) AS calls, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens"
 
@@ -291,7 +292,7 @@ QUERIES: dict[str, Entry] = {
       ELSE replace(left(trim(text_output, ' ' || chr(10)), 300), chr(10), ' ') END AS finding FROM {FR.STEPS_SQL} WHERE error IS NULL"""),
     "context_pack": (lambda s, d: G.context_pack(FR.steps(s, d), part_steps=20), f"""SELECT run_id, (i - 1) // 20 AS part, count(*) AS steps, string_agg(t, '' ORDER BY step_number) AS text FROM
       (SELECT run_id, step_number, row_number() OVER (PARTITION BY run_id ORDER BY step_number) AS i, {PACK.format(o=1500, e=300)} AS t FROM {FR.STEPS_SQL}) GROUP BY ALL"""),
-    "context_pack_chat": (lambda s, d: G.context_pack(FR.steps(s, d), 8, 10, chat=True), f"""SELECT run_id, CAST(0 AS BIGINT) AS part, count(*) AS steps, string_agg(t, '' ORDER BY step_number) AS text FROM
+    "context_pack_chat": (lambda s, d: G.context_pack(FR.steps(s, d), CHAT_OUTPUT_CHARS, CHAT_ERROR_CHARS, chat=True), f"""SELECT run_id, CAST(0 AS BIGINT) AS part, count(*) AS steps, string_agg(t, '' ORDER BY step_number) AS text FROM
       (SELECT run_id, step_number, {CHAT_PACK} AS t FROM {FR.STEPS_SQL}) GROUP BY ALL"""),
     "log_token_totals": (lambda s, d: G.log_token_totals(FR.calls(s, d)), f"""SELECT agent, {CALL_SUMS}, CAST(sum(input_tokens + output_tokens) AS BIGINT) AS total_tokens FROM {FR.CALLS_SQL}
       WHERE event = 'llm_call' GROUP BY ROLLUP (agent)"""),
