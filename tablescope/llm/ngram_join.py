@@ -1,13 +1,17 @@
 """Documents linked by the Jaccard similarity of their word n-grams, by a token-group matrix.
 
 1. Documents with the same set of n-grams are one class; everything after works on classes.
-2. Every set is ordered by how rare its n-grams are.  The counts come from a sketch of fixed size over all documents; the order must be
-   the same for all documents but need not be exact, so a coarse sketch costs time and never a link.  Two sets that reach the threshold
-   share an n-gram among the first ``size - least overlap + 1`` of each.
+2. The tokens of a set.  The range of hashes is cut into slices, one more than two sets of nearly this size may differ by (and a few for
+   slices without an n-gram), so two sets that reach the threshold have a slice in common, n-gram by n-gram.  A token is the hash of one
+   filled slice.  It stands for several n-grams at once, so passages that many documents share make no token that they share, and no
+   count over the corpus is needed.
+   Where slices would hold fewer than LEAST n-grams, and for sets with too many empty ones, the tokens are the first
+   ``size - least overlap + 1`` n-grams in the order of a sketch of counts; two sets that reach the threshold share one of those.  The
+   order must be the same for all documents but need not be exact, so a coarse sketch costs time and never a link.
 3. Classes are partitioned into groups of similar sets: by smallest hash and size, each linked to the most typical class of its group
    if the exact similarity confirms it.  Linked groups are one component from here on.
-4. The matrix holds for each n-gram the groups whose members have it among their first ones, each group once.  A query set meets
-   groups of other components only; the n-grams it finds there bound the overlap it can have with any member.
+4. The matrix holds for each token the groups whose members have it, each group once: the union of a group's tokens.  A query set meets
+   groups of other components only; the tokens it finds there bound the overlap it can have with any member.
 5. Groups whose bound reaches the threshold are opened, their members compared with the query set exactly, and the links joined up.
 
 Hot groups cost little: equal sets are one class, near copies become one component before they meet, and a matrix row stands for a
@@ -23,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import AtomicType
 
 from .components import connected_components
-from .scratch import remove, stored, total_rows
+from .scratch import remove, settled as stored, total_rows
 from .texts import column_bytes, mix, shingle_set, text_words
 
 CELLS = 1 << 21
@@ -31,10 +35,12 @@ SLICES = 32
 MERGE = 64
 GROUP = 64
 FILTER_BITS = 1 << 23
+LEAST = 6
+LONGEST = 1 << 40
 FAMILIES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 _SETS = pa.schema([("doc", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("slice", pa.int32()), ("task", pa.int32()), ("cells", pa.binary()), ("counts", pa.binary())])
-_PREFIXES = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("first", pa.list_(pa.int64())), ("families", pa.list_(pa.int64())), ("typical", pa.float64())])
+_PREFIXES = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("first", pa.list_(pa.int64())), ("band", pa.int32()), ("own", pa.list_(pa.int64())), ("next", pa.list_(pa.int64())), ("families", pa.list_(pa.int64())), ("typical", pa.float64())])
 _MEMBERS = pa.schema([("f1", pa.int64()), ("f2", pa.int64()), ("grams", pa.binary())])
 
 
@@ -130,19 +136,59 @@ def _least_overlap(n, threshold):
     return -(-n * top // bottom)
 
 
+class _Slices:
+    """The slices of sets by size.
+
+    Band i holds the sizes from ``start[i]`` to below ``start[i + 1]``; a size and any other near enough lie in the same band or in
+    neighbours.  Sets of the bands j - 1 and j meet in cut j, of ``count[j]`` slices, and differ in at most ``differ[j]`` of them if they
+    reach the threshold; a cut with no slices is not used."""
+
+    def __init__(self, threshold: tuple[int, int]):
+        top, bottom = threshold
+        start = [1]
+        while start[-1] < LONGEST:
+            start.append(start[-1] * bottom // top + 1)
+        self.start, self.differ, self.count = np.array(start), [], []
+        for j in range(len(start) - 1):
+            differ, smallest = 2 * (start[j + 1] - 1) * (bottom - top) // (bottom + top), start[max(0, j - 1)]
+            empty = (differ + 1) * np.exp(-smallest / (differ + 1))
+            count = differ + 1 + int(empty + 4 * np.sqrt(empty))
+            self.differ.append(differ)
+            self.count.append(count if smallest >= LEAST * count else 0)
+        self.used = any(self.count)
+
+    def band(self, size: int) -> int:
+        return int(np.searchsorted(self.start, size, "right")) - 1
+
+    def tokens(self, grams: np.ndarray, mixed: np.ndarray, cut: int) -> tuple[np.ndarray, bool]:
+        """The hash of each filled slice, and whether these are enough to meet every set near enough whatever that set's are.
+
+        ``grams`` is sorted, so a slice is a run of it."""
+        count = self.count[cut] if cut < len(self.count) else 0
+        if not count:
+            return np.zeros(0, np.int64), False
+        piece = (grams >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)
+        begin = np.flatnonzero(np.concatenate([[True], piece[1:] != piece[:-1]]))
+        name = mix(piece[begin] + np.uint64((cut + 1) << 32))
+        return mix(mix(np.add.reduceat(mixed, begin)) ^ name).view(np.int64), len(begin) > self.differ[cut]
+
+
 def _prefixes(n: int, threshold: tuple[int, int], sketch):
-    """A row for each document with its first n-grams, its smallest hashes and how typical its n-grams are."""
+    """A row for each document with its tokens, its smallest hashes and how typical its n-grams are."""
 
     def run(batches):
-        count = sketch.value
+        count, slices = sketch.value, _Slices(threshold)
         for docs, sets in _set_batches(batches, n):
             rows = []
             for doc, grams in zip(docs, sets):
                 if len(grams):
                     often = count[_cell(grams)]
-                    first = grams[np.argsort(often, kind="stable")[:len(grams) - _least_overlap(len(grams), threshold) + 1]]
+                    mixed, band = mix(grams ^ np.uint64(0x5851F42D4C957F2D)), slices.band(len(grams))
+                    (own, enough), (after, also) = slices.tokens(grams, mixed, band), slices.tokens(grams, mixed, band + 1)
+                    n_first = 0 if enough and also else len(grams) - _least_overlap(len(grams), threshold) + 1
+                    first = grams[np.argsort(often, kind="stable")[:n_first]] if n_first else grams[:0]
                     families = [int(mix(grams ^ np.uint64(k)).min().view(np.int64)) for k in FAMILIES]
-                    rows.append((doc, len(grams), *_fingerprint(grams), first.view(np.int64), families, float(np.log1p(often).sum())))
+                    rows.append((doc, len(grams), *_fingerprint(grams), first.view(np.int64), band, own, after, families, float(np.log1p(often).sum())))
             yield _columns(_PREFIXES, rows)
 
     return run
@@ -196,7 +242,7 @@ class _Classes:
         self.docs = both.where("slice is null").select("doc", "t1", "t2", "n", "f1", "f2")
         sketch = self.spark.sparkContext.broadcast(_sketch(both.where("slice is not null").select("slice", "task", "cells", "counts")))
         rows = self.texts.mapInArrow(_prefixes(n, threshold, sketch), _ddl(_PREFIXES))
-        classes = rows.groupBy("f1", "f2").agg(F.min("doc").alias("doc"), *[F.first(c).alias(c) for c in ("n", "first", "families", "typical")])
+        classes = rows.groupBy("f1", "f2").agg(F.min("doc").alias("doc"), *[F.first(c).alias(c) for c in ("n", "first", "band", "own", "next", "families", "typical")])
         self.classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()), "gram-classes")
         self.rows = total_rows(self.classes)
 
@@ -218,50 +264,81 @@ class _Classes:
         remove(pairs, used, sets)
         return links
 
-    def _band(self) -> Column:
-        """Sizes in one band differ by less than the threshold allows."""
-        return F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(self.threshold[1] / self.threshold[0]))))
-
     def partition(self) -> DataFrame:
         """Links of each class to the most typical class of the groups it belongs to."""
-        rows = self.classes.select("cid", "typical", self._band().alias("band"), F.posexplode("families").alias("family", "low"))
+        rows = self.classes.select("cid", "typical", "band", F.posexplode("families").alias("family", "low"))
         lead = rows.groupBy("family", "low", "band").agg(F.max(F.struct("typical", "cid")).alias("lead"), F.count(F.lit(1)).alias("n"))
         lead = stored(lead.where("n > 1").select("family", "low", "band", F.col("lead.cid").alias("b")), "gram-leads", 2 * self.rows)
         pairs = rows.join(lead, ["family", "low", "band"]).where("cid != b").select(F.col("cid").alias("a"), "b").distinct()
         return self.links(pairs, 2 * self.rows)
 
-    def matrix_pairs(self, components: DataFrame) -> DataFrame:
-        """Pairs of a query class and a member of a group that the bound opens."""
+    def _fits(self, n: Column, least: Column, most: Column) -> Column:
+        """Whether a size between ``least`` and ``most`` can be near enough to n."""
         top, bottom = self.threshold
-        sizes = stored(components.groupBy("root").agg((F.count(F.lit(1)) + 1).alias("members")), "gram-sizes", self.rows)
-        rooted = components.join(sizes, "root").union(sizes.select("root", F.col("root").alias("node"), "members"))
-        rooted = rooted.select(F.col("node").alias("cid"), "root", "members")
-        rows = self.classes.select("cid", "n", "first").join(rooted, "cid", "left")
-        rows = rows.select("cid", "n", "first", F.coalesce("root", "cid").alias("comp"), F.coalesce("members", F.lit(1)).alias("members"))
-        pieces = F.ceil(F.col("members") / GROUP)
-        rows = stored(rows.withColumn("part", F.pmod(F.xxhash64("cid"), pieces).cast("long")), "gram-rows", self.rows)
-        grams = rows.select("cid", "n", "comp", "members", "part", F.posexplode("first").alias("place", "gram"))
-        met = grams.groupBy("gram").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
-        grams = stored(grams.join(stored(met.select("gram"), "gram-met"), "gram"), "gram-grams")
-        matrix = grams.groupBy("gram", F.col("comp").alias("g"), "part", F.col("members").alias("gm")).agg(
-            F.min("n").alias("small"), F.max("n").alias("large"), F.min("place").alias("gfirst"), F.max("place").alias("gplace"))
-        matrix = stored(matrix, "gram-matrix")
+        return (n * top <= most * bottom) & (least * top <= n * bottom)
+
+    def _met(self, rows: DataFrame, *columns: str) -> DataFrame:
+        """The tokens that sets of two components have, a row for each such set; ``late`` tells which column they come from."""
+        tokens = None
+        for late, column in enumerate(columns):
+            part = rows.select("cid", "n", "comp", "members", "part", F.lit(late).alias("late"), F.size(column).alias("filled"),
+                               (F.col("band") + late).alias("cut"), F.posexplode(column).alias("place", "token"))
+            tokens = part if tokens is None else tokens.union(part)
+        met = tokens.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("late").alias("late"))
+        met = stored(met.where("low < high and late = 0").select("token"), "gram-met")
+        return stored(tokens.join(met, "token"), "gram-tokens")
+
+    def _matrix(self, tokens: DataFrame) -> DataFrame:
+        """The tokens of each group, each once, with the range of sizes and places they come from."""
+        groups = tokens.groupBy("token", F.col("comp").alias("g"), F.col("part").alias("gpart"), F.col("members").alias("gm"))
+        return stored(groups.agg(F.min("n").alias("small"), F.max("n").alias("large"), F.min("place").alias("gfirst"), F.max("place").alias("gplace")), "gram-matrix")
+
+    def _opened_by_slices(self, rows: DataFrame) -> DataFrame:
+        """(cid, n, g, gpart): the groups that share as many slices with a set as two near sets of these sizes must.
+
+        A group is met by the cut of its own band; sets of the band below ask there with their second tokens."""
+        top, bottom = self.threshold
+        tokens = self._met(rows, "own", "next")
+        matrix = self._matrix(tokens.where("late = 0"))
+        asks = F.when(F.col("late") == 1, F.col("comp") != F.col("g")).otherwise(F.struct("members", "comp") < F.struct("gm", "g"))
+        hits = tokens.join(matrix, "token").where(asks & self._fits(F.col("n"), F.col("small"), F.col("large")))
+        bound = hits.groupBy("cid", "n", "cut", "filled", "g", "gpart").agg(F.count(F.lit(1)).alias("c"), F.max("large").alias("large"))
+        differ = F.floor((F.col("n") + F.col("large")) * (bottom - top) / (bottom + top))
+        return bound.where(F.col("c") >= F.greatest(F.lit(1), F.col("filled") - differ)).select("cid", "n", "g", "gpart")
+
+    def _opened_by_grams(self, rows: DataFrame) -> DataFrame:
+        """(cid, n, g, gpart): the groups that share as many of the first n-grams with a set as two near sets of these sizes must."""
+        top, bottom = self.threshold
+        grams = self._met(rows, "first")
         after = F.struct("members", "comp") < F.struct("gm", "g")  # each pair of components once, the smaller one asks
-        fits = (F.col("n") * top <= F.col("large") * bottom) & (F.col("small") * top <= F.col("n") * bottom)
         # A pair of sizes n and m must share this many, so the first one it shares is at most at n (or m) less this place.
         need = lambda m: F.ceil((F.col("n") + F.col(m)) * top / (top + bottom))
         early = (F.col("place") <= F.col("n") - need("small")) & (F.col("gfirst") <= F.col("large") - need("large"))
-        hits = grams.join(matrix.withColumnRenamed("part", "gpart"), "gram").where(after & fits & early)
+        hits = grams.join(self._matrix(grams), "token").where(after & self._fits(F.col("n"), F.col("small"), F.col("large")) & early)
         bound = hits.groupBy("cid", "n", "g", "gpart", "gm").agg(
             F.count(F.lit(1)).alias("c"), F.min("place").alias("begin"), F.max("place").alias("end"), F.max("gplace").alias("gend"), F.max("large").alias("large"))
         least = F.ceil(F.col("n") * top / bottom)
         # A group of one: nothing is shared behind the last n-gram found.  A larger group: members may have found different ones.
         one = F.col("c") + F.least(F.col("n") - 1 - F.col("end"), F.col("large") - 1 - F.col("gend")) >= need("large")
         many = F.col("c") + F.col("n") - 1 - F.col("begin") >= least
-        opened = stored(bound.where(F.when(F.col("gm") == 1, one).otherwise(many)).select("cid", "n", "g", "gpart"), "gram-opened")
+        return bound.where(F.when(F.col("gm") == 1, one).otherwise(many)).select("cid", "n", "g", "gpart")
+
+    def matrix_pairs(self, components: DataFrame) -> DataFrame:
+        """Pairs of a query class and a member of a group that the bound opens."""
+        sizes = stored(components.groupBy("root").agg((F.count(F.lit(1)) + 1).alias("members")), "gram-sizes", self.rows)
+        rooted = components.join(sizes, "root").union(sizes.select("root", F.col("root").alias("node"), "members"))
+        rooted = rooted.select(F.col("node").alias("cid"), "root", "members")
+        rows = self.classes.select("cid", "n", "band", "first", "own", "next").join(rooted, "cid", "left").withColumns({
+            "comp": F.coalesce("root", "cid"), "members": F.coalesce("members", F.lit(1))}).drop("root")
+        pieces = F.ceil(F.col("members") / GROUP)
+        rows = stored(rows.withColumn("part", F.pmod(F.xxhash64("cid"), pieces).cast("long")), "gram-rows")
+        opened = self._opened_by_grams(rows)
+        if _Slices(self.threshold).used:
+            opened = opened.union(self._opened_by_slices(rows)).distinct()
+        opened = stored(opened, "gram-opened")
         members = rows.select(F.col("cid").alias("b"), F.col("n").alias("m"), F.col("comp").alias("g"), F.col("part").alias("gpart"))
-        pairs = opened.join(members, ["g", "gpart"]).where((F.col("n") * top <= F.col("m") * bottom) & (F.col("m") * top <= F.col("n") * bottom))
-        return pairs.select(F.col("cid").alias("a"), "b")
+        pairs = opened.join(members, ["g", "gpart"]).where(self._fits(F.col("n"), F.col("m"), F.col("m")))
+        return pairs.select(F.col("cid").alias("a"), "b").distinct()
 
     def labelled(self, components: DataFrame) -> DataFrame:
         """(f1, f2, root, component_id) of each class: its component and the smallest document id in it."""

@@ -25,13 +25,15 @@ def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
 _TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def settled(df: DataFrame, name: str) -> DataFrame:
-    """As ``stored``, and the shuffle files behind the table are deleted once it is written, as no later plan reads them."""
+def settled(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """As ``stored``, and the shuffle files behind the table are deleted once it is written, as no later plan reads them.
+
+    With ``rows``, for narrow tables, the finished rows are dealt to files by bytes; the joins below keep all their tasks."""
     conf = df.sparkSession.conf
     before = conf.get(_TIDY)
     conf.set(_TIDY, "true")
     try:
-        return stored(df, name)
+        return stored(df if rows is None else df.hint("rebalance"), name)
     finally:
         conf.set(_TIDY, before)
 

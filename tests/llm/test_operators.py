@@ -111,6 +111,47 @@ def test_ngram_near_copies(spark, n, threshold):
     assert found == {i: group[i] for i in range(150)}
 
 
+def test_ngram_slices_meet():
+    """Two sets that reach the threshold share a slice, unless both are told that their slices are not enough."""
+    rng, slices, alone = np.random.default_rng(3), ngram_join._Slices((9, 10)), 0
+    for trial in range(3000):
+        size = int(rng.integers(1, 60) if trial % 2 else rng.integers(60, 3000))
+        pool = np.unique(rng.integers(0, 2**64, size + size // 9, dtype=np.uint64))
+        one = np.sort(rng.permutation(pool)[:max(1, len(pool) - int(rng.integers(0, len(pool) // 18 + 1)))])
+        two = np.sort(rng.permutation(pool)[:max(1, len(pool) - int(rng.integers(0, len(pool) // 18 + 1)))])
+        one, two = sorted((one, two), key=len)
+        common = len(np.intersect1d(one, two))
+        if 10 * common < 9 * (len(one) + len(two) - common):
+            continue
+        bands = slices.band(len(one)), slices.band(len(two))
+        assert bands[1] - bands[0] in (0, 1)
+        (x, enough), (y, also) = (slices.tokens(g, ngram_join.mix(g), bands[1]) for g in (one, two))
+        shared = len(np.intersect1d(x, y))
+        assert shared or not (enough or also)
+        alone += not (enough or also)
+        if enough:
+            assert shared >= len(x) - (len(one) + len(two)) // 19
+    assert alone < 1000
+
+
+def test_ngram_slices_against_all_pairs(spark):
+    """Long sets of passages that many documents share, near copies at every distance around the threshold."""
+    rng = np.random.default_rng(4)
+    passages = [[f"p{j}-{i}" for i in range(60)] for j in range(6)]
+    rows, texts = [], []
+    for i in range(160):
+        words = list(texts[rng.integers(0, len(texts))]) if i % 2 and texts else [w for j in rng.permutation(6)[:4] for w in passages[j]] + [f"u{i}-{k}" for k in range(int(rng.integers(10, 200)))]
+        for _ in range(int(rng.integers(0, 12))):
+            words[int(rng.integers(0, len(words)))] = f"x{rng.integers(0, 1000)}"
+        words = words[:len(words) - int(rng.integers(0, 12))]
+        texts.append(words)
+        rows.append((i, " ".join(words)))
+    found = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_components(docs_frame(spark, rows), 3, (9, 10)).collect()}
+    _, group = plain_groups(rows, 3, 9, 10)
+    assert 20 < len(set(group)) < 150
+    assert found == {i: group[i] for i in range(160)}
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(0)
     base = rng.normal(size=(40, 8))
