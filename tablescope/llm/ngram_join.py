@@ -4,10 +4,10 @@
 2. The tokens of a set.  The range of hashes is cut into slices, one more than two sets of nearly this size may differ by (and a few for
    slices without an n-gram), so two sets that reach the threshold have a slice in common, n-gram by n-gram.  A token is the hash of one
    filled slice.  It stands for several n-grams at once, so passages that many documents share make no token that they share, and no
-   count over the corpus is needed.
-   Where slices would hold fewer than LEAST n-grams, and for sets with too many empty ones, the tokens are the first
-   ``size - least overlap + 1`` n-grams in the order of a sketch of counts; two sets that reach the threshold share one of those.  The
-   order must be the same for all documents but need not be exact, so a coarse sketch costs time and never a link.
+   count over the corpus is needed.  Slices choose the sets that can have a partner; all others are done.
+   The tokens of the chosen sets are their first ``size - least overlap + 1`` n-grams in the order of a sketch of counts; two sets that
+   reach the threshold share one of those.  The order must be the same for all documents but need not be exact, so a coarse sketch costs
+   time and never a link.  Where slices would hold fewer than LEAST n-grams, and with too many empty ones, a set is always chosen.
 3. Classes are partitioned into groups of similar sets: by smallest hash and size, each linked to the most typical class of its group
    if the exact similarity confirms it.  Linked groups are one component from here on.
 4. The matrix holds for each token the groups whose members have it, each group once: the union of a group's tokens.  A query set meets
@@ -40,12 +40,12 @@ LONGEST = 1 << 40
 FAMILIES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 _SETS = pa.schema([("doc", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("slice", pa.int32()), ("task", pa.int32()), ("cells", pa.binary()), ("counts", pa.binary())])
-_PREFIXES = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("first", pa.list_(pa.int64())), ("band", pa.int32()), ("own", pa.list_(pa.int64())), ("next", pa.list_(pa.int64())), ("families", pa.list_(pa.int64())), ("typical", pa.float64())])
+_PREFIXES = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("first", pa.list_(pa.int64())), ("band", pa.int32()), ("always", pa.bool_()), ("own", pa.list_(pa.int64())), ("next", pa.list_(pa.int64())), ("families", pa.list_(pa.int64())), ("typical", pa.float64())])
 _MEMBERS = pa.schema([("f1", pa.int64()), ("f2", pa.int64()), ("grams", pa.binary())])
 
 
 def _ddl(schema: pa.Schema) -> str:
-    kinds = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary", pa.float64(): "double", pa.list_(pa.int64()): "array<long>"}
+    kinds = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary", pa.float64(): "double", pa.bool_(): "boolean", pa.list_(pa.int64()): "array<long>"}
     return ", ".join(f"{f.name} {kinds[f.type]}" for f in schema)
 
 
@@ -185,10 +185,9 @@ def _prefixes(n: int, threshold: tuple[int, int], sketch):
                     often = count[_cell(grams)]
                     mixed, band = mix(grams ^ np.uint64(0x5851F42D4C957F2D)), slices.band(len(grams))
                     (own, enough), (after, also) = slices.tokens(grams, mixed, band), slices.tokens(grams, mixed, band + 1)
-                    n_first = 0 if enough and also else len(grams) - _least_overlap(len(grams), threshold) + 1
-                    first = grams[np.argsort(often, kind="stable")[:n_first]] if n_first else grams[:0]
+                    first = grams[np.argsort(often, kind="stable")[:len(grams) - _least_overlap(len(grams), threshold) + 1]]
                     families = [int(mix(grams ^ np.uint64(k)).min().view(np.int64)) for k in FAMILIES]
-                    rows.append((doc, len(grams), *_fingerprint(grams), first.view(np.int64), band, own, after, families, float(np.log1p(often).sum())))
+                    rows.append((doc, len(grams), *_fingerprint(grams), first.view(np.int64), band, not (enough and also), own, after, families, float(np.log1p(often).sum())))
             yield _columns(_PREFIXES, rows)
 
     return run
@@ -242,7 +241,7 @@ class _Classes:
         self.docs = both.where("slice is null").select("doc", "t1", "t2", "n", "f1", "f2")
         sketch = self.spark.sparkContext.broadcast(_sketch(both.where("slice is not null").select("slice", "task", "cells", "counts")))
         rows = self.texts.mapInArrow(_prefixes(n, threshold, sketch), _ddl(_PREFIXES))
-        classes = rows.groupBy("f1", "f2").agg(F.min("doc").alias("doc"), *[F.first(c).alias(c) for c in ("n", "first", "band", "own", "next", "families", "typical")])
+        classes = rows.groupBy("f1", "f2").agg(F.min("doc").alias("doc"), *[F.first(c).alias(c) for c in ("n", "first", "band", "always", "own", "next", "families", "typical")])
         self.classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()), "gram-classes")
         self.rows = total_rows(self.classes)
 
@@ -278,23 +277,27 @@ class _Classes:
         return (n * top <= most * bottom) & (least * top <= n * bottom)
 
     def _met(self, rows: DataFrame, *columns: str) -> DataFrame:
-        """The tokens that sets of two components have, a row for each such set; ``late`` tells which column they come from."""
+        """The tokens that sets of two components have, a row for each such set; ``late`` tells which column they come from.
+
+        Only tokens and ids are shuffled; the rest of a row is added to those that are left."""
         tokens = None
         for late, column in enumerate(columns):
-            part = rows.select("cid", "n", "comp", "members", "part", F.lit(late).alias("late"), F.size(column).alias("filled"),
-                               (F.col("band") + late).alias("cut"), F.posexplode(column).alias("place", "token"))
+            part = rows.select("cid", "comp", F.lit(late).alias("late"), F.posexplode(column).alias("place", "token"))
             tokens = part if tokens is None else tokens.union(part)
         met = tokens.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("late").alias("late"))
         met = stored(met.where("low < high and late = 0").select("token"), "gram-met")
-        return stored(tokens.join(met, "token"), "gram-tokens")
+        left = stored(tokens.drop("comp").join(met, "token"), "gram-left")
+        sizes = [F.size(c).alias("size_" + c) for c in columns]
+        return stored(left.join(rows.select("cid", "n", "band", "comp", "members", "part", *sizes), "cid"), "gram-tokens")
 
     def _matrix(self, tokens: DataFrame) -> DataFrame:
         """The tokens of each group, each once, with the range of sizes and places they come from."""
         groups = tokens.groupBy("token", F.col("comp").alias("g"), F.col("part").alias("gpart"), F.col("members").alias("gm"))
         return stored(groups.agg(F.min("n").alias("small"), F.max("n").alias("large"), F.min("place").alias("gfirst"), F.max("place").alias("gplace")), "gram-matrix")
 
-    def _opened_by_slices(self, rows: DataFrame) -> DataFrame:
-        """(cid, n, g, gpart): the groups that share as many slices with a set as two near sets of these sizes must.
+    def _chosen(self, rows: DataFrame) -> DataFrame:
+        """The rows of the sets that can have a partner: those which share as many slices with a group as two near sets of these sizes must,
+        and the members of such groups.
 
         A group is met by the cut of its own band; sets of the band below ask there with their second tokens."""
         top, bottom = self.threshold
@@ -302,9 +305,14 @@ class _Classes:
         matrix = self._matrix(tokens.where("late = 0"))
         asks = F.when(F.col("late") == 1, F.col("comp") != F.col("g")).otherwise(F.struct("members", "comp") < F.struct("gm", "g"))
         hits = tokens.join(matrix, "token").where(asks & self._fits(F.col("n"), F.col("small"), F.col("large")))
-        bound = hits.groupBy("cid", "n", "cut", "filled", "g", "gpart").agg(F.count(F.lit(1)).alias("c"), F.max("large").alias("large"))
+        bound = hits.groupBy("cid", "n", "late", "size_own", "size_next", "g", "gpart").agg(F.count(F.lit(1)).alias("c"), F.max("large").alias("large"))
         differ = F.floor((F.col("n") + F.col("large")) * (bottom - top) / (bottom + top))
-        return bound.where(F.col("c") >= F.greatest(F.lit(1), F.col("filled") - differ)).select("cid", "n", "g", "gpart")
+        filled = F.when(F.col("late") == 0, F.col("size_own")).otherwise(F.col("size_next"))
+        bound = stored(bound.where(F.col("c") >= F.greatest(F.lit(1), filled - differ)).select("cid", "g", "gpart"), "gram-bound")
+        rows = rows.drop("own", "next")
+        members = rows.join(bound.select(F.col("g").alias("comp"), F.col("gpart").alias("part")).distinct(), ["comp", "part"], "left_semi")
+        ids = members.select("cid").union(bound.select("cid")).union(rows.where("always").select("cid")).distinct()
+        return stored(rows.join(ids, "cid", "left_semi"), "gram-chosen")
 
     def _opened_by_grams(self, rows: DataFrame) -> DataFrame:
         """(cid, n, g, gpart): the groups that share as many of the first n-grams with a set as two near sets of these sizes must."""
@@ -328,17 +336,16 @@ class _Classes:
         sizes = stored(components.groupBy("root").agg((F.count(F.lit(1)) + 1).alias("members")), "gram-sizes", self.rows)
         rooted = components.join(sizes, "root").union(sizes.select("root", F.col("root").alias("node"), "members"))
         rooted = rooted.select(F.col("node").alias("cid"), "root", "members")
-        rows = self.classes.select("cid", "n", "band", "first", "own", "next").join(rooted, "cid", "left").withColumns({
+        rows = self.classes.select("cid", "n", "band", "always", "first", "own", "next").join(rooted, "cid", "left").withColumns({
             "comp": F.coalesce("root", "cid"), "members": F.coalesce("members", F.lit(1))}).drop("root")
         pieces = F.ceil(F.col("members") / GROUP)
         rows = stored(rows.withColumn("part", F.pmod(F.xxhash64("cid"), pieces).cast("long")), "gram-rows")
-        opened = self._opened_by_grams(rows)
         if _Slices(self.threshold).used:
-            opened = opened.union(self._opened_by_slices(rows)).distinct()
-        opened = stored(opened, "gram-opened")
+            rows = self._chosen(rows)
+        opened = stored(self._opened_by_grams(rows), "gram-opened")
         members = rows.select(F.col("cid").alias("b"), F.col("n").alias("m"), F.col("comp").alias("g"), F.col("part").alias("gpart"))
         pairs = opened.join(members, ["g", "gpart"]).where(self._fits(F.col("n"), F.col("m"), F.col("m")))
-        return pairs.select(F.col("cid").alias("a"), "b").distinct()
+        return pairs.select(F.col("cid").alias("a"), "b")
 
     def labelled(self, components: DataFrame) -> DataFrame:
         """(f1, f2, root, component_id) of each class: its component and the smallest document id in it."""
