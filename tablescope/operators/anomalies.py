@@ -71,7 +71,8 @@ def zscore_row_flags(df: DataFrame, cols: Sequence[str] | None = None, cut: floa
     """The complete rows with max_z, the largest |z| (population standard deviation), above the cut."""
     cols = numeric_columns(df, cols)
     rows = merge_nan(df).dropna(subset=cols)
-    centres = _centres(rows, cols, "sd_pop")
+    whole = is_shared(df) and set(cols) <= set(numeric_columns(df)) and moments(df, cols).where("nulls > 0").isEmpty()
+    centres = _centres(df if whole else rows, cols, "sd_pop")
     scores: list[Column] = [F.abs((col(c).cast("double") - F.lit(m)) / F.lit(s)) for c, (m, s) in centres.items()]
     if not scores:
         return rows.withColumn("max_z", F.lit(0.0)).where("false")

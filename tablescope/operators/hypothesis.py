@@ -12,9 +12,10 @@ from ..functions.normality import with_normality
 from ..functions.pvalues import chi2_pvalue, z_pvalue
 from ..plans.moments import moments
 from ..plans.ordered import split_points
-from ..plans.ranks import rank_columns, ranked_values
+from ..plans.ranks import ranked_values
+from ..session import materialize
 from .overview import null_counts
-from .relations import corr_pairs, group_columns, spearman_matrix, with_significance
+from .relations import corr_pairs, group_columns, ranks_of, spearman_matrix, with_significance
 
 
 def normality_test(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -91,17 +92,19 @@ def all_group_tests(df: DataFrame, groups: Sequence[str] | None = None, cols: Se
         return small_frame(df.sparkSession, [], "category string, column string, groups bigint, n bigint, h double, df bigint, p double")
     holes = {r["column"] for r in null_counts(df, groups).where("nulls > 0").collect()}
     views = sorted({(c, g if g in holes else "") for c in cols for g in groups})
-    ranked = rank_columns(df, [(c, g or None) for c, g in views], keep=groups)
-    cells = [(F.lit(g), F.col(f"k{j}"), F.lit(c), F.col(f"r{views.index((c, g if g in holes else ''))}")) for j, g in enumerate(groups) for c in cols]
+    ranked = ranks_of(df, views, keep=groups)
+    cells = [(F.lit(j), F.col(f"k{j}"), F.lit(i), F.col(f"r{views.index((c, g if g in holes else ''))}")) for j, g in enumerate(groups) for i, c in enumerate(cols)]
     long = ranked.select(F.stack(F.lit(len(cells)), *[x for cell in cells for x in cell]).alias("category", "value", "column", "rank"))
     pair, n = ["category", "column"], F.col("n").cast("double")
     per_group = long.dropna().groupBy(*pair, "value").agg(F.count("*").alias("n"), F.avg("rank").alias("mean"), F.var_pop("rank").alias("var"))
+    per_group = materialize(per_group, "group-ranks")  # read twice
     whole = per_group.groupBy(*pair).agg(F.count("*").alias("groups"), F.sum("n").alias("total"))
     off = F.col("mean") - (F.col("total") + 1) / 2
     sums = per_group.join(F.broadcast(whole), pair).groupBy(*pair, "groups", "total").agg(
         F.sum(n * off * off).alias("between"), F.sum(n * F.col("var")).alias("within"))
     h = F.when(F.col("groups") > 1, F.try_divide((F.col("total") - 1) * F.col("between"), F.col("between") + F.col("within")))
-    return sums.select(*pair, "groups", F.col("total").alias("n"), h.alias("h"), (F.col("groups") - 1).alias("df")).withColumn(
+    named = [F.get(F.array(*map(F.lit, names)), F.col(c)).alias(c) for c, names in zip(pair, (groups, cols))]
+    return sums.select(*named, "groups", F.col("total").alias("n"), h.alias("h"), (F.col("groups") - 1).alias("df")).withColumn(
         "p", chi2_pvalue(F.col("h"), F.col("df").cast("double")))
 
 

@@ -14,6 +14,8 @@ from ..plans.frequency import distinct_summary
 from ..plans.quantiles import group_quantiles
 from ..plans.ranks import rank_columns
 from ..plans.sampling import lowest_by_hash
+from ..plans.shared import is_shared, remember
+from ..session import materialize
 from .numeric import bin_of, ranges
 from .overview import null_counts
 
@@ -51,6 +53,25 @@ def strong_pairs(df: DataFrame, cols: Sequence[str] | None = None, cut: float =
     return corr_pairs(df, cols).where(F.abs("r") > cut).orderBy(F.desc(F.abs("r")), "col_a", "col_b")
 
 
+def _all_ranks(df: DataFrame) -> tuple[list[tuple[str, str]], list[str], DataFrame]:
+    """The views, the category columns and the ranks that correlations and group tests of the whole table need."""
+    numbers, groups = numeric_columns(df), group_columns(df)
+    holes = [r["column"] for r in null_counts(df, numbers + groups).where("nulls > 0").collect()]
+    views = sorted({(a, b) for a in numbers for b in ("", *holes) if a != b})
+    return views, groups, materialize(rank_columns(df, [(a, b or None) for a, b in views], keep=groups), "ranks")
+
+
+def ranks_of(df: DataFrame, views: Sequence[tuple[str, str]], keep: Sequence[str] = ()) -> DataFrame:
+    """As ``rank_columns``, with '' for no second column; inside ``shared_results`` one ranking, written once, serves all analyses."""
+    if is_shared(df):
+        known, groups, ranked = remember(df, "ranks", lambda: _all_ranks(df))
+        if set(views) <= set(known) and set(keep) <= set(groups):
+            return ranked.select(
+                *[F.col(f"r{known.index(v)}").alias(f"r{i}") for i, v in enumerate(views)],
+                *[F.col(f"k{groups.index(c)}").alias(f"k{i}") for i, c in enumerate(keep)])
+    return rank_columns(df, [(a, b or None) for a, b in views], keep)
+
+
 def spearman_matrix(df: DataFrame, cols: Sequence[str] | None = None, pairs: Sequence[tuple[str, str]] | None = None) -> DataFrame:
     """(col_a, col_b, n, r), each pair once: rank correlation over pairwise-complete rows.
 
@@ -64,7 +85,7 @@ def spearman_matrix(df: DataFrame, cols: Sequence[str] | None = None, pairs: Seq
     holes = {r["column"] for r in null_counts(df, cols).where("nulls > 0").collect()}
     views = sorted({(a, b if b in holes else "") for p in pairs for a, b in (p, p[::-1])})
     names = [f"r{i}" for i in range(len(views))]
-    result = correlation(rank_columns(df, [(a, b or None) for a, b in views]), names)
+    result = correlation(ranks_of(df, views), names)
     at = {v: i for i, v in enumerate(views)}
     wanted = []
     for a, b in pairs:

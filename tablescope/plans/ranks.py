@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from itertools import accumulate
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.columns import col, merge_nan
 from ..session import parallelism
@@ -13,6 +14,10 @@ from .ordered import scan, split_points, with_buckets
 
 #: The least number of pieces a column is cut into; a value that is a split point is ranked without being moved.
 PIECES = 256
+#: Values of a piece; a column with larger ones is cut again.
+PIECE_ROWS = 4_000_000
+#: Rows whose values travel together.
+BLOCK = 1 << 16
 View = tuple[str, str | None]
 
 
@@ -31,53 +36,140 @@ def ranked_values(rows: DataFrame, value: str, splits: Sequence[float], group: s
     )
 
 
+def _codes(x: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """The piece of each value: odd between two split points, even for a value that equals one, -1 for a missing one."""
+    place = np.searchsorted(cut, x, side="right")
+    single = (np.append(cut, np.nan)[place - 1] == x) & (place > 0)
+    kind = np.int16 if 2 * len(cut) + 2 < 1 << 15 else np.int32
+    return np.where(np.isnan(x), -1, 2 * place + ~single).astype(kind)
+
+
+def _viewed(batch: pa.RecordBatch | pa.Table, views: Sequence[tuple[int, int | None]], cuts: Sequence[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Values and pieces of each view, given by the places of its columns."""
+    values = [batch.column(i).to_numpy(**({} if isinstance(batch, pa.Table) else {"zero_copy_only": False})) for i in range(len(cuts))]
+    codes = [_codes(x, cut) for x, cut in zip(values, cuts)]
+    for a, b in views:
+        yield values[a], codes[a] if b is None else np.where(np.asarray(batch.column(b)), codes[a], codes[a].dtype.type(-1))
+
+
+def _piece_sizes(base: DataFrame, views: Sequence[tuple[int, int | None]], cuts: Sequence[np.ndarray]) -> list[np.ndarray]:
+    """The number of values in each piece of each view."""
+    width = [2 * len(cuts[a]) + 2 for a, _ in views]
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = [np.zeros(w, np.int64) for w in width]
+        for batch in batches:
+            for total, (_, code) in zip(sums, _viewed(batch, views, cuts)):
+                total += np.bincount(code[code >= 0], minlength=len(total))
+        for i, total in enumerate(sums):
+            used = np.flatnonzero(total)
+            yield pa.RecordBatch.from_pydict({"view": pa.array(np.full(len(used), i, np.int32)), "piece": pa.array(used.astype(np.int32)), "n": pa.array(total[used])})
+
+    sizes = [np.zeros(w, np.int64) for w in width]
+    for row in base.mapInArrow(counted, "view int, piece int, n long").groupBy("view", "piece").agg(F.sum("n").alias("n")).collect():
+        sizes[row["view"]][row["piece"]] = row["n"]
+    return sizes
+
+
+_MOVED = "block long, view int, rows binary, data binary"
+
+
+def _dealt(views: Sequence[tuple[int, int | None]], cuts: Sequence[np.ndarray], names: Sequence[str], stride: int):
+    """The values of BLOCK rows at a time, a record for each piece of a view, and a record with the pieces of all views and the named columns."""
+
+    def dealt(table: pa.Table, block: int) -> pa.RecordBatch:
+        out, home = [], {}
+        for i, (values, code) in enumerate(_viewed(table, views, cuts)):
+            home[f"c{i}"] = pa.array(code)
+            rows = np.flatnonzero((code & 1 == 1) & (code >= 0))
+            rows = rows[np.argsort(code[rows], kind="stable")]
+            sorted_code, sorted_values = code[rows], values[rows]
+            begin = np.flatnonzero(np.diff(sorted_code, prepend=-1))
+            for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(rows)]):
+                out.append((i * stride + int(sorted_code[a]), block, i, rows[a:b].astype("<u4").tobytes(), sorted_values[a:b].tobytes()))
+        kept = pa.table({**home, **{n: table.column(n) for n in names}}).combine_chunks()
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, kept.schema) as writer:
+            writer.write_table(kept)
+        out.append((-1 - block, block, -1, b"", sink.getvalue().to_pybytes()))
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), kinds)], names=["piece", "block", "view", "rows", "data"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        held, n, block = [], 0, TaskContext.get().partitionId() << 32
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= BLOCK:
+                yield dealt(pa.Table.from_batches(held), block)
+                held, n, block = [], 0, block + 1
+        if n:
+            yield dealt(pa.Table.from_batches(held), block)
+
+    return run
+
+
+def _ranked_piece(starts: Sequence[np.ndarray], stride: int):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        piece, table = key[0].as_py(), table.drop_columns(["piece"])
+        if piece < 0:
+            return table
+        parts = [np.frombuffer(x, "<f8") for x in table.column("data").to_pylist()]
+        _, place, ties = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+        rank = (starts[piece // stride][piece % stride] + np.cumsum(ties) - (ties - 1) / 2)[place]
+        ends = np.cumsum([len(x) for x in parts]).tolist()
+        data = [rank[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends)]
+        return table.set_column(3, "data", pa.array(data, pa.binary()))
+
+    return run
+
+
+def _met_again(starts: Sequence[np.ndarray], sizes: Sequence[np.ndarray], names: Sequence[str]):
+    def run(table: pa.Table) -> pa.Table:
+        records = list(zip(*[table.column(c).to_pylist() for c in ("view", "rows", "data")]))
+        home = pa.ipc.open_stream(next(data for view, _, data in records if view < 0)).read_all()
+        ranks = []
+        for i, (start, size) in enumerate(zip(starts, sizes)):
+            code = home.column(f"c{i}").to_numpy()
+            single = np.where(np.arange(len(size)) % 2 == 0, start + (size + 1) / 2, np.nan)
+            ranks.append(np.where(code >= 0, single[code], np.nan))
+        for view, rows, data in records:
+            if view >= 0:
+                ranks[view][np.frombuffer(rows, "<u4")] = np.frombuffer(data, "<f8")
+        return pa.table({**{f"r{i}": pa.array(r, from_pandas=True) for i, r in enumerate(ranks)}, **{n: home.column(n) for n in names}})
+
+    return run
+
+
 def rank_columns(df: DataFrame, views: Sequence[View], keep: Sequence[str] = ()) -> DataFrame:
     """One row per row of ``df`` with columns r0, r1, …: the average rank of each view's value among all its non-missing values.
 
-    A view is a numeric column, or one on the rows where a second column of any type is not missing.  Whatever the number of views, rows
-    are moved twice: the values between two split points meet in their bucket, where counts give their ranks, and all ranks of a row meet
-    again.  A value that equals a split point is ranked from the table of bucket counts alone, so frequent values are not moved at
-    all.  ``keep`` names columns to carry along, as text, in k0, k1, …"""
+    A view is a numeric column, or one on the rows where a second column of any type is not missing.  Whatever the number of views, values
+    are moved twice: those between two split points meet in their piece, where they are sorted, and all ranks of a row meet again.  The
+    values of BLOCK rows travel together, as one record for each piece.  A value that equals a split point is ranked from the
+    table of piece counts alone, so frequent values are not moved at all.  ``keep`` names columns to carry along, as text, in k0, k1, …"""
     views, keep = list(views), list(keep)
     cols, partners = sorted({a for a, _ in views}), sorted({b for _, b in views if b is not None})
     clean = merge_nan(df.select(*[col(c) for c in dict.fromkeys([*cols, *partners, *keep])]))
+    names = [f"k{i}" for i in range(len(keep))]
     base = clean.select(
-        *[col(c).cast("double").alias(c) for c in cols], *[col(b).isNotNull().alias(f"_h_{b}") for b in partners],
-        *[col(c).cast("string").alias(f"_k{i}") for i, c in enumerate(keep)])
-    splits = split_points(base, cols, max(PIECES, 2 * parallelism(df.sparkSession)))
-    cut = with_buckets(base, splits, isolate=True)
-
-    def shown(view: View) -> Column:
-        a, b = view
-        return F.when(col(f"_h_{b}"), col(a)) if b is not None else col(a)
-
-    def bucket(i: int) -> Column:
-        return F.when(shown(views[i]).isNotNull(), col(f"_b_{views[i][0]}"))
-
-    long = cut.select(F.stack(F.lit(len(views)), *[x for i in range(len(views)) for x in (F.lit(i), bucket(i))]).alias("view", "bucket"))
-    sizes: list[dict[int, int]] = [{} for _ in views]
-    for row in long.where("bucket is not null").groupBy("view", "bucket").agg(F.count("*").alias("n")).collect():
-        sizes[row["view"]][row["bucket"]] = row["n"]
-
-    known, moved = [], []
-    for i, view in enumerate(views):
-        counts = [sizes[i].get(b, 0) for b in range(2 * len(splits[view[0]]) + 2)]
-        starts = [0, *accumulate(counts)]
-        single = [repr(starts[b] + (n + 1) / 2) + "D" if b % 2 == 0 else "null" for b, n in enumerate(counts)]
-        known.append(F.get(F.expr(f"array({', '.join(single)})"), bucket(i)))
-        start = F.get(F.expr(f"array({', '.join(f'{x}L' for x in starts)})"), bucket(i))
-        piece = F.struct(F.lit(i).alias("view"), bucket(i).alias("bucket"), shown(view).alias("value"), start.alias("start"))
-        moved.append(F.when(bucket(i) % 2 == 1, piece))
-    home = F.struct(F.lit(-1).alias("view"), F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("double").alias("value"), F.lit(None).cast("long").alias("start"))
-    numbered = cut.withColumn("_row", F.monotonically_increasing_id())
-    fields = [f"r{i}: double" for i in range(len(views))] + [f"k{i}: string" for i in range(len(keep))]
-    carried = F.struct(*known, *[F.col(f"_k{i}") for i in range(len(keep))]).cast(f"struct<{', '.join(fields)}>")
-    rows = numbered.select("_row", carried.alias("known"), F.explode(F.array(home, *moved)).alias("p")).where("p is not null")
-    rows = rows.select(
-        "_row", F.col("p.view").alias("view"), F.coalesce("p.bucket", F.pmod("_row", F.lit(PIECES)).cast("int")).alias("bucket"),
-        F.col("p.value").alias("value"), F.col("p.start").alias("start"), F.when(F.col("p.view") < 0, F.col("known")).alias("known"))
-    inside = Window.partitionBy("view", "bucket").orderBy("value")
-    ranked = rows.withColumn("rank", F.col("start") + (F.rank().over(inside) + F.count("*").over(inside)) / F.lit(2.0))
-    out = [F.max(F.coalesce(f"known.r{i}", F.when(F.col("view") == i, F.col("rank")))).alias(f"r{i}") for i in range(len(views))]
-    out += [F.first(f"known.k{i}", ignorenulls=True).alias(f"k{i}") for i in range(len(keep))]
-    return ranked.groupBy("_row").agg(*out).drop("_row")
+        *[col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)], *[col(b).isNotNull().alias(f"h{i}") for i, b in enumerate(partners)],
+        *[col(c).cast("string").alias(n) for n, c in zip(names, keep)])
+    at = [(cols.index(a), None if b is None else len(cols) + partners.index(b)) for a, b in views]
+    pieces, again = max(PIECES, 2 * parallelism(df.sparkSession)), 2
+    while True:
+        splits = split_points(base, [f"x{i}" for i in range(len(cols))], pieces)
+        cuts = [np.array([p for p in points if p == p], dtype=float) for points in splits.values()]
+        sizes = _piece_sizes(base, at, cuts)
+        largest = max((int(n[1::2].max()) for n in sizes), default=0)
+        if largest <= PIECE_ROWS or not again:
+            break
+        pieces, again = pieces * -(-2 * largest // PIECE_ROWS), again - 1
+    starts = [np.cumsum(n) - n for n in sizes]
+    stride = max((len(n) for n in sizes), default=1)
+    dealt = base.mapInArrow(_dealt(at, cuts, names, stride), f"piece long, {_MOVED}")
+    ranked = dealt.groupBy("piece").applyInArrow(_ranked_piece(starts, stride), _MOVED)
+    fields = [f"r{i} double" for i in range(len(views))] + [f"{n} string" for n in names]
+    return ranked.groupBy("block").applyInArrow(_met_again(starts, sizes, names), ", ".join(fields))

@@ -166,3 +166,15 @@ def test_error_classes(spark):
     assert G.error_counts(df).agg(F.sum("n")).first()[0] == len(CASES)
 
 
+def test_the_report_ranks_the_table_once(spark, monkeypatch):
+    from tablescope.plans import ranks
+
+    df = spark.createDataFrame([(f"g{i % 3}", float(i * 7 % 50), float(i % 11), None if i % 5 == 0 else i * i % 17) for i in range(200)], "g string, a double, b double, c long")
+    calls, cut = [], ranks.split_points
+    monkeypatch.setattr(ranks, "split_points", lambda *a: calls.append(a) or cut(*a))
+    shown = {r["text"] for r in R.insights(df).collect()}
+    assert len(calls) == 1
+    for r in T.all_group_tests(df).collect():
+        assert any(t.startswith(f"{r['column']} by {r['category']}: {r['groups']} groups, H = {round(r['h'], 4)}") for t in shown)
+    for r in T.correlation_choice(df).where("method = 'spearman'").collect():
+        assert any(t.startswith(f"{r['col_a']} and {r['col_b']}: spearman r = {round(r['r'], 4)}") for t in shown)

@@ -193,3 +193,13 @@ def test_results_do_not_depend_on_partitioning(df, pdf, pieces):
     assert T.mann_whitney(shuffled, "g", "v", "a", "b").first() == T.mann_whitney(df, "g", "v", "a", "b").first()
     hist = U.histogram(shuffled, ["v"], 7).collect()
     assert sum(r["n"] for r in hist) == N
+
+
+def test_values_to_rank_travel_in_blocks(spark, pdf, monkeypatch):
+    from tablescope.plans import ranks
+
+    monkeypatch.setattr(ranks, "PIECE_ROWS", 10)  # pieces are cut again
+    got = rank_columns(spark.createDataFrame(pdf[["v", "w", "g"]]).repartition(3), [("v", None), ("w", None)], keep=["g"])
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+    want = pdf[["v", "w"]].rank().assign(g=pdf.g)
+    assert sorted(map(tuple, got.toPandas().to_numpy())) == sorted(map(tuple, want.to_numpy()))
