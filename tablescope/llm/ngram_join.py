@@ -288,7 +288,9 @@ class _Classes:
         met = stored(met.where("low < high and late = 0").select("token"), "gram-met")
         left = stored(tokens.drop("comp").join(met, "token"), "gram-left")
         sizes = [F.size(c).alias("size_" + c) for c in columns]
-        return stored(left.join(rows.select("cid", "n", "band", "comp", "members", "part", *sizes), "cid"), "gram-tokens")
+        found = stored(left.join(rows.select("cid", "n", "band", "comp", "members", "part", *sizes), "cid"), "gram-tokens")
+        remove(met, left)
+        return found
 
     def _matrix(self, tokens: DataFrame) -> DataFrame:
         """The tokens of each group, each once, with the range of sizes and places they come from."""
@@ -309,27 +311,33 @@ class _Classes:
         differ = F.floor((F.col("n") + F.col("large")) * (bottom - top) / (bottom + top))
         filled = F.when(F.col("late") == 0, F.col("size_own")).otherwise(F.col("size_next"))
         bound = stored(bound.where(F.col("c") >= F.greatest(F.lit(1), filled - differ)).select("cid", "g", "gpart"), "gram-bound")
+        remove(tokens, matrix)
         rows = rows.drop("own", "next")
         members = rows.join(bound.select(F.col("g").alias("comp"), F.col("gpart").alias("part")).distinct(), ["comp", "part"], "left_semi")
         ids = members.select("cid").union(bound.select("cid")).union(rows.where("always").select("cid")).distinct()
-        return stored(rows.join(ids, "cid", "left_semi"), "gram-chosen")
+        chosen = stored(rows.join(ids, "cid", "left_semi"), "gram-chosen")
+        remove(bound)
+        return chosen
 
     def _opened_by_grams(self, rows: DataFrame) -> DataFrame:
         """(cid, n, g, gpart): the groups that share as many of the first n-grams with a set as two near sets of these sizes must."""
         top, bottom = self.threshold
         grams = self._met(rows, "first")
+        matrix = self._matrix(grams)
         after = F.struct("members", "comp") < F.struct("gm", "g")  # each pair of components once, the smaller one asks
         # A pair of sizes n and m must share this many, so the first one it shares is at most at n (or m) less this place.
         need = lambda m: F.ceil((F.col("n") + F.col(m)) * top / (top + bottom))
         early = (F.col("place") <= F.col("n") - need("small")) & (F.col("gfirst") <= F.col("large") - need("large"))
-        hits = grams.join(self._matrix(grams), "token").where(after & self._fits(F.col("n"), F.col("small"), F.col("large")) & early)
+        hits = grams.join(matrix, "token").where(after & self._fits(F.col("n"), F.col("small"), F.col("large")) & early)
         bound = hits.groupBy("cid", "n", "g", "gpart", "gm").agg(
             F.count(F.lit(1)).alias("c"), F.min("place").alias("begin"), F.max("place").alias("end"), F.max("gplace").alias("gend"), F.max("large").alias("large"))
         least = F.ceil(F.col("n") * top / bottom)
         # A group of one: nothing is shared behind the last n-gram found.  A larger group: members may have found different ones.
         one = F.col("c") + F.least(F.col("n") - 1 - F.col("end"), F.col("large") - 1 - F.col("gend")) >= need("large")
         many = F.col("c") + F.col("n") - 1 - F.col("begin") >= least
-        return bound.where(F.when(F.col("gm") == 1, one).otherwise(many)).select("cid", "n", "g", "gpart")
+        opened = stored(bound.where(F.when(F.col("gm") == 1, one).otherwise(many)).select("cid", "n", "g", "gpart"), "gram-opened")
+        remove(grams, matrix)
+        return opened
 
     def matrix_pairs(self, components: DataFrame) -> DataFrame:
         """Pairs of a query class and a member of a group that the bound opens."""
@@ -340,9 +348,13 @@ class _Classes:
             "comp": F.coalesce("root", "cid"), "members": F.coalesce("members", F.lit(1))}).drop("root")
         pieces = F.ceil(F.col("members") / GROUP)
         rows = stored(rows.withColumn("part", F.pmod(F.xxhash64("cid"), pieces).cast("long")), "gram-rows")
+        slim = stored(self.classes.select("cid", "doc", "f1", "f2"), "gram-slim")  # the tokens are in the rows now
+        remove(self.classes, sizes)
+        self.classes = slim
         if _Slices(self.threshold).used:
-            rows = self._chosen(rows)
-        opened = stored(self._opened_by_grams(rows), "gram-opened")
+            every, rows = rows, self._chosen(rows)
+            remove(every)
+        opened = self._opened_by_grams(rows)
         members = rows.select(F.col("cid").alias("b"), F.col("n").alias("m"), F.col("comp").alias("g"), F.col("part").alias("gpart"))
         pairs = opened.join(members, ["g", "gpart"]).where(self._fits(F.col("n"), F.col("m"), F.col("m")))
         return pairs.select(F.col("cid").alias("a"), "b")

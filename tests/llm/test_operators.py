@@ -111,6 +111,18 @@ def test_ngram_near_copies(spark, n, threshold):
     assert found == {i: group[i] for i in range(150)}
 
 
+def test_ngram_tables_are_deleted_once_read(spark, docs):
+    from pathlib import Path
+
+    from tablescope.session import shared_dir
+
+    held = lambda: {p.name for p in Path(shared_dir(spark).removeprefix("file:")).glob("llm-gram-*")}
+    before = held()
+    ngram_join.ngram_components(docs, 3, (9, 10)).collect()
+    left = {name.split("-")[2] for name in held() - before}
+    assert not left & {"classes", "rows", "met", "left", "tokens", "matrix", "bound", "members"}, left
+
+
 def test_ngram_slices_meet():
     """Two sets that reach the threshold share a slice, unless both are told that their slices are not enough."""
     rng, slices, alone = np.random.default_rng(3), ngram_join._Slices((9, 10)), 0
