@@ -4,7 +4,9 @@
 2. The tokens of a set.  The range of hashes is cut into slices, one more than two sets of nearly this size may differ by (and a few for
    slices without an n-gram), so two sets that reach the threshold have a slice in common, n-gram by n-gram.  A token is the hash of one
    filled slice.  It stands for several n-grams at once, so passages that many documents share make no token that they share, and no
-   count over the corpus is needed.  Slices choose the sets that can have a partner; all others are done.
+   count over the corpus is needed.  Slices choose the sets that can have a partner, those with as many slices found in other components
+   as a near set must share; all others are done.  That is counted set by set and not pair by pair: many sets of one origin that are not
+   near enough share slices with each other, and the n-grams, rarest first, tell them apart.
    The tokens of the chosen sets are their first ``size - least overlap + 1`` n-grams in the order of a sketch of counts; two sets that
    reach the threshold share one of those.  The order must be the same for all documents but need not be exact, so a coarse sketch costs
    time and never a link.  Where slices would hold fewer than LEAST n-grams, and with too many empty ones, a set is always chosen.
@@ -35,12 +37,14 @@ SLICES = 32
 MERGE = 64
 GROUP = 64
 FILTER_BITS = 1 << 23
+TOKEN_BITS = (1 << 16, 1 << 29)
 LEAST = 6
 LONGEST = 1 << 40
 FAMILIES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 _SETS = pa.schema([("doc", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("slice", pa.int32()), ("task", pa.int32()), ("cells", pa.binary()), ("counts", pa.binary())])
 _PREFIXES = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("first", pa.list_(pa.int64())), ("band", pa.int32()), ("always", pa.bool_()), ("own", pa.list_(pa.int64())), ("next", pa.list_(pa.int64())), ("families", pa.list_(pa.int64())), ("typical", pa.float64())])
+_TOKENS = pa.schema([("cid", pa.int64()), ("late", pa.int32()), ("place", pa.int32()), ("token", pa.int64())])
 _MEMBERS = pa.schema([("f1", pa.int64()), ("f2", pa.int64()), ("grams", pa.binary())])
 
 
@@ -205,6 +209,39 @@ def _wanted_bits(docs: DataFrame) -> np.ndarray:
     return bits
 
 
+def _token_bits(met: DataFrame) -> np.ndarray:
+    """A bitmap of the tokens by their last bits, at least 16 bits a token within TOKEN_BITS; it only saves work as well."""
+    least, most = TOKEN_BITS
+    size = min(most, max(least, 1 << (16 * total_rows(met)).bit_length()))
+    place = F.col("token").bitwiseAND(F.lit(size - 1)) + 1
+    parts = met.select(F.bitmap_bucket_number(place).alias("b"), F.bitmap_bit_position(place).alias("p"))
+    bits = np.zeros(size >> 3, np.uint8)
+    for row in parts.groupBy("b").agg(F.bitmap_construct_agg("p").alias("bits")).toLocalIterator():
+        at = (row["b"] - 1) * len(row["bits"])
+        bits[at:at + len(row["bits"])] = np.frombuffer(row["bits"], np.uint8)
+    return bits
+
+
+def _tokens(wanted):
+    """The tokens of each set whose bit is set, from one or more columns of lists behind its id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = wanted.value
+        for batch in batches:
+            cid = batch.column(0).to_numpy(zero_copy_only=False)
+            for late, column in enumerate(batch.columns[1:]):
+                token = column.flatten().to_numpy(zero_copy_only=False)
+                size = np.diff(column.offsets.to_numpy(zero_copy_only=False))
+                at = token & (len(bits) * 8 - 1)
+                hit = np.flatnonzero((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
+                owner = np.repeat(np.arange(len(size)), size)[hit]
+                place = hit - (np.cumsum(size) - size)[owner]
+                columns = [cid[owner], np.full(len(hit), late, np.int32), place.astype(np.int32), token[hit]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _TOKENS)], schema=_TOKENS)
+
+    return run
+
+
 def _members(n: int, wanted):
     """The sets of the documents whose bit is set."""
 
@@ -277,20 +314,22 @@ class _Classes:
         return (n * top <= most * bottom) & (least * top <= n * bottom)
 
     def _met(self, rows: DataFrame, *columns: str) -> DataFrame:
-        """The tokens that sets of two components have, a row for each such set; ``late`` tells which column they come from.
+        """(cid, late, place, token): the tokens that sets of two components have, a row for each such set; ``late`` tells which column they
+        come from.
 
-        Only tokens and ids are shuffled; the rest of a row is added to those that are left."""
+        Most tokens are met by no one.  They are shuffled once, combined on the map side; of the second reading only tokens in a bitmap of
+        those that are met go on to the join."""
         tokens = None
         for late, column in enumerate(columns):
-            part = rows.select("cid", "comp", F.lit(late).alias("late"), F.posexplode(column).alias("place", "token"))
+            part = rows.select("comp", F.lit(late).alias("late"), F.explode(column).alias("token"))
             tokens = part if tokens is None else tokens.union(part)
         met = tokens.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("late").alias("late"))
         met = stored(met.where("low < high and late = 0").select("token"), "gram-met")
-        left = stored(tokens.drop("comp").join(met, "token"), "gram-left")
-        sizes = [F.size(c).alias("size_" + c) for c in columns]
-        found = stored(left.join(rows.select("cid", "n", "band", "comp", "members", "part", *sizes), "cid"), "gram-tokens")
-        remove(met, left)
-        return found
+        wanted = self.spark.sparkContext.broadcast(_token_bits(met))
+        tokens = rows.select("cid", *columns).mapInArrow(_tokens(wanted), _ddl(_TOKENS))
+        left = stored(tokens.join(met, "token").select("cid", "late", "place", "token"), "gram-left")
+        remove(met)
+        return left
 
     def _matrix(self, tokens: DataFrame) -> DataFrame:
         """The tokens of each group, each once, with the range of sizes and places they come from."""
@@ -298,31 +337,28 @@ class _Classes:
         return stored(groups.agg(F.min("n").alias("small"), F.max("n").alias("large"), F.min("place").alias("gfirst"), F.max("place").alias("gplace")), "gram-matrix")
 
     def _chosen(self, rows: DataFrame) -> DataFrame:
-        """The rows of the sets that can have a partner: those which share as many slices with a group as two near sets of these sizes must,
-        and the members of such groups.
+        """The rows of the sets that can have a partner: those which share as many slices with sets of other components as with one near
+        set of the largest size there can be.
 
-        A group is met by the cut of its own band; sets of the band below ask there with their second tokens."""
+        Sets meet in the cut of the larger one's band; those of the band below bring their second tokens there."""
         top, bottom = self.threshold
         tokens = self._met(rows, "own", "next")
-        matrix = self._matrix(tokens.where("late = 0"))
-        asks = F.when(F.col("late") == 1, F.col("comp") != F.col("g")).otherwise(F.struct("members", "comp") < F.struct("gm", "g"))
-        hits = tokens.join(matrix, "token").where(asks & self._fits(F.col("n"), F.col("small"), F.col("large")))
-        bound = hits.groupBy("cid", "n", "late", "size_own", "size_next", "g", "gpart").agg(F.count(F.lit(1)).alias("c"), F.max("large").alias("large"))
-        differ = F.floor((F.col("n") + F.col("large")) * (bottom - top) / (bottom + top))
+        shared = tokens.groupBy("cid", "late").agg(F.count(F.lit(1)).alias("c"))
+        shared = shared.join(rows.select("cid", "n", F.size("own").alias("size_own"), F.size("next").alias("size_next")), "cid")
+        differ = F.floor((F.col("n") + F.floor(F.col("n") * bottom / top)) * (bottom - top) / (bottom + top))
         filled = F.when(F.col("late") == 0, F.col("size_own")).otherwise(F.col("size_next"))
-        bound = stored(bound.where(F.col("c") >= F.greatest(F.lit(1), filled - differ)).select("cid", "g", "gpart"), "gram-bound")
-        remove(tokens, matrix)
-        rows = rows.drop("own", "next")
-        members = rows.join(bound.select(F.col("g").alias("comp"), F.col("gpart").alias("part")).distinct(), ["comp", "part"], "left_semi")
-        ids = members.select("cid").union(bound.select("cid")).union(rows.where("always").select("cid")).distinct()
-        chosen = stored(rows.join(ids, "cid", "left_semi"), "gram-chosen")
-        remove(bound)
+        shared = shared.where(F.col("c") >= F.greatest(F.lit(1), filled - differ))
+        ids = stored(shared.select("cid").union(rows.where("always").select("cid")).distinct(), "gram-ids")
+        chosen = stored(rows.drop("own", "next").join(ids, "cid", "left_semi"), "gram-chosen")
+        remove(tokens, ids)
         return chosen
 
     def _opened_by_grams(self, rows: DataFrame) -> DataFrame:
         """(cid, n, g, gpart): the groups that share as many of the first n-grams with a set as two near sets of these sizes must."""
         top, bottom = self.threshold
-        grams = self._met(rows, "first")
+        left = self._met(rows, "first")
+        grams = stored(left.join(rows.select("cid", "n", "comp", "members", "part"), "cid"), "gram-tokens")
+        remove(left)
         matrix = self._matrix(grams)
         after = F.struct("members", "comp") < F.struct("gm", "g")  # each pair of components once, the smaller one asks
         # A pair of sizes n and m must share this many, so the first one it shares is at most at n (or m) less this place.

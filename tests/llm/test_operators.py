@@ -164,6 +164,42 @@ def test_ngram_slices_against_all_pairs(spark):
     assert found == {i: group[i] for i in range(160)}
 
 
+def test_ngram_joins_grow_with_the_sets(spark, monkeypatch):
+    """Many sets of one origin, most pairs too far apart for a link: no join of tokens makes a row for every pair."""
+    rng, made, found_matrix = np.random.default_rng(7), [], ngram_join._Classes._matrix
+    base, rows = [f"w{i}" for i in range(150)], []
+    for i in range(300):
+        words = list(base)
+        for at in rng.permutation(150)[:8 if i % 10 else 1]:
+            words[at] = f"x{i}-{at}"
+        rows.append((i, " ".join(words)))
+
+    def matrix(self, tokens):
+        result = found_matrix(self, tokens)
+        made.append(tokens.select("token").join(result.select("token"), "token").count())
+        return result
+
+    monkeypatch.setattr(ngram_join._Classes, "_matrix", matrix)
+    found = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_components(docs_frame(spark, rows), 3, (9, 10)).collect()}
+    _, group = plain_groups(rows, 3, 9, 10)
+    assert found == {i: group[i] for i in range(300)} and len(set(group)) > 200
+    assert max(made) < 20 * 300, made
+
+
+def test_ngram_tokens_that_are_met(spark):
+    """Only tokens in the bitmap are read a second time, with their place and column."""
+    rng = np.random.default_rng(8)
+    lists = [[rng.integers(-2**63, 2**63, int(rng.integers(0, 50))).tolist() for _ in range(2)] for _ in range(200)]
+    every = sorted((i, late, place, token) for i, pair in enumerate(lists) for late, tokens in enumerate(pair) for place, token in enumerate(tokens))
+    met = {t[3] for t in every[::40]}
+    bits = ngram_join._token_bits(spark.createDataFrame([(t,) for t in met], "token long"))
+    frame = spark.createDataFrame([(i, *pair) for i, pair in enumerate(lists)], "cid long, own array<long>, next array<long>")
+    left = sorted(map(tuple, frame.mapInArrow(ngram_join._tokens(spark.sparkContext.broadcast(bits)), ngram_join._ddl(ngram_join._TOKENS)).collect()))
+    assert [t for t in left if t[3] in met] == [t for t in every if t[3] in met]
+    assert set(left) <= set(every) and len(left) < 2 * len(met) + len(every) // 20
+    assert not ngram_join._token_bits(frame.select(F.explode("own").alias("token")).where("false")).any()
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(0)
     base = rng.normal(size=(40, 8))
