@@ -6,6 +6,7 @@ import sys
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 sys.path.insert(0, __file__.rsplit("/tests/", 1)[0])
@@ -395,6 +396,76 @@ def test_special_tokens_are_plain_encode(spark, tmp_path):
     assert sorted(map(tuple, found)) == expected
 
 
+def test_counts_of_a_block_are_renewed_seldom(monkeypatch):
+    calls, renew = [], id_coder._Mixer._sum
+    monkeypatch.setattr(id_coder._Mixer, "_sum", lambda self: (calls.append(1), renew(self))[1])
+    ids = np.random.default_rng(3).zipf(1.2, 100_000).clip(max=60_000).astype(np.uint32)
+    block = id_coder.encode(ids)
+    assert len(calls) < 40  # once for each of 256 steps before
+    assert (id_coder.decode(block) == ids).all() and len(calls) < 80
+
+
+@pytest.mark.parametrize("top, n", [(2, 300_000), (50_000, 300_000), (2**32 - 1, 300_000), (1 << 21, 1_600_000)])
+def test_blocks_of_many_different_ids(top, n):
+    rng = np.random.default_rng(top)
+    ids = np.where(rng.random(n) < 0.5, rng.integers(0, top, n, dtype=np.uint64), 7).astype(np.uint32)
+    ids[n // 3: n // 2] = np.arange(n // 2 - n // 3) % 11
+    assert (id_coder.decode(id_coder.encode(ids)) == ids).all()
+
+
+def test_carries_pass_whole_words():
+    out = np.array([5, 9, 2**32 - 1, 9, 2**32 - 1, 2**32 - 1], np.uint32)  # two lanes of three words
+    id_coder._carry(out, np.array([6, 7]), 2)
+    assert out.tolist() == [6, 9, 0, 10, 0, 0]
+
+
+class _Counted:
+    def __init__(self, engine):
+        self.engine, self.texts = engine, []
+
+    def encode_batch_fast(self, texts, **how):
+        self.texts += texts
+        return self.engine.encode_batch_fast(texts, **how)
+
+
+@pytest.mark.parametrize("special", [True, False])
+def test_each_part_of_a_word_is_encoded_once(special, monkeypatch):
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public.path("byte_bpe_50k.json")
+    tokenizer, encoder = Tokenizer.from_file(path), token_files.WordEncoder(path, special)
+    tokenizer.encode_special_tokens = not special
+    encoder.model, encoder.tokenizer = _Counted(encoder.model), _Counted(encoder.tokenizer)
+
+    def check(texts):
+        ids, counts = encoder(pa.array(texts, pa.string()))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    check(["a blorf, blorf. blorf\nBlorf blorf.\nBlorf", "a blorf", ""])
+    sent = encoder.model.texts + encoder.tokenizer.texts
+    assert len(sent) == len(set(sent)) and sum("lorf" in t for t in sent) == 2  # "blorf," and "blorf." were words of their own before
+    check(["a blorf, blorf."])
+    assert len(encoder.model.texts + encoder.tokenizer.texts) == len(sent)
+    monkeypatch.setattr(token_files, "CACHED", 20)
+    rng = np.random.default_rng(11)
+    bits = ["a", " ", "bc", "<|endoftext|>", "<|end", "oftext|>", "\n", "  ", "'ll", "7", ".", "é", "\t", "\0", ",", "Z.", "\r", "\u3000", "\xa0", "日", "x²", "\x1c", "ª", "\n\n", "!", ", "]
+    for _ in range(60):
+        check(["".join(rng.choice(bits, rng.integers(0, 14))) for _ in range(50)])
+    assert len(encoder.known) < 400 and len(encoder.old) < 400
+
+
+def test_one_encoder_for_all_tasks_of_a_worker(tmp_path):
+    public = pytest.importorskip("public_tokenizers")
+    path = tmp_path / "tokenizer.json"
+    with open(public.path("byte_bpe_50k.json"), "rb") as file:
+        path.write_bytes(file.read())
+    first = token_files._encoder(str(path), True)
+    assert token_files._encoder(str(path), True) is first and token_files._encoder(str(path), False) is not first
+    path.write_bytes(path.read_bytes() + b"\n")
+    assert token_files._encoder(str(path), True) is not first
+
+
 def test_secrets_are_scanned_once(spark, docs, none):
     rows = [(1, 'é password = "abcdefgh1" token:short'), (2, "AKIA" + "A" * 12 + " " + "0" * 31 + " " + "a" * 32), (3, None), (4, 'é password = "abcdefgh1" token:short'),
             (5, "token=secret: abcdefgh12"), (None, "api-key apikey: '12345678'"), (6, " ".join(f"secret={i:08d}" for i in range(200)))]
