@@ -3,7 +3,7 @@
 A block's ids are cut into lanes of STEPS ids that are coded side by side, so every step of the model works on all lanes at once.  The
 lanes of a block share one adaptive model: counts of all ids so far (order 0), the id last seen after the one before (order 1) and after
 the two before (order 2).  The three are mixed by how often predictions of that confidence have held in the block.  Order 0 is counted
-anew whenever the block has grown by a quarter; the other two and the mixture follow every step.
+anew whenever the block has grown by a quarter, the mixture follows every fourth step after the first sixteen, the guesses every step.
 
 A distribution divides 2^(bits + 10): each guess takes some 1024ths of it and order 0 divides the rest into 2^bits slots, of which every
 id of the block has one or more.  The words of all lanes are one series, in the order in which the decoder takes them.
@@ -63,12 +63,19 @@ class _Mixer:
         self.at = (self.before[:lanes], self.slot[:lanes])
         entries = [t.take(a) for t, a in zip(self.table, self.at)]
         self.entries, self.said, self.sure = entries, [e >> 3 for e in entries], [e & 7 for e in entries]
+        if self.steps < 16 or not self.steps % 4:
+            self._share()
+        both = ((self.sure[1] << 3) + self.sure[0]).astype(np.intp)
+        self.mass = [x.take(both) for x in self.masses]
+        self.weight = self.weights.take(both)
+
+    def _share(self) -> None:
+        """What the guesses of each pair of trusts get, and order 0 beside them."""
         share = [np.minimum(h / t * (1 << SHARES), 0.875 * (1 << SHARES)).astype(np.int64) for h, t in zip(self.held, self.tried)]
         two = np.repeat(share[1], LEVELS)
         one = ((1 << SHARES) - two) * np.tile(share[0], LEVELS) >> SHARES
-        both = ((self.sure[1] << 3) + self.sure[0]).astype(np.intp)
-        self.mass = [(x << self.bits).astype(np.uint32).take(both) for x in (one, two)]
-        self.weight = ((1 << SHARES) - one - two).astype(np.uint32).take(both)
+        self.masses = [(x << self.bits).astype(np.uint32) for x in (one, two)]
+        self.weights = ((1 << SHARES) - one - two).astype(np.uint32)
 
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         start, size = self.cum.take(ids) * self.weight, self.width.take(ids) * self.weight
@@ -91,11 +98,13 @@ class _Mixer:
     def update(self, ids: np.ndarray) -> None:
         """``ids`` are those that ``interval`` was last asked for."""
         first, codes = self.ids << 3, [(sure << 1) + hit for sure, hit in zip(self.sure, self.hit)]
-        tally = np.bincount((codes[0] << 4) + codes[1], minlength=4 * LEVELS * LEVELS).reshape(2 * LEVELS, 2 * LEVELS)
+        if self.steps < 16 or self.steps % 4 == 3:
+            tally = np.bincount((codes[0] << 4) + codes[1], minlength=4 * LEVELS * LEVELS).reshape(2 * LEVELS, 2 * LEVELS)
+            for k in range(2):
+                each = tally.sum(1 - k)
+                self.held[k] += each[1::2]
+                self.tried[k] += each[::2] + each[1::2]
         for k in range(2):
-            each = tally.sum(1 - k)
-            self.held[k] += each[1::2]
-            self.tried[k] += each[::2] + each[1::2]
             self.table[k][self.at[k]] = np.where(codes[k] == 0, first, self.entries[k] + _DRIFT.take(codes[k]))
         lanes = len(ids)
         now = self.ids.view(np.uint32)

@@ -7,7 +7,6 @@ The tokenizer's file is a parameter and is read where it is."""
 from __future__ import annotations
 
 import functools
-import json
 import os
 import re
 import zlib
@@ -33,10 +32,10 @@ _BLOCKS_DDL = "part int, block int, start long, n_ids long, keys binary, nameles
 _TEXTS = pa.schema([("part", pa.int32()), ("key", pa.int64()), ("at", pa.int64()), ("n_tokens", pa.int64()), ("crc", pa.int64())])
 # Some letters and digits, of which a run is one word to a byte-level tokenizer's pattern, and places where the pattern always begins anew.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-_PLAIN = re.compile(f"\0?(?:[{_LETTERS}]+|[0-9]+)")
+_PLAIN = f"^\0?(?:[{_LETTERS}]+|[0-9]+)$"
 _HAS_CUT = f"[{_LETTERS}][,.\n]|[{_LETTERS},.:;!?\0]\n[{_LETTERS}]"
 _CUTS = (f"([{_LETTERS}])([,.\n])", f"([{_LETTERS},.:;!?\0]\n)([{_LETTERS}])")
-_PRE_TOKENIZER = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+_OTHER_BPE = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -50,7 +49,9 @@ def _ragged(pool: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tuple[np.
     """The runs of ``pool`` that the codes name, one after the other, and where each ends; ``sizes`` are those of all runs in order."""
     taken, starts = sizes.take(codes), np.cumsum(sizes) - sizes
     ends = np.cumsum(taken)
-    return pool.take(np.repeat(starts.take(codes) - ends + taken, taken) + np.arange(ends[-1] if len(ends) else 0)), ends
+    places = np.repeat(starts.take(codes) - ends + taken, taken)
+    places += np.arange(len(places))
+    return pool.take(places), ends
 
 
 def _distinct(split: pa.ListArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -70,23 +71,20 @@ class WordEncoder:
     A part stands without the blank in front of it; one without a blank has the character 0 there."""
 
     def __init__(self, path: str, special: bool = False):
-        from tokenizers import Tokenizer, models
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not special
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        with open(path, encoding="utf-8") as file:
-            parts = json.load(file)
-        pre, model, added = parts.get("pre_tokenizer") or {}, parts["model"], parts.get("added_tokens") or []
         self.model, self.letters = None, _byte_letters()
+        model, before, added = self.tokenizer.model, self.tokenizer.pre_tokenizer, self.tokenizer.get_added_tokens_decoder().values()
         if (
-            {k: pre.get(k) for k in _PRE_TOKENIZER} == _PRE_TOKENIZER and not parts.get("normalizer") and model.get("type") == "BPE"
-            and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
-            and all(re.search(rf"[^{_LETTERS}0-9]", t["content"]) and not re.search(r"[\s,.]", t["content"]) for t in added)
+            isinstance(before, pre_tokenizers.ByteLevel) and before.use_regex and not before.add_prefix_space
+            and self.tokenizer.normalizer is None and isinstance(model, models.BPE) and not any(getattr(model, k) for k in _OTHER_BPE)
+            and all(re.search(rf"[^{_LETTERS}0-9]", t.content) and not re.search(r"[\s,.]", t.content) for t in added)
         ):
-            merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
-            self.model = Tokenizer(models.BPE(model["vocab"], merges, cache_capacity=0))
+            self.model = Tokenizer(model)
 
     def _spelled(self, word: str) -> str:
         """A plain word as the vocabulary writes its bytes."""
@@ -98,9 +96,9 @@ class WordEncoder:
             self.known, self.old = {}, self.known
         met = list(map(self.old.get, words))
         found = {word: ids for word, ids in zip(words, met) if ids is not None}
-        new = [word for word, ids in zip(words, met) if ids is None and word and not word[0].isspace()]
-        kinds = [match is not None for match in map(_PLAIN.fullmatch, new)] if self.model else [False] * len(new)
-        plain, other = list(compress(new, kinds)), [word for word, kind in zip(new, kinds) if not kind]
+        new = [word for word, ids in zip(words, met) if ids is None]
+        kinds = pc.match_substring_regex(pa.array(new, pa.large_string()), _PLAIN).to_pylist() if self.model else [False] * len(new)
+        plain, other = list(compress(new, kinds)), [word for word, kind in zip(new, kinds) if not kind and word and not word[0].isspace()]
         spelled = [("Ġ" + w if w[0] != "\0" else w[1:]) if w.isascii() else self._spelled(w) for w in plain]
         for some, engine, texts in ((plain, self.model, spelled), (other, self.tokenizer, [w[1:] if w[0] == "\0" else " " + w for w in other])):
             if some:
