@@ -10,22 +10,23 @@ from ..session import scratch_path
 ROWS_PER_FILE = 100_000
 
 
-def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+def stored(df: DataFrame, name: str, rows: int | None = None, by: str | None = None) -> DataFrame:
     """The table, written once and read back: it survives lost executors and later plans start from its files.
 
-    ``rows`` is the most rows it can have, where that is known: a small table is then not cut into one file per shuffle partition."""
+    ``rows`` is the most rows it can have, where that is known: a small table is then not cut into one file per shuffle partition.
+    ``by``, its last column, gets a folder for each value."""
     spark = df.sparkSession
     if rows is not None:
         df = df.coalesce(max(spark.sparkContext.defaultParallelism, rows // ROWS_PER_FILE + 1))
     path = scratch_path(spark, "llm-" + name)
-    df.write.parquet(path)
+    df.write.partitionBy(*[by] if by else []).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 _TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def settled(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+def settled(df: DataFrame, name: str, rows: int | None = None, by: str | None = None) -> DataFrame:
     """As ``stored``, and the shuffle files behind the table are deleted once it is written, as no later plan reads them.
 
     With ``rows``, for narrow tables, the finished rows are dealt to files by bytes; the joins below keep all their tasks."""
@@ -33,7 +34,7 @@ def settled(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     before = conf.get(_TIDY)
     conf.set(_TIDY, "true")
     try:
-        return stored(df if rows is None else df.hint("rebalance"), name)
+        return stored(df if rows is None else df.hint("rebalance"), name, by=by)
     finally:
         conf.set(_TIDY, before)
 

@@ -1,11 +1,15 @@
 """The operators for training data: SQL, brute force, and the cases their docstrings define."""
 
+import contextlib
 import gzip
 import itertools
+import os
 import sys
+import threading
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 
@@ -221,6 +225,97 @@ def test_vectors(spark):
     assert vector_dedup.near_vectors(frame.where("vec_id < 0")).count() == 0
 
 
+def units(n, width, seed=1):
+    """Vectors without clusters, and then a tenth of them again with small changes."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, width))
+    x[-(n // 10):] = x[:n // 10] + rng.normal(size=(n // 10, width)) * 0.1
+    return x
+
+
+def linked_to(x, ids, labels=None):
+    """The id, number of links and smallest id reachable of each vector, all pairs being compared."""
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (unit @ unit.T >= 0.93) & ~np.eye(len(x), dtype=bool)
+    near &= True if labels is None else np.equal.outer(labels, labels)
+    least = np.array(ids)
+    for _ in range(30):
+        least = np.minimum(least, np.where(near, least[None], max(ids)).min(1))
+    return {i: (int(n), int(r)) for i, n, r in zip(ids, near.sum(1), least)}
+
+
+def test_vectors_of_large_labels_are_compared_in_pieces(spark, monkeypatch):
+    x = units(1500, 16).astype(np.float32)
+    labels = np.arange(1500) % 1350 % 3
+    frame = spark.createDataFrame([(i, [float(c) for c in v], int(labels[i])) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    expected = linked_to(x.astype(float), list(range(1500)), labels)
+    monkeypatch.setattr(vector_dedup, "PIECE", 64 * 150)
+    found = {r[0]: (r[1], r[2]) for r in vector_dedup.near_vectors(frame).collect()}
+    assert found == expected
+    few = frame.where("label = 0 or vec_id < 20")
+    assert {r[0]: (r[1], r[2]) for r in vector_dedup.near_vectors(few).collect() if labels[r[0]] == 0} == {i: v for i, v in expected.items() if labels[i] == 0}
+
+
+def test_vectors_need_disk_in_proportion(spark, tmp_path):
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+    tops = [shared, *(f.toString() for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs())]
+    used, over = [], threading.Event()
+
+    def watch():
+        while not over.wait(0.05):
+            total = 0
+            for f in (os.path.join(d, n) for top in tops for d, _, names in os.walk(top) for n in names):
+                with contextlib.suppress(FileNotFoundError):
+                    total += os.path.getsize(f)
+            used.append(total)
+
+    x = units(12_000, 32)
+    frame = spark.createDataFrame(pd.DataFrame({"vec_id": range(len(x)), "embedding": list(x), "label": 1}))
+    frame.repartition(4).write.parquet(f"{tmp_path}/vectors")
+    given = sum(f.stat().st_size for f in tmp_path.rglob("*.parquet"))
+    thread = threading.Thread(target=watch)
+    thread.start()
+    try:
+        assert vector_dedup.near_vectors(spark.read.parquet(f"{tmp_path}/vectors")).where("n_links > 0").count() >= 2400
+    finally:
+        over.set()
+        thread.join()
+    assert max(used) - used[0] < 6 * given
+
+
+def test_links_of_pieces(monkeypatch):
+    monkeypatch.setattr(vector_dedup, "LIST", 100)
+    rng = np.random.default_rng(2)
+    x = np.concatenate([units(1200, 48), rng.normal(size=48) + rng.normal(size=(300, 48)) * 0.2])
+    x = x[rng.permutation(len(x))]
+    model = vector_dedup.fit(vector_dedup._units(x), 12, 0.93)
+    assert model.axes is not None and model.axes.shape[1] < 47
+
+    def piece(rows, first):
+        unit = vector_dedup._units(x[rows])
+        lists = model.nearest(unit)
+        order = np.argsort(lists, kind="stable")
+        codes, error = model.encode(unit, lists)
+        return vector_dedup.Piece(model, lists[order], (first + rows)[order], np.full(len(rows), 2), codes[order], error[order], x[rows][order])
+
+    both, reach = linked_to(x, list(range(len(x)))), float(np.sqrt(2 - 2 * 0.93))
+    whole = piece(np.arange(len(x)), 0)
+    assert len(whole.cells) > 3
+    cid, linked, root = vector_dedup.Links(whole, whole, 0.93, reach).find()
+    assert {int(c): int(n) for c, n in zip(cid, linked)} == {i: 2 * n for i, (n, _) in both.items() if n}
+    groups = {}
+    for c, r in zip(cid.tolist(), root.tolist()):
+        groups.setdefault(r, set()).add(c)
+    assert sorted(map(min, groups.values())) == sorted({r for n, r in both.values() if n})
+    half = len(x) // 2
+    a, b = piece(np.arange(half), 0), piece(np.arange(half, len(x)), 0)
+    counts = dict.fromkeys(range(len(x)), 0)
+    for p, q in ((a, a), (a, b), (b, b)):
+        for c, n in zip(*(v.tolist() for v in vector_dedup.Links(p, q, 0.93, reach).find()[:2])):
+            counts[c] += n
+    assert counts == {i: 2 * n for i, (n, _) in both.items()}
+
+
 def test_lines(spark, docs, none):
     rows = sorted(((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept"][:30]) for r in line_dedup.dedup_lines(docs).select(
         "row.doc_id", "n_lines", "n_dropped", "kept").collect()), key=str)
